@@ -1,0 +1,237 @@
+"""Quality rules: per-document text statistics, fixed rules, and robust multivariate outliers per language and source.
+
+Native: DataFrame functions only. Statistics become four bounded, transformed features in whole thousandths, so every sum
+is exact and reruns agree. Location and scatter of each (language, source) group are minimum-covariance-determinant
+estimates: a start from medians and quartiles, then concentration steps. A step bins the squared Mahalanobis distances,
+sums counts, features and products per bin, and refits on the nearest ``SUPPORT`` share of the group, so it is one
+aggregation with map-side sums whatever the size of a group.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from camloom.llm.common import SPACES, text_of, written
+
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+OUTPUT = (*STATS, "base_failed", "distance", "kept")
+P = 4
+#: Share of a group that a concentration step refits on, and 0.75 / P(chi2(6) <= chi2(4) quantile of 0.75).
+SUPPORT, CONSISTENCY = 0.75, 1.485
+STEPS = 3
+#: Groups with fewer documents are pooled by language; a pool that small rejects nothing.
+MIN_GROUP = 100
+#: Squared distance from which a document is an outlier: the chi-square quantile with 4 degrees of freedom at 1 - 3e-7.
+CUTOFF = 36.0
+#: Least standard deviation of each feature, in thousandths: keeps the scatter of features that are mostly 0 invertible.
+FLOORS = (100, 180, 80, 80)
+
+#: In SQL that Spark and DuckDB share; each is whole thousandths.
+FEATURES = (
+    "cast(floor(1000e0 * ln((word_chars + 250e0) / (n_words + 50e0)) + 5e-1) as bigint)",
+    "cast(floor(1000e0 * ln(1e0 + 20e0 * n_symbols / (n_words + 20e0)) + 5e-1) as bigint)",
+    "cast(floor(1000e0 * ln(1e0 + 10e0 * n_dup_lines / (n_words + 50e0)) + 5e-1) as bigint)",
+    "cast(floor(1000e0 * n_repeat_words / (n_words + 20e0) + 5e-1) as bigint)",
+)
+BASE_FAILED = "(n_words < 20 or 100 * n_repeat_words > 30 * n_words)"
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def repeated_words(hashes: Column) -> Column:
+    """Words inside 8-word windows whose 64-bit hash occurs at least twice in the array ``hashes``, one hash a window.
+
+    Sorted by (hash, place), a window that repeats has a neighbour with its hash; the places of those windows in order
+    give the words covered: 8 from each, or fewer up to the next one's first word.
+    """
+    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def places(s: Column) -> Column:
+        same = lambda a, b: F.get(s, a)["h"] == F.get(s, b)["h"]
+        return F.filter(
+            F.transform(s, lambda x, k: F.when(F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)), x["i"])),
+            lambda i: i.isNotNull(),
+        )
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(
+            F.transform(at, lambda i, k: F.least(F.lit(8), F.coalesce(F.get(at, k + 1) - i, F.lit(8)))),
+            F.lit(0).cast("long"),
+            lambda n, x: n + x,
+        )
+
+    # An array of one element binds its value to a variable, so it is computed once and not again for each element.
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return once(pairs, lambda s: once(F.array_sort(places(s)), covered))
+
+
+def with_statistics(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """carry and the statistics of every whole text; group keys g_lang and g_source, never null."""
+    t = text_of(text)
+    spaced = docs.select(
+        *(F.col(f"`{c}`") for c in carry),
+        F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("-")).alias("g_lang"),
+        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-")).alias("g_source"),
+        F.char_length(F.regexp_replace(t, f"[{SPACES}]+", "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACES}]"))).alias("q_lines"),
+        F.transform(F.filter(F.split(t, f"[{SPACES}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("q_words"),
+    )
+    pair = lambda a, k: F.zip_with(F.slice(a, 1, F.size(a) - k), F.slice(a, k + 1, F.size(a)), lambda x, y: F.xxhash64(x, y))
+    keep = [c for c in spaced.columns if c not in ("q_lines", "q_words")]
+    step = spaced.select(
+        *(F.col(f"`{c}`") for c in keep),
+        F.size("q_words").cast("long").alias("n_words"),
+        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("q_words") >= 8, F.col("q_words")).otherwise(F.array().cast("array<bigint>")).alias("q1"),
+    )
+    keep = [c for c in step.columns if c != "q1"]
+    for k in (1, 2, 4):  # hashes of 2, then 4, then 8 words
+        a = F.col("q1")
+        step = step.select(*(F.col(f"`{c}`") for c in keep), F.when(F.size(a) >= k, pair(a, k)).otherwise(a).alias("q1"))
+    return step.select(
+        *(F.col(f"`{c}`") for c in keep),
+        F.when(F.size(F.array_distinct("q1")) < F.size("q1"), repeated_words(F.col("q1"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+    )
+
+
+def _cholesky(cov: dict[tuple[int, int], str]) -> list[tuple[str, str]]:
+    """(name, SQL) of the lower factor's entries, each in terms of earlier ones."""
+    out = []
+    for j in range(P):
+        for i in range(j, P):
+            rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            out.append((f"l{i}{j}", f"sqrt({cov[i, j]}{rest})" if i == j else f"({cov[i, j]}{rest}) / l{j}{j}"))
+    return out
+
+
+def _distance() -> tuple[list[tuple[str, str]], str]:
+    """Forward substitution: (name, SQL) of its steps, and the squared distance."""
+    steps = [(f"y{i}", f"(x{i} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i}") for i in range(P)]
+    return steps, " + ".join(f"y{i} * y{i}" for i in range(P))
+
+
+BIN = "cast(floor(8e0 * ln(1e0 + distance) / 6931471805599453e-16) as bigint)"
+
+
+def _with(df: DataFrame, named: list[tuple[str, str]]) -> DataFrame:
+    for name, sql in named:
+        df = df.withColumn(name, F.expr(sql))
+    return df
+
+
+def _fitted(sums: DataFrame) -> DataFrame:
+    """Means and Cholesky factor from n, s0.. and p00.. of each group."""
+    df = _with(sums, [(f"m{i}", f"s{i} / cast(n as double)") for i in range(P)])
+    cov = {(i, j): f"({CONSISTENCY}e0 * (p{i}{j} / cast(n as double) - m{i} * m{j})" + (f" + {FLOORS[i] ** 2}e0)" if i == j else ")") for i, j in PAIRS}
+    df = _with(df, _cholesky(cov))
+    return df.select("g_lang", "g_source", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS))
+
+
+def _started(features: DataFrame) -> DataFrame:
+    """Medians, and a diagonal scatter from the quartiles, per group: from counts of values, which are bounded whole numbers."""
+    long = features.select("g_lang", "g_source", F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"x{i}").alias("v")) for i in range(P)))).alias("e"))
+    counts = long.groupBy("g_lang", "g_source", "e.dim", "e.v").count()
+    each = Window.partitionBy("g_lang", "g_source", "dim")
+    ranked = counts.withColumn("upto", F.sum("count").over(each.orderBy("v"))).withColumn("n", F.sum("count").over(each))
+    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("n"), F.col("v")))
+    quarters = ranked.groupBy("g_lang", "g_source", "dim").agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    of = lambda i, name: F.max(F.when(F.col("dim") == i, F.col(name)))
+    wide = quarters.groupBy("g_lang", "g_source").agg(
+        *(of(i, "q2").cast("double").alias(f"m{i}") for i in range(P)), *((of(i, "q3") - of(i, "q1")).cast("double").alias(f"r{i}") for i in range(P))
+    )
+    wide = _with(wide, [(f"l{i}{j}", f"sqrt(r{i} * r{i} / 1819801e-6 + {FLOORS[i] ** 2}e0)" if i == j else "0e0") for i, j in PAIRS])
+    return wide.select("g_lang", "g_source", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS))
+
+
+def _measured(features: DataFrame, fit: DataFrame) -> DataFrame:
+    steps, square = _distance()
+    return _with(features.join(fit, ["g_lang", "g_source"], "left"), [*steps, ("distance", square)])
+
+
+def _concentrated(features: DataFrame, fit: DataFrame) -> DataFrame:
+    """One concentration step: the next fit."""
+    binned = _measured(features, fit).withColumn("bin", F.expr(BIN))
+    sums = [*(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS)]
+    bins = binned.groupBy("g_lang", "g_source", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+    each = Window.partitionBy("g_lang", "g_source")
+    ranked = bins.withColumn("upto", F.sum("n").over(each.orderBy("bin"))).withColumn("all_n", F.sum("n").over(each))
+    near = ranked.where((F.col("upto") - F.col("n")) < F.lit(SUPPORT) * F.col("all_n"))
+    names = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
+    return _fitted(near.groupBy("g_lang", "g_source").agg(*(F.sum(x).alias(x) for x in names)))
+
+
+def pooled(features: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """Small groups share their language's key '*'; a pool still small has g_source '-*', which is never fitted."""
+    sizes = features.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("q_n"))
+    small = F.col("q_n") < min_group
+    pools = sizes.where(small).groupBy("g_lang").agg(F.sum("q_n").alias("q_pool"))
+    keys = sizes.join(pools, "g_lang", "left").select(
+        "g_lang", "g_source", F.when(~small, F.col("g_source")).when(F.col("q_pool") >= min_group, F.lit("*")).otherwise(F.lit("-*")).alias("q_key")
+    )
+    return features.join(keys, ["g_lang", "g_source"]).drop("g_source").withColumnRenamed("q_key", "g_source")
+
+
+def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """carry's columns of every row, with the statistics, base_failed, distance (squared Mahalanobis; null if the group is too small) and kept.
+
+    Each row is judged by itself, so repeated rows and ids get equal verdicts. Null texts count as empty (and fail the base
+    rules), null languages and sources form groups of their own, an empty table gives an empty result. A carried column
+    whose name is one of the outputs is replaced by the output. Documents that fail the base rules still count for their
+    group's estimates: the estimates withstand up to a quarter of outliers.
+    """
+    carry = [c for c in carry if c.lower() not in OUTPUT]
+    held = [(c, f"q_carry_{k}") for k, c in enumerate(carry)]
+    named = docs.select(*(F.col(f"`{c}`").alias(to) for c, to in held), F.col(f"`{text}`").alias("q_text"), F.col(f"`{lang}`").alias("q_lang"), F.col(f"`{source}`").alias("q_source"))
+    stats = with_statistics(named, [to for _, to in held], "q_text", "q_lang", "q_source")
+    table = pooled(written(_with(stats, [(f"x{i}", sql) for i, sql in enumerate(FEATURES)]), "quality"), min_group)
+    features = written(table.where(F.col("g_source") != "-*").select("g_lang", "g_source", *(f"x{i}" for i in range(P))), "features")
+    fit = _started(features)
+    for _ in range(STEPS):
+        fit = _concentrated(features, fit)
+    judged = _measured(table, fit).withColumn("base_failed", F.expr(BASE_FAILED))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    return judged.select(*(F.col(to).alias(c) for c, to in held), *STATS, "base_failed", "distance", kept.alias("kept"))
+
+
+def op10_quality_rules(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality_rules(docs, ["doc_id"]).select("doc_id", *STATS, "base_failed", "kept")
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB's SQL, for op10_quality_rules."""
+    xs, ms, ls = ", ".join(f"x{i}" for i in range(P)), ", ".join(f"m{i}" for i in range(P)), ", ".join(f"l{i}{j}" for i, j in PAIRS)
+    nested = lambda inner, named: __import__("functools").reduce(lambda q, x: f"select *, {x[1]} as {x[0]} from ({q})", named, inner)
+    steps, square = _distance()
+    sums = ", ".join(["sum(n) as n", *(f"sum(s{i}) as s{i}" for i in range(P)), *(f"sum(p{i}{j}) as p{i}{j}" for i, j in PAIRS)])
+    raw = ", ".join(["count(*) as n", *(f"sum(x{i}) as s{i}" for i in range(P)), *(f"sum(x{i} * x{j}) as p{i}{j}" for i, j in PAIRS)])
+    cov = {(i, j): f"({CONSISTENCY}e0 * (p{i}{j} / cast(n as double) - m{i} * m{j})" + (f" + {FLOORS[i] ** 2}e0)" if i == j else ")") for i, j in PAIRS}
+    measured = lambda table, fit: nested(f"select t.*, {ms}, {ls} from {table} t left join {fit} f on t.g_lang = f.g_lang and t.g_source = f.g_source", [*steps, ("distance", square)])
+    ctes = [f"""
+words as (select doc_id, coalesce("text", '') as t, coalesce('=' || lang, '-') as g_lang, coalesce('=' || source, '-') as g_source,
+    regexp_extract_all(coalesce("text", ''), '[^\\x20\\x09-\\x0D]+') as w,
+    list_filter(string_split(coalesce("text", ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
+windows as (select *, row_number() over () as rid, [array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)] as win from words),
+places as (select rid, x, i from (select rid, unnest(win) as x, unnest(range(len(win))) as i from windows) where true),
+twice as (select rid, i, lead(i) over (partition by rid order by i) as nxt from (select *, count(*) over (partition by rid, x) as c from places) where c > 1),
+covered as (select rid, sum(least(8, coalesce(nxt - i, 8))) as n from twice group by rid),
+stats as (select doc_id, g_lang, g_source, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+    cast(coalesce(n, 0) as bigint) as n_repeat_words from windows left join covered using (rid)),
+sized as (select *, count(*) over (partition by g_lang, g_source) as c from stats),
+tab as (select * exclude (g_source, c), case when c >= {MIN_GROUP} then g_source when count(*) filter (where c < {MIN_GROUP}) over (partition by g_lang) >= {MIN_GROUP} then '*' else '-*' end as g_source,
+    {', '.join(f'{sql} as x{i}' for i, sql in enumerate(FEATURES))} from sized),
+feat as (select g_lang, g_source, {xs} from tab where g_source <> '-*'),
+vals as ({' union all '.join(f'select g_lang, g_source, {i} as dim, x{i} as v from feat' for i in range(P))}),
+ranked as (select *, row_number() over (partition by g_lang, g_source, dim order by v) as r, count(*) over (partition by g_lang, g_source, dim) as c from vals),
+quarters as (select g_lang, g_source, dim, min(v) filter (where 4 * r >= c) as q1, min(v) filter (where 4 * r >= 2 * c) as q2, min(v) filter (where 4 * r >= 3 * c) as q3 from ranked group by all),
+wide as (select g_lang, g_source, {', '.join(f'cast(max(q2) filter (where dim = {i}) as double) as m{i}, cast(max(q3 - q1) filter (where dim = {i}) as double) as r{i}' for i in range(P))} from quarters group by all),
+fit0 as (select *, {', '.join(f'sqrt(r{i} * r{i} / 1819801e-6 + {FLOORS[i] ** 2}e0) as l{i}{j}' if i == j else f'0e0 as l{i}{j}' for i, j in PAIRS)} from wide)"""]
+    for k in range(STEPS):
+        ctes.append(f"""
+bins{k} as (select g_lang, g_source, {BIN} as bin, {raw} from ({measured('feat', f'fit{k}')}) group by g_lang, g_source, {BIN}),
+near{k} as (select * from (select *, sum(n) over (partition by g_lang, g_source order by bin) as upto, sum(n) over (partition by g_lang, g_source) as all_n from bins{k}) where upto - n < {SUPPORT} * all_n),
+fit{k + 1} as ({nested(f'select g_lang, g_source, {sums} from near{k} group by g_lang, g_source', [*((f'm{i}', f's{i} / cast(n as double)') for i in range(P)), *_cholesky(cov)])})""")
+    return f"with {','.join(ctes)} select doc_id, {', '.join(STATS)}, {BASE_FAILED} as base_failed, not {BASE_FAILED} and coalesce(distance <= {CUTOFF}, true) as kept from ({measured('tab', f'fit{STEPS}')})"
