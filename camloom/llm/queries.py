@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from camloom.llm import mixing, quality, simhash
+from camloom.llm import media, mixing, packing, quality, simhash, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_media_columns": media.op2_media_columns,
+    "op5_packing": packing.op5_packing,
+    "op6_token_counts": tokens.op6_token_counts,
     "op7_simhash": simhash.op7_simhash,
     "op10_quality_rules": quality.op10_quality_rules,
 }
