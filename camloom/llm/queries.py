@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from camloom.llm import media, mixing, packing, quality, simhash, tokens
+from camloom.llm import html, media, mixing, packing, quality, simhash, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_media_columns": media.op2_media_columns,
+    "op4_html_extraction": html.op4_html_extraction,
     "op5_packing": packing.op5_packing,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_simhash": simhash.op7_simhash,
