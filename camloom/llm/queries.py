@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from camloom.llm import html, media, mixing, packing, quality, simhash, tokens
+from camloom.llm import chat, html, media, mixing, packing, quality, sharding, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_media_columns": media.op2_media_columns,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_html_extraction": html.op4_html_extraction,
     "op5_packing": packing.op5_packing,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_simhash": simhash.op7_simhash,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
     "op1_mixing": mixing.oracle_sql(),
+    "op8_sharding": sharding.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
 }
