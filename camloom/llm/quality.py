@@ -167,10 +167,21 @@ def pooled(features: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     sizes = features.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("q_n"))
     small = F.col("q_n") < min_group
     pools = sizes.where(small).groupBy("g_lang").agg(F.sum("q_n").alias("q_pool"))
-    keys = sizes.join(pools, "g_lang", "left").select(
-        "g_lang", "g_source", F.when(~small, F.col("g_source")).when(F.col("q_pool") >= min_group, F.lit("*")).otherwise(F.lit("-*")).alias("q_key")
+    keys = written(
+        sizes.join(pools, "g_lang", "left").select(
+            "g_lang", "g_source", F.when(~small, F.col("g_source")).when(F.col("q_pool") >= min_group, F.lit("*")).otherwise(F.lit("-*")).alias("q_key")
+        ),
+        "groups",
     )
-    return features.join(keys, ["g_lang", "g_source"]).drop("g_source").withColumnRenamed("q_key", "g_source")
+    return features.join(near(keys), ["g_lang", "g_source"]).drop("g_source").withColumnRenamed("q_key", "g_source")
+
+
+#: Groups up to which their keys and estimates (some 300 bytes each) are broadcast; beyond, rows are shuffled to them.
+BROADCAST_GROUPS = 10_000
+
+
+def near(groups: DataFrame) -> DataFrame:
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
 
 
 def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
@@ -190,7 +201,7 @@ def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: s
     fit = _started(features)
     for _ in range(STEPS):
         fit = _concentrated(features, fit)
-    judged = _measured(table, fit).withColumn("base_failed", F.expr(BASE_FAILED))
+    judged = _measured(table, near(written(fit, "fit"))).withColumn("base_failed", F.expr(BASE_FAILED))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select(*(F.col(to).alias(c) for c, to in held), *STATS, "base_failed", "distance", kept.alias("kept"))
 

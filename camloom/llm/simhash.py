@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from camloom.llm.common import text_of, written
+from camloom.llm.common import dropped, text_of, written
 from camloom.llm.components import components
 
 BITS = 64
@@ -105,5 +105,118 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return table.join(named, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- groups by similarity
+
+
+#: Candidates within a bucket: each member is held against so many before it.
+BEFORE = 64
+WIDE = 4
+
+
+def sketch(text: bytes, k: int) -> tuple[int, int, int, int, int]:
+    """The SimHash of single words, and one of WIDE * 64 bits of shingles of k words."""
+    words = text.lower().split()
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    counts, n = np.zeros(BITS * WIDE, np.int64), len(shingles)
+    for at in range(0, n, BLOCK):
+        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles[at : at + BLOCK]], np.uint64)
+        for lane in range(WIDE):
+            with np.errstate(over="ignore"):  # each lane mixes the hash anew
+                x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + 2 * lane * 0x632BE59BD9B4E019) % (1 << 64) | 1)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+            counts[lane * BITS : (lane + 1) * BITS] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return fingerprint(text, 1), *(int(v) for v in np.packbits(2 * counts > n).view(">i8"))
+
+
+def near_links(rows: DataFrame, most: int) -> DataFrame:
+    """(t, key, id, w0 .. w3) -> (a, b, bits): for each member of a bucket (t, key), of the BEFORE members before it, those within most bits: the nearest and the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for b in batches:
+            t, key, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            wide = np.stack([b.column(3 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WIDE)], axis=1)
+            if tail is not None:
+                t, key, ids, wide = (np.concatenate([x, y]) for x, y in zip(tail, (t, key, ids, wide), strict=True))
+            old = len(ids) - b.num_rows
+            best, near, first = np.full(len(ids), most + 1), np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+            for back in range(1, min(BEFORE, len(ids) - 1) + 1):
+                same = np.flatnonzero((t[back:] == t[:-back]) & (key[back:] == key[:-back])) + back
+                if not len(same):
+                    break
+                bits = np.bitwise_count(wide[same] ^ wide[same - back]).sum(axis=1)
+                hit = bits <= most
+                first[same[hit]] = same[hit] - back
+                closer = bits < best[same]
+                best[same[closer]], near[same[closer]] = bits[closer], same[closer] - back
+            at = np.flatnonzero(first >= 0)
+            at = at[at >= old]
+            a, c = np.concatenate([ids[near[at]], ids[first[at]]]), np.concatenate([ids[at], ids[at]])
+            bits = np.concatenate([best[at], np.full(len(at), most)])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.int64())], names=["a", "b", "bits"])
+            tail = (t[-BEFORE:], key[-BEFORE:], ids[-BEFORE:], wide[-BEFORE:])
+
+    return rows.mapInArrow(run, "a long, b long, bits long")
+
+
+def shingle_set(text: bytes, k: int) -> set[int]:
+    words = text.lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """(u, v, x, y) -> (u, v) of those whose texts x and y have a Jaccard similarity of at least ``least`` on k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = (shingle_set(z.as_buffer().to_pybytes(), k) for z in (x, y))
+                keep.append(len(p & q) >= least * len(p | q))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
+
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """doc_id, group_id (the least doc_id of the group) of every row whose id is not null; a row for each distinct pair.
+
+    Texts with equal sketches are one. Of the others, those whose fingerprints of single words lie within ``radius`` bits
+    meet under a covering mask; there, wide fingerprints of k-word shingles tell the nearest, and those links are kept whose
+    texts are similar: Jaccard of k-word shingles. Links join to groups. Null texts count as empty; an empty table gives an
+    empty result. An id that repeats with different texts stands for the least of them in comparisons.
+    """
+    wanted = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(f"`{text}`").cast("binary").alias("q_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sketch(x.as_buffer().to_pybytes(), k) for x in b.column(1)]
+            columns = list(zip(*made, strict=True)) or [()] * (WIDE + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "fp", *wide])
+
+    wide = [f"w{i}" for i in range(WIDE)]
+    table = written(wanted.mapInArrow(run, "id long, fp long, " + ", ".join(f"{w} long" for w in wide)), "sketches")
+    nodes = written(table.groupBy("fp", *wide).agg(F.min("id").alias("id")), "nodes")
+    masks = covering_masks(radius)
+    rows = nodes.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))).alias("x")).select("x.t", "x.key", "id")
+    crowd = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
+    members = rows.join(crowd, ["t", "key"]).join(nodes.select("id", *wide), "id")
+    placed = members.repartition("t", "key").sortWithinPartitions("t", "key", "id").select("t", "key", "id", *wide)
+    # The angle between two sets of similarity s has cosine 2s / (1 + s); half as much dissimilarity again is let through.
+    loose = 1 - 1.5 * (1 - similarity)
+    most = int(BITS * WIDE * float(np.arccos(2 * loose / (1 + loose)) / np.pi))
+    found = near_links(placed, most).groupBy("b").agg(F.min(F.struct("bits", "a"))["a"].alias("near"), F.min("a").alias("first"))
+    pairs = written(found.select(F.col("b").alias("v"), F.explode(F.array_distinct(F.array("near", "first"))).alias("u")), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = written(wanted.join(ends, "id").groupBy("id").agg(F.min("q_text").alias("q_text")), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("q_text").alias("x")), "u").join(texts.select(F.col("id").alias("v"), F.col("q_text").alias("y")), "v")
+    edges = written(similar(both.select("u", "v", "x", "y"), k, similarity), "links")
+    dropped(texts)
+    roots = components(edges).withColumnRenamed("node", "id")
+    rooted = nodes.join(roots, "id", "left").select("fp", *wide, F.coalesce("root", "id").alias("group_id"))
+    return table.join(rooted, ["fp", *wide]).select(F.col("id").alias(doc_id), "group_id").distinct()
+
+
 def op7_simhash(spark, sf_dir):
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
