@@ -11,7 +11,7 @@ hundreds of times the input, so the array is sparse, without losing any:
 * Suffix array. Spark samples splitters and range-partitions the classes by the bytes from their anchor on. A bucket sorts
   its windows by multikey quicksort, 8 bytes a key, group by group, so equal windows stand together.
 * Boundaries. In sort order a gram is contiguous, so only a bucket's first and last can go on in others: the windows of those
-  are compared across buckets by their 128-bit digests, counts summed map-side.
+  are compared across buckets by their 128-bit digests, each different one once a bucket, and those that occur once there ask.
 
 What is repeated goes back to the texts that the records came from, under the digest of the text, so that any number of
 copies of a text is decided once.
@@ -147,7 +147,7 @@ def equal_windows(words: list[np.ndarray], group: np.ndarray) -> np.ndarray:
 
 def sorted_bucket(rows: list[tuple], length: int) -> Iterator[tuple]:
     """Rows (gram, span, n, c, anchor, bytes) of a bucket -> (gram, span, offset of a window, how many, None, None, None) of
-    runs that repeat here, and (gram, span, offset, 1, digest, digest, c) of windows to be compared with other buckets."""
+    runs that repeat here, and (gram, span, offset, 1, digest, digest, times) of windows to be compared with other buckets."""
     grams, n, c, anchor = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3, 4))
     data = np.frombuffer(b"".join(r[5] for r in rows) + b"\0" * 8, np.uint8)
     size = np.array([len(r[5]) for r in rows])
@@ -157,7 +157,7 @@ def sorted_bucket(rows: list[tuple], length: int) -> Iterator[tuple]:
     start = base[row] + offset
     # Equal windows have equal grams at equal places: those are the first keys.
     gram_rank = np.unique(grams, return_inverse=True)[1]
-    group = np.unique(gram_rank[row] * (2 * length) + (anchor[row] - offset), return_inverse=True)[1]
+    group = gram_rank[row] * (2 * length) + (anchor[row] - offset)
     long = np.zeros(len(data) - 7, np.uint64)
     for k in range(8):
         long |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(56 - 8 * k)
@@ -173,13 +173,13 @@ def sorted_bucket(rows: list[tuple], length: int) -> Iterator[tuple]:
             if repeats[a]:
                 r = rows[row[a]]
                 yield r[0], r[1], int(offset[a]), e - a, None, None, None
-    ends = {rows[0][0], rows[-1][0]}
+    # Each different window of the bucket's first and last gram, once, with how often it occurs here.
+    open_ = np.flatnonzero(np.isin(grams, [rows[0][0], rows[-1][0]])[row])
+    open_ = open_[np.unique(number[open_], return_index=True)[1]]
     whole = data.tobytes()
-    for k in np.flatnonzero(np.isin(grams, list(ends))).tolist():
-        r = rows[k]
-        for o in range(r[2]):
-            d = xxhash.xxh3_128_digest(whole[base[k] + o : base[k] + o + length])
-            yield r[0], r[1], o, 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), r[3]
+    for k, at, o, c_here in zip(row[open_].tolist(), start[open_].tolist(), offset[open_].tolist(), total[number[open_]].tolist(), strict=True):
+        d = xxhash.xxh3_128_digest(whole[at : at + length])
+        yield rows[k][0], rows[k][1], o, 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), int(c_here)
 
 
 def keyed_texts(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
@@ -205,8 +205,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     )
     array = written(spans, "spans")
     buckets = max(1, -(-array.count() // BUCKET))
-    leading = F.expr("substring(bytes, cast(anchor + 1 as int))")
-    placed = array.withColumn("leading", leading).repartitionByRange(buckets, "leading", "bytes").sortWithinPartitions("leading", "bytes").drop("leading")
+    # The sort key is the suffix's first bytes, then digests of its gram and of all its bytes: short, as samples of it go to the driver.
+    order = [F.expr("substring(bytes, cast(anchor + 1 as int), 16)").alias("leading"), F.col("gram"), F.col("span")]
+    placed = array.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
@@ -221,7 +222,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     dropped(array)
     open_ = runs.where("d1 is not null")
     across = open_.groupBy("d1", "d2").agg(F.sum("c").alias("c")).where("c > 1").select("d1", "d2")
-    both = runs.where("d1 is null").unionByName(open_.join(across, ["d1", "d2"]).select(*runs.columns))
+    both = runs.where("d1 is null").unionByName(open_.where("c = 1").join(across, ["d1", "d2"]).select(*runs.columns))
     each = both.groupBy("gram", "span").agg(F.collect_set(F.struct("o", "m")).alias("runs"))  # no more than a span has windows
     back = again.join(each, ["gram", "span"]).select("t1", "t2", F.explode(F.transform("runs", lambda r: F.struct((F.col("at") + r["o"]).alias("a"), (F.col("at") + r["o"] + r["m"] + length - 1).alias("e")))).alias("s"))
     return back.groupBy("t1", "t2").agg(F.collect_list("s").alias("spans"))
