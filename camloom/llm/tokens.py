@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, LongType
 
 from camloom.llm.common import text_of
 
@@ -151,7 +152,7 @@ def token_counts(docs: DataFrame, carry: list[str], text: str = "text", path: st
 
     schema = wanted.drop("q_text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
     if keep_prefixes:
-        schema = schema.add("prefix_ends", "array<bigint>").add("prefix_tokens", "array<bigint>")
+        schema = schema.add("prefix_ends", ArrayType(LongType())).add("prefix_tokens", ArrayType(LongType()))
     return wanted.mapInArrow(run, schema)
 
 
