@@ -9,15 +9,23 @@ import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
 from pyspark.sql.window import Window
 
-RAW_EVENT = StructType.fromDDL("""event_id string, site string, camera string, cam_id int, ts timestamp, ts_mono_ns long, type string, z_score double, intra_ratio double, bytes long,
+KINDS = {"string": StringType(), "int": IntegerType(), "long": LongType(), "smallint": ShortType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def fields(text: str) -> StructType:
+    """A schema from 'name kind, ...' without a session."""
+    return StructType([StructField(name, KINDS[kind]) for name, kind in (part.split() for part in text.split(","))])
+
+
+RAW_EVENT = fields("""event_id string, site string, camera string, cam_id int, ts timestamp, ts_mono_ns long, type string, z_score double, intra_ratio double, bytes long,
 bpf_slow double, bpf_ewma double, bpf_var double, since_kf long, fsm_before smallint, fsm_after smallint, reason string, pts_start long, pts_end long, codec string, fps double,
 clip_id string, clip_path string, clip_url string, thumbs_url string, z_timeline_url string, trigger_offset_ms long, target_class_mask smallint, agent_version string""")
-META = StructType.fromDDL("event_id string, camera string, z_score double, intra_ratio double, bytes long, pre_roll_seconds long, post_roll_seconds long, trigger_offset_ms long, codec string, fps double")
-LABEL = StructType.fromDDL("label string, labeled_at timestamp, camera string, clip string")
-FRAME = StructType.fromDDL("frames array<struct<key_frame: int, pkt_size: string, pict_type: string>>")
+META = fields("event_id string, camera string, z_score double, intra_ratio double, bytes long, pre_roll_seconds long, post_roll_seconds long, trigger_offset_ms long, codec string, fps double")
+LABEL = fields("label string, labeled_at timestamp, camera string, clip string")
+FRAME = StructType([StructField("frames", ArrayType(fields("key_frame int, pkt_size string, pict_type string")))])
 DEFAULT_LIMIT = 10_000
 SKIP, FAIL = "skip", "fail"
 TEXT = [f.name for f in RAW_EVENT.fields if f.dataType.simpleString() == "string"]
@@ -25,11 +33,14 @@ TEXT = [f.name for f in RAW_EVENT.fields if f.dataType.simpleString() == "string
 
 def read_json(spark: SparkSession, path: str | list[str], schema: StructType, malformed: str = SKIP, multiline: bool = False) -> DataFrame:
     """JSON rows of a fixed schema; unknown fields are ignored. Malformed rows are skipped, or fail the job."""
-    reader = spark.read.option("multiLine", multiline).option("timeZone", "UTC")
     if malformed == FAIL:
-        return reader.option("mode", "FAILFAST").schema(schema).json(path)
-    kept = StructType(schema.fields).add("_corrupt_record", "string")
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(kept).json(path).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        return spark.read.option("multiLine", multiline).option("timeZone", "UTC").option("mode", "FAILFAST").schema(schema).json(path)
+    # Lines parsed by from_json: the JSON reader would skip parsing, and so the check, for queries that need no column.
+    lines = spark.read.text(path, wholetext=multiline).where(F.trim("value") != "")
+    outer = [c for c in lines.columns if c != "value"]  # partition columns
+    kept = StructType([f for f in schema.fields if f.name not in outer] + [StructField("_corrupt_record", StringType())])
+    parsed = lines.select(*outer, F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "timeZone": "UTC"}).alias("r"))
+    return parsed.where(F.col("r._corrupt_record").isNull() & F.col("r").isNotNull()).select(*(F.col(f.name).cast(f.dataType) if f.name in outer else F.col(f"r.{f.name}") for f in schema.fields))
 
 
 def append_log(events: DataFrame, root: str, fmt: str = "json") -> None:
