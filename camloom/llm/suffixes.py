@@ -11,7 +11,8 @@ hundreds of times the input, so the array is sparse, without losing any:
 * Suffix array. Spark samples splitters and range-partitions the classes by the bytes from their anchor on. A bucket sorts
   its windows by multikey quicksort, 8 bytes a key, group by group, so equal windows stand together.
 * Boundaries. In sort order a gram is contiguous, so only a bucket's first and last can go on in others: the windows of those
-  are compared across buckets by their 128-bit digests, each different one once a bucket, and those that occur once there ask.
+  are compared across buckets by 128-bit digests, each different one once a bucket: first what eight neighbouring windows
+  have in common, then, where buckets share that, the windows themselves.
 
 What is repeated goes back to the texts that the records came from, under the digest of the text, so that any number of
 copies of a text is decided once.
@@ -33,6 +34,9 @@ from camloom.llm.common import dropped, text_of, written
 LENGTH, GRAM = 200, 64
 #: Windows whose anchors are found at once, and classes sorted in one bucket: both bound a worker's memory.
 BLOCK, BUCKET = 1 << 19, 15_000
+#: Neighbouring windows whose common string is compared across buckets before they are.
+CORE = 8
+ASK = ("gram", "span", "o", "w1", "w2", "c")
 PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -147,7 +151,8 @@ def equal_windows(words: list[np.ndarray], group: np.ndarray) -> np.ndarray:
 
 def sorted_bucket(rows: list[tuple], length: int) -> Iterator[tuple]:
     """Rows (gram, span, n, c, anchor, bytes) of a bucket -> (gram, span, offset of a window, how many, None, None, None) of
-    runs that repeat here, and (gram, span, offset, 1, digest, digest, times) of windows to be compared with other buckets."""
+    runs that repeat here, and (None, None, None, None, digest, digest, windows) of cores to be compared with other buckets:
+    a core is what CORE neighbouring windows have in common, its windows those of ASK with how often they occur here."""
     grams, n, c, anchor = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3, 4))
     data = np.frombuffer(b"".join(r[5] for r in rows) + b"\0" * 8, np.uint8)
     size = np.array([len(r[5]) for r in rows])
@@ -173,13 +178,20 @@ def sorted_bucket(rows: list[tuple], length: int) -> Iterator[tuple]:
             if repeats[a]:
                 r = rows[row[a]]
                 yield r[0], r[1], int(offset[a]), e - a, None, None, None
-    # Each different window of the bucket's first and last gram, once, with how often it occurs here.
+    # Each different window of the bucket's first and last gram, once, under the string that it shares with its neighbours.
     open_ = np.flatnonzero(np.isin(grams, [rows[0][0], rows[-1][0]])[row])
     open_ = open_[np.unique(number[open_], return_index=True)[1]]
-    whole = data.tobytes()
-    for k, at, o, c_here in zip(row[open_].tolist(), start[open_].tolist(), offset[open_].tolist(), total[number[open_]].tolist(), strict=True):
-        d = xxhash.xxh3_128_digest(whole[at : at + length])
-        yield rows[k][0], rows[k][1], o, 1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), int(c_here)
+    whole, digest, cores = data.tobytes(), xxhash.xxh3_128_digest, {}
+    inner = (base + anchor)[row[open_]] - (anchor[row[open_]] - offset[open_]) // CORE * CORE
+    for k, at, core, o, here in zip(row[open_].tolist(), start[open_].tolist(), inner.tolist(), offset[open_].tolist(), total[number[open_]].tolist(), strict=True):
+        asks = cores.setdefault(digest(whole[core : core + length - CORE + 1]), [])
+        asks.append((rows[k][0], rows[k][1], o, *halves(digest(whole[at : at + length])), int(here)))
+    for d, asks in cores.items():
+        yield None, None, None, None, *halves(d), [dict(zip(ASK, x, strict=True)) for x in asks]
+
+
+def halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
 def keyed_texts(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
@@ -193,8 +205,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     found = written(records(texts, length, gram), "records")
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     names = ["gram", "span", "t1", "t2", "at", "anchor", "n"]
-    again = written(found.join(often, "gram").groupBy(*names).agg(F.count(F.lit(1)).alias("c")), "again")
+    # Written before it is grouped: so the join's stage keeps no order by gram, and a hot gram's rows can be split over tasks.
+    repeated = written(found.join(often, "gram").select(*names), "repeated")
     dropped(found)
+    again = written(repeated.groupBy(*names).agg(F.count(F.lit(1)).alias("c")), "again")
+    dropped(repeated)
     classes = again.groupBy("gram", "span").agg(F.sum("c").alias("c"), F.min(F.struct("t1", "t2", "at", "anchor", "n")).alias("r"))
     wanted = classes.select("r.t1", "r.t2", F.struct("gram", "span", "c", "r.at", "r.anchor", "r.n").alias("s")).groupBy("t1", "t2").agg(F.collect_list("s").alias("s"))
     one = texts.dropDuplicates(["t1", "t2"])
@@ -213,16 +228,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         if rows:
             out = list(sorted_bucket(rows, length))
-            kinds = [pa.int64()] * 7
-            for at in range(0, len(out), 100_000):
-                columns = zip(*out[at : at + 100_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "span", "o", "m", "d1", "d2", "c"])
-
-    runs = written(placed.mapInArrow(sort, "gram long, span long, o long, m long, d1 long, d2 long, c long"), "runs")
+            window = pa.struct([(x, pa.int64()) for x in ASK])
+            kinds = [*[pa.int64()] * 6, pa.list_(window)]
+            for at in range(0, len(out), 20_000):
+                columns = zip(*out[at : at + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "span", "o", "m", "d1", "d2", "asks"])
+
+    asks = "array<struct<" + ", ".join(f"{x}: bigint" for x in ASK) + ">>"
+    runs = written(placed.mapInArrow(sort, f"gram long, span long, o long, m long, d1 long, d2 long, asks {asks}"), "runs")
     dropped(array)
-    open_ = runs.where("d1 is not null")
-    across = open_.groupBy("d1", "d2").agg(F.sum("c").alias("c")).where("c > 1").select("d1", "d2")
-    both = runs.where("d1 is null").unionByName(open_.where("c = 1").join(across, ["d1", "d2"]).select(*runs.columns))
+    # A bucket gives each core once: one that more than one gives may have equal windows in them.
+    cores = runs.where("d1 is not null").select("d1", "d2", "asks")
+    shared = cores.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d1", "d2")
+    windows = cores.join(shared, ["d1", "d2"]).select(F.explode("asks").alias("a")).select("a.*")
+    across = windows.groupBy("w1", "w2").agg(F.sum("c").alias("k")).where("k > 1").select("w1", "w2")
+    alone = windows.where("c = 1").join(across, ["w1", "w2"]).select("gram", "span", "o", F.lit(1).cast("long").alias("m"))
+    both = runs.where("d1 is null").select("gram", "span", "o", "m").unionByName(alone)
     each = both.groupBy("gram", "span").agg(F.collect_set(F.struct("o", "m")).alias("runs"))  # no more than a span has windows
     back = again.join(each, ["gram", "span"]).select("t1", "t2", F.explode(F.transform("runs", lambda r: F.struct((F.col("at") + r["o"]).alias("a"), (F.col("at") + r["o"] + r["m"] + length - 1).alias("e")))).alias("s"))
     return back.groupBy("t1", "t2").agg(F.collect_list("s").alias("spans"))
