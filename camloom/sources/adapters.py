@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 ADAPTERS = {
     "frames": """
 select 'cam-' || lpad(cast(user_id % 16 as string), 2, '0') as camera,
-       row_number() over (partition by user_id % 16 order by ts, event_id) as seq,
+       cast(row_number() over (partition by user_id % 16 order by ts, event_id) as bigint) as seq,
        event_id as src_id, ts, cast(round(value * 100e0) as bigint) as byte_count, event_type = 'signup' as is_keyframe
 from {events}""",
     "raw_events": """
@@ -41,9 +41,9 @@ select 'cam-' || lpad(cast(o_custkey % 16 as string), 2, '0') as camera,
 from {orders}""",
     "nal": """
 select 'cam-' || lpad(cast(l_suppkey % 16 as string), 2, '0') as camera,
-       row_number() over (partition by l_suppkey % 16
+       cast(row_number() over (partition by l_suppkey % 16
          order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity,
-                  l_discount, l_tax, l_returnflag, l_linestatus) as seq,
+                  l_discount, l_tax, l_returnflag, l_linestatus) as bigint) as seq,
        l_orderkey * 3003 as pts_90khz, cast(round(l_extendedprice) as bigint) as length,
        cast(case l_returnflag when 'A' then 5 when 'R' then 7 else 1 end as smallint) as nal_type,
        cast((case l_returnflag when 'A' then 1 when 'R' then 2 else 0 end) + (case when l_returnflag = 'N' and l_linenumber = 4 then 8 else 0 end) as smallint) as flags
