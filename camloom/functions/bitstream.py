@@ -307,3 +307,59 @@ def depacketized(packets: DataFrame, codec: str = "h264") -> DataFrame:
     return placed.mapInArrow(run, "camera string, timestamp long, part long, nal binary")
 
 
+
+
+def rtcp_sender_report(packet: Column) -> Column:
+    """ssrc, NTP seconds and fraction, RTP time, packets and bytes of a sender report; null for other packets."""
+    fields = [("ssrc", 4), ("ntp_seconds", 8), ("ntp_fraction", 12), ("rtp_time", 16), ("n_packets", 20), ("n_bytes", 24)]
+    report = F.struct(*(number_at(packet, at, 4).alias(name) for name, at in fields))
+    return F.when((F.octet_length(packet) >= 28) & (F.shiftright(byte_at(packet, 0), 6) == 2) & (byte_at(packet, 1) == 200), report)
+
+
+def h264_pps(nal: bytes) -> dict | None:
+    """id, sps_id, whether entropy coding is arithmetic, and the first QP of an H.264 picture parameter set."""
+    try:
+        if not nal or nal[0] & 0x1F != 8:
+            return None
+        r = Bits(unescaped(nal[1:]))
+        pps, sps, cabac = r.ue(), r.ue(), r.u(1)
+        r.u(1)
+        if r.ue():
+            return {"id": pps, "sps_id": sps, "cabac": bool(cabac), "init_qp": None}  # slice groups: what follows depends on their kind
+        r.ue(), r.ue(), r.u(3)
+        return {"id": pps, "sps_id": sps, "cabac": bool(cabac), "init_qp": 26 + r.se()}
+    except EOFError:
+        return None
+
+
+def h265_sps(nal: bytes) -> dict | None:
+    """id, width and height (cropped) of an H.265 sequence parameter set."""
+    try:
+        if len(nal) < 3 or (nal[0] >> 1) & 0x3F != 33:
+            return None
+        r = Bits(unescaped(nal[2:]))
+        r.u(4)
+        layers = r.u(3)
+        r.u(1)
+        r.u(88), r.u(8)  # general profile, tier, level
+        present = [(r.u(1), r.u(1)) for _ in range(layers)]
+        if layers:
+            r.u(2 * (8 - layers))
+        for profile, level in present:
+            r.u(88 * profile + 8 * level)
+        sps, chroma = r.ue(), r.ue()
+        if chroma == 3:
+            r.u(1)
+        width, height = r.ue(), r.ue()
+        if r.u(1):
+            left, right, top, bottom = r.ue(), r.ue(), r.ue(), r.ue()
+            width -= (2 if chroma in (1, 2) else 1) * (left + right)
+            height -= (2 if chroma == 1 else 1) * (top + bottom)
+        return {"id": sps, "width": width, "height": height}
+    except EOFError:
+        return None
+
+
+def latest_parameter_sets(sets: DataFrame, id_column: str = "id") -> DataFrame:
+    """Of each camera and id the parameter set with the greatest seq: what a decoder holds."""
+    return sets.groupBy("camera", id_column).agg(F.max_by(F.struct(*(c for c in sets.columns if c not in ("camera", id_column))), "seq").alias("s")).select("camera", id_column, "s.*")

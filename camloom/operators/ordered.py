@@ -109,6 +109,11 @@ def snapshots(nal: DataFrame, windows: DataFrame, span: int = 1 << 22) -> DataFr
     )
 
 
+def extended(nal: DataFrame, windows: DataFrame, more: int) -> DataFrame:
+    """Snapshots of windows whose end is moved on by so many ticks."""
+    return snapshots(nal, windows.withColumn("to_pts", F.col("to_pts") + more))
+
+
 def newest(records: DataFrame, cap: int) -> DataFrame:
     """A bounded ring's content: the last cap - 1 records of each camera."""
     return records.withColumn("q_rank", F.row_number().over(Window.partitionBy("camera").orderBy(F.desc("seq")))).where(F.col("q_rank") <= cap - 1).drop("q_rank")

@@ -89,3 +89,11 @@ def gate(events: DataFrame, drops: list[Column], overrides: list[Column]) -> Dat
 
 
 Decide = Callable[[DataFrame], DataFrame]
+
+
+def deadline(events: DataFrame, latency_ms: Column, most_ms: int = 5000) -> DataFrame:
+    """Verdicts that came too late are confirmed: a stage that hangs must not lose an event."""
+    late = F.coalesce(latency_ms > most_ms, F.lit(False))
+    put = lambda c, value: F.when(late, value).otherwise(F.col(c)).alias(c)
+    values = {"verdict": F.lit(CONFIRM), "decided_by": F.lit("deadline"), "suppress_reason": F.lit(None).cast("string")}
+    return events.select(*(put(c, values[c]) if c in values else F.col(c) for c in events.columns))

@@ -98,3 +98,29 @@ def fingerprints(frames: DataFrame) -> DataFrame:
 
 def size_distribution(frames: DataFrame) -> DataFrame:
     return frames.groupBy("is_keyframe", "byte_count").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cpu_percent(samples: DataFrame) -> DataFrame:
+    """(host, ts, total, idle: counters) -> busy share between each sample and the one before, to one decimal; null for the first."""
+    w = Window.partitionBy("host").orderBy("ts")
+    total, idle = (F.col(c) - F.lag(c).over(w) for c in ("total", "idle"))
+    return samples.select("host", "ts", F.when(total > 0, F.round((total - idle) / total * 1000) / 10).otherwise(F.when(total.isNotNull(), 0.0)).alias("cpu_percent"))
+
+
+def top_per_event(blobs: DataFrame, n: int = 8, size: str = "size") -> DataFrame:
+    """The n largest blobs of each event, ranked."""
+    w = Window.partitionBy("event_id").orderBy(F.desc(size), "blob_id")
+    return blobs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def macroblock_stats(blocks: DataFrame) -> DataFrame:
+    """(camera, seq, skipped, intra, motion, qp: a row for each block) -> per frame: shares, median and 90th percentile of motion, mean QP."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    return blocks.groupBy("camera", "seq").agg(
+        F.count(F.lit(1)).alias("n_blocks"), share("skipped").alias("skip_share"), share("intra").alias("intra_share"), F.percentile("motion", 0.5).alias("motion_median"), F.percentile("motion", 0.9).alias("motion_p90"), F.avg("qp").alias("qp_mean")
+    )
+
+
+def chart_scale(z: Column) -> Column:
+    """The top of a chart: a little above the greatest value, at least 8."""
+    return F.greatest(F.lit(8.0), F.max(z) * 1.05)

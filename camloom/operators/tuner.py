@@ -137,3 +137,11 @@ def canary(before: DataFrame, after: DataFrame, low: float = 0.3, high: float =
     both = rate(before, "before_rate").join(rate(after, "after_rate"), "camera", "full")
     ratio = F.col("after_rate") / F.col("before_rate")
     return both.withColumn("healthy", F.coalesce(ratio.between(low, high), F.lit(False)))
+
+
+def with_synthetic(events: DataFrame, cameras: DataFrame, n: int = 5, z: float = 3.2) -> DataFrame:
+    """Labelled events and n made-up true positives for each camera of slow targets, so that tuning doesn't forget them."""
+    made = cameras.select("camera", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).select(
+        F.concat(F.lit("synthetic-"), F.col("camera"), F.lit("-"), F.col("k").cast("string")).alias("event_id"), "camera", F.lit(z).alias("z_score"), F.lit(100_000).cast("long").alias("bytes"), F.lit(1000.0).alias("bpf_slow"), F.lit(TP).alias("label_value")
+    )
+    return events.unionByName(made, allowMissingColumns=True)

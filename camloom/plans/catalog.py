@@ -563,6 +563,77 @@ def nal_classification(spark, d):
     return view(spark, d, "nal").select("camera", "seq", nal_flags(kind, F.lit("h264")).alias("flags"))
 
 
+# ---------------------------------------------------------------- further operators
+
+
+@query(_VERDICTS + " select time_bucket(interval 1 hour, ts) as window_start, camera, case when decided_by = 'passthrough' then 'confirmed' else 'suppressed' end as verdict, count(*) as n from v group by all")
+def verdict_rates(spark, d):
+    out = ST.event_rate(verdicts(spark, d), 60, by=("camera", "verdict"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "camera", "verdict", "n")
+
+
+@query(_VERDICTS + " select event_id, case when bytes % 7 = 3 then 'deadline' else decided_by end as decided_by, case when bytes % 7 = 3 or decided_by = 'passthrough' then 'confirmed' else 'suppressed' end as verdict from v")
+def deadline_verdicts(spark, d):
+    out = R.deadline(verdicts(spark, d), F.when(F.col("bytes") % 7 == 3, 6000).otherwise(10))
+    return out.select("event_id", "decided_by", "verdict")
+
+
+@query(f"""with {cte('raw_events')}, s as (select camera as host, ts, event_id, row_number() over w as total, sum(bytes % 2) over w as idle from raw_events window w as (partition by camera order by ts, event_id)),
+k as (select host, ts, total - lag(total) over w as t, idle - lag(idle) over w as i from (select host, ts, max(total) * 10 as total, cast(max(idle) as bigint) * 7 as idle from s group by host, ts) window w as (partition by host order by ts))
+select host, ts, case when t > 0 then round((t - i) / t * 1000) / 10 end as cpu_percent from k""")
+def cpu_samples(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("camera").orderBy("ts", "event_id")
+    rows = view(spark, d, "raw_events").select(F.col("camera").alias("host"), "ts", F.row_number().over(w).alias("total"), F.sum(F.col("bytes") % 2).over(w).alias("idle"))
+    return ST.cpu_percent(rows.groupBy("host", "ts").agg((F.max("total") * 10).alias("total"), (F.max("idle") * 7).alias("idle")))
+
+
+@query("""select l_orderkey as event_id, l_partkey as blob_id, size, rank from (select l_orderkey, l_partkey, cast(l_quantity as bigint) as size, row_number() over (partition by l_orderkey order by cast(l_quantity as bigint) desc, l_partkey) as rank
+from (select distinct l_orderkey, l_partkey, l_quantity from lineitem)) where rank <= 3""")
+def top_blobs(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity").distinct()
+    out = ST.top_per_event(rows.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("blob_id"), F.col("l_quantity").cast("long").alias("size")), 3)
+    return out.select("event_id", "blob_id", "size", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""select l_suppkey % 16 as camera, l_orderkey as seq, count(*) as n_blocks, round(avg((l_returnflag = 'N')::int), 6) as skip_share, round(quantile_cont(l_quantity, 5e-1), 6) as motion_median, round(quantile_cont(l_quantity, 9e-1), 6) as motion_p90,
+round(avg(l_linenumber), 6) as qp_mean from lineitem group by 1, 2""")
+def macroblock_stats(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        (F.col("l_suppkey") % 16).alias("camera"), F.col("l_orderkey").alias("seq"), (F.col("l_returnflag") == "N").alias("skipped"), (F.col("l_returnflag") == "A").alias("intra"), F.col("l_quantity").alias("motion"), F.col("l_linenumber").alias("qp")
+    )
+    out = ST.macroblock_stats(rows)
+    return out.select("camera", "seq", "n_blocks", *(F.round(c, 6).alias(c) for c in ("skip_share", "motion_median", "motion_p90", "qp_mean")))
+
+
+@query(f"""with {_LABELLED}, {cte('camera_config')}
+select camera, label_value, count(*) as n from (select camera, label_value from ev union all select camera, 1 from camera_config, range(5) where camera < 'cam-04') group by all""")
+def synthetic_positives(spark, d):
+    slow = view(spark, d, "camera_config").where("camera < 'cam-04'")
+    return T.with_synthetic(labelled_events(spark, d), slow).groupBy("camera", "label_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {cte('nal')} select camera, nal_type, max(seq) as seq, arg_max(length, seq) as length from nal where (flags & 2) > 0 group by all")
+def parameter_sets(spark, d):
+    from camloom.functions.bitstream import latest_parameter_sets
+
+    return latest_parameter_sets(view(spark, d, "nal").where(O.flag(O.PARAMSET)).select("camera", "nal_type", "seq", "length"), "nal_type").select("camera", "nal_type", "seq", "length")
+
+
+@query(f"with {cte('raw_events')} select camera, round(greatest(8e0, max(z_score) * 105e-2), 6) as top from raw_events group by camera")
+def chart_scales(spark, d):
+    return view(spark, d, "raw_events").groupBy("camera").agg(F.round(ST.chart_scale(F.col("z_score")), 6).alias("top"))
+
+
+@query(f"with {cte('raw_events')} select min(event_id) as event_id, camera, date_trunc('day', ts) as day, row_number() over (partition by camera order by date_trunc('day', ts) desc) as rank from raw_events group by camera, date_trunc('day', ts) qualify rank <= 20")
+def config_history(spark, d):
+    from camloom.sources.eventlog import latest_configs
+
+    runs = view(spark, d, "raw_events").groupBy("camera", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("applied_at")).agg(F.min("event_id").alias("run_id"))
+    return latest_configs(runs, 20).select(F.col("run_id").alias("event_id"), "camera", F.col("applied_at").alias("day"), F.col("rank").cast("long").alias("rank"))
+
+
 # ---------------------------------------------------------------- streams, run to the end of what is there
 
 

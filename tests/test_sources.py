@@ -113,6 +113,13 @@ def test_exp_golomb_and_sps(spark):
     sps = b"\x67" + bits((66, 8), (0, 8), (31, 8), (0, 0), (0, 0), (2, 0), (1, 0), (0, 1), (79, 0), (44, 0), (1, 1), (1, 1), (0, 1), (0, 1))
     got = B.with_sps(spark.createDataFrame([(sps,), (b"\x65abc",), (None,)], "payload binary")).collect()
     assert (got[0].sps.width, got[0].sps.height, got[0].sps.level) == (1280, 720, 31) and got[1].sps is None and got[2].sps is None
+    assert B.h264_pps(b"\x68" + bits((0, 0), (0, 0), (1, 1), (0, 1), (0, 0), (0, 0), (0, 0), (0, 3), (4, 0))) == {"id": 0, "sps_id": 0, "cabac": True, "init_qp": 24}
+    assert B.slice_type(b"\x41" + bits((0, 0), (6, 0))) == 1 and B.slice_type(b"\x67") is None
+    hevc = b"\x42\x01" + bits((0, 4), (0, 3), (1, 1), (0, 88), (90, 8), (0, 0), (1, 0), (1920, 0), (1088, 0), (1, 1), (0, 0), (0, 0), (0, 0), (4, 0))
+    assert B.h265_sps(hevc) == {"id": 0, "width": 1920, "height": 1080} and B.h265_sps(b"\x42") is None
+    report = bytes([0x80, 200, 0, 6]) + b"".join(n.to_bytes(4, "big") for n in (7, 1, 2, 3, 4, 5))
+    sr = spark.createDataFrame([(report,), (b"x",)], "p binary").select(B.rtcp_sender_report(F.col("p")).alias("r")).collect()
+    assert sr[0].r.ssrc == 7 and sr[0].r.n_bytes == 5 and sr[1].r is None
     assert B.crc32_mpeg(b"123456789") == 0x0376E6E7
     assert B.annex_b(b"\0\0\0\1\x67ab\0\0\1\x68c\0\0\0\1\x65de") == [b"\x67ab", b"\x68c", b"\x65de"]
 
