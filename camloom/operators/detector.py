@@ -171,11 +171,9 @@ def signals(frames: DataFrame, config: Config = Config(), configs: DataFrame | N
     return placed.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in ("camera", "seq", "byte_count", "is_keyframe")) + ", " + DDL)
 
 
-def ewma(frames: DataFrame, alpha: float = ALPHA_FAST) -> DataFrame:
-    """The fast mean after each camera's last frame, in the JVM, by folding the ordered sizes."""
-    sizes = F.array_sort(F.collect_list(F.struct("seq", F.col("byte_count").cast("double").alias("x"))))
-    folded = F.aggregate(sizes, F.lit(0.0), lambda m, r: F.when(m == 0.0, r["x"]).otherwise(F.lit(alpha) * r["x"] + F.lit(1.0 - alpha) * m))
-    return frames.groupBy("camera").agg(F.count(F.lit(1)).alias("n"), folded.alias("bpf_ewma"))
+def ewma(frames: DataFrame) -> DataFrame:
+    """Frames and the fast mean after the last one, per camera."""
+    return signals(frames).groupBy("camera").agg(F.count(F.lit(1)).alias("n"), F.max_by("bpf_ewma", "seq").alias("bpf_ewma"))
 
 
 def would_fire(z: Column, min_bytes: Column, floor: Column) -> Column:
