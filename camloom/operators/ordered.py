@@ -1,4 +1,7 @@
-"""Operators that follow the order of a camera's records: access units, fragments, timelines, snapshots, sessions."""
+"""Operators that follow the order of a camera's records: access units, fragments, timelines, snapshots, sessions.
+
+Running values go in two levels (``running``): a camera with a third of all records is many tasks.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from camloom.operators.running import SPAN, ranged, running, with_previous
+
 KEYFRAME, PARAMSET, BFRAME = 1, 2, 8
 CLOCK = 90  # ticks a millisecond
 
@@ -14,60 +19,55 @@ def flag(bit: int, column: str = "flags") -> Column:
     return F.col(column).bitwiseAND(F.lit(bit).cast("smallint")) > 0
 
 
-def islands(df: DataFrame, value: str, by: str = "camera", order: str = "seq") -> DataFrame:
+def islands(df: DataFrame, value: str, by: str = "camera", order: str = "seq", span: int = SPAN) -> DataFrame:
     """with ``island``: consecutive rows of equal value share a number."""
-    w = Window.partitionBy(by).orderBy(order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("long")
-    return df.withColumn("q_changed", changed).withColumn("island", F.sum("q_changed").over(w)).drop("q_changed")
+    rows = with_previous(ranged(df, order, span), {"q_value": value}, by, [order])
+    changed = (F.col("q_first") | ~F.col(value).eqNullSafe(F.col("q_value"))).cast("long")
+    return running(rows, {"island": ("sum", changed)}, by, [order]).select(*df.columns, "island")
 
 
-def access_units(nal: DataFrame) -> DataFrame:
+def access_units(nal: DataFrame, span: int = SPAN) -> DataFrame:
     """Consecutive NAL records with equal PTS are one unit: bytes summed, flags joined. The last unit of a camera is still
     open and is not given, nor is one of 0 bytes."""
-    units = islands(nal, "pts_90khz").groupBy("camera", "island").agg(
-        F.min("seq").alias("first_seq"), F.first("pts_90khz").alias("pts_90khz"), F.sum("length").alias("byte_count"), F.count(F.lit(1)).alias("n_nal"),
+    units = islands(nal, "pts_90khz", span=span).groupBy("camera", "island").agg(
+        F.min("seq").alias("first_seq"), F.min("pts_90khz").alias("pts_90khz"), F.sum("length").alias("byte_count"), F.count(F.lit(1)).alias("n_nal"),
         F.bool_or(flag(KEYFRAME)).alias("is_keyframe"), F.bool_or(flag(PARAMSET)).alias("is_intra"), F.bool_or(flag(BFRAME)).alias("is_bframe"),
     )
-    last = F.max("island").over(Window.partitionBy("camera"))
-    return units.withColumn("q_last", last).where((F.col("island") < F.col("q_last")) & (F.col("byte_count") > 0)).drop("q_last")
+    last = nal.groupBy("camera").agg(F.max("seq").alias("q_last"))
+    ends = units.join(last, "camera").where((F.col("first_seq") + F.col("n_nal") - 1 < F.col("q_last")) & (F.col("byte_count") > 0))
+    return ends.drop("q_last")
 
 
-def since_keyframe(frames: DataFrame) -> DataFrame:
+def since_keyframe(frames: DataFrame, span: int = SPAN) -> DataFrame:
     """Frames since the last keyframe; null before the first."""
-    w = Window.partitionBy("camera").orderBy("seq")
-    group = frames.withColumn("gop", F.sum(F.col("is_keyframe").cast("long")).over(w))
-    place = F.row_number().over(Window.partitionBy("camera", "gop").orderBy("seq")) - 1
-    return group.withColumn("since_kf", F.when(F.col("gop") > 0, place.cast("long"))).drop("gop")
+    placed = running(ranged(frames, "seq", span), {"q_n": ("sum", F.lit(1).cast("long"))}, "camera", ["seq"])
+    seen = running(placed, {"q_key": ("max", F.when(F.col("is_keyframe"), F.col("q_n")))}, "camera", ["seq"])
+    return seen.select(*frames.columns, (F.col("q_n") - F.col("q_key")).alias("since_kf"))
 
 
-def fragments(nal: DataFrame) -> DataFrame:
+def fragments(nal: DataFrame, span: int = SPAN) -> DataFrame:
     """with fragment: a new one at each keyframe but the first record; offset from the camera's first PTS; tables every 90."""
-    w = Window.partitionBy("camera").orderBy("seq")
-    place = F.row_number().over(w) - 1
-    starts = (flag(KEYFRAME) & (F.col("q_place") > 0)).cast("long")
-    return (
-        nal.withColumn("q_place", place)
-        .withColumn("fragment", F.sum(starts).over(w))
-        .withColumn("pts_offset", F.col("pts_90khz") - F.first("pts_90khz").over(w))
-        .withColumn("with_tables", F.col("q_place") % 90 == 0)
-        .drop("q_place")
-    )
+    first = nal.groupBy("camera").agg(F.min_by("pts_90khz", "seq").alias("q_pts"), F.min("seq").alias("q_seq"))
+    starts = (flag(KEYFRAME) & (F.col("seq") > F.col("q_seq"))).cast("long")
+    rows = running(ranged(nal.join(first, "camera"), "seq", span), {"q_n": ("sum", F.lit(1).cast("long")), "fragment": ("sum", starts)}, "camera", ["seq"])
+    return rows.select(*nal.columns, "fragment", (F.col("pts_90khz") - F.col("q_pts")).alias("pts_offset"), ((F.col("q_n") - 1) % 90 == 0).alias("with_tables"))
 
 
-def z_timeline(records: DataFrame, cap: int | None = None, by: str = "camera") -> DataFrame:
-    """(by, seq, pts_90khz, flags, z_score) -> by, offset_ms, z_score, is_keyframe, is_bframe: consecutive equal PTS are one
-    point with the last z that is not 0; then each point takes the z of the next, the last 0; at most cap points."""
-    points = islands(records, "pts_90khz", by).groupBy(by, "island").agg(
-        F.first("pts_90khz").alias("pts"), F.bool_or(flag(KEYFRAME)).alias("is_keyframe"), F.bool_or(flag(BFRAME)).alias("is_bframe"),
+def z_timeline(records: DataFrame, cap: int | None = None, by: str = "camera", span: int = SPAN) -> DataFrame:
+    """(by, seq, pts_90khz, flags, z_score) -> by, offset_ms, z_score, is_keyframe, is_bframe, width_ms: consecutive equal PTS are
+    one point with the last z that is not 0; then each point takes the z of the next, the last 0; at most cap points."""
+    points = islands(records, "pts_90khz", by, span=span).groupBy(by, "island").agg(
+        F.min("pts_90khz").alias("pts"), F.bool_or(flag(KEYFRAME)).alias("is_keyframe"), F.bool_or(flag(BFRAME)).alias("is_bframe"),
         F.max(F.when(F.col("z_score") != 0, F.struct("seq", "z_score"))).alias("last"),
     )
-    w = Window.partitionBy(by).orderBy("island")
-    z = F.lead(F.coalesce(F.col("last.z_score"), F.lit(0.0)), 1, 0.0).over(w)
-    out = points.select(
-        by, "island", ((F.col("pts") - F.first("pts").over(w)) / CLOCK).cast("long").alias("offset_ms"), z.alias("z_score"), "is_keyframe", "is_bframe", F.lead("pts").over(w).alias("next_pts"), "pts"
-    )
-    out = out.withColumn("width_ms", ((F.col("next_pts") - F.col("pts")) / CLOCK).cast("long")).drop("next_pts", "pts")
-    return (out if cap is None else out.where(F.col("island") <= cap)).drop("island")
+    if cap is not None:
+        points = points.where(F.col("island") <= cap + 1)
+    first = points.where("island = 1").select(by, F.col("pts").alias("q_first"))
+    after = points.select(by, (F.col("island") - 1).alias("island"), F.col("pts").alias("q_next"), F.coalesce(F.col("last.z_score"), F.lit(0.0)).alias("q_z"))
+    both = points.join(after, [by, "island"], "left").join(first, by)
+    shown = both if cap is None else both.where(F.col("island") <= cap)
+    ms = lambda ticks: (ticks / CLOCK).cast("long")
+    return shown.select(by, ms(F.col("pts") - F.col("q_first")).alias("offset_ms"), F.coalesce("q_z", F.lit(0.0)).alias("z_score"), "is_keyframe", "is_bframe", ms(F.col("q_next") - F.col("pts")).alias("width_ms"))
 
 
 def roll_windows(events: DataFrame) -> DataFrame:
@@ -76,35 +76,29 @@ def roll_windows(events: DataFrame) -> DataFrame:
     return events.withColumn("pre_pts", F.greatest(F.lit(0), F.col("pts_90khz") - F.col("pre_roll_seconds") * second)).withColumn("post_pts", F.col("pts_90khz") + F.col("post_roll_seconds") * second)
 
 
-def snapshots(nal: DataFrame, windows: DataFrame, span: int = 1 << 22) -> DataFrame:
+def snapshots(nal: DataFrame, windows: DataFrame, span: int = SPAN, ticks: int = 1 << 30) -> DataFrame:
     """For each window (camera, window_id, from_pts, to_pts) the first and last seq of its records and their sums.
 
     The end is the newest record at or before to_pts; the start the newest keyframe or parameter set strictly before
     from_pts, else the camera's oldest record. Without a record at or before to_pts there is none. PTS must not fall within a
-    camera. Both bounds are as-of lookups: windows and records are merged in one sorted pass per camera, and the sums are
-    differences of running sums, so no record is paired with the windows that cover it.
+    camera. Both bounds are as-of lookups: windows and records are merged in one order per camera and the greatest record so
+    far runs along it; the sums are differences of running sums. No record is paired with the windows that cover it.
     """
-    by = Window.partitionBy("camera")
-    run = by.orderBy("seq")
-    sums = nal.select("camera", F.col("pts_90khz").alias("pts"), "seq", F.sum("length").over(run).alias("upto"), (F.sum("length").over(run) - F.col("length")).alias("before"), (flag(KEYFRAME) | flag(PARAMSET)).alias("entry"))
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = sums.select("camera", "pts", F.lit(0).alias("late"), "seq", "upto", "before", "entry", none("long").alias("window_id"), none("boolean").alias("is_end"))
-    ask = windows.select("camera", "window_id", F.explode(F.array(F.struct(F.col("to_pts").alias("pts"), F.lit(1).alias("late"), F.lit(True).alias("is_end")), F.struct(F.col("from_pts").alias("pts"), F.lit(-1).alias("late"), F.lit(False).alias("is_end")))).alias("e"))
-    asks = ask.select("camera", "e.pts", "e.late", none("long").alias("seq"), none("long").alias("upto"), none("long").alias("before"), none("boolean").alias("entry"), "window_id", "e.is_end")
+    summed = running(ranged(nal, "seq", span), {"upto": ("sum", F.col("length"))}, "camera", ["seq"])
+    record = F.struct("seq", "upto", (F.col("upto") - F.col("length")).alias("before"))
+    kind = summed.select(record.alias("r")).schema["r"].dataType
+    rows = summed.select("camera", F.col("pts_90khz").alias("pts"), F.lit(0).alias("late"), record.alias("r"), (flag(KEYFRAME) | flag(PARAMSET)).alias("entry"), F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("boolean").alias("is_end"))
     # A window's end comes after the records of its PTS, its start before them.
-    w = by.orderBy("pts", "late", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    record = F.struct("seq", "upto", "before")
-    both = rows.unionByName(asks)
-    seen = both.select(
-        "camera", "window_id", "is_end",
-        F.last(F.when(F.col("seq").isNotNull(), record), True).over(w).alias("newest"),
-        F.last(F.when(F.col("entry"), record), True).over(w).alias("entry_at"),
-        F.min(F.when(F.col("seq").isNotNull(), record)).over(by).alias("oldest"),
-    ).where(F.col("window_id").isNotNull())
-    found = seen.groupBy("camera", "window_id").agg(
-        F.max(F.when(F.col("is_end"), F.col("newest"))).alias("head"), F.max(F.when(~F.col("is_end"), F.coalesce("entry_at", "oldest"))).alias("tail")
+    bound = lambda pts, late, end: F.struct(F.col(pts).alias("pts"), F.lit(late).alias("late"), F.lit(end).alias("is_end"))
+    asks = windows.select("camera", "window_id", F.explode(F.array(bound("to_pts", 1, True), bound("from_pts", -1, False))).alias("e")).select(
+        "camera", "e.pts", "e.late", F.lit(None).cast(kind).alias("r"), F.lit(None).cast("boolean").alias("entry"), F.col("window_id").cast("long").alias("window_id"), "e.is_end"
     )
-    return found.where(F.col("head").isNotNull()).select(
+    merged = rows.unionByName(asks).withColumn("q_range", F.floor(F.col("pts") / ticks))
+    seen = running(merged, {"newest": ("max", F.col("r")), "entry_at": ("max", F.when(F.col("entry"), F.col("r")))}, "camera", ["pts", "late"])
+    oldest = summed.groupBy("camera").agg(F.min(record).alias("oldest"))
+    found = seen.where(F.col("window_id").isNotNull()).groupBy("camera", "window_id").agg(F.max(F.when(F.col("is_end"), F.col("newest"))).alias("head"), F.max(F.when(~F.col("is_end"), F.col("entry_at"))).alias("tail"))
+    whole = found.where(F.col("head").isNotNull()).join(oldest, "camera").withColumn("tail", F.coalesce("tail", "oldest"))
+    return whole.select(
         "camera", "window_id", F.col("tail.seq").alias("first_seq"), F.col("head.seq").alias("last_seq"), (F.col("head.seq") - F.col("tail.seq") + 1).alias("n_records"), (F.col("head.upto") - F.col("tail.before")).alias("n_bytes")
     )
 
@@ -119,12 +113,13 @@ def newest(records: DataFrame, cap: int) -> DataFrame:
     return records.withColumn("q_rank", F.row_number().over(Window.partitionBy("camera").orderBy(F.desc("seq")))).where(F.col("q_rank") <= cap - 1).drop("q_rank")
 
 
-def sessions(events: DataFrame, gap_seconds: int, by: str = "camera") -> DataFrame:
+def sessions(events: DataFrame, gap_seconds: int, by: str = "camera", days: int = 1) -> DataFrame:
     """Events no more than gap_seconds after the one before are one session: by, session, first_ts, last_ts, n."""
-    w = Window.partitionBy(by).orderBy("ts", "event_id")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    fresh = F.coalesce((seconds - F.lag(seconds).over(w)) > gap_seconds * 1_000_000, F.lit(True)).cast("long")
-    numbered = events.withColumn("q_new", fresh).withColumn("session", F.sum("q_new").over(w))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(by, "ts", "event_id", micros.alias("q_us")).withColumn("q_range", F.floor(F.col("q_us") / (days * 86_400_000_000)))
+    order = ["ts", "event_id"]
+    fresh = (F.col("q_first") | (F.col("q_us") - F.col("q_before") > gap_seconds * 1_000_000)).cast("long")
+    numbered = running(with_previous(rows, {"q_before": "q_us"}, by, order), {"session": ("sum", fresh)}, by, order)
     return numbered.groupBy(by, "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
 
 

@@ -132,3 +132,19 @@ def test_readiness_and_histograms(spark):
     assert ready([("a", True, True), ("b", False, True)]) and not ready([("a", False, True)]) and not ready([("a", True, False)]) and not ready([])
     h = ST.histogram(spark.createDataFrame([(v,) for v in (1.0, 5.0, 7.0, 99.0, None)], "v double"), "v", (5.0, 10.0))
     assert sorted((r.le or 1e9, r.cumulative, r.total) for r in h.collect()) == [(5.0, 2, 4), (10.0, 3, 4), (1e9, 4, 4)]
+
+
+def test_ranges_change_nothing(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(c, k, 3003 * (k // 3), rnd.randint(0, 9), rnd.choice([0, 0, 0, 1, 2, 8]), rnd.choice([0.0, 1.5, 4.0])) for c in ("a", "b") for k in range(1, 60)]
+    nal = spark.createDataFrame(rows, NAL + ", z_score double")
+    frames = nal.select("camera", "seq", (F.col("flags") == 1).alias("is_keyframe"))
+    windows = spark.createDataFrame([(c, i, rnd.randint(0, 60_000), rnd.randint(0, 60_000)) for c in ("a", "b") for i in range(20)], "camera string, window_id long, from_pts long, to_pts long")
+    same = lambda f: sorted(map(tuple, f(4).collect()), key=repr) == sorted(map(tuple, f(1 << 20).collect()), key=repr)
+    assert same(lambda n: O.access_units(nal, n)) and same(lambda n: O.fragments(nal, n)) and same(lambda n: O.since_keyframe(frames, n))
+    assert same(lambda n: O.z_timeline(nal, 9, span=n)) and same(lambda n: O.snapshots(nal, windows, n, n * 4000))
+    events = spark.createDataFrame([("c", f"{k:03d}", NOW + dt.timedelta(hours=rnd.randint(0, 200))) for k in range(60)], "camera string, event_id string, ts timestamp")
+    day = sorted(map(tuple, O.sessions(events, 7200).collect()))
+    assert day == sorted(map(tuple, O.sessions(events, 7200, days=1000).collect())) and len(day) > 5
