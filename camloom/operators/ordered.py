@@ -20,10 +20,18 @@ def flag(bit: int, column: str = "flags") -> Column:
 
 
 def islands(df: DataFrame, value: str, by: str = "camera", order: str = "seq", span: int = SPAN) -> DataFrame:
-    """with ``island``: consecutive rows of equal value share a number."""
-    rows = with_previous(ranged(df, order, span), {"q_value": value}, by, [order])
-    changed = (F.col("q_first") | ~F.col(value).eqNullSafe(F.col("q_value"))).cast("long")
-    return running(rows, {"island": ("sum", changed)}, by, [order]).select(*df.columns, "island")
+    """with ``island``: consecutive rows of equal value share a number.
+
+    Ranges number their own; a range whose first value is the last one of the range before goes on with its island.
+    """
+    inside = Window.partitionBy(by, "q_range").orderBy(order)
+    rows = ranged(df, order, span).withColumn("q_new", ((F.row_number().over(inside) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(inside))).cast("long"))
+    here = rows.withColumn("q_local", F.sum("q_new").over(inside))
+    each = here.groupBy(by, "q_range").agg(F.max("q_local").alias("k"), F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+    over = Window.partitionBy(by).orderBy("q_range")
+    goes_on = ((F.row_number().over(over) > 1) & F.col("first").eqNullSafe(F.lag("last").over(over))).cast("long")
+    offsets = each.withColumn("on", goes_on).select(by, "q_range", (F.coalesce(F.sum("k").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("on").over(over)).alias("q_off"))
+    return here.join(offsets, [by, "q_range"]).select(*df.columns, (F.col("q_local") + F.col("q_off")).alias("island"))
 
 
 def access_units(nal: DataFrame, span: int = SPAN) -> DataFrame:
@@ -40,9 +48,9 @@ def access_units(nal: DataFrame, span: int = SPAN) -> DataFrame:
 
 def since_keyframe(frames: DataFrame, span: int = SPAN) -> DataFrame:
     """Frames since the last keyframe; null before the first."""
-    placed = running(ranged(frames, "seq", span), {"q_n": ("sum", F.lit(1).cast("long"))}, "camera", ["seq"])
-    seen = running(placed, {"q_key": ("max", F.when(F.col("is_keyframe"), F.col("q_n")))}, "camera", ["seq"])
-    return seen.select(*frames.columns, (F.col("q_n") - F.col("q_key")).alias("since_kf"))
+    groups = running(ranged(frames, "seq", span), {"gop": ("sum", F.col("is_keyframe").cast("long"))}, "camera", ["seq"])
+    place = F.row_number().over(Window.partitionBy("camera", "gop").orderBy("seq")) - 1
+    return groups.select(*frames.columns, F.when(F.col("gop") > 0, place.cast("long")).alias("since_kf"))
 
 
 def fragments(nal: DataFrame, span: int = SPAN) -> DataFrame:
