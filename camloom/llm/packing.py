@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,6 +33,7 @@ WINDOW, LEFT = 1024, 512
 #: Distinct words that a worker remembers at most; beyond, it starts anew.
 REMEMBERED = 600_000
 BLOCK = 1 << 20
+MARKS = b".,;:!?"
 SPACE = re.compile(rb"[\t-\r ]")
 #: ASCII, and letters for which the library's lower-casing and Python's are the same.
 PLAIN = re.compile("[!-~À-ž]+")
@@ -61,12 +64,20 @@ class WordIds(dict):
         self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        get = self.pieces.get
+        if word.isalpha():  # most words: ASCII letters, perhaps with a mark at the end
+            low = word.lower().decode()
+            return self.kept(word, get(low) or self.piece(low))
+        if word[:-1].isalpha() and word[-1] in MARKS:
+            low, mark = word[:-1].lower().decode(), chr(word[-1])
+            return self.kept(word, (get(low) or self.piece(low)) + (get(mark) or self.piece(mark)))
         text = word.decode()
         if PLAIN.fullmatch(text) and "<|" not in text and "×" not in text and "÷" not in text and "İ" not in text:
             low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-            ids = b"".join([self.pieces.get(p) or self.piece(p) for p in PIECE.findall(low)])
-        else:
-            ids = packed(self.whole.encode(text, add_special_tokens=False).ids)
+            return self.kept(word, b"".join([get(p) or self.piece(p) for p in PIECE.findall(low)]))
+        return self.kept(word, packed(self.whole.encode(text, add_special_tokens=False).ids))
+
+    def kept(self, word: bytes, ids: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = ids
@@ -92,7 +103,7 @@ class WordIds(dict):
 
 
 def packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -100,11 +111,14 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def closest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many pieces of each length to take so that their sum comes closest to room, not above it."""
+def closest(counts: Iterable[tuple[int, int]], room: int) -> dict[int, int]:
+    """How many pieces of each (length, count), lengths at most room, to take so that their sum comes closest to room, not above it.
+
+    Lengths are looked at only until some sum fills the room.
+    """
     mask, reach, trail = (1 << (room + 1)) - 1, 1, []
-    for length in sorted((x for x in counts if x <= room), reverse=True):
-        count = min(counts[length], room // length)
+    for length, count in counts:
+        count = min(count, room // length)
         trail.append((length, count, reach))
         part = 1
         while count:  # any number up to count is a sum of these parts
@@ -129,10 +143,15 @@ class Packer:
     def __init__(self, length: int, sequence: int) -> None:
         self.length, self.sequence, self.rows = length, sequence, []
         self.pool: dict[int, list] = {}
+        self.lengths: list[int] = []  # of the pool, rising
         self.waiting = 0
 
     def wait(self, piece: list) -> None:
-        self.pool.setdefault(len(piece[2]) // 4, []).append(piece)
+        length = len(piece[2]) // 4
+        if length not in self.pool:
+            self.pool[length] = []
+            insort(self.lengths, length)
+        self.pool[length].append(piece)
         self.waiting += 1
 
     def take(self, length: int) -> list:
@@ -140,6 +159,7 @@ class Packer:
         out = pieces.pop()
         if not pieces:
             del self.pool[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.waiting -= 1
         return out
 
@@ -153,13 +173,14 @@ class Packer:
     def bins(self, left: int) -> None:
         """Full sequences, while more than left pieces wait."""
         while self.waiting > left:
-            chosen = [self.take(max(self.pool))]
+            chosen = [self.take(self.lengths[-1])]
             room = self.length - len(chosen[0][2]) // 4
-            for length, n in closest({k: len(v) for k, v in self.pool.items()}, room).items() if room else ():
+            fitting = ((k, len(self.pool[k])) for k in reversed(self.lengths[: bisect_right(self.lengths, room)]))
+            for length, n in closest(fitting, room).items() if room else ():
                 chosen += [self.take(length) for _ in range(n)]
                 room -= n * length
             if room and self.pool:  # every piece left is longer than the room
-                doc, start, ids = self.take(min(k for k in self.pool if k > room))
+                doc, start, ids = self.take(self.lengths[0])
                 chosen.append([doc, start, ids[: 4 * room]])
                 self.wait([doc, start + room, ids[4 * room :]])
                 room = 0

@@ -174,7 +174,7 @@ def test_packing(spark, odd):
         reach = {0}
         for length, n in counts.items():
             reach = {s + k * length for s in reach for k in range(n + 1)}
-        taken = packing.closest(counts, room)
+        taken = packing.closest([(x, counts[x]) for x in sorted(counts, reverse=True) if x <= room], room)
         assert all(n <= counts[x] for x, n in taken.items()) and sum(x * n for x, n in taken.items()) == max(s for s in reach if s <= room)
 
 
