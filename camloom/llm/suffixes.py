@@ -203,11 +203,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     """(t1, t2, spans): for each text with repeats, by its digest, [start, end) of bytes in repeated strings; they may overlap."""
     texts = keyed_texts(docs, [], text)
     found = written(records(texts, length, gram), "records")
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
+    # Small tables that are joined with large ones are written first: then both sides of the join are plain shuffles, and Spark
+    # can split a hot gram's rows over tasks.
+    often = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "often")
     names = ["gram", "span", "t1", "t2", "at", "anchor", "n"]
-    # Written before it is grouped: so the join's stage keeps no order by gram, and a hot gram's rows can be split over tasks.
+    # Grouping comes in a stage of its own, as it would need the rows of a gram together.
     repeated = written(found.join(often, "gram").select(*names), "repeated")
-    dropped(found)
+    dropped(found, often)
     again = written(repeated.groupBy(*names).agg(F.count(F.lit(1)).alias("c")), "again")
     dropped(repeated)
     classes = again.groupBy("gram", "span").agg(F.sum("c").alias("c"), F.min(F.struct("t1", "t2", "at", "anchor", "n")).alias("r"))
@@ -244,7 +246,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     across = windows.groupBy("w1", "w2").agg(F.sum("c").alias("k")).where("k > 1").select("w1", "w2")
     alone = windows.where("c = 1").join(across, ["w1", "w2"]).select("gram", "span", "o", F.lit(1).cast("long").alias("m"))
     both = runs.where("d1 is null").select("gram", "span", "o", "m").unionByName(alone)
-    each = both.groupBy("gram", "span").agg(F.collect_set(F.struct("o", "m")).alias("runs"))  # no more than a span has windows
+    each = written(both.groupBy("gram", "span").agg(F.collect_set(F.struct("o", "m")).alias("runs")), "each")  # no more than a span has windows
     back = again.join(each, ["gram", "span"]).select("t1", "t2", F.explode(F.transform("runs", lambda r: F.struct((F.col("at") + r["o"]).alias("a"), (F.col("at") + r["o"] + r["m"] + length - 1).alias("e")))).alias("s"))
     return back.groupBy("t1", "t2").agg(F.collect_list("s").alias("spans"))
 
