@@ -95,9 +95,10 @@ def step(s: State, size: int, keyframe: bool, intra: float | None, c: Config) ->
     z_signal = enough and not keyframe and z > z_high
     intra_signal = enough and not keyframe and intra > c.intra_ratio_high
     idr_signal = keyframe and not c.configured_periodic_kf and (before_kf == 0 or c.strict_idr)
-    signal, event = z_signal or intra_signal or idr_signal, None
-    parts = [f"z={z:.2f}"] * z_signal + [f"intra_ratio={intra:.2f}"] * intra_signal + ["unexpected_idr"] * idr_signal
-    reason = ",".join(parts) or "none"
+    signal, event, reason = z_signal or intra_signal or idr_signal, None, "none"
+    if signal:
+        parts = [f"z={z:.2f}" if z_signal else "", f"intra_ratio={intra:.2f}" if intra_signal else "", "unexpected_idr" if idr_signal else ""]
+        reason = ",".join(filter(None, parts))
     if s.fsm == IDLE:
         s.above = s.above + 1 if signal else 0
         if signal:
