@@ -7,13 +7,15 @@ dimensions, so some v is orthogonal to all of them: under its mask the two are e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from camloom.llm.common import dropped, text_of, written
 from camloom.llm.components import components
@@ -108,114 +110,162 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 # ---------------------------------------------------------------- groups by similarity
 
 
-#: Candidates within a bucket: each member is held against so many before it.
-BEFORE = 64
-WIDE = 4
+#: Buckets of hashes whose sizes give the order of shingles, and members of a shingle that are held against each other at once.
+BUCKETS, MEMBERS = 1 << 18, 4096
+#: Bounds are loosened by so much, so that rounding never loses a pair; what they let through is verified.
+SLACK = 1 - 1e-12
 
 
-def sketch(text: bytes, k: int) -> tuple[int, int, int, int, int]:
-    """The SimHash of single words, and one of WIDE * 64 bits of shingles of k words."""
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """The sorted distinct hashes of k-word shingles of lower-cased words; of all words, if they are fewer."""
     words = text.lower().split()
-    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
-    counts, n = np.zeros(BITS * WIDE, np.int64), len(shingles)
-    for at in range(0, n, BLOCK):
-        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles[at : at + BLOCK]], np.uint64)
-        for lane in range(WIDE):
-            with np.errstate(over="ignore"):  # each lane mixes the hash anew
-                x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + 2 * lane * 0x632BE59BD9B4E019) % (1 << 64) | 1)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-            counts[lane * BITS : (lane + 1) * BITS] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return fingerprint(text, 1), *(int(v) for v in np.packbits(2 * counts > n).view(">i8"))
-
-
-def near_links(rows: DataFrame, most: int) -> DataFrame:
-    """(t, key, id, w0 .. w3) -> (a, b, bits): for each member of a bucket (t, key), of the BEFORE members before it, those within most bits: the nearest and the first."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, ends = np.concatenate([[0], last[: max(0, len(words) - k)]]), last[min(k, len(words)) - 1 :] - 1
+    hashes = [
+        np.frombuffer(b"".join([digest(joined[x:y]) for x, y in zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)]), ">u8")
+        for at in range(0, len(starts), BLOCK)
+    ]
+    return np.unique(np.concatenate(hashes).astype(np.uint64))
+
+
+def shingle_set(text: bytes, k: int) -> set[int]:
+    return set(shingles(text, k).tolist())
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit digest of a set of shingles. Texts with equal sets are one node."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def bucket_sizes(texts: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of texts (binary, the only column) fall into each bucket of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(counts, (shingles(x.as_buffer().to_pybytes(), k) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bucket", "n"])
+
+    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(wanted: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(id, q_text) -> id, node, n (shingles of its set), first (those of its prefix).
+
+    Shingles are in one order for all texts, those of small buckets first. Of two sets similar by ``similarity``, each
+    lacks at most n - ceil(similarity * n) of its shingles in the other, so their prefixes, one longer, share one. The
+    order decides how many others share it, not whether a pair is found.
+    """
+    sizes = wanted.sparkSession.sparkContext.broadcast(bucket_sizes(wanted.select("q_text"), k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
         for b in batches:
-            t, key, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            wide = np.stack([b.column(3 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WIDE)], axis=1)
-            if tail is not None:
-                t, key, ids, wide = (np.concatenate([x, y]) for x, y in zip(tail, (t, key, ids, wide), strict=True))
-            old = len(ids) - b.num_rows
-            best, near, first = np.full(len(ids), most + 1), np.zeros(len(ids), np.int64), np.full(len(ids), -1)
-            for back in range(1, min(BEFORE, len(ids) - 1) + 1):
-                same = np.flatnonzero((t[back:] == t[:-back]) & (key[back:] == key[:-back])) + back
-                if not len(same):
-                    break
-                bits = np.bitwise_count(wide[same] ^ wide[same - back]).sum(axis=1)
-                hit = bits <= most
-                first[same[hit]] = same[hit] - back
-                closer = bits < best[same]
-                best[same[closer]], near[same[closer]] = bits[closer], same[closer] - back
-            at = np.flatnonzero(first >= 0)
-            at = at[at >= old]
-            a, c = np.concatenate([ids[near[at]], ids[first[at]]]), np.concatenate([ids[at], ids[at]])
-            bits = np.concatenate([best[at], np.full(len(at), most)])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.int64())], names=["a", "b", "bits"])
-            tail = (t[-BEFORE:], key[-BEFORE:], ids[-BEFORE:], wide[-BEFORE:])
-
-    return rows.mapInArrow(run, "a long, b long, bits long")
+            nodes, counts, firsts = [], [], []
+            for x in b.column(1):
+                s = shingles(x.as_buffer().to_pybytes(), k)
+                n = len(s)
+                order = np.lexsort((s, sizes.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))
+                firsts.append(s[order[: n - math.ceil(similarity * SLACK * n) + 1]].view(np.int64))
+                nodes.append(node_of(s))
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "node", "n", "first"])
 
+    return wanted.mapInArrow(run, "id long, node long, n long, first array<long>")
 
-def shingle_set(text: bytes, k: int) -> set[int]:
-    words = text.lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))} if words else set()
 
+def may_pair(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of sizes n that meet first at places pos of their orders can be similar enough: by their sizes, and by what is left from there on."""
+    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
+    sizes = F.least(n, m) >= F.lit(similarity * SLACK) * F.greatest(n, m)
+    return sizes & (F.lit(1 + similarity) * F.least(n - i, m - j) >= F.lit(similarity * SLACK) * (n + m))
 
-def similar(pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """(u, v, x, y) -> (u, v) of those whose texts x and y have a Jaccard similarity of at least ``least`` on k-word shingles."""
+
+def chained(shared: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v): each member of a shingle with the one before it and the first, where they may pair. Links most large groups."""
+    met = shared.select("me", F.explode(F.array("before", "head")).alias("other"))
+    met = met.where((F.col("other.node") != F.col("me.node")) & may_pair("other", "me", similarity))
+    return met.select(F.least("me.node", "other.node").alias("u"), F.greatest("me.node", "other.node").alias("v")).distinct()
+
+
+def unjoined(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v): all members of a shingle with different roots that may pair.
+
+    A crowded shingle is cut into blocks of about MEMBERS, and each two blocks meet by themselves.
+    """
+    rooted = shared.select("token", "me", F.col("me.node").alias("node")).join(roots, "node", "left").select("token", "me", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    rows = rooted.join(mixed.select("token", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "token")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("me.node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = dealt.select("token", F.col("block").alias("i"), F.col("other").alias("j"), F.col("me").alias("a"), F.col("root").alias("root_a"))
+    b = dealt.select("token", F.col("other").alias("i"), F.col("block").alias("j"), F.col("me").alias("b"), F.col("root").alias("root_b"))
+    met = a.join(b, ["token", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & (F.col("a.node") < F.col("b.node")) & may_pair("a", "b", similarity))
+    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
+def similar(pairs: DataFrame, least: float) -> DataFrame:
+    """(u, v, x, y) -> (u, v) of those whose sets x and y (sorted hashes) have a Jaccard similarity of at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (shingle_set(z.as_buffer().to_pybytes(), k) for z in (x, y))
-                keep.append(len(p & q) >= least * len(p | q))
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long")
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """doc_id, group_id (the least doc_id of the group) of every row whose id is not null; a row for each distinct pair.
-
-    Texts with equal sketches are one. Of the others, those whose fingerprints of single words lie within ``radius`` bits
-    meet under a covering mask; there, wide fingerprints of k-word shingles tell the nearest, and those links are kept whose
-    texts are similar: Jaccard of k-word shingles. Links join to groups. Null texts count as empty; an empty table gives an
-    empty result. An id that repeats with different texts stands for the least of them in comparisons.
-    """
-    wanted = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(f"`{text}`").cast("binary").alias("q_text"))
+def verified(pairs: DataFrame, wanted: DataFrame, table: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose texts are similar. A node's text is one of its least id, told by its digest."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    who = table.join(ends, "node").groupBy("node").agg(F.min("id").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sketch(x.as_buffer().to_pybytes(), k) for x in b.column(1)]
-            columns = list(zip(*made, strict=True)) or [()] * (WIDE + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "fp", *wide])
+            held = [(node, s.tobytes()) for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) if node_of(s := shingles(x.as_buffer().to_pybytes(), k)) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([s for _, s in held], pa.binary())], names=["node", "s"])
 
-    wide = [f"w{i}" for i in range(WIDE)]
-    table = written(wanted.mapInArrow(run, "id long, fp long, " + ", ".join(f"{w} long" for w in wide)), "sketches")
-    nodes = written(table.groupBy("fp", *wide).agg(F.min("id").alias("id")), "nodes")
-    masks = covering_masks(radius)
-    rows = nodes.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))).alias("x")).select("x.t", "x.key", "id")
-    crowd = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
-    members = rows.join(crowd, ["t", "key"]).join(nodes.select("id", *wide), "id")
-    placed = members.repartition("t", "key").sortWithinPartitions("t", "key", "id").select("t", "key", "id", *wide)
-    # The angle between two sets of similarity s has cosine 2s / (1 + s); half as much dissimilarity again is let through.
-    loose = 1 - 1.5 * (1 - similarity)
-    most = int(BITS * WIDE * float(np.arccos(2 * loose / (1 + loose)) / np.pi))
-    found = near_links(placed, most).groupBy("b").agg(F.min(F.struct("bits", "a"))["a"].alias("near"), F.min("a").alias("first"))
-    pairs = written(found.select(F.col("b").alias("v"), F.explode(F.array_distinct(F.array("near", "first"))).alias("u")), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = written(wanted.join(ends, "id").groupBy("id").agg(F.min("q_text").alias("q_text")), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("q_text").alias("x")), "u").join(texts.select(F.col("id").alias("v"), F.col("q_text").alias("y")), "v")
-    edges = written(similar(both.select("u", "v", "x", "y"), k, similarity), "links")
-    dropped(texts)
-    roots = components(edges).withColumnRenamed("node", "id")
-    rooted = nodes.join(roots, "id", "left").select("fp", *wide, F.coalesce("root", "id").alias("group_id"))
-    return table.join(rooted, ["fp", *wide]).select(F.col("id").alias(doc_id), "group_id").distinct()
+    sets = written(wanted.join(who, "id").select("node", "q_text").distinct().mapInArrow(run, "node long, s binary").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v")
+    edges = written(similar(both.select("u", "v", "x", "y"), similarity), "links")
+    dropped(sets, pairs)
+    return edges
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, group_id (the least doc_id of the group) of every row whose id is not null; a row for each distinct pair.
+
+    Groups are the components of all pairs whose texts have a Jaccard similarity of at least ``similarity`` on k-word
+    shingles. Such pairs share a shingle of their prefixes. Members of one are first held against the one before and the
+    first; then all that are still in different groups, against each other. Each pair that passes the bounds is verified.
+    Null texts count as empty, and all texts without words are one; an empty table gives an empty result.
+    """
+    wanted = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(f"`{text}`").cast("binary").alias("q_text"))
+    made = written(prefixes(wanted, k, similarity), "prefixes")
+    table = made.select("id", "node")
+    nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    rows = nodes.select("node", "n", F.posexplode("first").alias("pos", "token")).select("token", F.struct("node", "n", "pos").alias("me"))
+    each = Window.partitionBy("token").orderBy("me.node")
+    placed = rows.select("token", "me", F.lag("me").over(each).alias("before"), F.first("me").over(each).alias("head"), F.lead("me.node").over(each).alias("after"))
+    shared = written(placed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after"), "shared")
+    edges = verified(chained(shared, similarity), wanted, table, k, similarity)
+    more = verified(unjoined(shared, components(edges), similarity), wanted, table, k, similarity)
+    dropped(shared)
+    roots = components(edges.unionByName(more))
+    named = table.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    groups = named.groupBy("root").agg(F.min("id").alias("group_id"))
+    return named.join(groups, "root").select(F.col("id").alias(doc_id), "group_id").distinct()
 
 
 def op7_simhash(spark, sf_dir):

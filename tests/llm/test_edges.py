@@ -333,3 +333,64 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     junk = [(1000 + k, " ".join(rnd.choice(vocabulary) + "###" for _ in range(100)), "en", "s") for k in range(60)]
     got = {r.doc_id: r.kept for r in quality.quality_rules(table(spark, clean + junk), ["doc_id"]).collect()}
     assert all(got[k] for k, *_ in clean) and not any(got[k] for k, *_ in junk)
+
+
+def brute_groups(texts, k=5, least=0.8):
+    """id -> least id reachable by pairs whose sets of shingles are similar."""
+    sets = {i: simhash.shingle_set(t.encode(), k) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in texts}
+
+
+def groups_of(spark, texts):
+    return {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(table(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+
+
+def test_near_copies_far_apart_in_a_crowded_bucket(spark, monkeypatch):
+    """Orders of the same words, so that all have one fingerprint of single words: 150 lie between a text and its near copy."""
+    import random
+
+    monkeypatch.setattr(simhash, "MEMBERS", 3, raising=False)
+    rng, words = random.Random(5), [f"w{i}" for i in range(80)]
+    texts = {i: " ".join(rng.sample(words, 80)) for i in range(1, 152)}
+    for i in (1, 2, 3):
+        first = texts[i].split()
+        texts[200 + i] = " ".join([first[1], first[0], *first[2:]])
+    got = groups_of(spark, texts)
+    assert got == brute_groups(texts) and [got[i] for i in (201, 202, 203)] == [1, 2, 3]
+
+
+def test_every_candidate_is_verified(spark):
+    """Families by swaps of neighbouring words: those nearest or first by id are often not similar enough, others are."""
+    import random
+
+    rng, texts = random.Random(11), {}
+    for f in range(4):
+        family = [[f"f{f}w{i}" for i in range(100)]]
+        for _ in range(49):
+            words = list(rng.choice(family))
+            for _ in range(rng.choice((1, 2, 2, 2))):
+                at = rng.randrange(99)
+                words[at], words[at + 1] = words[at + 1], words[at]
+            family.append(words)
+        texts |= {i: " ".join(w) for i, w in zip(rng.sample(range(1000 * f, 1000 * f + 1000), 50), family, strict=True)}
+    assert groups_of(spark, texts) == brute_groups(texts)
+
+
+def test_near_copies_that_meet_under_no_mask(spark):
+    """Pairs of differing texts whose fingerprints of single words are more than 4 bits apart."""
+    pairs = [(1640, 6074), (2566, 7725), (3023, 4099), (3910, 4172)]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(f"doc_id in {tuple(i for p in pairs for i in p)}")
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs).collect()}
+    assert [(got[a], got[b]) for a, b in pairs] == [(a, a) for a, _ in pairs]
