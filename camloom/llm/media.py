@@ -321,18 +321,28 @@ def _placed(s: Scan, grid: tuple[int, int], dc: np.ndarray) -> np.ndarray:
     return np.clip((image[:height, :width] * s.quantum + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
 
-def hashes(image: np.ndarray) -> tuple[int, int]:
-    """Average hash and difference hash of 64 bits each, from means over a grid of areas."""
-    sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1), np.int64)
-    sums[1:, 1:] = image.astype(np.int64).cumsum(0).cumsum(1)
-
-    def means(down: int, across: int) -> np.ndarray:
-        edges = lambda n, k: ((a := np.arange(k) * n // k), np.maximum(a + 1, (np.arange(k) + 1) * n // k))
-        (y0, y1), (x0, x1) = edges(image.shape[0], down), edges(image.shape[1], across)
-        total = sums[np.ix_(y1, x1)] - sums[np.ix_(y0, x1)] - sums[np.ix_(y1, x0)] + sums[np.ix_(y0, x0)]
-        return total / np.outer(y1 - y0, x1 - x0)
-
-    a, d = means(8, 8), means(8, 9)
+def hashes(*images: np.ndarray) -> tuple[int, int]:
+    """Average hash and difference hash of 64 bits each, from means over a grid of areas of all images, one below the other.
+
+    Narrower images are filled up with zeros. Rows are summed image by image, so no copy of the whole is made.
+    """
+    height, width = sum(x.shape[0] for x in images), max(x.shape[1] for x in images)
+    edges = lambda n, k: ((a := np.arange(k) * n // k), np.maximum(a + 1, (np.arange(k) + 1) * n // k))
+    y0, y1 = edges(height, 8)
+    sums, top = np.zeros((8, width + 1), np.int64), 0
+    for image in images:
+        for k in range(8):
+            part = image[max(0, y0[k] - top) : max(0, y1[k] - top)]
+            if len(part):
+                sums[k, 1 : 1 + image.shape[1]] += part.sum(axis=0, dtype=np.int64)
+        top += image.shape[0]
+    sums = sums.cumsum(axis=1)
+
+    def means(across: int) -> np.ndarray:
+        x0, x1 = edges(width, across)
+        return (sums[:, x1] - sums[:, x0]) / np.outer(y1 - y0, x1 - x0)
+
+    a, d = means(8), means(9)
     number = lambda bits: int.from_bytes(np.packbits(bits.ravel()).tobytes(), "big")
     return number(a > a.mean()), number(d[:, 1:] > d[:, :-1])
 
@@ -380,8 +390,8 @@ MEASURED = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "med
 def media_columns(media: DataFrame, carry: list[str], column: str = "media") -> DataFrame:
     """carry's columns and what decoding each stream gives: payload digests, dimensions and the thumbnail hashes as feature.
 
-    A stream may hold several images: payloads join in order, dimensions and hashes are of the first, and feature counts the
-    images. A null or empty stream gives nulls, one that is not baseline fails the job with what is wrong.
+    A stream may hold several images: payloads join in order, dimensions and hashes are of all of them, one below the other,
+    and feature counts the images. A null or empty stream gives nulls, one that is not baseline fails the job with what is wrong.
     """
     carry = [c for c in carry if c.lower() not in MEASURED]
     wanted = media.select(*(media[f"`{c}`"] for c in carry), media[f"`{column}`"].alias("q_media"))
@@ -390,8 +400,8 @@ def media_columns(media: DataFrame, carry: list[str], column: str = "media") ->
         if not images:
             return (None,) * len(MEASURED)
         payload = b"".join(x.tobytes() for x in images)
-        height, width = images[0].shape
-        average, difference = hashes(images[0])
+        height, width = sum(x.shape[0] for x in images), max(x.shape[1] for x in images)
+        average, difference = hashes(*images)
         feature = f"{8 * width}x{8 * height}*{len(images)}:{average:016x}:{difference:016x}"
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), 8 * width, 8 * height, feature
 

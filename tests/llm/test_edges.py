@@ -394,3 +394,11 @@ def test_near_copies_that_meet_under_no_mask(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(f"doc_id in {tuple(i for p in pairs for i in p)}")
     got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs).collect()}
     assert [(got[a], got[b]) for a, b in pairs] == [(a, a) for a, _ in pairs]
+
+
+def test_media_hashes_cover_all_images(spark):
+    first = bytes(range(256)) * (64 * media.MOST_ROWS // 256 + 1)
+    tails = [b"\x01" * 400_000, b"\xf0" * 200_000 + b"\x01" * 200_000]
+    streams = media.encode([(x := first + t) + b"\0" * (-len(x) % 64) for t in tails])
+    rows = media.media_columns(spark.createDataFrame([(bytearray(m),) for m in streams], "media binary"), []).collect()
+    assert len({r.feature for r in rows}) == 2 and all(r.height // 8 * r.width // 8 == r.payload_bytes for r in rows)
