@@ -129,15 +129,16 @@ class ShardStore:
 
 
 def op8_sharding(spark, sf_dir):
-    """Documents arrive in ARRIVALS batches (by a hash of their id), each an append; then the store is compacted and read.
+    """Documents arrive in ARRIVALS batches (by their id's remainder), each an append; then the store is compacted and read.
 
     Per document: arrival, n_bytes and text_md5 as read from the compacted shards, and listed: its file is in the manifest.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     store = ShardStore(spark, f"{shared_dir(spark)}/camloom/shards-{uuid.uuid4().hex}")
+    # The remainder has the sign of the id; batches go by the remainder that is never negative.
     arrival = F.coalesce(F.col("doc_id"), F.lit(0)) % ARRIVALS
     for k in range(ARRIVALS):
-        store.append(docs.withColumn("arrival", arrival).where(F.col("arrival") == k))
+        store.append(docs.withColumn("arrival", arrival).where(F.pmod(F.col("arrival"), F.lit(ARRIVALS)) == k))
     store.compact()
     # file:/a and file:///a are one place
     place = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")

@@ -402,3 +402,14 @@ def test_media_hashes_cover_all_images(spark):
     streams = media.encode([(x := first + t) + b"\0" * (-len(x) % 64) for t in tails])
     rows = media.media_columns(spark.createDataFrame([(bytearray(m),) for m in streams], "media binary"), []).collect()
     assert len({r.feature for r in rows}) == 2 and all(r.height // 8 * r.width // 8 == r.payload_bytes for r in rows)
+
+
+def test_sharding_keeps_negative_ids(spark, tmp_path):
+    import duckdb
+
+    table(spark, [(i, f"text {i}", "en", "a") for i in [*range(-20, 20), -(1 << 62) - 3]] + [(None, None, None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op8_sharding(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expected = c.sql(sharding.oracle_sql())
+    assert got.count() == 42 and sorted(map(repr, map(tuple, got.select(*expected.columns).collect()))) == sorted(map(repr, expected.fetchall()))
