@@ -126,7 +126,18 @@ b as (select h.camera, h.window_id, coalesce(t.first_seq, o.oldest) as first_seq
 select b.camera, b.window_id, b.first_seq, b.last_seq, count(*) as n_records, cast(sum(n.length) as bigint) as n_bytes from b join nal n on n.camera = b.camera and n.seq between b.first_seq and b.last_seq group by all""")
 def snapshot_window(spark, d):
     nal = view(spark, d, "nal")
-    events = nal.where("seq % 500 = 7").withColumns({"pre_roll_seconds": F.lit(6), "post_roll_seconds": F.lit(8), "window_id": F.col("seq")})
+    return _snapshots(nal, nal.where("seq % 500 = 7"))
+
+
+@query()
+def snapshot_every_record(spark, d):
+    """A window for every record; in SQL the range joins would be quadratic."""
+    nal = view(spark, d, "nal")
+    return _snapshots(nal, nal)
+
+
+def _snapshots(nal, asked):
+    events = asked.withColumns({"pre_roll_seconds": F.lit(6), "post_roll_seconds": F.lit(8), "window_id": F.col("seq")})
     windows = O.roll_windows(events).select("camera", "window_id", F.col("pre_pts").alias("from_pts"), F.col("post_pts").alias("to_pts"))
     return O.snapshots(nal, windows)
 

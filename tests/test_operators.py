@@ -1,6 +1,7 @@
 """Rules, clips, tuner, statistics and ordered operators on small tables."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from camloom.operators import ordered as O
 from camloom.operators import rules as R
 from camloom.operators import stats as ST
 from camloom.operators import tuner as T
+from camloom.plans import catalog
 
 EVENT = "event_id string, camera string, reason string, z_score double, intra_ratio double, bytes long, bpf_slow double"
 NOW = dt.datetime(2026, 5, 20)
@@ -148,3 +150,24 @@ def test_ranges_change_nothing(spark):
     events = spark.createDataFrame([("c", f"{k:03d}", NOW + dt.timedelta(hours=rnd.randint(0, 200))) for k in range(60)], "camera string, event_id string, ts timestamp")
     day = sorted(map(tuple, O.sessions(events, 7200).collect()))
     assert day == sorted(map(tuple, O.sessions(events, 7200, days=1000).collect())) and len(day) > 5
+
+
+def test_snapshot_of_every_record_against_brute_force(spark, monkeypatch):
+    """Windows before the first keyframe, equal PTS at a bound, and cameras of few records included."""
+    rng, rows = random.Random(3), []
+    for camera, n in (("a", 60), ("b", 3), ("c", 1), ("d", 40)):
+        pts = 0
+        for seq in range(1, n + 1):
+            pts += 90_000 * rng.choice((0, 1, 1, 2, 5))
+            rows.append((camera, seq, pts, rng.choice((0, 0, 0, 1, 2)) if seq > 4 else 0, rng.randint(1, 999)))
+    nal = spark.createDataFrame(rows, "camera string, seq long, pts_90khz long, flags int, length long")
+    monkeypatch.setattr(catalog, "view", lambda *_: nal)
+    expected = []
+    for camera, window, at, *_ in rows:
+        mine = [r for r in rows if r[0] == camera]
+        last = max(r[1] for r in mine if r[2] <= at + 8 * 90_000)
+        first = max((r[1] for r in mine if r[2] < max(0, at - 6 * 90_000) and r[3] & 3), default=1)
+        inside = [r[4] for r in mine if first <= r[1] <= last]
+        expected.append((camera, window, first, last, len(inside), sum(inside)))
+    got = catalog.QUERIES["snapshot_every_record"](spark, None)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
