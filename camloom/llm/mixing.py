@@ -5,8 +5,9 @@ of its source's queue up to and with it, over the source's target; a source that
 again in the same order, up to three times. All queue entries in order of finish time, cut where the words reach the
 total budget, are the mix.
 
-Running sums never need one task: within a source they go by ranges of the hash (sums of ranges first, then inside each),
-and the cut is found from sums of ranges of the finish time, then inside the one range in which the budget ends.
+Running sums never need one task: within a source they go by ranges of the hash (sums of ranges first, in
+two levels, then inside each), and the cut is found from sums of parts of the finish time, then of parts of the one part
+in which the budget ends, until few entries are left.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ MOST_PASSES = 3
 SEED = "mix-1"
 #: Rows of a range in which running sums are made by one task.
 RANGE_ROWS = 5_000
+#: Parts into which finish times are cut at once to find where the budget ends.
+BINS = 4096
+#: Times of cutting after which only equal finish times can be in one part.
+LEVELS = 5
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -61,9 +66,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     digits = max(1, math.ceil(math.log(max(n / RANGE_ROWS, 1), 16)))
     keyed = sized.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(SEED))))
     keyed = keyed.withColumn("range", F.substring("key", 1, digits))
-    by_range = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = by_range.select("source", "range", before.alias("offset"))
+    offsets = before_ranges(keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size")), digits)
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     same = lambda a, b: a.join(b.withColumnRenamed("source", "q_source"), F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -71,35 +74,58 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     placed = summed.join(same(offsets, aims).withColumnsRenamed({"source": "q_source", "range": "q_range"}), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("range") == F.col("q_range")))
     queue = written(placed.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("upto") + F.col("offset")).alias("upto")), "queue")
 
-    budget = queue.agg(F.sum("size")).first()[0] or 0
     finish = lambda e: (F.col("upto") + e * F.col("source_size")) / F.col("target")
     entries = queue.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).alias("pass")).withColumn("finish", finish(F.col("pass")))
-    ranges = max(1, math.ceil(MOST_PASSES * n / RANGE_ROWS))
-    entries = entries.where(F.col("finish") < 2).withColumn("bin", F.floor(F.col("finish") * ranges))
-    bins = entries.groupBy("bin").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy("bin")))
-    over = bins.where(F.col("upto") > budget).orderBy("bin").select("bin", F.col("upto") - F.col("words")).first()
-    order = ["finish", "key", "doc_id", "size", "pass"]
-    if over is None:
-        within = lambda e: F.lit(True)
-    else:
-        last = (
-            entries.where(F.col("bin") == over[0])
-            .withColumn("sum", F.sum("size").over(Window.orderBy(*order)) + F.lit(over[1]))
-            .where(F.col("sum") <= budget)
-            .orderBy(*(F.desc(x) for x in order))
-            .select(*order)
-            .first()
-        )
-        if last is None:  # the range in which the budget ends has no entry that still fits
-            within = lambda e: F.floor(finish(e) * ranges) < over[0]
-        else:
-            at = F.struct(*(F.lit(x).cast(entries.schema[c].dataType).alias(c) for c, x in zip(order, last, strict=True)))
-            mine = lambda e: F.struct(finish(e).alias("finish"), F.col("key"), F.col("doc_id"), F.col("size"), F.lit(e).alias("pass"))
-            within = lambda e: mine(e) <= at
+    over = first_over(entries)
+    within = lambda e: F.lit(True)
+    if over is not None:
+        at = F.struct(*(F.lit(x).cast(entries.schema[c].dataType).alias(c) for c, x in zip(ORDER, over, strict=True)))
+        within = lambda e: F.struct(finish(e).alias("finish"), F.col("key"), F.col("doc_id"), F.col("size"), F.lit(e).alias("pass")) < at
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(sum((F.coalesce(within(e), F.lit(False)).cast("int") for e in range(MOST_PASSES)), F.lit(0)))
     return queue.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
+def before_ranges(sums: DataFrame, digits: int) -> DataFrame:
+    """(source, range, range_size) -> (source, range, offset): the words before each range. In two levels, by the first half
+    of the range's digits and inside it, so that no task holds more than about the root of a source's ranges."""
+    earlier = lambda *by: Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    halved = sums.withColumn("half", F.substring("range", 1, digits // 2))
+    halves = halved.groupBy("source", "half").agg(F.sum("range_size").alias("range_size")).withColumnRenamed("half", "range")
+    far = halves.select(F.col("source").alias("q_source"), F.col("range").alias("q_half"), F.coalesce(F.sum("range_size").over(earlier("source")), F.lit(0)).alias("far"))
+    close = halved.withColumn("close", F.coalesce(F.sum("range_size").over(earlier("source", "half")), F.lit(0)))
+    both = close.join(far, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("half") == F.col("q_half")))
+    return both.select("source", "range", (F.col("far") + F.col("close")).alias("offset"))
+
+
+ORDER = ("finish", "key", "doc_id", "size", "pass")
+
+
+def first_over(entries: DataFrame) -> tuple | None:
+    """The first entry, as its ORDER values, with which the words in order exceed the budget (all words queued once); None if none does.
+
+    Finish times are cut into BINS equal parts, the part in which the budget ends into BINS again, and so on until it is small
+    enough to sort. Only the sums of parts leave the tasks, and each look at the entries is one aggregation.
+    """
+    facts = entries.agg(F.sum(F.when(F.col("pass") == 0, F.col("size"))), F.max("finish")).first()
+    if not facts[0]:
+        return None
+    left, scale = facts[0], BINS / (facts[1] * (1 + 1e-9))
+    rows, rest = entries, F.col("finish") * F.lit(scale)
+    for _ in range(LEVELS):
+        rows = rows.withColumn("bin", F.floor(rest)).withColumn("rest", rest - F.floor(rest))
+        sums = rows.groupBy("bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("words").over(Window.orderBy("bin")))
+        at = sums.where(F.col("upto") > left).orderBy("bin").first()
+        if at is None:
+            return None
+        left -= at["upto"] - at["words"]
+        rows = rows.where(F.col("bin") == at["bin"])
+        if at["k"] <= RANGE_ROWS:
+            break
+        rest = F.col("rest") * F.lit(float(BINS))
+    ordered = Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("sum", F.sum("size").over(ordered)).where(F.col("sum") > left).orderBy(*ORDER).select(*ORDER).first()
+
+
 def op1_mixing(spark, sf_dir):
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -38,6 +38,28 @@ def test_mixing(spark, odd):
     assert got["a"] == 30.0 and got["b"] == pytest.approx(1980 * 2 / 3) and got[None] == pytest.approx(1980 / 3)
 
 
+@pytest.mark.parametrize("rows", [
+    [(1, "x " * 100, "en", "a"), (2, "x " * 330, "en", "b")],
+    [(1, "x " * 5000, "en", "b"), *((k, "y " * (k % 7), "en", "a") for k in range(2, 40))],
+    [(-3, "x " * 40, "en", None), (None, "y " * 9, "en", None), (7, "z", "en", "c"), (7, "z", "en", "c"), (8, None, "en", "d")],
+    [(k, "w " * (1 + k * k % 50), "en", "abc"[k % 3]) for k in range(300)],
+    [(1, None, "en", "a")],
+])
+def test_mixing_against_its_twin(spark, tmp_path, monkeypatch, rows):
+    import duckdb
+
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expected = c.sql(mixing.oracle_sql())
+    for rows_, bins in ((5000, 4096), (3, 64)):  # in one part, and in many
+        monkeypatch.setattr(mixing, "RANGE_ROWS", rows_)
+        monkeypatch.setattr(mixing, "BINS", bins)
+        monkeypatch.setattr(mixing, "LEVELS", 5 if bins > 64 else 9)
+        got = mixing.op1_mixing(spark, str(tmp_path)).select(*expected.columns)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected.fetchall()))
+
+
 def test_media(spark, odd):
     made = media.media_columns(media.stored(odd, ["doc_id", "media", "n_bytes" if "n_bytes" in odd.columns else "lang"]), ["doc_id", "n_bytes", "lang"])
     rows = made.collect()
