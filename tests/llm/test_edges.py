@@ -292,6 +292,10 @@ def test_sharding(spark, odd, tmp_path):
         store.commit(before, before["schema"], [])
     store.append(spark.range(0).withColumn("t", F.lit("x")))
     assert store.read().count() == 1000
+    assert store.manifest(3)["shards"] and store.read(store.manifest(3)["shards"], now["schema"]).count() > 0
+    assert store.vacuum() > 0 and store.read().count() == 1000 and store.version() == now["version"] + 1
+    with pytest.raises(ValueError):
+        store.append(spark.range(3).withColumn("t", F.lit(1)))
     store.drop()
     other = sharding.ShardStore(spark, f"file://{tmp_path}/other", fanout=2)
     other.append(odd)
@@ -300,6 +304,41 @@ def test_sharding(spark, odd, tmp_path):
     assert other.read().count() == 18
 
 
+def test_sharding_writes_files_of_the_target_size(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=100_000, fanout=4)
+    letters = spark.range(0, 24_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 512).alias("t"))
+    store.append_batches(letters, F.pmod(F.xxhash64("t"), F.lit(40)))
+    small = [s["bytes"] for s in store.manifest()["shards"]]
+    store.compact()
+    sizes = [s["bytes"] for s in store.manifest()["shards"]]
+    assert len(small) == 40 and max(small) < 100_000 and max(sizes) <= 220_000 and sum(s < 100_000 for s in sizes) < 4
+    assert store.read().distinct().count() == 24_000
+
+
+def test_sharding_tries_again_after_a_conflict(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", fanout=2)
+    rows = lambda k: spark.range(k, k + 10, 1, 1)
+    store.append(rows(0))
+    commit, done = store.commit, []
+
+    def beaten(old, schema, shards):
+        if not done:
+            done.append(True)
+            sharding.ShardStore(spark, store.root).append(rows(100))
+        return commit(old, schema, shards)
+
+    monkeypatch.setattr(store, "commit", beaten)
+    store.append(rows(50))
+    assert sorted(r.id for r in store.read().collect()) == [*range(10), *range(50, 60), *range(100, 110)]
+    done.clear()
+    store.compact()
+    assert store.read().count() == 40
+    monkeypatch.setattr(sharding, "ATTEMPTS", 0)
+    with pytest.raises(sharding.Conflict):
+        store.append(rows(70))
+    assert store.read().count() == 40
+
+
 EVENTS = "conv_id long, seq long, kind string, role string, text string, target long"
 
 
