@@ -2,13 +2,21 @@
 
 Native: DataFrame functions only. Statistics become four bounded, transformed features in whole thousandths, so every sum
 is exact and reruns agree. Location and scatter of each (language, source) group are minimum-covariance-determinant
-estimates: a start from medians and quartiles, then concentration steps. A step bins the squared Mahalanobis distances,
-sums counts, features and products per bin, and refits on the nearest ``SUPPORT`` share of the group, so it is one
-aggregation with map-side sums whatever the size of a group.
+estimates: of all subsets of ``SUPPORT`` of the group, the one whose (regularised) covariance has the least determinant is
+looked for by concentration steps from four starts: quartiles, hyperbolic tangents, spatial signs, all rows. A step measures
+the group from the estimate and refits on the nearest h of its n rows, exactly h; it can only lower the determinant, and
+steps go on until none falls. The start with the least determinant wins, rows within the 0.975 quantile are fitted once more
+(reweighting), and squared Mahalanobis distances from that fit are judged.
+
+The nearest h are found without sorting a group: sums go by bins of distance, then by parts of the one bin in which the h-th
+lies, and so on (all summed map-side); only the few rows of the last part are ordered.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,14 +26,16 @@ from camloom.llm.common import SPACES, text_of, written
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUTPUT = (*STATS, "base_failed", "distance", "kept")
 P = 4
-#: Share of a group that a concentration step refits on, and 0.75 / P(chi2(6) <= chi2(4) quantile of 0.75).
-SUPPORT, CONSISTENCY = 0.75, 1.485
-STEPS = 3
-#: Groups with fewer documents are pooled by language; a pool that small rejects nothing.
+#: Share of a group's rows that an estimate is of, least rows of one, and 0.75 / P(chi2(6) <= chi2(4) quantile of 0.75).
+SUPPORT, LEAST, CONSISTENCY = 0.75, 10, 1.485
+#: The chi-square quantile with 4 degrees of freedom at 0.975 that the last fit takes rows within, and its consistency factor.
+REWEIGHT, REWEIGHT_CONSISTENCY = 11.143, 1.0645
+#: Groups with fewer documents are pooled by language, pools with fewer over all languages; the last pool is fitted at any size.
 MIN_GROUP = 100
 #: Squared distance from which a document is an outlier: the chi-square quantile with 4 degrees of freedom at 1 - 3e-7.
 CUTOFF = 36.0
-#: Least standard deviation of each feature, in thousandths: keeps the scatter of features that are mostly 0 invertible.
+#: A standard deviation of each feature, in thousandths, whose square is added to each variance: the regularisation that keeps the
+#: scatter of features that are mostly 0 invertible.
 FLOORS = (100, 180, 80, 80)
 
 #: In SQL that Spark and DuckDB share; each is whole thousandths.
@@ -112,71 +122,152 @@ def _distance() -> tuple[list[tuple[str, str]], str]:
     return steps, " + ".join(f"y{i} * y{i}" for i in range(P))
 
 
-BIN = "cast(floor(8e0 * ln(1e0 + distance) / 6931471805599453e-16) as bigint)"
+KEYS = ["g_lang", "g_source", "start"]
+SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
+FIT = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS)]
+#: The root of the determinant: the product of the factor's diagonal.
+ROOT_DET = " * ".join(f"l{i}{i}" for i in range(P))
+STARTS = ("quartiles", "tanh", "signs", "all")
 
 
 def _with(df: DataFrame, named: list[tuple[str, str]]) -> DataFrame:
-    for name, sql in named:
-        df = df.withColumn(name, F.expr(sql))
-    return df
-
-
-def _fitted(sums: DataFrame) -> DataFrame:
-    """Means and Cholesky factor from n, s0.. and p00.. of each group."""
-    df = _with(sums, [(f"m{i}", f"s{i} / cast(n as double)") for i in range(P)])
-    cov = {(i, j): f"({CONSISTENCY}e0 * (p{i}{j} / cast(n as double) - m{i} * m{j})" + (f" + {FLOORS[i] ** 2}e0)" if i == j else ")") for i, j in PAIRS}
-    df = _with(df, _cholesky(cov))
-    return df.select("g_lang", "g_source", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS))
-
-
-def _started(features: DataFrame) -> DataFrame:
-    """Medians, and a diagonal scatter from the quartiles, per group: from counts of values, which are bounded whole numbers."""
-    long = features.select("g_lang", "g_source", F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"x{i}").alias("v")) for i in range(P)))).alias("e"))
-    counts = long.groupBy("g_lang", "g_source", "e.dim", "e.v").count()
-    each = Window.partitionBy("g_lang", "g_source", "dim")
-    ranked = counts.withColumn("upto", F.sum("count").over(each.orderBy("v"))).withColumn("n", F.sum("count").over(each))
-    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("n"), F.col("v")))
-    quarters = ranked.groupBy("g_lang", "g_source", "dim").agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
-    of = lambda i, name: F.max(F.when(F.col("dim") == i, F.col(name)))
-    wide = quarters.groupBy("g_lang", "g_source").agg(
-        *(of(i, "q2").cast("double").alias(f"m{i}") for i in range(P)), *((of(i, "q3") - of(i, "q1")).cast("double").alias(f"r{i}") for i in range(P))
-    )
-    wide = _with(wide, [(f"l{i}{j}", f"sqrt(r{i} * r{i} / 1819801e-6 + {FLOORS[i] ** 2}e0)" if i == j else "0e0") for i, j in PAIRS])
-    return wide.select("g_lang", "g_source", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS))
+    """df with a column for each (name, SQL), which may use earlier ones; df has none of these names."""
+    return df.select("*", *(F.expr(sql).alias(name) for name, sql in named))
+
+
+def _regular(i: int, j: int, sql: str) -> str:
+    return f"({sql} + {FLOORS[i] ** 2}e0)" if i == j else f"({sql})"
+
+
+def _moments(consistency: float) -> list[tuple[str, str]]:
+    """(name, SQL) of the means, Cholesky factor and root_det from SUMS."""
+    cov = {(i, j): _regular(i, j, f"{consistency}e0 * (p{i}{j} / cast(n as double) - m{i} * m{j})") for i, j in PAIRS}
+    return [*((f"m{i}", f"s{i} / cast(n as double)") for i in range(P)), *_cholesky(cov), ("root_det", ROOT_DET)]
+
+
+def _summed(weight: Column | None = None) -> list[Column]:
+    """The aggregates SUMS of rows with x0.., each counted ``weight`` times."""
+    w = F.lit(1).cast("long") if weight is None else weight
+    return [F.sum(w).alias("n"), *(F.sum(w * F.col(f"x{i}")).alias(f"s{i}") for i in range(P)), *(F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS)]
+
+
+#: Width of a first bin of feature values.
+VALUES = 32
+
+
+def _quartiles(features: DataFrame) -> DataFrame:
+    """g_lang, g_source, m0.. (medians), r0.. (quartile ranges): from counts of values by bins, then of the values in three bins."""
+    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f"x{i}").alias("v")) for i in range(P))))
+    long = features.select("g_lang", "g_source", entries.alias("e")).select("g_lang", "g_source", "e.*")
+    keys = ["g_lang", "g_source", "dim"]
+    bin_, each = F.floor(F.col("v") / VALUES), Window.partitionBy(*keys)
+    bins = long.groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    ranked = bins.withColumn("upto", F.sum("k").over(each.orderBy("bin"))).withColumn("n", F.sum("k").over(each)).withColumn("q", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    wanted, before = F.col("q") * F.col("n"), 4 * (F.col("upto") - F.col("k"))
+    inside = ranked.where((4 * F.col("upto") >= wanted) & (before < wanted)).select(*keys, "q", F.col("bin").alias("at"), (wanted - before).alias("left"))
+    values = long.join(inside, keys).where(bin_ == F.col("at")).groupBy(*keys, "q", "left", "v").agg(F.count(F.lit(1)).alias("k"))
+    upto = values.withColumn("upto", F.sum("k").over(Window.partitionBy(*keys, "q").orderBy("v")))
+    found = upto.where(4 * F.col("upto") >= F.col("left")).groupBy(*keys, "q").agg(F.min("v").alias("v"))
+    of = lambda i, q: F.max(F.when((F.col("dim") == i) & (F.col("q") == q), F.col("v")))
+    return found.groupBy("g_lang", "g_source").agg(*(of(i, 2).cast("double").alias(f"m{i}") for i in range(P)), *((of(i, 3) - of(i, 1)).cast("double").alias(f"r{i}") for i in range(P)))
+
+
+#: A feature's scale from its quartile range (of a normal one, 1.349 standard deviations), its score, and what two starts take of it.
+SCALES = [(f"c{i}", f"sqrt(r{i} * r{i} / 1819801e-6 + {FLOORS[i] ** 2}e0)") for i in range(P)]
+SCORES = [*((f"z{i}", f"(x{i} - m{i}) / c{i}") for i in range(P)), ("z", " + ".join(f"z{i} * z{i}" for i in range(P)))]
+TANH = [f"cast(floor(1000e0 * tanh(z{i}) + 5e-1) as bigint)" for i in range(P)]
+SIGNS = [f"case when z > 0 then cast(floor(1000e0 * z{i} / sqrt(z) + 5e-1) as bigint) else 0 end" for i in range(P)]
+#: SQL of the starts' covariances; a sign's square is a quarter on average.
+DIAGONAL = {(i, j): f"c{i} * c{i}" if i == j else "0e0" for i, j in PAIRS}
+OF_TANH = {(i, j): _regular(i, j, f"c{i} * c{j} * t{i}{j} / (1e6 * n)") for i, j in PAIRS}
+OF_SIGNS = {(i, j): _regular(i, j, f"c{i} * c{j} * u{i}{j} / (25e4 * n)") for i, j in PAIRS}
+
+
+def _started(features: DataFrame, groups: DataFrame) -> DataFrame:
+    """The four starts of each group: KEYS, h and FIT. One pass over the features after their quartiles."""
+    middle = written(_with(_quartiles(features), SCALES), "quartiles")
+    scored = _with(features.join(near(middle), ["g_lang", "g_source"]), [*SCORES, *((f"t{i}", x) for i, x in enumerate(TANH)), *((f"u{i}", x) for i, x in enumerate(SIGNS))])
+    products = [F.sum(F.col(f"{x}{i}") * F.col(f"{x}{j}")).alias(f"{x}{i}{j}") for x in "tu" for i, j in PAIRS]
+    sums = written(scored.groupBy("g_lang", "g_source").agg(*_summed(), *products), "sums")
+    central = sums.join(middle, ["g_lang", "g_source"])
+    fits = [_with(central, _cholesky(DIAGONAL)), _with(central, _cholesky(OF_TANH)), _with(central, _cholesky(OF_SIGNS)), _with(sums, _moments(1.0))]
+    named = [fit.select("g_lang", "g_source", F.lit(name).alias("start"), *FIT) for name, fit in zip(STARTS, fits, strict=True)]
+    return reduce(DataFrame.unionByName, named).join(groups, ["g_lang", "g_source"]).select(*KEYS, "h", *FIT)
 
 
 def _measured(features: DataFrame, fit: DataFrame) -> DataFrame:
     steps, square = _distance()
-    return _with(features.join(fit, ["g_lang", "g_source"], "left"), [*steps, ("distance", square)])
+    return _with(features.join(fit, ["g_lang", "g_source"]), [*steps, ("distance", square)])
+
 
+#: Rows of a group that one task puts in order.
+ORDERED = 5_000
+#: A bin of distance is an eighth of an octave; each further cut makes PARTS of one.
+PARTS = 256
 
-def _concentrated(features: DataFrame, fit: DataFrame) -> DataFrame:
-    """One concentration step: the next fit."""
-    binned = _measured(features, fit).withColumn("bin", F.expr(BIN))
-    sums = [*(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS)]
-    bins = binned.groupBy("g_lang", "g_source", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-    each = Window.partitionBy("g_lang", "g_source")
-    ranked = bins.withColumn("upto", F.sum("n").over(each.orderBy("bin"))).withColumn("all_n", F.sum("n").over(each))
-    near = ranked.where((F.col("upto") - F.col("n")) < F.lit(SUPPORT) * F.col("all_n"))
-    names = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
-    return _fitted(near.groupBy("g_lang", "g_source").agg(*(F.sum(x).alias(x) for x in names)))
 
+def _concentrated(features: DataFrame, fit: DataFrame, cuts: int) -> DataFrame:
+    """One concentration step for each of ``fit`` (KEYS, h, FIT): KEYS, h, the next FIT and its root_det.
+
+    ``cuts``: how often the bin of the h-th row is cut before its rows are ordered (by distance, then features).
+    """
+    x = [f"x{i}" for i in range(P)]
+    cut = lambda c: (F.floor(c).alias("bin"), (c - F.floor(c)).alias("rest"))
+    place = F.expr("8e0 * ln(1e0 + distance) / 6931471805599453e-16")
+    rows = _measured(features, fit).select(*KEYS, *x, "distance", F.col("h").alias("left"), *cut(place))
+    each, taken = Window.partitionBy(*KEYS), []
+    for _ in range(cuts + 1):
+        bins = rows.groupBy(*KEYS, "left", "bin").agg(*_summed()).withColumn("upto", F.sum("n").over(each.orderBy("bin")))
+        taken.append(bins.where(F.col("upto") <= F.col("left")).select(*KEYS, *SUMS))
+        before = F.col("upto") - F.col("n")
+        over = bins.where((F.col("upto") > F.col("left")) & (before < F.col("left"))).select(*KEYS, F.col("bin").alias("at"), (F.col("left") - before).alias("q_left"))
+        rows = rows.drop("left").join(over, KEYS).where(F.col("bin") == F.col("at")).select(*KEYS, *x, "distance", F.col("q_left").alias("left"), *cut(F.col("rest") * F.lit(float(PARTS))))
+    alike = rows.groupBy(*KEYS, "left", "distance", *x).agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(each.orderBy("distance", *x)) - F.col("k")
+    last = alike.withColumn("take", F.least("k", F.col("left") - before)).where("take > 0").groupBy(*KEYS).agg(*_summed(F.col("take")))
+    sums = reduce(DataFrame.unionByName, taken, last).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).withColumn("h", F.col("n"))
+    return _with(sums, _moments(CONSISTENCY)).select(*KEYS, "h", *FIT, "root_det")
+
+
+def fitted(features: DataFrame, groups: DataFrame, cuts: int = 1) -> DataFrame:
+    """(g_lang, g_source, x0..) -> the minimum-covariance-determinant fit of each group: g_lang, g_source, FIT, root_det.
+
+    groups: (g_lang, g_source, h), h the rows that a fit is of. Starts whose determinant no longer falls leave; the rest go on.
+    """
+    found, falls = [], written(_started(features, groups).withColumn("root_det", F.lit(float("inf"))), "starts")
+    while not falls.isEmpty():
+        after = _concentrated(features, near(falls.select(*KEYS, "h", *FIT)), cuts)
+        both = written(after.join(falls.select(*KEYS, F.col("root_det").alias("q_before")), KEYS), "step")
+        lower = both.where(F.col("root_det") < F.col("q_before")).drop("q_before")
+        found.append(falls.join(lower.select(*KEYS), KEYS, "left_anti"))
+        falls = lower
+    best = F.min(F.struct("root_det", "start", *FIT)).alias("b")
+    return reduce(DataFrame.unionByName, found or [falls]).groupBy("g_lang", "g_source").agg(best).select("g_lang", "g_source", "b.*").drop("start")
 
-def pooled(features: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Small groups share their language's key '*'; a pool still small has g_source '-*', which is never fitted."""
+
+def reweighted(features: DataFrame, fit: DataFrame) -> DataFrame:
+    """The fit of all rows within the 0.975 quantile of distance from ``fit``."""
+    inside = _measured(features, near(fit.drop("root_det"))).where(F.col("distance") <= REWEIGHT)
+    return _with(inside.groupBy("g_lang", "g_source").agg(*_summed()), _moments(REWEIGHT_CONSISTENCY)).select("g_lang", "g_source", *FIT)
+
+
+def pooled(features: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
+    """features with the keys of their pool, and the pools: (g_lang, g_source, h, n).
+
+    Small groups share their language's key '*'; what is small then is one pool ('*', '*') of all languages, of any size.
+    """
     sizes = features.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("q_n"))
-    small = F.col("q_n") < min_group
-    pools = sizes.where(small).groupBy("g_lang").agg(F.sum("q_n").alias("q_pool"))
-    keys = written(
-        sizes.join(pools, "g_lang", "left").select(
-            "g_lang", "g_source", F.when(~small, F.col("g_source")).when(F.col("q_pool") >= min_group, F.lit("*")).otherwise(F.lit("-*")).alias("q_key")
-        ),
-        "groups",
-    )
-    return features.join(near(keys), ["g_lang", "g_source"]).drop("g_source").withColumnRenamed("q_key", "g_source")
+    own = F.col("q_n") >= min_group
+    pools = sizes.where(~own).groupBy("g_lang").agg(F.sum("q_n").alias("q_pool"))
+    lang = F.when(own | (F.col("q_pool") >= min_group), F.col("g_lang")).otherwise("*")
+    keys = written(sizes.join(pools, "g_lang", "left").select("g_lang", "g_source", "q_n", lang.alias("q_lang"), F.when(own, F.col("g_source")).otherwise("*").alias("q_source")), "groups")
+    rows = features.join(near(keys.drop("q_n")), ["g_lang", "g_source"]).drop("g_lang", "g_source").withColumnsRenamed({"q_lang": "g_lang", "q_source": "g_source"})
+    n = F.sum("q_n")
+    h = F.greatest(F.floor(n * F.lit(SUPPORT)), F.least(n, F.lit(LEAST))).cast("long")
+    return rows, keys.groupBy(F.col("q_lang").alias("g_lang"), F.col("q_source").alias("g_source")).agg(h.alias("h"), n.alias("n"))
 
 
-#: Groups up to which their keys and estimates (some 300 bytes each) are broadcast; beyond, rows are shuffled to them.
+#: Groups up to which their keys and estimates (some 300 bytes each, one a start) are broadcast; beyond, rows are shuffled to them.
 BROADCAST_GROUPS = 10_000
 
 
@@ -185,24 +276,25 @@ def near(groups: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """carry's columns of every row, with the statistics, base_failed, distance (squared Mahalanobis; null if the group is too small) and kept.
+    """carry's columns of every row, with the statistics, base_failed, distance (squared Mahalanobis) and kept.
 
     Each row is judged by itself, so repeated rows and ids get equal verdicts. Null texts count as empty (and fail the base
     rules), null languages and sources form groups of their own, an empty table gives an empty result. A carried column
     whose name is one of the outputs is replaced by the output. Documents that fail the base rules still count for their
-    group's estimates: the estimates withstand up to a quarter of outliers.
+    group's estimates: the estimates withstand up to a quarter of outliers. Rows of equal features are ordered alike, so ties at
+    the h-th place change no sum. A pool of ten or fewer is fitted whole and rejects nothing.
     """
     carry = [c for c in carry if c.lower() not in OUTPUT]
     held = [(c, f"q_carry_{k}") for k, c in enumerate(carry)]
     named = docs.select(*(F.col(f"`{c}`").alias(to) for c, to in held), F.col(f"`{text}`").alias("q_text"), F.col(f"`{lang}`").alias("q_lang"), F.col(f"`{source}`").alias("q_source"))
     stats = with_statistics(named, [to for _, to in held], "q_text", "q_lang", "q_source")
-    table = pooled(written(_with(stats, [(f"x{i}", sql) for i, sql in enumerate(FEATURES)]), "quality"), min_group)
-    features = written(table.where(F.col("g_source") != "-*").select("g_lang", "g_source", *(f"x{i}" for i in range(P))), "features")
-    fit = _started(features)
-    for _ in range(STEPS):
-        fit = _concentrated(features, fit)
-    judged = _measured(table, near(written(fit, "fit"))).withColumn("base_failed", F.expr(BASE_FAILED))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    table, pools = pooled(written(_with(stats, [(f"x{i}", sql) for i, sql in enumerate(FEATURES)]), "quality"), min_group)
+    features, pools = written(table.select("g_lang", "g_source", *(f"x{i}" for i in range(P))), "features"), written(pools, "pools")
+    largest = pools.agg(F.max("n")).first()[0] or 1
+    cuts = max(1, math.ceil(math.log(largest / (10 * ORDERED), PARTS)))
+    fit = written(reweighted(features, written(fitted(features, pools.select("g_lang", "g_source", "h"), cuts), "least")), "fit")
+    judged = _measured(table, near(fit)).withColumn("base_failed", F.expr(BASE_FAILED))
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return judged.select(*(F.col(to).alias(c) for c, to in held), *STATS, "base_failed", "distance", kept.alias("kept"))
 
 
@@ -212,16 +304,18 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB's SQL, for op10_quality_rules."""
-    xs, ms, ls = ", ".join(f"x{i}" for i in range(P)), ", ".join(f"m{i}" for i in range(P)), ", ".join(f"l{i}{j}" for i, j in PAIRS)
-    nested = lambda inner, named: __import__("functools").reduce(lambda q, x: f"select *, {x[1]} as {x[0]} from ({q})", named, inner)
+    """The same in DuckDB's SQL, for op10_quality_rules: each step takes the h nearest rows by their number in order."""
+    xs, fit = ", ".join(f"x{i}" for i in range(P)), ", ".join(FIT)
+    nested = lambda inner, named: reduce(lambda q, x: f"select *, {x[1]} as {x[0]} from ({q})", named, inner)
     steps, square = _distance()
-    sums = ", ".join(["sum(n) as n", *(f"sum(s{i}) as s{i}" for i in range(P)), *(f"sum(p{i}{j}) as p{i}{j}" for i, j in PAIRS)])
-    raw = ", ".join(["count(*) as n", *(f"sum(x{i}) as s{i}" for i in range(P)), *(f"sum(x{i} * x{j}) as p{i}{j}" for i, j in PAIRS)])
-    cov = {(i, j): f"({CONSISTENCY}e0 * (p{i}{j} / cast(n as double) - m{i} * m{j})" + (f" + {FLOORS[i] ** 2}e0)" if i == j else ")") for i, j in PAIRS}
-    measured = lambda table, fit: nested(f"select t.*, {ms}, {ls} from {table} t left join {fit} f on t.g_lang = f.g_lang and t.g_source = f.g_source", [*steps, ("distance", square)])
-    ctes = [f"""
-words as (select doc_id, coalesce("text", '') as t, coalesce('=' || lang, '-') as g_lang, coalesce('=' || source, '-') as g_source,
+    raw = ", ".join(["cast(count(*) as bigint) as n", *(f"sum(x{i}) as s{i}" for i in range(P)), *(f"sum(x{i} * x{j}) as p{i}{j}" for i, j in PAIRS)])
+    measured = lambda table, fits, more="": nested(f"select t.*, {fit}{more} from {table} t join {fits} f on t.g_lang = f.g_lang and t.g_source = f.g_source", [*steps, ("distance", square)])
+    products = ", ".join(f"sum({x}{i} * {x}{j}) as {x}{i}{j}" for x in "tu" for i, j in PAIRS)
+    made = zip(STARTS, ("mids", "mids", "mids", "rawsums"), (_cholesky(DIAGONAL), _cholesky(OF_TANH), _cholesky(OF_SIGNS), _moments(1.0)), strict=True)
+    starts = " union all ".join(f"select g_lang, g_source, '{name}' as start, {fit} from ({nested(f'select * from {table}', named)})" for name, table, named in made)
+    nearest = f"select *, row_number() over (partition by g_lang, g_source, start order by distance, {xs}) as r from ({measured('feat', '(select * from fits where falls)', ', start, h, root_det as q_before')})"
+    refitted = nested(f"select g_lang, g_source, start, any_value(h) as h, any_value(q_before) as q_before, {raw} from ({nearest}) where r <= h group by g_lang, g_source, start", _moments(CONSISTENCY))
+    return f"""with recursive words as (select doc_id, coalesce("text", '') as t, coalesce('=' || lang, '-') as g_lang, coalesce('=' || source, '-') as g_source,
     regexp_extract_all(coalesce("text", ''), '[^\\x20\\x09-\\x0D]+') as w,
     list_filter(string_split(coalesce("text", ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
 windows as (select *, row_number() over () as rid, [array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)] as win from words),
@@ -232,17 +326,21 @@ stats as (select doc_id, g_lang, g_source, cast(len(w) as bigint) as n_words, ca
     cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
     cast(coalesce(n, 0) as bigint) as n_repeat_words from windows left join covered using (rid)),
 sized as (select *, count(*) over (partition by g_lang, g_source) as c from stats),
-tab as (select * exclude (g_source, c), case when c >= {MIN_GROUP} then g_source when count(*) filter (where c < {MIN_GROUP}) over (partition by g_lang) >= {MIN_GROUP} then '*' else '-*' end as g_source,
-    {', '.join(f'{sql} as x{i}' for i, sql in enumerate(FEATURES))} from sized),
-feat as (select g_lang, g_source, {xs} from tab where g_source <> '-*'),
+sharing as (select *, count(*) filter (where c < {MIN_GROUP}) over (partition by g_lang) as pool from sized),
+tab as materialized (select * exclude (g_lang, g_source, c, pool), case when c >= {MIN_GROUP} or pool >= {MIN_GROUP} then g_lang else '*' end as g_lang, case when c >= {MIN_GROUP} then g_source else '*' end as g_source,
+    {', '.join(f'{sql} as x{i}' for i, sql in enumerate(FEATURES))} from sharing),
+feat as materialized (select g_lang, g_source, {xs} from tab),
+hs as (select g_lang, g_source, greatest(3 * count(*) // 4, least(count(*), {LEAST})) as h from feat group by all),
 vals as ({' union all '.join(f'select g_lang, g_source, {i} as dim, x{i} as v from feat' for i in range(P))}),
 ranked as (select *, row_number() over (partition by g_lang, g_source, dim order by v) as r, count(*) over (partition by g_lang, g_source, dim) as c from vals),
 quarters as (select g_lang, g_source, dim, min(v) filter (where 4 * r >= c) as q1, min(v) filter (where 4 * r >= 2 * c) as q2, min(v) filter (where 4 * r >= 3 * c) as q3 from ranked group by all),
 wide as (select g_lang, g_source, {', '.join(f'cast(max(q2) filter (where dim = {i}) as double) as m{i}, cast(max(q3 - q1) filter (where dim = {i}) as double) as r{i}' for i in range(P))} from quarters group by all),
-fit0 as (select *, {', '.join(f'sqrt(r{i} * r{i} / 1819801e-6 + {FLOORS[i] ** 2}e0) as l{i}{j}' if i == j else f'0e0 as l{i}{j}' for i, j in PAIRS)} from wide)"""]
-    for k in range(STEPS):
-        ctes.append(f"""
-bins{k} as (select g_lang, g_source, {BIN} as bin, {raw} from ({measured('feat', f'fit{k}')}) group by g_lang, g_source, {BIN}),
-near{k} as (select * from (select *, sum(n) over (partition by g_lang, g_source order by bin) as upto, sum(n) over (partition by g_lang, g_source) as all_n from bins{k}) where upto - n < {SUPPORT} * all_n),
-fit{k + 1} as ({nested(f'select g_lang, g_source, {sums} from near{k} group by g_lang, g_source', [*((f'm{i}', f's{i} / cast(n as double)') for i in range(P)), *_cholesky(cov)])})""")
-    return f"with {','.join(ctes)} select doc_id, {', '.join(STATS)}, {BASE_FAILED} as base_failed, not {BASE_FAILED} and coalesce(distance <= {CUTOFF}, true) as kept from ({measured('tab', f'fit{STEPS}')})"
+middle as ({nested('select * from wide', SCALES)}),
+scored as (select *, {', '.join(f'{x} as t{i}' for i, x in enumerate(TANH))}, {', '.join(f'{x} as u{i}' for i, x in enumerate(SIGNS))} from ({nested('select * from feat join middle using (g_lang, g_source)', SCORES)})),
+mids as (select m.*, n, {', '.join(f'{x}{i}{j}' for x in 'tu' for i, j in PAIRS)} from middle m join (select g_lang, g_source, count(*) as n, {products} from scored group by all) using (g_lang, g_source)),
+rawsums as (select g_lang, g_source, {raw} from feat group by all),
+fits as (select g_lang, g_source, start, h, {fit}, cast('inf' as double) as root_det, true as falls from ({starts}) join hs using (g_lang, g_source)
+  union all select g_lang, g_source, start, h, {fit}, root_det, root_det < q_before as falls from ({refitted})),
+least_ as (select * from fits qualify row_number() over (partition by g_lang, g_source order by root_det, start) = 1),
+fit as ({nested(f"select g_lang, g_source, {raw} from ({measured('feat', 'least_')}) where distance <= {REWEIGHT} group by g_lang, g_source", _moments(REWEIGHT_CONSISTENCY))})
+select doc_id, {', '.join(STATS)}, {BASE_FAILED} as base_failed, not {BASE_FAILED} and distance <= {CUTOFF} as kept from ({measured('tab', 'fit')})"""
