@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives the loss of executors.
 
     ``path_of`` gives its place and ``dropped`` deletes it, once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/camloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.camloom_path = path
     return out

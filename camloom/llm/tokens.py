@@ -1,36 +1,39 @@
-"""Token counts by prefix dynamic programming over segments.
+"""Token counts by prefix dynamic programming.
+
+A sequence of pieces is what the library gives for its text just if each two neighbours are what it gives for theirs, and no
+text has two such sequences. So the encoding of a prefix ends in the one piece that fits after the encoding of what is before
+it: count(prefix) = count(prefix without that piece) + 1. Which pieces fit after which is asked of the library once for each
+pair; a character in no piece ends what was before it and counts its bytes.
 
 No piece of the vocabulary has a space after another character, and a line feed is in none, so no merge crosses the place
-before a space run or beside a line feed. A text, with the space that the library puts before it, falls there into segments:
-a run of spaces with the characters up to the next space or line feed, or a line feed. With P the count at the end of a
-segment, P(k) = P(k - 1) + tokens of segment k; inside a segment, the part of it takes the place of segment k. Segments
-repeat, so the library encodes each distinct one once a worker.
+before a space run or beside a line feed. A text, with the space that the library puts before it, falls there into segments,
+which repeat: the counts of a segment's prefixes are worked out once a worker. The table of a text has the exact count at every
+prefix (characters), so counts, budgets and truncation points are read from it and nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from camloom.llm.common import text_of
+from camloom.llm.common import text_of, written
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Distinct segments that a worker remembers at most; beyond, it starts anew.
-REMEMBERED = 1 << 20
-#: Bytes of text whose segments are listed at once.
-BLOCK = 1 << 22
-SEGMENT = re.compile(rb"\n| *[^ \n]+| +")
+#: Distinct segments that a worker remembers at most, and pairs of pieces; beyond, it starts anew.
+REMEMBERED = 1 << 18
+#: Characters of text whose segments are listed, and counts sent, at once; a single text's table may be larger.
+BLOCK = 1 << 20
+SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 #: The library writes a space as this character, so one in a text is a space to it.
-MARK = "▁".encode()
-START = {b"\n": 1, b" ": 1}
+MARK = "▁"
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,80 +43,79 @@ def tokenizer_path(name: str) -> str:
 
 
 class PrefixCounts:
-    """Counts at the ends of a text's segments, and from them at any prefix."""
+    """Token counts at every prefix of a text."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
-        if any("\n" in p or re.search("[^▁]▁", p) for p in pieces):
+        ids = range(self.model.get_piece_size())
+        plain = [self.model.id_to_piece(i) for i in ids if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
+        if any("\n" in p or re.search("[^▁]▁", p) for p in plain):
             raise ValueError("this vocabulary has pieces across spaces or line feeds; segments would not be independent")
-        self.known: dict[bytes, int] = dict(START)
-        self.feed = self.model.piece_to_id("<0x0A>")
-
-    def learn(self, segments: set[bytes]) -> None:
-        new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = dict(START)
-            new = [s for s in segments if s not in self.known]
-        if not new:
-            return
-        # One call for all: a line feed before each, so that none gets the space that the library puts at the start.
-        ids = np.array(self.model.encode("\n" + b"\n".join(new).decode()))
-        feeds = np.flatnonzero(ids == self.feed)
-        for s, n in zip(new, (np.diff(feeds, append=len(ids)) - 1).tolist(), strict=True):
-            self.known[s] = n
-
-    def of(self, segments: list[bytes]) -> list[int]:
-        self.learn({*segments})
-        return list(map(self.known.__getitem__, segments))
-
-    def prefixes(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Byte ends of the segments and the counts there, both rising; nothing for the empty text."""
-        if not text:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ends, counts, at = [], [], 0
-        for sizes, segments in blocks(text):
-            ends.append(at + np.cumsum(np.fromiter(sizes, np.int64, len(segments))))
-            counts.append(np.array(self.of(segments), np.int64))
-            at = int(ends[-1][-1])
-        return np.concatenate(ends) - 1, np.cumsum(np.concatenate(counts))
-
-    def at(self, text: bytes, ends: np.ndarray, counts: np.ndarray, end: int) -> int:
-        """Tokens of text[:end], for any end of a character."""
-        if end <= 0:
-            return 0
-        k = bisect_right(ends, end)
-        before, start = (int(counts[k - 1]), int(ends[k - 1])) if k else (0, 0)
-        part = text[start:end] if k else b" " * (end > 0) + text[:end]
-        return before + (self.of([part.replace(MARK, b" ")])[0] if part else 0)
-
-    def longest(self, text: bytes, ends: np.ndarray, counts: np.ndarray, budget: int) -> int:
-        """The greatest end of a character with at most budget tokens before it. Only one segment has to be looked into."""
-        k = bisect_right(counts, budget)
-        start, end = int(ends[k - 1]) if k else 0, int(ends[k]) if k < len(ends) else len(text)
-        for x in range(end, start, -1):
-            if (x == len(text) or text[x] & 0xC0 != 0x80) and self.at(text, ends, counts, x) <= budget:
-                return x
-        return start
-
-
-def blocks(text: bytes) -> Iterator[tuple[Iterable[int], list[bytes]]]:
-    """The segments of b' ' + text and their sizes, in lists from about BLOCK bytes each; a block ends before a space run or line feed."""
-    at, first = 0, b" "
+        self.pieces, self.longest = set(plain), max(map(len, plain))
+        self.known: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def fits(self, before: str, piece: str) -> bool:
+        """Whether the library gives these two pieces, or with nothing before this one, for their text."""
+        found = self.pairs.get((before, piece))
+        if found is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            # A line feed first, so that there is no space put before the text.
+            given = self.model.encode("\n" + (before + piece).replace(MARK, " "), out_type=str)
+            found = self.pairs[before, piece] = given[given.index("<0x0A>") + 1 :] == [p for p in (before, piece) if p]
+        return found
+
+    def of(self, segment: str) -> bytes:
+        """How much each character of a segment adds to the count, as 32-bit numbers."""
+        found = self.known.get(segment)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[segment] = self.added(segment)
+        return found
+
+    def added(self, segment: str) -> bytes:
+        s, pieces, fits = segment.replace(" ", MARK), self.pieces, self.fits
+        counts, last = [0], [""]
+        for end in range(1, len(s) + 1):
+            if s[end - 1] not in pieces:
+                counts.append(counts[-1] + len(s[end - 1].encode()))
+                last.append("")
+                continue
+            for start in range(max(0, end - self.longest), end):
+                piece = s[start:end]
+                if piece in pieces and fits(last[start], piece):
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
+                    break
+            else:
+                raise ValueError(f"no piece ends the prefix {s[:end]!r}")
+        return np.diff(np.array(counts, np.int32)).tobytes()
+
+    def table(self, text: str) -> np.ndarray:
+        """The counts at each prefix of a text: of its first character, its first two, ..."""
+        out, at = [], 0
+        for part in blocks(text):
+            added = np.frombuffer(b"".join(map(self.of, SEGMENT.findall(part))), np.int32)
+            out.append(np.cumsum(added, dtype=np.int32) + np.int32(at))
+            at = int(out[-1][-1])
+        return np.concatenate(out)[1:] if out else np.zeros(0, np.int32)
+
+
+def blocks(text: str) -> Iterator[str]:
+    """The text with the space before it, in parts from BLOCK characters each, cut before a space run or line feed."""
+    if not text:
+        return
+    text, at = " " + text.replace(MARK, " "), 0
     while at < len(text):
         end = at + BLOCK
-        while end < len(text) and not (text[end] in b" \n" and text[end - 1] != 32 and text[end - 3 : end] != MARK):
+        while end < len(text) and not (text[end] in " \n" and text[end - 1] != " "):
             end += 1
-        part = first + text[at:end]
-        if MARK in part:
-            segments = re.findall("\n|[ ▁]*[^ ▁\n]+|[ ▁]+", part.decode())
-            yield [len(s.encode()) for s in segments], [s.replace("▁", " ").encode() for s in segments]
-        else:
-            segments = SEGMENT.findall(part)
-            yield map(len, segments), segments
-        at, first = end, b""
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(maxsize=2)
@@ -121,39 +123,65 @@ def _counter(path: str) -> PrefixCounts:
     return PrefixCounts(path)
 
 
-def token_counts(docs: DataFrame, carry: list[str], text: str = "text", path: str | None = None, limit: int = LIMIT, keep_prefixes: bool = False) -> DataFrame:
-    """carry's columns with n_bytes, n_tokens and over_limit of every row's whole text, and if wanted the prefix tables.
+def prefix_tables(docs: DataFrame, carry: list[str], text: str = "text", path: str | None = None) -> DataFrame:
+    """carry's columns with n_bytes and prefix_tokens: the token counts of each row's text cut after each of its characters.
 
-    ``prefix_ends`` (bytes) and ``prefix_tokens`` are aligned arrays; ``PrefixCounts.at`` and ``longest`` answer from them.
-    Null texts count as empty: 0 bytes, 0 tokens, empty arrays. Special strings inside texts are ordinary text, as the
-    library has it. Rows are independent, so repeated ones get equal answers and an empty table an empty one. A carried
-    column named like an output is replaced by it. path: a sentencepiece BPE model, which each worker opens.
+    Null texts count as empty: 0 bytes, an empty table. Special strings inside texts are ordinary text, as the library has it.
+    Rows are independent, so repeated ones get equal tables and an empty table of rows an empty one. A carried column named
+    like an output is replaced by it. path: a sentencepiece BPE model, which each worker opens.
     """
     path = path or tokenizer_path(MODEL)
-    named = ["n_bytes", "n_tokens", "over_limit", *(["prefix_ends", "prefix_tokens"] * keep_prefixes)]
-    carry = [c for c in carry if c.lower() not in named]
-    wanted = docs.select(*(docs[f"`{c}`"] for c in carry), text_of(f"`{text}`").cast("binary").alias("q_text"))
+    carry = [c for c in carry if c.lower() not in ("n_bytes", "prefix_tokens")]
+    t = text_of(f"`{text}`")
+    wanted = docs.select(*(docs[f"`{c}`"] for c in carry), F.octet_length(t).cast("long").alias("n_bytes"), t.alias("q_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for b in batches:
-            sizes, totals, tables = [], [], ([], [])
-            for x in b.column(b.num_columns - 1):
-                data = x.as_buffer().to_pybytes()
-                ends, counts = counter.prefixes(data)
-                sizes.append(len(data))
-                totals.append(int(counts[-1]) if len(counts) else 0)
-                if keep_prefixes:
-                    tables[0].append(ends)
-                    tables[1].append(counts)
-            more = [pa.array(t, pa.list_(pa.int64())) for t in tables] if keep_prefixes else []
-            columns = [*b.columns[:-1], pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), *more]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carry, *named])
-
-    schema = wanted.drop("q_text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    if keep_prefixes:
-        schema = schema.add("prefix_ends", ArrayType(LongType())).add("prefix_tokens", ArrayType(LongType()))
-    return wanted.mapInArrow(run, schema)
+            first, tables, size = 0, [], 0
+            for k, x in enumerate(b.column(b.num_columns - 1)):
+                tables.append(counter.table(x.as_py()))
+                size += len(tables[-1])
+                if size >= BLOCK or k + 1 == b.num_rows:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in tables])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tables)))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(first, k + 1 - first) for c in b.columns[:-1]), lists], names=[*carry, "n_bytes", "prefix_tokens"])
+                    first, tables, size = k + 1, [], 0
+
+    return wanted.mapInArrow(run, wanted.drop("q_text").schema.add("prefix_tokens", ArrayType(IntegerType())))
+
+
+def tokens_in(table: Column) -> Column:
+    """Tokens of the whole text, from its table."""
+    return F.when(F.size(table) == 0, 0).otherwise(F.element_at(table, -1)).cast("long")
+
+
+def tokens_before(table: Column, chars: Column) -> Column:
+    """Tokens of the text cut after so many characters, from its table; beyond its end, of all."""
+    return F.when((chars <= 0) | (F.size(table) == 0), 0).otherwise(F.element_at(table, F.least(chars, F.size(table)).cast("int"))).cast("long")
+
+
+def chars_within(table: Column, budget: int | Column) -> Column:
+    """The most characters that the text can be cut after with no more than budget tokens, from its table."""
+    fitting = F.array_max(F.transform(table, lambda n, k: F.when(n <= budget, k + 1)))
+    return F.when(tokens_in(table) <= budget, F.size(table)).otherwise(F.coalesce(fitting, F.lit(0))).cast("long")
+
+
+#: Counts rise slowly: written as packed differences, a table takes a fraction of its text.
+PACKED = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
+
+
+def token_counts(docs: DataFrame, carry: list[str], text: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """carry's columns with n_bytes, n_tokens, over_limit and kept_chars of every row's whole text.
+
+    The tables of all texts are written first; everything is answered from them. kept_chars: the most characters within the
+    limit. Nulls, empties, repeats and clashing names as in ``prefix_tables``.
+    """
+    named = ("n_bytes", "n_tokens", "over_limit", "kept_chars")
+    carry = [c for c in carry if c.lower() not in (*named, "prefix_tokens")]
+    table = written(prefix_tables(docs, carry, text, path), "prefixes", PACKED)
+    n = tokens_in(F.col("prefix_tokens"))
+    return table.select(*(F.col(f"`{c}`") for c in carry), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), chars_within(F.col("prefix_tokens"), limit).alias("kept_chars"))
 
 
 def op6_token_counts(spark, sf_dir):

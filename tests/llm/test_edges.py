@@ -210,20 +210,34 @@ def test_words_agree_with_the_tokenizer():
 
 
 def test_token_counts(spark, odd, monkeypatch):
-    rows = tokens.token_counts(odd, ["doc_id", "n_words"], keep_prefixes=True).collect()
+    out = tokens.token_counts(odd, ["doc_id", "n_words"])
+    rows = out.collect()
+    assert out.columns == ["doc_id", "n_words", "n_bytes", "n_tokens", "over_limit", "kept_chars"]
     assert len(rows) == 9 and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0} and tokens.token_counts(empty(odd), ["doc_id"]).count() == 0
     counter = tokens.PrefixCounts(tokens.tokenizer_path(tokens.MODEL))
     rnd = random.Random(5)
-    parts = ["a", "bc", " ", "  ", "\n", "\t", "é", "<s>", "</s>", "▁", "\x00", "日", "😀", "12", "the", " th"]
+    parts = ["a", "bc", " ", "  ", "\n", "\t", "é", "<s>", "</s>", "▁", "\x00", "日", "😀", "12", "the", " th", "tion", "ing", "e", "er", "<0x0A>", "\u0301"]
     monkeypatch.setattr(tokens, "BLOCK", 16)
-    for _ in range(300):
-        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))
-        data = t.encode()
-        ends, counts = counter.prefixes(data)
-        exact = {len(t[:k].encode()): len(counter.model.encode(t[:k])) for k in range(len(t) + 1)}
-        assert all(counter.at(data, ends, counts, end) == n for end, n in exact.items()), repr(t)
-        budget = rnd.randint(0, 12)
-        assert counter.longest(data, ends, counts, budget) == max(end for end, n in exact.items() if n <= budget), repr((t, budget))
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(600)] + ["".join(rnd.choice("etaoinsrh") for _ in range(300)), "a" * 500, " " * 90, "ab" * 99, "é" * 40]
+    for t in texts:
+        exact = [len(counter.model.encode(t[: k + 1])) for k in range(len(t))]
+        assert counter.table(t).tolist() == exact, repr(t)
+    made = tokens.prefix_tables(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), ["doc_id"])
+    table, budget = F.col("prefix_tokens"), F.col("doc_id") % 13
+    answers = made.select("doc_id", table, tokens.tokens_in(table).alias("n"), tokens.tokens_before(table, budget).alias("before"), tokens.chars_within(table, budget).alias("chars"))
+    for r in answers.collect():
+        counts, b = [0, *r.prefix_tokens], r.doc_id % 13
+        assert (r.n, r.before) == (counts[-1], counts[min(b, len(counts) - 1)])
+        assert r.chars == max(k for k, n in enumerate(counts) if n <= b) if r.n > b else r.chars == len(texts[r.doc_id])
+
+
+def test_kept_chars_are_within_the_limit(spark):
+    texts = ["word " * 5000, "x" * 30_000, "the cat sat on the mat. " * 2000, "short"]
+    model = tokens.PrefixCounts(tokens.tokenizer_path(tokens.MODEL)).model
+    for r in tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect():
+        t = texts[r.doc_id]
+        assert r.n_tokens == len(model.encode(t)) and r.over_limit == (r.n_tokens > 4096)
+        assert len(model.encode(t[: r.kept_chars])) <= 4096 and (r.kept_chars == len(t) or len(model.encode(t[: r.kept_chars + 1])) > 4096)
 
 
 def test_simhash(spark, odd):
