@@ -14,8 +14,10 @@ prefix (characters), so counts, budgets and truncation points are read from it a
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from camloom.llm.common import text_of, written
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Distinct segments that a worker remembers at most, and pairs of pieces; beyond, it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Characters of text whose segments are listed, and counts sent, at once; a single text's table may be larger.
 BLOCK = 1 << 20
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
@@ -59,50 +61,56 @@ class PrefixCounts:
 
     def fits(self, before: str, piece: str) -> bool:
         """Whether the library gives these two pieces, or with nothing before this one, for their text."""
-        found = self.pairs.get((before, piece))
-        if found is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            # A line feed first, so that there is no space put before the text.
-            given = self.model.encode("\n" + (before + piece).replace(MARK, " "), out_type=str)
-            found = self.pairs[before, piece] = given[given.index("<0x0A>") + 1 :] == [p for p in (before, piece) if p]
-        return found
-
-    def of(self, segment: str) -> bytes:
-        """How much each character of a segment adds to the count, as 32-bit numbers."""
-        found = self.known.get(segment)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[segment] = self.added(segment)
-        return found
-
-    def added(self, segment: str) -> bytes:
-        s, pieces, fits = segment.replace(" ", MARK), self.pieces, self.fits
-        counts, last = [0], [""]
-        for end in range(1, len(s) + 1):
-            if s[end - 1] not in pieces:
-                counts.append(counts[-1] + len(s[end - 1].encode()))
-                last.append("")
-                continue
-            for start in range(max(0, end - self.longest), end):
-                piece = s[start:end]
-                if piece in pieces and fits(last[start], piece):
-                    counts.append(counts[start] + 1)
-                    last.append(piece)
-                    break
-            else:
-                raise ValueError(f"no piece ends the prefix {s[:end]!r}")
-        return np.diff(np.array(counts, np.int32)).tobytes()
-
-    def table(self, text: str) -> np.ndarray:
-        """The counts at each prefix of a text: of its first character, its first two, ..."""
-        out, at = [], 0
-        for part in blocks(text):
-            added = np.frombuffer(b"".join(map(self.of, SEGMENT.findall(part))), np.int32)
-            out.append(np.cumsum(added, dtype=np.int32) + np.int32(at))
-            at = int(out[-1][-1])
-        return np.concatenate(out)[1:] if out else np.zeros(0, np.int32)
+        # A line feed first, so that there is no space put before the text.
+        given = self.model.encode("\n" + (before + piece).replace(MARK, " "), out_type=str)
+        return given[given.index("<0x0A>") + 1 :] == [p for p in (before, piece) if p]
+
+    def learn(self, segments: set[str]) -> None:
+        """Works out what each character of these segments adds to the count, as 32-bit numbers in ``known``.
+
+        In order, so that a segment goes on from what it shares with the one before it.
+        """
+        if len(self.known) + len(segments) > REMEMBERED:
+            self.known.clear()
+        pieces, pairs, most = self.pieces, self.pairs, self.longest
+        counts, last, added, previous = [0], [""], [], ""
+        for segment in sorted(x for x in segments if x not in self.known):
+            s = segment.replace(" ", MARK)
+            if len(pairs) > REMEMBERED:
+                pairs.clear()
+            same = len(commonprefix((previous, s)))
+            del counts[same + 1 :], last[same + 1 :], added[same:]
+            for end in range(same + 1, len(s) + 1):
+                if s[end - 1] not in pieces:
+                    now, piece = counts[-1] + len(s[end - 1].encode()), ""
+                else:
+                    for start in range(end - most if end > most else 0, end):
+                        piece = s[start:end]
+                        if piece in pieces:
+                            pair = last[start], piece
+                            fits = pairs.get(pair)
+                            if fits is None:
+                                fits = pairs[pair] = self.fits(*pair)
+                            if fits:
+                                now = counts[start] + 1
+                                break
+                    else:
+                        raise ValueError(f"no piece ends the prefix {s[:end]!r}")
+                added.append(now - counts[-1])
+                counts.append(now)
+                last.append(piece)
+            self.known[segment] = array("i", added).tobytes()
+            previous = s
+
+    def tables(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the counts at its prefixes: of its first character, its first two, ..."""
+        parts = [[SEGMENT.findall(part) for part in blocks(text)] for text in texts]
+        self.learn({segment for text in parts for part in text for segment in part})
+        out = []
+        for text in parts:
+            added = np.frombuffer(b"".join([b"".join(map(self.known.__getitem__, part)) for part in text]), np.int32)
+            out.append(np.cumsum(added, dtype=np.int32)[1:])
+        return out
 
 
 def blocks(text: str) -> Iterator[str]:
@@ -138,15 +146,16 @@ def prefix_tables(docs: DataFrame, carry: list[str], text: str = "text", path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for b in batches:
-            first, tables, size = 0, [], 0
+            first, texts, size = 0, [], 0
             for k, x in enumerate(b.column(b.num_columns - 1)):
-                tables.append(counter.table(x.as_py()))
-                size += len(tables[-1])
+                texts.append(x.as_py())
+                size += len(texts[-1])
                 if size >= BLOCK or k + 1 == b.num_rows:
+                    tables = counter.tables(texts)
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in tables])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tables)))
                     yield pa.RecordBatch.from_arrays([*(c.slice(first, k + 1 - first) for c in b.columns[:-1]), lists], names=[*carry, "n_bytes", "prefix_tokens"])
-                    first, tables, size = k + 1, [], 0
+                    first, texts, size = k + 1, [], 0
 
     return wanted.mapInArrow(run, wanted.drop("q_text").schema.add("prefix_tokens", ArrayType(IntegerType())))
 

@@ -221,7 +221,7 @@ def test_token_counts(spark, odd, monkeypatch):
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(600)] + ["".join(rnd.choice("etaoinsrh") for _ in range(300)), "a" * 500, " " * 90, "ab" * 99, "é" * 40]
     for t in texts:
         exact = [len(counter.model.encode(t[: k + 1])) for k in range(len(t))]
-        assert counter.table(t).tolist() == exact, repr(t)
+        assert counter.tables([t])[0].tolist() == exact, repr(t)
     made = tokens.prefix_tables(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), ["doc_id"])
     table, budget = F.col("prefix_tokens"), F.col("doc_id") % 13
     answers = made.select("doc_id", table, tokens.tokens_in(table).alias("n"), tokens.tokens_before(table, budget).alias("before"), tokens.chars_within(table, budget).alias("chars"))
