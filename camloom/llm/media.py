@@ -290,6 +290,8 @@ def thumbnails(streams: list[bytes]) -> list[list[np.ndarray]]:
         words = (clean[:-3] << 24) | (clean[1:-2] << 16) | (clean[2:-1] << 8) | clean[3:]
         grid = [_grid(scans[i][1]) for i in members]
         all_mcus = np.array([a * d for a, d in grid])
+        if (all_mcus * len(blocks) > 4 * size + 4).any():
+            raise ValueError("fewer bits than blocks")  # each takes two at least
         nth = np.arange(len(begin)) - np.searchsorted(owner, owner, "left")
         mcus = np.minimum(all_mcus[owner] - nth * restart, restart) if restart else all_mcus[owner]
         if (mcus <= 0).any() or np.bincount(owner, mcus, len(members)).astype(np.int64).tolist() != all_mcus.tolist():
@@ -384,28 +386,40 @@ def stored(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     return wanted.mapInArrow(run, wanted.drop("q_text").schema.add("n_bytes", "long").add("media", "binary"))
 
 
-MEASURED = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature")
+MEASURED = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature", "problem")
+
+
+def decoded(streams: list[bytes]) -> list[tuple[list[np.ndarray], str | None]]:
+    """For each stream its thumbnails, or none and what is wrong with it. Streams are decoded side by side; one by one if any is bad."""
+    try:
+        return [(images, None) for images in thumbnails(streams)]
+    except (ValueError, LookupError, struct.error, ArithmeticError) as e:
+        if len(streams) == 1:
+            return [([], str(e) or type(e).__name__)]
+        half = len(streams) // 2
+        return decoded(streams[:half]) + decoded(streams[half:])
 
 
 def media_columns(media: DataFrame, carry: list[str], column: str = "media") -> DataFrame:
     """carry's columns and what decoding each stream gives: payload digests, dimensions and the thumbnail hashes as feature.
 
     A stream may hold several images: payloads join in order, dimensions and hashes are of all of them, one below the other,
-    and feature counts the images. A null or empty stream gives nulls, one that is not baseline fails the job with what is wrong.
+    and feature counts the images. A null or empty stream gives nulls; so does one that is broken or not baseline, with what is
+    wrong in ``problem``. Rows are independent; an empty table gives an empty result.
     """
     carry = [c for c in carry if c.lower() not in MEASURED]
     wanted = media.select(*(media[f"`{c}`"] for c in carry), media[f"`{column}`"].alias("q_media"))
 
-    def measured(stream: bytes, images: list[np.ndarray]) -> tuple:
+    def measured(stream: bytes, images: list[np.ndarray], problem: str | None) -> tuple:
         if not images:
-            return (None,) * len(MEASURED)
+            return *(None,) * (len(MEASURED) - 1), problem
         payload = b"".join(x.tobytes() for x in images)
         height, width = sum(x.shape[0] for x in images), max(x.shape[1] for x in images)
         average, difference = hashes(*images)
         feature = f"{8 * width}x{8 * height}*{len(images)}:{average:016x}:{difference:016x}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), 8 * width, 8 * height, feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), 8 * width, 8 * height, feature, None
 
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -413,13 +427,13 @@ def media_columns(media: DataFrame, carry: list[str], column: str = "media") ->
             size = [n or 0 for n in pa.compute.binary_length(column).to_pylist()]
             for part in _in_blocks([], size):
                 streams = [(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in column[part.start : part.stop]]
-                rows = [measured(s, images) for s, images in zip(streams, thumbnails(streams), strict=True)]
+                rows = [measured(s, *found) for s, found in zip(streams, decoded(streams), strict=True)]
                 held = [c.slice(part.start, part.stop - part.start) for c in b.columns[:-1]]
                 made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*held, *made], names=[*carry, *MEASURED])
 
     schema = wanted.drop("q_media").schema
-    for name, kind in zip(MEASURED, ("long", "string", "long", "long", "string", "long", "long", "string"), strict=True):
+    for name, kind in zip(MEASURED, ("long", "string", "long", "long", "string", "long", "long", "string", "string"), strict=True):
         schema = schema.add(name, kind)
     import pyarrow.compute  # noqa: F401
 

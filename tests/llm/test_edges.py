@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; and properties on random input."""
 
+import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -538,6 +540,19 @@ def test_media_hashes_cover_all_images(spark):
     assert len({r.feature for r in rows}) == 2 and all(r.height // 8 * r.width // 8 == r.payload_bytes for r in rows)
 
 
+def test_bad_media_are_nulls_and_the_rest_is_read(spark):
+    good = media.encode([bytes(range(64)) * k for k in range(1, 9)])
+    progressive = good[0].replace(b"\xff\xc0", b"\xff\xc2")
+    huge = good[0].replace(struct.pack(">HH", 8, 512), struct.pack(">HH", 65528, 65528))
+    rnd = random.Random(2)
+    noisy = [bytes(b if rnd.random() > 0.02 else rnd.randrange(256) for b in good[k % 8]) for k in range(150)]
+    bad = [b"GIF89a", good[1][:40], progressive, huge, b"\xff\xd8\xff\xda\0\2", *noisy]
+    rows = media.media_columns(spark.createDataFrame([(k, bytearray(m)) for k, m in enumerate(good + bad)], "k long, media binary").repartition(2), ["k"]).collect()
+    by = {r.k: r for r in rows}
+    assert len(rows) == 8 + len(bad) and all(by[k].payload_sha256 == hashlib.sha256(bytes(range(64)) * (k + 1)).hexdigest() and by[k].problem is None for k in range(8))
+    assert all(by[k].feature is None and by[k].problem for k in range(8, 13)) and all((r.feature is None) == (r.problem is not None) for r in rows)
+
+
 def test_sharding_keeps_negative_ids(spark, tmp_path):
     import duckdb
 
