@@ -187,6 +187,45 @@ def test_html(spark):
     assert html.extracted(empty(df), ["page_id"]).count() == 0
 
 
+def test_html_without_marks_is_told_by_the_distribution(spark):
+    """All pages with their marks taken off: article, nav and footer become div, and class names go."""
+    import collections
+    import re
+
+    right = extra = missing = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        bare = re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", r.html).replace(' class="ad"', "")
+        article = html.main_text(r.html.partition("<article>")[2].partition("</article>")[0])
+        gold, got = (collections.Counter(t.split("\n\n")) for t in (article, html.main_text(bare)))
+        right, extra, missing = right + (gold & got).total(), extra + (got - gold).total(), missing + (gold - got).total()
+    assert right >= 0.98 * (right + extra + missing), (right, extra, missing)
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    ("<div><p>Short one.</p><p>Short two.</p></div><div>Copyright 2020</div>", "Short one.\n\nShort two."),
+    ("<article><p class='notice-board'>a b</p><div class='search-results'><p>c d</p></div><div class='entry-header'><h1>T</h1></div></article>", "a b\n\nc d\n\nT"),
+    ("<article><p>x <span class=ad>buy<span>x</span> now</span> y</p><p>z <b class=ad>w</p><p>v</article>", "x y\n\nz\n\nv"),
+    ("<div class=widget><p>" + "long text " * 30 + "</p><div class=comment-list><p>nice</p></div></div>", ("long text " * 30).strip()),
+    ("<div>" + "a paragraph in a div of some length " * 4 + "</div><div>by us</div>", ("a paragraph in a div of some length " * 4).strip()),
+    ("<article>tease</article><div><p>" + "the real text is elsewhere on this page " * 9 + "</p></div>", ("the real text is elsewhere on this page " * 9).strip()),
+    ("just text", "just text"), ("<ul><li><a>a</a><li><a>b</a></ul>", ""), ("<table><tr><td>a<td>b<tr><td>c</table>", ""),
+])
+def test_html_cases(page, expected):
+    assert html.main_text(page) == expected
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        html.main_text(page)
+        return time.process_time() - start
+
+    for make in (lambda n: "<div>" * n + "</p>" * n, lambda n: "<span class=ad>x" * n, lambda n: "<li><ul>" + "<div>" * n + "<li>" * n, lambda n: "<div class=ad>" * n + "x", lambda n: "<tr><td>x" * n):
+        assert seconds(make(40_000)) < 12 * seconds(make(5_000)) + 0.5
+
+
 def test_packing(spark, odd):
     rows = packing.packed_sequences(odd).collect()
     assert sum(r.start == 0 for r in rows) == 9 and packing.packed_sequences(empty(odd)).count() == 0
