@@ -157,8 +157,16 @@ def bucket_sizes(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of shingles: a bit is set if it is in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
+
+
 def prefixes(wanted: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(id, q_text) -> id, node, n (shingles of its set), first (those of its prefix).
+    """(id, q_text) -> id, node, fp (SimHash of its set of shingles), n (their number), first (those of its prefix).
 
     Shingles are in one order for all texts, those of small buckets first. Of two sets similar by ``similarity``, each
     lacks at most n - ceil(similarity * n) of its shingles in the other, so their prefixes, one longer, share one. The
@@ -168,17 +176,28 @@ def prefixes(wanted: DataFrame, k: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, counts, firsts = [], [], []
+            nodes, fps, counts, firsts = [], [], [], []
             for x in b.column(1):
                 s = shingles(x.as_buffer().to_pybytes(), k)
                 n = len(s)
                 order = np.lexsort((s, sizes.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))
                 firsts.append(s[order[: n - math.ceil(similarity * SLACK * n) + 1]].view(np.int64))
                 nodes.append(node_of(s))
+                fps.append(majority(s))
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "node", "n", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (nodes, fps, counts)), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "node", "fp", "n", "first"])
+
+    return wanted.mapInArrow(run, "id long, node long, fp long, n long, first array<long>")
+
 
-    return wanted.mapInArrow(run, "id long, node long, n long, first array<long>")
+def covered(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """(node, fp) -> distinct (u, v): candidates by covering masks. Of nodes with one fingerprint, each with the least; of fingerprints
+    within the radius, the least nodes of those that ``links`` joins."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = nodes.join(least, "fp").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"q_{x}")) for x in "uv"]
+    near = links(least.select("fp"), radius).join(ends[0], "u").join(ends[1], "v").select(F.least("q_u", "q_v").alias("u"), F.greatest("q_u", "q_v").alias("v"))
+    return same.unionByName(near).where("u < v").distinct()
 
 
 def may_pair(a: str, b: str, similarity: float) -> Column:
@@ -247,19 +266,22 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """doc_id, group_id (the least doc_id of the group) of every row whose id is not null; a row for each distinct pair.
 
     Groups are the components of all pairs whose texts have a Jaccard similarity of at least ``similarity`` on k-word
-    shingles. Such pairs share a shingle of their prefixes. Members of one are first held against the one before and the
-    first; then all that are still in different groups, against each other. Each pair that passes the bounds is verified.
+    shingles. Candidates come from SimHash under covering masks first, which joins close copies. A fingerprint misses pairs
+    farther apart, so an exact search follows: similar texts share a shingle of their prefixes. Members of one are held
+    against the one before and the first; then all that are still in different groups, against each other. Every candidate
+    is verified on its texts.
     Null texts count as empty, and all texts without words are one; an empty table gives an empty result.
     """
     wanted = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(f"`{text}`").cast("binary").alias("q_text"))
     made = written(prefixes(wanted, k, similarity), "prefixes")
     table = made.select("id", "node")
     nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    candidates = covered(made.select("node", "fp").distinct())
     rows = nodes.select("node", "n", F.posexplode("first").alias("pos", "token")).select("token", F.struct("node", "n", "pos").alias("me"))
     each = Window.partitionBy("token").orderBy("me.node")
     placed = rows.select("token", "me", F.lag("me").over(each).alias("before"), F.first("me").over(each).alias("head"), F.lead("me.node").over(each).alias("after"))
     shared = written(placed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after"), "shared")
-    edges = verified(chained(shared, similarity), wanted, table, k, similarity)
+    edges = verified(candidates.unionByName(chained(shared, similarity)).distinct(), wanted, table, k, similarity)
     more = verified(unjoined(shared, components(edges), similarity), wanted, table, k, similarity)
     dropped(shared)
     roots = components(edges.unionByName(more))

@@ -333,6 +333,19 @@ def test_near_groups(spark, odd):
     assert groups[1] == groups[2] == groups[5] == 1 and groups[7] == 3 and groups[6] == 6 and simhash.near_duplicate_groups(empty(odd)).count() == 0
 
 
+def test_masks_give_all_candidates_within_the_radius(spark):
+    rnd = random.Random(14)
+    bases = [rnd.getrandbits(64) for _ in range(6)]
+    prints = {k: rnd.choice(bases) ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([0, 0, 1, 2]))) for k in range(80)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = simhash.covered(spark.createDataFrame([(k, signed(p)) for k, p in prints.items()], "node long, fp long"))
+    joined = {r.node: r.root for r in components.components(pairs).collect()}
+    assert {k: joined.get(k, k) for k in prints} == brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    sets = [np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 2, 5, 300)]
+    for s in sets:
+        assert simhash.majority(s) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s.tolist()) > len(s))
+
+
 def test_sharding(spark, odd, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=20_000, fanout=3)
     assert store.read().count() == 0
