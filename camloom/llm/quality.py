@@ -3,18 +3,19 @@
 Native: DataFrame functions only. Statistics become four bounded, transformed features in whole thousandths, so every sum
 is exact and reruns agree. Location and scatter of each (language, source) group are minimum-covariance-determinant
 estimates: of all subsets of ``SUPPORT`` of the group, the one whose (regularised) covariance has the least determinant is
-looked for by concentration steps from four starts: quartiles, hyperbolic tangents, spatial signs, all rows. A step measures
+looked for by concentration steps from three starts: quartiles, hyperbolic tangents, spatial signs. A step measures
 the group from the estimate and refits on the nearest h of its n rows, exactly h; it can only lower the determinant, and
 steps go on until none falls. The start with the least determinant wins, rows within the 0.975 quantile are fitted once more
 (reweighting), and squared Mahalanobis distances from that fit are judged.
 
-The nearest h are found without sorting a group: sums go by bins of distance, then by parts of the one bin in which the h-th
-lies, and so on (all summed map-side); only the few rows of the last part are ordered.
+The nearest h are found without sorting a group: rows are counted by bins of distance, then by parts of the one bin in which
+the h-th lies, and so on (all map-side); only the few rows of the last part are ordered.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,7 +128,7 @@ SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
 FIT = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS)]
 #: The root of the determinant: the product of the factor's diagonal.
 ROOT_DET = " * ".join(f"l{i}{i}" for i in range(P))
-STARTS = ("quartiles", "tanh", "signs", "all")
+STARTS = ("quartiles", "tanh", "signs")
 
 
 def _with(df: DataFrame, named: list[tuple[str, str]]) -> DataFrame:
@@ -184,15 +185,15 @@ OF_SIGNS = {(i, j): _regular(i, j, f"c{i} * c{j} * u{i}{j} / (25e4 * n)") for i,
 
 
 def _started(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """The four starts of each group: KEYS, h and FIT. One pass over the features after their quartiles."""
+    """The three starts of each group: KEYS, h and FIT. One pass over the features after their quartiles."""
     middle = written(_with(_quartiles(features), SCALES), "quartiles")
     scored = _with(features.join(near(middle), ["g_lang", "g_source"]), [*SCORES, *((f"t{i}", x) for i, x in enumerate(TANH)), *((f"u{i}", x) for i, x in enumerate(SIGNS))])
     products = [F.sum(F.col(f"{x}{i}") * F.col(f"{x}{j}")).alias(f"{x}{i}{j}") for x in "tu" for i, j in PAIRS]
-    sums = written(scored.groupBy("g_lang", "g_source").agg(*_summed(), *products), "sums")
-    central = sums.join(middle, ["g_lang", "g_source"])
-    fits = [_with(central, _cholesky(DIAGONAL)), _with(central, _cholesky(OF_TANH)), _with(central, _cholesky(OF_SIGNS)), _with(sums, _moments(1.0))]
+    sums = written(scored.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"), *products), "sums")
+    central = sums.join(middle.hint("merge"), ["g_lang", "g_source"])
+    fits = [_with(central, _cholesky(DIAGONAL)), _with(central, _cholesky(OF_TANH)), _with(central, _cholesky(OF_SIGNS))]
     named = [fit.select("g_lang", "g_source", F.lit(name).alias("start"), *FIT) for name, fit in zip(STARTS, fits, strict=True)]
-    return reduce(DataFrame.unionByName, named).join(groups, ["g_lang", "g_source"]).select(*KEYS, "h", *FIT)
+    return reduce(DataFrame.unionByName, named).join(groups.hint("merge"), ["g_lang", "g_source"]).select(*KEYS, "h", *FIT)
 
 
 def _measured(features: DataFrame, fit: DataFrame) -> DataFrame:
@@ -204,28 +205,38 @@ def _measured(features: DataFrame, fit: DataFrame) -> DataFrame:
 ORDERED = 5_000
 #: A bin of distance is an eighth of an octave; each further cut makes PARTS of one.
 PARTS = 256
+PLACE = "8e0 * ln(1e0 + distance) / 6931471805599453e-16"
 
 
-def _concentrated(features: DataFrame, fit: DataFrame, cuts: int) -> DataFrame:
+def _binned(features: DataFrame, asked: DataFrame, level: int) -> DataFrame:
+    """The rows of ``asked`` (KEYS, FIT, at0, at1, ... of ``level`` cuts) in the parts that are cut: with ``bin``, the next part."""
+    rows = _measured(features, asked).withColumn("rest", F.expr(PLACE))
+    for k in range(level):
+        rows = rows.where(F.floor("rest") == F.col(f"at{k}")).withColumn("rest", (F.col("rest") - F.floor("rest")) * F.lit(float(PARTS)))
+    return rows.withColumn("bin", F.floor("rest"))
+
+
+def _concentrated(features: DataFrame, fit: DataFrame, cuts: int, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One concentration step for each of ``fit`` (KEYS, h, FIT): KEYS, h, the next FIT and its root_det.
 
-    ``cuts``: how often the bin of the h-th row is cut before its rows are ordered (by distance, then features).
+    Counts by bins tell in which the h-th row is, counts of its parts in which of them (``cuts`` times), and of the rows of the
+    last the order (by distance, then features) tells it; one more pass sums what is before it. All counts and sums are map-side.
     """
-    x = [f"x{i}" for i in range(P)]
-    cut = lambda c: (F.floor(c).alias("bin"), (c - F.floor(c)).alias("rest"))
-    place = F.expr("8e0 * ln(1e0 + distance) / 6931471805599453e-16")
-    rows = _measured(features, fit).select(*KEYS, *x, "distance", F.col("h").alias("left"), *cut(place))
-    each, taken = Window.partitionBy(*KEYS), []
-    for _ in range(cuts + 1):
-        bins = rows.groupBy(*KEYS, "left", "bin").agg(*_summed()).withColumn("upto", F.sum("n").over(each.orderBy("bin")))
-        taken.append(bins.where(F.col("upto") <= F.col("left")).select(*KEYS, *SUMS))
+    x, each = [f"x{i}" for i in range(P)], Window.partitionBy(*KEYS)
+    asked = fit.select(*KEYS, "h", *FIT, F.col("h").alias("left"))
+    for level in range(cuts + 1):
+        bins = _binned(features, near(asked), level).groupBy(*KEYS, "left", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(each.orderBy("bin")))
         before = F.col("upto") - F.col("n")
-        over = bins.where((F.col("upto") > F.col("left")) & (before < F.col("left"))).select(*KEYS, F.col("bin").alias("at"), (F.col("left") - before).alias("q_left"))
-        rows = rows.drop("left").join(over, KEYS).where(F.col("bin") == F.col("at")).select(*KEYS, *x, "distance", F.col("q_left").alias("left"), *cut(F.col("rest") * F.lit(float(PARTS))))
-    alike = rows.groupBy(*KEYS, "left", "distance", *x).agg(F.count(F.lit(1)).alias("k"))
-    before = F.sum("k").over(each.orderBy("distance", *x)) - F.col("k")
-    last = alike.withColumn("take", F.least("k", F.col("left") - before)).where("take > 0").groupBy(*KEYS).agg(*_summed(F.col("take")))
-    sums = reduce(DataFrame.unionByName, taken, last).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).withColumn("h", F.col("n"))
+        found = bins.where((F.col("upto") >= F.col("left")) & (before < F.col("left"))).select(*KEYS, F.col("bin").alias(f"at{level}"), (F.col("left") - before).alias("left"))
+        asked = written(asked.drop("left").join(found.hint("merge"), KEYS), "cut")
+    alike = _binned(features, near(asked), cuts + 1).groupBy(*KEYS, "left", "distance", *x).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(each.orderBy("distance", *x)))
+    before = F.col("upto") - F.col("n")
+    found = alike.where((F.col("upto") >= F.col("left")) & (before < F.col("left"))).select(*KEYS, F.col("distance").alias("q_distance"), *(F.col(c).alias(f"q_{c}") for c in x), (F.col("left") - before).alias("take"))
+    edge = written(asked.select(*KEYS, "h", *FIT).join(found.hint("merge"), KEYS), "edge")
+    closer = F.struct("distance", *x) < F.struct(F.col("q_distance").alias("distance"), *(F.col(f"q_{c}").alias(c) for c in x))
+    inside = _measured(features, near(edge)).where(closer).groupBy(*KEYS).agg(*_summed())
+    at_edge = edge.select(*KEYS, "take", *(F.col(f"q_{c}").alias(c) for c in x)).groupBy(*KEYS).agg(*_summed(F.col("take")))
+    sums = inside.unionByName(at_edge).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).withColumn("h", F.col("n"))
     return _with(sums, _moments(CONSISTENCY)).select(*KEYS, "h", *FIT, "root_det")
 
 
@@ -234,12 +245,13 @@ def fitted(features: DataFrame, groups: DataFrame, cuts: int = 1) -> DataFrame:
 
     groups: (g_lang, g_source, h), h the rows that a fit is of. Starts whose determinant no longer falls leave; the rest go on.
     """
+    few = groups.count() * len(STARTS) <= BROADCAST_GROUPS
     found, falls = [], written(_started(features, groups).withColumn("root_det", F.lit(float("inf"))), "starts")
     while not falls.isEmpty():
-        after = _concentrated(features, near(falls.select(*KEYS, "h", *FIT)), cuts)
-        both = written(after.join(falls.select(*KEYS, F.col("root_det").alias("q_before")), KEYS), "step")
+        after = _concentrated(features, falls, cuts, F.broadcast if few else lambda df: df)
+        both = written(after.join(falls.select(*KEYS, F.col("root_det").alias("q_before")).hint("merge"), KEYS), "step")
         lower = both.where(F.col("root_det") < F.col("q_before")).drop("q_before")
-        found.append(falls.join(lower.select(*KEYS), KEYS, "left_anti"))
+        found.append(falls.join(lower.select(*KEYS).hint("merge"), KEYS, "left_anti"))
         falls = lower
     best = F.min(F.struct("root_det", "start", *FIT)).alias("b")
     return reduce(DataFrame.unionByName, found or [falls]).groupBy("g_lang", "g_source").agg(best).select("g_lang", "g_source", "b.*").drop("start")
@@ -311,8 +323,8 @@ def oracle_sql() -> str:
     raw = ", ".join(["cast(count(*) as bigint) as n", *(f"sum(x{i}) as s{i}" for i in range(P)), *(f"sum(x{i} * x{j}) as p{i}{j}" for i, j in PAIRS)])
     measured = lambda table, fits, more="": nested(f"select t.*, {fit}{more} from {table} t join {fits} f on t.g_lang = f.g_lang and t.g_source = f.g_source", [*steps, ("distance", square)])
     products = ", ".join(f"sum({x}{i} * {x}{j}) as {x}{i}{j}" for x in "tu" for i, j in PAIRS)
-    made = zip(STARTS, ("mids", "mids", "mids", "rawsums"), (_cholesky(DIAGONAL), _cholesky(OF_TANH), _cholesky(OF_SIGNS), _moments(1.0)), strict=True)
-    starts = " union all ".join(f"select g_lang, g_source, '{name}' as start, {fit} from ({nested(f'select * from {table}', named)})" for name, table, named in made)
+    made = zip(STARTS, (DIAGONAL, OF_TANH, OF_SIGNS), strict=True)
+    starts = " union all ".join(f"select g_lang, g_source, '{name}' as start, {fit} from ({nested('select * from mids', _cholesky(cov))})" for name, cov in made)
     nearest = f"select *, row_number() over (partition by g_lang, g_source, start order by distance, {xs}) as r from ({measured('feat', '(select * from fits where falls)', ', start, h, root_det as q_before')})"
     refitted = nested(f"select g_lang, g_source, start, any_value(h) as h, any_value(q_before) as q_before, {raw} from ({nearest}) where r <= h group by g_lang, g_source, start", _moments(CONSISTENCY))
     return f"""with recursive words as (select doc_id, coalesce("text", '') as t, coalesce('=' || lang, '-') as g_lang, coalesce('=' || source, '-') as g_source,
@@ -338,7 +350,6 @@ wide as (select g_lang, g_source, {', '.join(f'cast(max(q2) filter (where dim =
 middle as ({nested('select * from wide', SCALES)}),
 scored as (select *, {', '.join(f'{x} as t{i}' for i, x in enumerate(TANH))}, {', '.join(f'{x} as u{i}' for i, x in enumerate(SIGNS))} from ({nested('select * from feat join middle using (g_lang, g_source)', SCORES)})),
 mids as (select m.*, n, {', '.join(f'{x}{i}{j}' for x in 'tu' for i, j in PAIRS)} from middle m join (select g_lang, g_source, count(*) as n, {products} from scored group by all) using (g_lang, g_source)),
-rawsums as (select g_lang, g_source, {raw} from feat group by all),
 fits as (select g_lang, g_source, start, h, {fit}, cast('inf' as double) as root_det, true as falls from ({starts}) join hs using (g_lang, g_source)
   union all select g_lang, g_source, start, h, {fit}, root_det, root_det < q_before as falls from ({refitted})),
 least_ as (select * from fits qualify row_number() over (partition by g_lang, g_source order by root_det, start) = 1),
