@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 KEYFRAME, PARAMSET, BFRAME = 1, 2, 8
@@ -62,14 +64,60 @@ def reordered(packets: DataFrame, by: str = "camera", order: str = "arrival") ->
     return once.withColumn("lost", F.coalesce(F.col("seq_long") - F.lag("seq_long").over(w) - 1, F.lit(0)))
 
 
+def delivered(packets: DataFrame, window: int = 32, by: str = "camera", order: str = "arrival") -> DataFrame:
+    """(by, order, seq) as a live receiver passes packets on: by, order, seq, place, lost.
+
+    A packet that is next goes out, with those waiting behind it; one fewer than ``window`` ahead waits; one older than the next is
+    discarded; one farther ahead sends out all that wait, then itself, and ``lost`` counts the numbers up to it. What waits at the
+    end of a stream is not passed on. A stream is one task, with a window's packets in memory.
+    """
+    placed = packets.select(by, order, "seq").repartition(by).sortWithinPartitions(by, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, due, place, waiting = None, None, 0, {}
+        for b in batches:
+            out = []
+            for key, at, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if due is None or key != stream:
+                    stream, due, place, waiting = key, seq, 0, {}
+                ahead, lost, ready = (seq - due + 32768) % 65536 - 32768, 0, []
+                if ahead < 0:
+                    continue
+                if 0 < ahead < window:
+                    waiting[seq] = at
+                    continue
+                if ahead:
+                    ready = sorted(waiting.items(), key=lambda x, due=due: (x[0] - due) % 65536)
+                    waiting, lost = {}, ahead - 1
+                ready.append((seq, at))
+                due = (seq + 1) % 65536
+                while due in waiting:
+                    ready.append((due, waiting.pop(due)))
+                    due = (due + 1) % 65536
+                for s, a in ready:
+                    place += 1
+                    out.append((key, a, s, place, lost if s == seq else 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[by, order, "seq", "place", "lost"])
+
+    schema = StructType([*placed.schema.fields, StructField("place", LongType()), StructField("lost", LongType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    return placed.mapInArrow(run, schema)
+
+
 def nal_type(first_byte: Column, codec: Column) -> Column:
     return F.when(codec == "h265", F.shiftright(first_byte, 1).bitwiseAND(F.lit(0x3F))).otherwise(first_byte.bitwiseAND(F.lit(0x1F)))
 
 
-def nal_flags(kind: Column, codec: Column) -> Column:
+def nal_flags(kind: Column, codec: Column, slice_type: Column | None = None) -> Column:
+    """Key frame, parameter set, or with the slice's type B frame (of H.264 slices 1 and 6 in NAL type 1, of H.265 0 in types 0 to 9)."""
     key = F.when(codec == "h265", kind.between(19, 21)).otherwise(kind == 5)
     param = F.when(codec == "h265", kind.between(32, 34)).otherwise(kind.isin(7, 8))
-    return F.when(key, KEYFRAME).when(param, PARAMSET).otherwise(0)
+    flags = F.when(key, KEYFRAME).when(param, PARAMSET)
+    if slice_type is None:
+        return flags.otherwise(0)
+    b = F.when(codec == "h265", kind.between(0, 9) & (slice_type == 0)).otherwise((kind == 1) & (slice_type % 5 == 1))
+    return flags.when(b, BFRAME).otherwise(0)
 
 
 def sdp_parameter_sets(text: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from camloom.operators.running import running
 
 LISTED = (".ts", ".mpegts", ".mp4", ".fmp4", ".mkv")
 RETAINED = (".ts", ".mp4", ".mkv")
@@ -39,6 +40,11 @@ def totals(clips: DataFrame) -> DataFrame:
     return clips.agg(F.count(F.lit(1)).alias("n_clips"), F.sum("size").alias("total_bytes"), F.countDistinct("camera").alias("n_cameras"))
 
 
+def page_totals(clips: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
+    """Clips and bytes of one page, as a listing shows them."""
+    return page(clips, number, size).agg(F.count(F.lit(1)).alias("n_clips"), F.sum("size").alias("total_bytes"))
+
+
 def disk_usage(clips: DataFrame) -> DataFrame:
     return clips.groupBy("camera").agg(F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("n_clips"))
 
@@ -51,20 +57,15 @@ def page_numbers(current: Column, last: Column) -> Column:
     return F.flatten(with_gaps)
 
 
-def retention(clips: DataFrame, now: Column, keep_days: int, quota_bytes: int = 0, quota_stops_age: bool = True) -> DataFrame:
+def retention(clips: DataFrame, now: Column, keep_days: int, quota_bytes: int = 0, quota_stops_age: bool = True, days: int = 30) -> DataFrame:
     """Clips to delete, per camera oldest first, with why: age, quota or age+quota.
 
     With a quota, a pass deletes while the camera is over it; once under, it looks at no more clips, so at most the oldest goes
     for its age (quota_stops_age=False: all aged ones go). Without one, all aged clips go.
     """
-    w = Window.partitionBy("camera").orderBy("mod_time", "filename")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = (
-        clips.where(extension(F.col("filename")).isin(*RETAINED))
-        .withColumn("q_before", before)
-        .withColumn("q_total", F.sum("size").over(Window.partitionBy("camera")))
-        .withColumn("q_place", F.row_number().over(w))
-    )
+    kept = clips.where(extension(F.col("filename")).isin(*RETAINED)).withColumn("q_range", F.floor(F.unix_micros(F.col("mod_time").cast("timestamp")) / (days * 86_400_000_000)))
+    upto = running(kept, {"q_upto": ("sum", F.col("size")), "q_place": ("sum", F.lit(1).cast("long"))}, "camera", ["mod_time", "filename"])
+    rows = upto.withColumn("q_before", F.col("q_upto") - F.col("size")).join(kept.groupBy("camera").agg(F.sum("size").alias("q_total")), "camera")
     aged = F.lit(False) if keep_days <= 0 else F.col("mod_time") < now - F.make_dt_interval(F.lit(keep_days))
     over = F.lit(quota_bytes > 0) & ((F.col("q_total") - F.col("q_before")) > quota_bytes)
     goes_for_age = aged & (F.lit(quota_bytes <= 0 or not quota_stops_age) | (F.col("q_place") == 1))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from camloom.operators.running import SPAN, ranged, running, with_previous
+from camloom.operators.running import SPAN, numbered, ranged, running, with_previous
 
 KEYFRAME, PARAMSET, BFRAME = 1, 2, 8
 CLOCK = 90  # ticks a millisecond
@@ -111,6 +111,14 @@ def snapshots(nal: DataFrame, windows: DataFrame, span: int = SPAN, ticks: int =
     )
 
 
+def clip_times(first_pts: Column, last_pts: Column, trigger_pts: Column, pre_roll_seconds: Column) -> Column:
+    """duration_ms of a clip, and trigger_offset_ms: from its true start to the trigger, which is before the pre-roll where the clip
+    was widened to a keyframe; the pre-roll where that is not known or 0."""
+    duration = F.when(last_pts > first_pts, F.floor((last_pts - first_pts) / CLOCK)).otherwise(0)
+    offset = F.when((trigger_pts > 0) & (trigger_pts >= first_pts), F.floor((trigger_pts - first_pts) / CLOCK)).otherwise(0)
+    return F.struct(duration.cast("long").alias("duration_ms"), F.when(offset > 0, offset).otherwise(pre_roll_seconds * 1000).cast("long").alias("trigger_offset_ms"))
+
+
 def extended(nal: DataFrame, windows: DataFrame, more: int) -> DataFrame:
     """Snapshots of windows whose end is moved on by so many ticks."""
     return snapshots(nal, windows.withColumn("to_pts", F.col("to_pts") + more))
@@ -137,6 +145,6 @@ def rate_limited(events: DataFrame, n: int, unit: str = "second") -> DataFrame:
     return events.withColumn("q_rank", F.row_number().over(w)).where(F.col("q_rank") <= n).drop("q_rank")
 
 
-def sampled(frames: DataFrame, every: int = 150) -> DataFrame:
+def sampled(frames: DataFrame, every: int = 150, span: int = SPAN) -> DataFrame:
     """Each every-th frame of a camera."""
-    return frames.withColumn("q_n", F.row_number().over(Window.partitionBy("camera").orderBy("seq"))).where(F.col("q_n") % every == 0).drop("q_n")
+    return numbered(ranged(frames, "seq", span), "camera", ["seq"], "q_n").where(F.col("q_n") % every == 0).drop("q_n", "q_range")

@@ -31,6 +31,15 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]], by: str, order
     return both.select(*df.columns, *(kinds[k][1](F.col(f"q_{n}"), F.col(f"q_before_{n}")).alias(n) for n, (k, _) in values.items()))
 
 
+def numbered(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """df, which has q_range, with a number from 1 along the order of its key."""
+    counts = df.groupBy(by, "q_range").agg(F.count(F.lit(1)).alias("q_n"))
+    over = Window.partitionBy(by).orderBy("q_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(by, "q_range", F.coalesce(F.sum("q_n").over(over), F.lit(0)).alias("q_before"))
+    place = F.row_number().over(Window.partitionBy(by, "q_range").orderBy(*order))
+    return df.withColumn("q_place", place).join(before, [by, "q_range"]).select(*df.columns, (F.col("q_place") + F.col("q_before")).cast("long").alias(name))
+
+
 def with_previous(df: DataFrame, columns: dict[str, str], by: str, order: list[str]) -> DataFrame:
     """df, which has q_range, with a column for each (name: column) of the key's row before this one, and q_first: there is none."""
     key = F.struct(*order)

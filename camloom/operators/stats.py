@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from camloom.operators.running import with_previous
+
 LINEAR = tuple(5.0 * k for k in range(1, 11))
 EXPONENTIAL = tuple(0.0001 * 2**k for k in range(12))
 
@@ -73,10 +75,15 @@ def histogram_quantile(buckets: DataFrame, q: float, by: list[str] | None = None
 
 def event_rate(events: DataFrame, minutes: int = 5, slide: int | None = None, by: tuple[str, ...] = ("camera",)) -> DataFrame:
     """Events and events a second in each window of minutes (every ``slide`` minutes): window_start, by, n, rate."""
-    ts = F.col("ts").cast("timestamp")
-    w = F.window(ts, f"{minutes} minutes", f"{slide or minutes} minutes")
-    out = events.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("w.start").alias("window_start"), *by, "n", (F.col("n") / (60.0 * minutes)).alias("rate"))
+    ts, step = F.col("ts").cast("timestamp"), slide or minutes
+    if minutes % step:
+        raise ValueError("the window must be whole steps")
+    # Events are counted by step first; the few counts, not the events, go to the windows over them.
+    counts = events.groupBy(F.window(ts, f"{step} minutes").alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    starts = F.array(*(F.col("w.start") - F.make_dt_interval(mins=F.lit(k * step)) for k in range(minutes // step)))
+    out = counts.select(F.explode(starts).alias("window_start"), *by, "n") if minutes > step else counts.select(F.col("w.start").alias("window_start"), *by, "n")
+    out = out.groupBy("window_start", *by).agg(F.sum("n").alias("n")) if minutes > step else out
+    return out.select("window_start", *by, "n", (F.col("n") / (60.0 * minutes)).alias("rate"))
 
 
 def counters(events: DataFrame) -> DataFrame:
@@ -102,9 +109,10 @@ def size_distribution(frames: DataFrame) -> DataFrame:
 
 def cpu_percent(samples: DataFrame) -> DataFrame:
     """(host, ts, total, idle: counters) -> busy share between each sample and the one before, to one decimal; null for the first."""
-    w = Window.partitionBy("host").orderBy("ts")
-    total, idle = (F.col(c) - F.lag(c).over(w) for c in ("total", "idle"))
-    return samples.select("host", "ts", F.when(total > 0, F.round((total - idle) / total * 1000) / 10).otherwise(F.when(total.isNotNull(), 0.0)).alias("cpu_percent"))
+    ranged = samples.withColumn("q_range", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000))
+    before = with_previous(ranged, {"q_total": "total", "q_idle": "idle"}, "host", ["ts"])
+    total, idle = F.col("total") - F.col("q_total"), F.col("idle") - F.col("q_idle")
+    return before.select("host", "ts", F.when(total > 0, F.round((total - idle) / total * 1000) / 10).otherwise(F.when(total.isNotNull(), 0.0)).alias("cpu_percent"))
 
 
 def top_per_event(blobs: DataFrame, n: int = 8, size: str = "size") -> DataFrame:

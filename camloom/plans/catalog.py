@@ -66,7 +66,8 @@ def detector_per_camera_config(spark, d):
     return out.select("camera", "seq", "byte_count", F.round("z_score", 6).alias("z_score"), "reason")
 
 
-@query(f"with {cte('frames')} select camera, cast(count(*) as bigint) as n, round(list_reduce(list(cast(byte_count as double) order by seq), lambda m, x: 2e-1 * x + (1e0 - 2e-1) * m), 6) as bpf_ewma from frames group by camera")
+@query(f"""with {cte('frames')}, s as (select *, min(seq) filter (where not is_keyframe) over (partition by camera) as seed from frames)
+select camera, cast(count(*) as bigint) as n, round(list_reduce(list(cast(byte_count as double) order by seq) filter (where seq >= coalesce(seed, 0)), lambda m, x: 2e-1 * x + (1e0 - 2e-1) * m), 6) as bpf_ewma from s group by camera""")
 def ewma_by_camera(spark, d):
     return D.ewma(view(spark, d, "frames")).select("camera", "n", F.round("bpf_ewma", 6).alias("bpf_ewma"))
 
@@ -339,6 +340,32 @@ def clip_totals(spark, d):
     return C.totals(C.listed(view(spark, d, "clips")))
 
 
+@query(f"with {_LISTED}, p as (select * from l order by mod_time desc, camera, filename limit 50 offset 100) select count(*) as n_clips, cast(sum(size) as bigint) as total_bytes from p")
+def clips_page_totals(spark, d):
+    return C.page_totals(C.listed(view(spark, d, "clips")), 3, 50)
+
+
+@query(f"""with {_LISTED}, {cte('raw_events')}, one as (select event_id, max(label) as label from event_labels group by event_id)
+select filename, z_score, bytes, coalesce(label, 'none') as label from l left join raw_events r on r.event_id = l.event_id left join one on one.event_id = l.event_id""")
+def clips_with_sidecars(spark, d):
+    meta = view(spark, d, "raw_events").select("event_id", "z_score", "bytes")
+    out = C.with_sidecars(C.listed(view(spark, d, "clips")), meta, view(spark, d, "event_labels"))
+    return out.select("filename", "z_score", "bytes", F.coalesce("label", F.lit("none")).alias("label"))
+
+
+@query(f"""with {cte('raw_events', 'event_labels')}, c as (select event_id, label, timestamp '2024-01-01 00:00:00' as labeled_at from event_labels
+  union all select event_id, case cast(event_id as bigint) % 5 when 0 then null when 1 then 'tp' when 2 then 'fp' when 3 then 'reference' else 'maybe' end, ts from raw_events),
+g as (select *, row_number() over (partition by event_id order by labeled_at desc, label is null desc, label desc) as r from c where label is null or label in ('tp', 'fp', 'reference'))
+select event_id, label, labeled_at from g where r = 1 and label is not null""")
+def clip_labels_after_changes(spark, d):
+    import datetime
+
+    current = view(spark, d, "event_labels").select("event_id", "label", F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("labeled_at"))
+    k = F.col("event_id").cast("long") % 5
+    label = F.when(k == 1, "tp").when(k == 2, "fp").when(k == 3, "reference").when(k == 4, "maybe")
+    return C.clip_labels_upserted(current, view(spark, d, "raw_events").select("event_id", label.alias("label"), F.col("ts").cast("timestamp_ntz").alias("labeled_at")))
+
+
 @query(f"with {cte('clips')} select camera, cast(sum(size) as bigint) as total_bytes, count(*) as n_clips from clips where regexp_extract(filename, '(\\.[^./]*)$', 1) in ('.ts', '.mp4', '.mkv') group by camera")
 def disk_usage(spark, d):
     clips = view(spark, d, "clips")
@@ -434,15 +461,25 @@ def metrics_cube(spark, d):
     return ST.counters(view(spark, d, "raw_events"))
 
 
+@query(f"""with {cte('raw_events', 'camera_config')}, e as (select * from (select *, row_number() over (partition by camera order by ts, event_id) as r from raw_events) where r <= 100),
+a as (select camera, count(*) as n, max(ts) as last_event_ts, avg(z_score) as za, arg_max(z_score, (ts, event_id)) as zl from e group by camera)
+select c.camera, coalesce(n, 0) as event_count_24h, last_event_ts, round(coalesce(za, 0e0), 6) as z_score_avg, coalesce(zl, 0e0) as z_score_last from (select distinct camera from camera_config) c left join a on a.camera = c.camera""")
+def camera_stats_capped(spark, d):
+    events = view(spark, d, "raw_events")
+    bounds = events.agg(F.min("ts"), F.max("ts")).first()
+    out = ST.camera_stats(events, view(spark, d, "camera_config"), F.lit(bounds[0]), F.lit(bounds[1]), cap=100)
+    return out.select("camera", "event_count_24h", "last_event_ts", F.round("z_score_avg", 6).alias("z_score_avg"), "z_score_last")
+
+
 @query(f"with {cte('frames')} select is_keyframe, byte_count, count(*) as n from frames group by 1, 2")
 def frame_sizes(spark, d):
     return ST.size_distribution(view(spark, d, "frames"))
 
 
-@query(f"with {cte('frames')} select camera, count(*) as n, round(var_pop(byte_count), 3) as var_bytes, round(avg(is_keyframe::int), 6) as keyframe_share from frames group by camera")
+@query(f"with {cte('frames')} select camera, count(*) as n, quantile_disc(byte_count, 5e-1) as median_bytes, round(var_pop(byte_count), 3) as var_bytes, round(avg(is_keyframe::int), 6) as keyframe_share from frames group by camera")
 def camera_fingerprints(spark, d):
     out = ST.fingerprints(view(spark, d, "frames"))
-    return out.select("camera", "n", F.round("var_bytes", 3).alias("var_bytes"), F.round("keyframe_share", 6).alias("keyframe_share"))
+    return out.select("camera", "n", "median_bytes", F.round("var_bytes", 3).alias("var_bytes"), F.round("keyframe_share", 6).alias("keyframe_share"))
 
 
 @query("select count(*) as n_cameras, cast(count(*) filter (where n_nationkey % 3 > 0) as bigint) as n_connected, bool_or(n_nationkey % 3 > 0) and bool_or(n_nationkey = 1) as ready from nation")
@@ -527,17 +564,17 @@ def clip_facts(spark, d):
     return view(spark, d, "clips").select("filename", F.round(S.duration_estimate(F.col("size")), 6).alias("seconds"), C.extension(f).alias("ext"), S.clip_url(F.col("camera"), f).alias("url"), S.mime_type(f).alias("mime"))
 
 
-@query(f"""with {cte('clips')} select filename, '#EXTM3U' || chr(10) || '#EXT-X-TARGETDURATION:' || cast(floor(case when size * 8 / 3145728 < 1 then 8e0 else size * 8 / 3145728 end) + 1 as bigint) as head from clips""")
+@query(f"""with {cte('clips')}, s as (select filename, case when size * 8 / 3145728 < 1 then 8e0 else size * 8 / 3145728 end as s from clips)
+select filename, concat_ws(chr(10), '#EXTM3U', '#EXT-X-VERSION:3', '#EXT-X-TARGETDURATION:' || cast(floor(s) + 1 as bigint), '#EXT-X-MEDIA-SEQUENCE:0', '#EXTINF:' || printf('%.3f', s) || ',', filename, '#EXT-X-ENDLIST', '') as playlist from s""")
 def hls_manifest(spark, d):
-    lines = F.split(S.playlist(F.col("filename"), F.col("size")), "\n")
-    return view(spark, d, "clips").select("filename", F.concat_ws("\n", lines[0], lines[2]).alias("head"))
+    return view(spark, d, "clips").select("filename", S.playlist(F.col("filename"), F.col("size")).alias("playlist"))
 
 
 @query("""with s as (select p_partkey as k, p_partkey * p_partkey * 977 as n from part)
-select k, case when n < 1024 then 'B' when n < 1048576 then 'KB' when n < 1073741824 then 'MB' else 'GB' end as unit from s""")
+select k, rtrim(rtrim(printf('%.2f', round(n / (case when n < 1024 then 1 when n < 1048576 then 1024 when n < 1073741824 then 1048576 else 1073741824 end), 2)), '0'), '.') || ' ' || case when n < 1024 then 'B' when n < 1048576 then 'KB' when n < 1073741824 then 'MB' else 'GB' end as size from s""")
 def size_band(spark, d):
     n = F.col("p_partkey") * F.col("p_partkey") * 977
-    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.element_at(F.split(S.size_text(n), " "), -1).alias("unit"))
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), S.size_text(n).alias("size"))
 
 
 @query(f"""with {cte('camera_config')}, p as (select camera, case when camera < 'cam-08' then motion_z_high * 50 else motion_z_high end as z, case when camera > 'cam-12' then 0 else on_threshold end as o from camera_config)
@@ -645,6 +682,94 @@ def config_history(spark, d):
     return latest_configs(runs, 20).select(F.col("run_id").alias("event_id"), "camera", F.col("applied_at").alias("day"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_VERDICTS + """ select event_id, case when bpf_slow > 0 and bytes < 12e-1 * bpf_slow then 'bytes ' || bytes || ' < ' || printf('%.0f', 12e-1 * bpf_slow) || ' (1.2x bpf_slow)' else 'bytes ' || bytes || ' < min 800' end as suppress_reason
+from v where decided_by = 'bytes_floor'""")
+def suppress_reasons(spark, d):
+    return verdicts(spark, d).where("decided_by = 'bytes_floor'").select("event_id", "suppress_reason")
+
+
+@query("""select l_orderkey * 10 + l_linenumber as k, case when a < 3600 then a // 60 || 'm ago' when a < 86400 then a // 3600 || 'h ago' else a // 86400 || 'd ago' end as age, case when p < 70 then 'ok' when p < 85 then 'warn' else 'crit' end as band,
+  p, case l_linenumber when 1 then 'motion' when 2 then 'scene_change' when 3 then 'idr_burst' else 'none' end as kind, case l_linenumber when 2 then 'h265' when 1 then 'h264' else 'unknown' end as codec
+from (select *, l_partkey * l_suppkey % 400000 as a, case when l_suppkey % 7 = 0 then 0e0 else round(l_linenumber / (l_suppkey % 7 + 7) * 1000) / 10 end as p from lineitem)""")
+def dashboard_texts(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    n, p = F.col("l_linenumber"), S.percent(F.col("l_linenumber"), F.when(F.col("l_suppkey") % 7 == 0, 0).otherwise(F.col("l_suppkey") % 7 + 7))
+    return rows.select(
+        (F.col("l_orderkey") * 10 + n).alias("k"), S.age_text(F.col("l_partkey") * F.col("l_suppkey") % 400000).alias("age"), S.percent_band(p).alias("band"), p.alias("p"), S.event_type(n).alias("kind"), S.codec(n, strict=True).alias("codec")
+    )
+
+
+@query(f"""with {cte('raw_events')} select event_id, 'clips/' || site || '/' || camera || '/' || strftime(ts, '%Y%m%dT%H%M%SZ') || '.ts' as key, camera || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || substr(event_id, 1, 8) || '.mp4' as filename,
+  date_trunc('second', ts) as filename_time from raw_events""")
+def clip_names(spark, d):
+    events, ts = view(spark, d, "raw_events"), F.col("ts").cast("timestamp_ntz")
+    name = S.clip_filename(F.col("camera"), ts, F.col("event_id"), F.lit("mp4"))
+    return events.select("event_id", S.object_key("clips/", F.col("site"), F.col("camera"), ts).alias("key"), name.alias("filename"), S.clip_filename_time(name).cast("timestamp_ntz").alias("filename_time"))
+
+
+@query("""select p_partkey as k, cast(floor(w * h * 15 * 7e-2) as bigint) as bitrate, cast(greatest(10, floor(p_size * 15e-1)) as bigint) as off_frames, cast(pow(2, ceil(log2(greatest(1e0, p_size * 1000e0 * w / 8 * 5 / 4)))) as bigint) as ring
+from (select *, 160 + p_size * 16 as w, 120 + p_size * 12 as h from part)""")
+def camera_sizing(spark, d):
+    w, h, fps = 160 + F.col("p_size") * 16, 120 + F.col("p_size") * 12, F.col("p_size")
+    out = spark.read.parquet(f"{d}/part.parquet")
+    return out.select(F.col("p_partkey").alias("k"), S.bitrate(w, h, F.lit(None).cast("int")).cast("long").alias("bitrate"), S.off_threshold(fps).cast("long").alias("off_frames"), S.ring_bytes(fps, w * 1000).alias("ring"))
+
+
+@query(f"with {cte('raw_events')} select distinct camera, cast(ts as date) as date from raw_events where cast(ts as date) < (select cast(max(ts) as date) - 7 from raw_events)")
+def expired_log_partitions(spark, d):
+    from camloom.sources.eventlog import expired_partitions
+
+    events = view(spark, d, "raw_events")
+    return expired_partitions(events.withColumn("date", F.to_date("ts")), last_ts(events), 7)
+
+
+@query(f"""with {cte('raw_events')}, b as (select max(ts) as now from raw_events) select event_id, camera, site, z_score, bytes, reason from raw_events, b where ts >= date_trunc('day', now) - interval 3 day""")
+def event_log_readback(spark, d):
+    """All events written to a log by camera and day, and the last days read back from its folders."""
+    from camloom.sources.eventlog import append_log, log_range
+    from camloom.sources.shared import shared_folder
+
+    events, root = view(spark, d, "raw_events"), shared_folder(spark, "log")
+    start = events.agg(F.max("ts")).first()[0].date()
+    append_log(events.withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())), root)
+    import datetime
+
+    return log_range(spark, root, str(start - datetime.timedelta(days=3)), limit=-1).select("event_id", "camera", "site", "z_score", "bytes", "reason")
+
+
+@query(f"""with {cte('nal')} select camera, seq, case when nal_type = 5 then 1 when nal_type in (7, 8) then 2 when nal_type = 1 and length % 10 % 5 = 1 then 8 else 0 end as h264, case when length % 10 = 0 then 8 else 0 end as h265 from nal""")
+def slice_flags(spark, d):
+    from camloom.functions.bitstream import nal_flags
+
+    kind, of_slice = F.col("nal_type").cast("int"), F.col("length") % 10
+    return view(spark, d, "nal").select("camera", "seq", nal_flags(kind, F.lit("h264"), of_slice).alias("h264"), nal_flags(kind, F.lit("h265"), of_slice).alias("h265"))
+
+
+@query("""select l_orderkey * 10 + l_linenumber as k, l_linenumber % 2 = 1 as marker, cast(l_suppkey % 128 as int) as payload_type, cast(l_orderkey % 65536 as int) as seq, cast(l_partkey * 3003 % 4294967296 as bigint) as timestamp, l_suppkey as ssrc,
+  12 + 4 * (l_linenumber % 3) as payload_start, lpad(printf('%x', l_orderkey), 16, '0') as payload from lineitem""")
+def rtp_packets(spark, d):
+    """Packets made of the columns, and what their headers say."""
+    from camloom.functions.bitstream import rtp_header, rtp_payload
+
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    n, key = F.col("l_linenumber"), F.col("l_orderkey")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((key * 10 + n).alias("k"), F.unhex(F.concat(
+        hexed(128 + n % 3, 2), hexed(n % 2 * 128 + F.col("l_suppkey") % 128, 2), hexed(key % 65536, 4), hexed(F.col("l_partkey") * 3003 % 4294967296, 8), hexed(F.col("l_suppkey"), 8),
+        F.expr("repeat('0badcafe', cast(l_linenumber % 3 as int))"), hexed(key, 16),
+    )).alias("packet"))
+    h = rtp_header(F.col("packet"))
+    out = rows.withColumn("h", h).select("k", "h.marker", "h.payload_type", "h.seq", "h.timestamp", "h.ssrc", "h.payload_start", F.lower(F.hex(rtp_payload(F.col("packet")))).alias("payload"))
+    return out.withColumn("payload_start", F.col("payload_start").cast("long"))
+
+
+@query("""select l_orderkey as k, l_linenumber as n, case when l_partkey > l_suppkey then (l_partkey - l_suppkey) * 1000 // 90 else 0 end as duration_ms,
+  case when t > 0 and t >= l_suppkey * 1000 and (t - l_suppkey * 1000) // 90 > 0 then (t - l_suppkey * 1000) // 90 else 6000 end as trigger_offset_ms from (select *, l_linenumber * 9000 as t from lineitem)""")
+def clip_offsets(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    times = O.clip_times(F.col("l_suppkey") * 1000, F.col("l_partkey") * 1000, F.col("l_linenumber") * 9000, F.lit(6))
+    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), times.alias("t")).select("k", "n", "t.*")
+
+
 # ---------------------------------------------------------------- streams, run to the end of what is there
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,6 +21,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/camloom/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once. It is deleted when the session's process ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    atexit.register(deleted, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; nothing where the session has ended before."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream. A pattern that matches just the table: a stream takes a single file only by a pattern."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -42,5 +60,6 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame],
     query.awaitTermination()
     if not schema:
         return spark.createDataFrame([], stream.schema)
+    atexit.register(deleted, spark, root)
     out = spark.read.schema(schema[0]).parquet(f"{root}/out")
     return out.select(*schema[0].names)

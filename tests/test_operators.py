@@ -171,3 +171,14 @@ def test_snapshot_of_every_record_against_brute_force(spark, monkeypatch):
         expected.append((camera, window, first, last, len(inside), sum(inside)))
     got = catalog.QUERIES["snapshot_every_record"](spark, None)
     assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_delivered_packets(spark):
+    """In order, waiting, late, twice, far ahead, past the wrap."""
+    from camloom.functions.bitstream import delivered
+
+    seqs = [65533, 65535, 65534, 65534, 0, 2, 3, 1, 10, 12, 60, 59, 61]
+    rows = [("a", k, s) for k, s in enumerate(seqs)] + [("b", k, 5 + k) for k in range(3)]
+    out = sorted((r.camera, r.place, r.seq, r.lost) for r in delivered(spark.createDataFrame(rows, "camera string, arrival long, seq long").repartition(3)).collect())
+    assert [(s, lost) for c, _, s, lost in out if c == "a"] == [(65533, 0), (65534, 0), (65535, 0), (0, 0), (1, 0), (2, 0), (3, 0), (10, 0), (12, 0), (60, 55), (61, 0)]
+    assert [s for c, _, s, _ in out if c == "b"] == [5, 6, 7]
