@@ -248,17 +248,18 @@ def verified(pairs: DataFrame, wanted: DataFrame, table: DataFrame, k: int, simi
     """Those of pairs (u, v) whose texts are similar. A node's text is one of its least id, told by its digest."""
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    who = table.join(ends, "node").groupBy("node").agg(F.min("id").alias("id"))
+    # Written first: then Spark knows its size, and where that is small the texts stay where they are.
+    who = written(table.join(ends, "node").groupBy("node").agg(F.min("id").alias("id")), "who")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [(node, s.tobytes()) for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) if node_of(s := shingles(x.as_buffer().to_pybytes(), k)) == node]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([s for _, s in held], pa.binary())], names=["node", "s"])
 
-    sets = written(wanted.join(who, "id").select("node", "q_text").distinct().mapInArrow(run, "node long, s binary").dropDuplicates(["node"]), "sets")
+    sets = written(wanted.join(who, "id").select("node", "q_text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v")
     edges = written(similar(both.select("u", "v", "x", "y"), similarity), "links")
-    dropped(sets, pairs)
+    dropped(sets, pairs, who)
     return edges
 
 
