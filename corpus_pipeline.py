@@ -6,6 +6,8 @@ of documents. ``run`` writes each stage's result to the shared folder and reads
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents similar by 0.8 or more on five-word shingles, the one with the least id stays; once, if its row repeats."""
-    kept = simhash.near_duplicate_groups(docs).where("doc_id = group_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("q_hash", F.xxhash64(text_of()))
-    stays = once.dropDuplicates(["doc_id", "q_hash"]).drop("q_hash")
-    return stays.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    firsts = simhash.near_duplicate_groups(docs).where("doc_id = group_id").select("doc_id").distinct()
+    rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("q_rows"))
+    # Written first: then Spark knows its size, and where that is small the documents stay where they are.
+    kept = written(firsts.join(rows, "doc_id"), "kept")
+    stays = docs.join(kept, "doc_id")
+    repeated = stays.where("q_rows > 1").withColumn("q_hash", F.xxhash64(text_of())).dropDuplicates(["doc_id", "q_hash"])
+    parts = stays.where("q_rows = 1"), repeated, docs.where("doc_id is null")
+    return reduce(DataFrame.unionByName, (part.select(*docs.columns) for part in parts))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
