@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 #: The six ASCII white space characters that separate words.
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
+SHUFFLES_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def text_of(name: str = "text") -> Column:
@@ -36,14 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here delete their shuffle files as they end, instead of when the driver next collects garbage."""
+    before = spark.conf.get(SHUFFLES_REMOVED)
+    spark.conf.set(SHUFFLES_REMOVED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_REMOVED, before)
+
+
 def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives the loss of executors.
 
-    ``path_of`` gives its place and ``dropped`` deletes it, once nothing reads it any more.
+    Its shuffle files go as soon as it is written. ``path_of`` gives its place and ``dropped`` deletes it, once nothing reads
+    it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/camloom/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    with shuffles_removed(spark):
+        df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.camloom_path = path
     return out

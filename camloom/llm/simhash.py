@@ -255,8 +255,7 @@ def similar(pairs: DataFrame, least: float, kind: type) -> DataFrame:
 
 
 def verified(pairs: DataFrame, wanted: DataFrame, table: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of pairs (u, v) whose texts are similar. A node's text is one of its least id, told by its digest."""
-    pairs = written(pairs, "pairs")
+    """Those of pairs (u, v) whose texts are similar; pairs, a written table, goes. A node's text is one of its least id, told by its digest."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # Written first: then Spark knows its size, and where that is small the texts stay where they are.
     who = written(table.join(ends, "node").groupBy("node").agg(F.min("id").alias("id")), "who")
@@ -287,15 +286,17 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     wanted = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(f"`{text}`").cast("binary").alias("q_text"))
     made = written(prefixes(wanted, k, similarity), "prefixes")
-    table = made.select("id", "node")
+    table = written(made.select("id", "node"), "nodes")
     nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
     candidates = covered(made.select("node", "fp").distinct())
     rows = nodes.select("node", "n", F.posexplode("first").alias("pos", "token")).select("token", F.struct("node", "n", "pos").alias("me"))
     each = Window.partitionBy("token").orderBy("me.node")
     placed = rows.select("token", "me", F.lag("me").over(each).alias("before"), F.first("me").over(each).alias("head"), F.lead("me.node").over(each).alias("after"))
     shared = written(placed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after"), "shared")
-    edges = verified(candidates.unionByName(chained(shared, similarity)).distinct(), wanted, table, k, similarity)
-    more = verified(unjoined(shared, components(edges), similarity), wanted, table, k, similarity)
+    candidates = written(candidates.unionByName(chained(shared, similarity)).distinct(), "pairs")
+    dropped(made)
+    edges = verified(candidates, wanted, table, k, similarity)
+    more = verified(written(unjoined(shared, components(edges), similarity), "pairs"), wanted, table, k, similarity)
     dropped(shared)
     roots = components(edges.unionByName(more))
     named = table.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
