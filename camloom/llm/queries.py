@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from camloom.llm import chat, html, media, mixing, packing, quality, sharding, simhash, suffixes, tokens
+from camloom.llm import bytebpe, chat, html, media, mixing, packing, quality, runs, search, sharding, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_ranked_search": search.op12_ranked_search,
+    "op13_byte_bpe": bytebpe.op13_byte_bpe,
 }
 ORACLES = {
     "op1_mixing": mixing.oracle_sql(),
     "op8_sharding": sharding.oracle_sql(),
     "op10_quality_rules": quality.oracle_sql(),
+    "op12_ranked_search": search.oracle_sql(),
 }
