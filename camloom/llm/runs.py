@@ -10,7 +10,7 @@ what is equal there, the true stretch is measured to its ends. Two periods of on
 greatest common divisor as a period too, so a place inside a run that is known already, for a lag that its period divides, is passed over,
 and of runs over the same words the one with the least lag has the smallest period.
 
-Texts of up to ``LONG`` words are scanned for all lags where they are. Longer ones are dealt to tasks by (text, range of lags), each
+Texts of up to ``LONG`` bytes are scanned for all lags where they are. Longer ones are dealt to tasks by (text, range of lags), each
 range twice as long as all before it, so that their number grows with the logarithm of the text; equal texts are scanned once.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql.types import StructType
 from camloom.llm.common import SPACES, text_of
 
 MIN_EXP, MIN_WORDS = 4, 6
-#: Words of a text beyond which its lags are dealt out, and lags of the first range.
-LONG, FIRST_RANGE = 1 << 13, 1 << 10
+#: Bytes of a text beyond which its lags are dealt out, and lags of the first range.
+LONG, FIRST_RANGE = 1 << 16, 1 << 10
 #: Words that are laid end to end at once; a longer text is alone.
 BLOCK = 1 << 19
 #: Runs of a text: starts, lengths and periods, by start and then period.
@@ -193,8 +193,7 @@ def periodic_runs(docs: DataFrame, carry: list[str], text: str = "text", long: i
     names = {c: f"c_{n}" for n, c in enumerate(carry)}
     kept = list(names.values())
     rows = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in names.items()), text_of(f"`{text}`").alias("q_text"))
-    # A text of n words has 2 n - 1 bytes at least.
-    long_words = F.when(F.octet_length("q_text") >= 2 * long, F.size(F.split(F.trim(F.col("q_text")), f"[{SPACES}]+"))).otherwise(0)
+    is_long = F.octet_length("q_text") > long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,12 +223,11 @@ def periodic_runs(docs: DataFrame, carry: list[str], text: str = "text", long: i
             if made:
                 yield pa.RecordBatch.from_arrays([b.column("q_key"), *_columns(made)], names=["q_key", *OUT])
 
-    counted = rows.withColumn("q_words", long_words)
-    plain = counted.where(F.col("q_words") <= long).drop("q_words")
-    short = plain.mapInArrow(run, StructType(rows.drop("q_text").schema.fields + StructType.fromDDL(OUT_DDL).fields))
-    keyed = counted.where(F.col("q_words") > long).withColumn("q_key", F.sha2("q_text", 256))
-    texts = keyed.groupBy("q_key").agg(F.first("q_text").alias("q_text"), F.first("q_words").alias("q_words"))
-    dealt = texts.select("q_key", "q_text", F.explode(lag_ranges(F.col("q_words"), first=first)).alias("r")).where("r.from <= r.to").select("q_key", "q_text", "r.from", "r.to")
+    short = rows.where(~is_long).mapInArrow(run, StructType(rows.drop("q_text").schema.fields + StructType.fromDDL(OUT_DDL).fields))
+    keyed = rows.where(is_long).withColumn("q_key", F.sha2("q_text", 256))
+    texts = keyed.groupBy("q_key").agg(F.first("q_text").alias("q_text"))
+    n = F.size(F.array_remove(F.split("q_text", f"[{SPACES}]+"), ""))
+    dealt = texts.select("q_key", "q_text", F.explode(lag_ranges(n, first=first)).alias("r")).where("r.from <= r.to").select("q_key", "q_text", "r.from", "r.to")
     found = dealt.repartition("q_key", "from").mapInArrow(ranges, "q_key string, s long, n long, q long")
     listed = found.groupBy("q_key", "s", "n").agg(F.min("q").alias("q")).groupBy("q_key").agg(F.collect_list(F.struct("s", "n", "q")).alias("found"))
     whole = texts.select("q_key", "q_text").join(listed, "q_key", "left").mapInArrow(finished, StructType(texts.select("q_key").schema.fields + StructType.fromDDL(OUT_DDL).fields))
@@ -249,7 +247,8 @@ def planted(doc_id: Column, text: Column) -> Column:
     times = F.ceil((n - a) / p).cast("int")
     repeated = F.slice(F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), times)), F.lit(1), (n - a).cast("int"))
     made = F.concat(F.slice(words, F.lit(1), a.cast("int")), repeated)
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+    # In two steps, so that the words of the other texts are never looked for.
+    return F.when(h % 10 == 0, F.when(n > 0, F.array_join(made, " ")).otherwise(text)).otherwise(text)
 
 
 def op11_periodic_runs(spark, sf_dir):
