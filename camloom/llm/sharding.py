@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -24,6 +25,8 @@ from pyspark.sql.types import StructField, StructType
 from camloom.llm.common import delete, shared_dir, text_of
 
 FANOUT, TARGET_BYTES, ARRIVALS = 4, 64 << 20, 8
+#: Bytes of arrivals that one task writes, so that a table in many small parts doesn't become as many tiny shards.
+TASK_BYTES = 16 << 20
 #: Commits that a writer tries, each on what the others left.
 ATTEMPTS = 20
 
@@ -133,14 +136,22 @@ class ShardStore:
         arrivals.write.parquet(folder)
         return self._added(folder, schema)
 
-    def append_batches(self, arrivals: DataFrame, batch: Column) -> dict:
-        """Rows of many arrivals, read and written once; each batch number in order is a commit of its own."""
+    def append_batches(self, arrivals: DataFrame, batch: Column, task_bytes: int = TASK_BYTES) -> dict:
+        """Rows of many arrivals, read and written once; each batch number in order is a commit of its own, a null one the last.
+
+        Parts of the arrivals are read together, some ``task_bytes`` (as Spark estimates them) in a task, without a shuffle; a task
+        writes a shard for each batch it meets. Nulls, repeated rows and ties stay; an empty table commits nothing but the schema.
+        """
         schema = _nullable(arrivals.schema).json()
         self._same_columns(self.manifest(), schema)
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        arrivals.withColumn("q_batch", batch.cast("int")).write.partitionBy("q_batch").parquet(folder)
-        for k in sorted(int(s.getPath().getName().partition("=")[2]) for s in self.fs.listStatus(self._path(folder)) if s.isDirectory()):
-            self._added(f"{folder}/q_batch={k}", schema)
+        size = int(str(arrivals._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        packed = arrivals.coalesce(max(1, min(math.ceil(size / task_bytes), 1 << 20)))
+        packed.withColumn("q_batch", batch.cast("int")).write.partitionBy("q_batch").parquet(folder)
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(folder)) if s.isDirectory()]
+        number = lambda name: int(name.partition("=")[2]) if re.fullmatch("q_batch=-?[0-9]+", name) else math.inf
+        for name in sorted(names, key=number):
+            self._added(f"{folder}/{name}", schema)
         return self._added(f"{folder}/none", schema) if self.version() == 0 else self.manifest()
 
     def tiers(self, shards: list[dict]) -> dict[int, list[dict]]:
@@ -151,12 +162,13 @@ class ShardStore:
                 out.setdefault(int(math.log(max(s["bytes"], 1), self.fanout)), []).append(s)
         return out
 
-    def compact(self) -> dict:
+    def compact(self, keep_old: bool = True) -> dict:
         """Merges tiers, least sizes first, until none has FANOUT shards. Each merge is a commit of its own.
 
         Spark packs a tier's shards, each below the target, into tasks of up to twice the target, and each task writes a file: all
-        but the last are above the target. Shards that a merge replaced stay until ``vacuum``, for readers of older versions. Where another
-        writer has meanwhile replaced a shard, what the merge wrote is deleted and the tiers are looked at anew.
+        but the last are above the target. Shards that a merge replaced stay until ``vacuum``, for readers of older versions; a writer
+        that owns the store may let them go after each commit (``keep_old=False``). Where another writer has meanwhile replaced a
+        shard, what the merge wrote is deleted and the tiers are looked at anew. No rows, one file or an empty store change nothing.
         """
         while True:
             now = self.manifest()
@@ -165,8 +177,10 @@ class ShardStore:
                 return now
             merged = full[0]
             folder = f"{self.root}/shards/{uuid.uuid4().hex}"
+            # Fewer files than there were, whatever sizes the session reads in.
+            most = max(1, sum(s["bytes"] for s in merged) // self.target)
             with self._tasks_of(2 * self.target):
-                self.read(merged, now["schema"]).write.parquet(folder)
+                self.read(merged, now["schema"]).coalesce(most).write.parquet(folder)
             made, gone = self._files(folder, level=max(s["level"] for s in merged) + 1), {s["path"] for s in merged}
 
             def change(now: dict, made: list[dict] = made, gone: set[str] = gone) -> dict | None:
@@ -181,6 +195,8 @@ class ShardStore:
                 raise
             if done is None:
                 delete(self.spark, folder)
+            elif not keep_old:
+                self.vacuum()
 
     @contextmanager
     def _tasks_of(self, size: int) -> Iterator[None]:
@@ -197,7 +213,7 @@ class ShardStore:
 
     def vacuum(self, versions: int = 1) -> int:
         """Deletes manifests but the last ``versions`` and the shards that only they list; how many shards. Files that no manifest
-        lists stay: a writer may be about to commit them."""
+        lists stay: a writer may be about to commit them. An empty store has nothing to delete."""
         last = self.version()
         numbers = [v for v in range(last, 0, -1) if self.fs.exists(self._place(v))]
         live = {s["path"] for v in numbers[:versions] for s in self.manifest(v)["shards"]}
@@ -237,7 +253,7 @@ def op8_sharding(spark, sf_dir):
     # The remainder has the sign of the id; batches go by the remainder that is never negative.
     arrival = F.coalesce(F.col("doc_id"), F.lit(0)) % ARRIVALS
     store.append_batches(docs.withColumn("arrival", arrival), F.pmod(arrival, F.lit(ARRIVALS)))
-    store.compact()
+    store.compact(keep_old=False)
     store.vacuum()
     # file:/a and file:///a are one place
     place = lambda c: F.regexp_replace(c, "^([a-z]+):/+", "$1:/")
