@@ -151,15 +151,16 @@ def formatted(events: DataFrame, learned: frozenset[str] = frozenset({"assistant
 
 
 def events_of(turns: DataFrame) -> DataFrame:
-    """A log from finished turns (conv_id, turn, role, text): each opens a message and streams its text.
+    """A log from finished turns (conv_id, turn, role, text): each opens a message and streams its text into it.
 
-    Turns with equal or null numbers are ordered by role and text, nulls first. A turn's text and role ride on its opening
-    event's order, so that the delta follows it.
+    Turns with equal or null numbers are ordered by role and text, nulls first; each of repeated turns is a message of its own. A
+    turn's text and role ride on its opening event's order, with a number of its row, so that a delta follows its own opening.
     """
     part = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     none = F.lit(None).cast("string")
-    order = F.struct(F.col("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
-    both = turns.select("conv_id", order.alias("order"), F.explode(F.array(part("open", F.col("role"), none), part("delta", none, F.col("text")))).alias("e"))
+    order = F.struct(F.col("turn"), F.col("role").alias("role"), F.col("text").alias("text"), F.col("q_row").alias("row"))
+    single = turns.withColumn("q_row", F.monotonically_increasing_id())
+    both = single.select("conv_id", order.alias("order"), F.explode(F.array(part("open", F.col("role"), none), part("delta", none, F.col("text")))).alias("e"))
     return both.select("conv_id", F.struct("order", (F.col("e.kind") != "open").alias("late")).alias("seq"), "e.kind", "e.role", "e.text", F.lit(None).cast("long").alias("target"))
 
 
