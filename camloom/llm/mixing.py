@@ -2,12 +2,16 @@
 
 The documents of a source form a queue in a random order fixed by a hash. A document's virtual finish time is the words
 of its source's queue up to and with it, over the source's target; a source that is to give more than it has queues
-again in the same order, up to three times. All queue entries in order of finish time, cut where the words reach the
-total budget, are the mix.
+again in the same order, up to three times. The targets add up to the budget, so what has finished by time 1 is within it, for
+every source.
+
+A long document would keep all behind it waiting. So what has not finished by time 1 queues again behind what has, the smallest
+first, and takes what of it finishes by time 1 now. Then no entry that is left fits its source, and each source's next one, the smallest
+that is left, comes last if it brings the source nearer to its target: these are sorted by finish time over all sources and cut where the words reach the
+total budget. A source's words differ from its target by less than its smallest entry that is left.
 
 Running sums never need one task: within a source they go by ranges of the hash (sums of ranges first, in
-two levels, then inside each), and the cut is found from sums of parts of the finish time, then of parts of the one part
-in which the budget ends, until few entries are left.
+two levels, then inside each). The smallest that are left are found from sums by size, and inside one size by ranges of the hash again.
 """
 
 from __future__ import annotations
@@ -25,10 +29,6 @@ MOST_PASSES = 3
 SEED = "mix-1"
 #: Rows of a range in which running sums are made by one task.
 RANGE_ROWS = 5_000
-#: Parts into which finish times are cut at once to find where the budget ends.
-BINS = 4096
-#: Times of cutting after which only equal finish times can be in one part.
-LEVELS = 5
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -72,17 +72,46 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     summed = keyed.withColumn("upto", F.sum("size").over(inside))
     placed = summed.join(same(offsets, aims).withColumnsRenamed({"source": "q_source", "range": "q_range"}), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("range") == F.col("q_range")))
-    queue = written(placed.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("upto") + F.col("offset")).alias("upto")), "queue")
-
-    finish = lambda e: (F.col("upto") + e * F.col("source_size")) / F.col("target")
-    entries = queue.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))).alias("pass")).withColumn("finish", finish(F.col("pass")))
-    over = first_over(entries)
-    within = lambda e: F.lit(True)
-    if over is not None:
-        at = F.struct(*(F.lit(x).cast(entries.schema[c].dataType).alias(c) for c, x in zip(ORDER, over, strict=True)))
-        within = lambda e: F.struct(finish(e).alias("finish"), F.col("key"), F.col("doc_id"), F.col("size"), F.lit(e).alias("pass")) < at
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(sum((F.coalesce(within(e), F.lit(False)).cast("int") for e in range(MOST_PASSES)), F.lit(0)))
-    return queue.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    finished = lambda e: F.col("offset") + F.col("upto") + e * F.col("source_size") <= F.col("target")
+    first = F.when(F.col("size") == 0, MOST_PASSES).otherwise(sum((finished(e).cast("int") for e in range(MOST_PASSES)), F.lit(0)))
+    queue = written(placed.select("doc_id", "source", "size", "key", "range", "source_size", "target", first.alias("first")), "queue")
+
+    rest = MOST_PASSES - F.col("first")
+    marks = written(refilled(queue.withColumn("rest", rest)), "marks")
+    marked = same(queue.withColumn("rest", rest), marks.select("source", "mark", "at_mark"))
+    at = marked.where("size = mark and rest > 0")
+    before = before_ranges(at.groupBy("source", "range").agg(F.sum("rest").cast("long").alias("range_size")), digits)
+    up = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = at.withColumn("earlier", F.coalesce(F.sum("rest").over(up), F.lit(0)))
+    inner = numbered.join(before.withColumnsRenamed({"source": "q_source", "range": "q_range"}), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("range") == F.col("q_range")))
+    among = inner.withColumn("again", F.least(F.greatest(F.col("at_mark") - F.col("offset") - F.col("earlier"), F.lit(0)), F.col("rest")))
+    others = marked.where("size != mark or mark is null or rest = 0").withColumn("again", F.when(F.col("mark").isNull() | (F.col("size") < F.col("mark")), F.col("rest")).otherwise(0))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("first") + F.col("again")).cast("int")
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    return others.unionByName(among, allowMissingColumns=True).select(*names, copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+
+
+def refilled(queue: DataFrame) -> DataFrame:
+    """(source, size, source_size, target, first, rest) -> for each source the size (mark) below which all that is left is taken, and how many
+    entries of that size are (at_mark). A null mark: all is taken. Sums go by size, so a source is as many rows as it has sizes."""
+    named = {"source": "q_source"}
+    taken = queue.groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.sum(F.col("size") * F.col("first")).cast("long").alias("taken"), F.sum(F.when(F.col("size") > 0, F.col("size") * F.col("rest"))).cast("long").alias("all"))
+    sizes = queue.where("size > 0 and rest > 0").groupBy("source", "size").agg(F.sum(F.col("size") * F.col("rest")).cast("long").alias("words"))
+    upto = sizes.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("size")))
+    gaps = taken.withColumn("gap", F.col("target") - F.col("taken"))
+    over = upto.join(gaps.select(F.col("source").alias("q_source"), "gap"), F.col("source").eqNullSafe(F.col("q_source"))).where("upto > gap")
+    least = over.groupBy("source").agg(F.min(F.struct("size", (F.col("upto") - F.col("words")).alias("below"))).alias("least"))
+    marks = gaps.join(least.withColumnsRenamed(named), F.col("source").eqNullSafe(F.col("q_source")), "left")
+    fit = F.floor((F.col("gap") - F.col("least.below")) / F.col("least.size")).cast("long")
+    filled = marks.select("source", "target", "source_size", F.col("least.size").alias("mark"), fit.alias("fit"), (F.col("taken") + F.coalesce(F.col("least.below") + fit * F.col("least.size"), F.col("all"), F.lit(0))).alias("taken"))
+    # One row a source: the next entry of each that comes nearer by it, in order of finish time, as long as the budget lasts.
+    every = Window.partitionBy(F.lit(0))
+    budget = F.sum("source_size").over(every) - F.sum("taken").over(every)  # in whole words
+    nearer = F.coalesce(F.col("mark") < 2 * (F.col("target") - F.col("taken")), F.lit(False))
+    order = Window.partitionBy(F.lit(0)).orderBy((F.col("taken") + F.col("mark")) / F.col("target"), F.col("source").isNull(), "source")
+    words = F.sum(F.when(F.col("nearer"), F.col("mark")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = filled.withColumn("nearer", nearer).withColumn("budget", budget).withColumn("one", (F.col("nearer") & (words <= F.col("budget"))).cast("int"))
+    return last.select("source", "mark", (F.col("fit") + F.col("one")).alias("at_mark"))
 
 
 def before_ranges(sums: DataFrame, digits: int) -> DataFrame:
@@ -97,35 +126,6 @@ def before_ranges(sums: DataFrame, digits: int) -> DataFrame:
     return both.select("source", "range", (F.col("far") + F.col("close")).alias("offset"))
 
 
-ORDER = ("finish", "key", "doc_id", "size", "pass")
-
-
-def first_over(entries: DataFrame) -> tuple | None:
-    """The first entry, as its ORDER values, with which the words in order exceed the budget (all words queued once); None if none does.
-
-    Finish times are cut into BINS equal parts, the part in which the budget ends into BINS again, and so on until it is small
-    enough to sort. Only the sums of parts leave the tasks, and each look at the entries is one aggregation.
-    """
-    facts = entries.agg(F.sum(F.when(F.col("pass") == 0, F.col("size"))), F.max("finish")).first()
-    if not facts[0]:
-        return None
-    left, scale = facts[0], BINS / (facts[1] * (1 + 1e-9))
-    rows, rest = entries, F.col("finish") * F.lit(scale)
-    for _ in range(LEVELS):
-        rows = rows.withColumn("bin", F.floor(rest)).withColumn("rest", rest - F.floor(rest))
-        sums = rows.groupBy("bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("words").over(Window.orderBy("bin")))
-        at = sums.where(F.col("upto") > left).orderBy("bin").first()
-        if at is None:
-            return None
-        left -= at["upto"] - at["words"]
-        rows = rows.where(F.col("bin") == at["bin"])
-        if at["k"] <= RANGE_ROWS:
-            break
-        rest = F.col("rest") * F.lit(float(BINS))
-    ordered = Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("sum", F.sum("size").over(ordered)).where(F.col("sum") > left).orderBy(*ORDER).select(*ORDER).first()
-
-
 def op1_mixing(spark, sf_dir):
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -143,8 +143,17 @@ lv as (select rest as l_rest, w_rest as l_w from s3 where not stops order by cap
 aims as (select source, source_size, case when stops then cap else (select l_rest from lv) * weight / (select l_w from lv) end as target from s3),
 queue as (select z.*, source_size, target, sum(size) over (partition by z.source order by key, doc_id, size rows between unbounded preceding and current row) as upto
     from sized z join aims a on z.source is not distinct from a.source),
-entries as (select *, (upto + pass * source_size) / target as finish from queue, (select unnest(range({MOST_PASSES})) as pass) where size > 0),
-cut as (select *, sum(size) over (order by finish, key, doc_id, size, pass rows between unbounded preceding and current row) as words from entries),
-copies as (select doc_id, source, size, upto, count(*) as n from cut where words <= (select sum(size) from sized) group by all)
-select q.doc_id, q.size, q.source_size, q.target, cast(q.size * coalesce(c.n, 0) as bigint) as taken
-from queue q left join copies c on q.doc_id is not distinct from c.doc_id and q.source is not distinct from c.source and q.size = c.size and q.upto = c.upto"""
+firsts as (select *, case when size = 0 then 0 else {MOST_PASSES} - ({' + '.join(f"cast(upto + {e} * source_size <= target as int)" for e in range(MOST_PASSES))}) end as rest from queue),
+gaps as (select source, any_value(target) as target, cast(sum(size * ({MOST_PASSES} - rest)) as bigint) as had, any_value(target) - had as gap from firsts group by source),
+line as (select f.*, gap, sum(rest * size) over (partition by f.source order by size, key, doc_id rows between unbounded preceding and current row) - rest * size as before
+    from firsts f join gaps g on f.source is not distinct from g.source where size > 0),
+fill as (select *, cast(greatest(0, least(rest, floor((gap - before) / size))) as bigint) as again, row_number() over (partition by source order by size, key, doc_id) as place from line),
+nexts as (select source, min_by(size, place) as mark, min(place) as place from fill where again < rest group by source),
+ends as (select g.source, g.target, cast(g.had + coalesce(sum(f.again * f.size), 0) as bigint) as had from gaps g left join fill f on g.source is not distinct from f.source group by g.source, g.target, g.had),
+near as (select e.source, mark, place, (e.had + mark) / e.target as finish from ends e join nexts n on e.source is not distinct from n.source where mark < 2 * (e.target - e.had)),
+lasts as (select source, place, sum(mark) over (order by finish, source is null, source rows between unbounded preceding and current row) as words from near),
+extra as (select source, place from lasts where words <= (select sum(size) from sized) - (select sum(had) from ends))
+select f.doc_id, f.size, f.source_size, f.target, cast(0 as bigint) as taken from firsts f where f.size = 0
+union all
+select f.doc_id, f.size, f.source_size, f.target, cast(f.size * ({MOST_PASSES} - rest + again + cast(x.place is not null as int)) as bigint) as taken
+from fill f left join extra x on f.source is not distinct from x.source and f.place = x.place"""

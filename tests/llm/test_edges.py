@@ -46,6 +46,8 @@ def test_mixing(spark, odd):
     [(-3, "x " * 40, "en", None), (None, "y " * 9, "en", None), (7, "z", "en", "c"), (7, "z", "en", "c"), (8, None, "en", "d")],
     [(k, "w " * (1 + k * k % 50), "en", "abc"[k % 3]) for k in range(300)],
     [(1, None, "en", "a")],
+    [(0, "x " * 20_000, "en", "a"), *((k, "y " * 20, "en", "a") for k in range(1, 200)), *((k, "z " * 20, "en", "b") for k in range(200, 900))],
+    [(k, "y " * (1 + k % 3), "en", "abc"[k % 3]) for k in range(400)] + [(1000 + k, "x " * 900, "en", "abc"[k]) for k in range(3)],
 ])
 def test_mixing_against_its_twin(spark, tmp_path, monkeypatch, rows):
     import duckdb
@@ -54,14 +56,31 @@ def test_mixing_against_its_twin(spark, tmp_path, monkeypatch, rows):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     expected = c.sql(mixing.oracle_sql())
-    for rows_, bins in ((5000, 4096), (3, 64)):  # in one part, and in many
+    for rows_ in (5000, 3):  # in one part, and in many
         monkeypatch.setattr(mixing, "RANGE_ROWS", rows_)
-        monkeypatch.setattr(mixing, "BINS", bins)
-        monkeypatch.setattr(mixing, "LEVELS", 5 if bins > 64 else 9)
         got = mixing.op1_mixing(spark, str(tmp_path)).select(*expected.columns)
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected.fetchall()))
 
 
+def test_a_long_document_keeps_none_waiting(spark):
+    """A source's words differ from its target by less than its smallest entry that is left, wherever its long documents stand."""
+    import collections
+
+    small = lambda first, n, source: [(first + k, "w " * 100, "en", source) for k in range(n)]
+    one = [(0, "x " * 100_000, "en", "a"), *small(1, 199, "a"), *small(1000, 2000, "b")]
+    three = [*small(0, 1000, "a"), *small(1000, 1000, "b"), *small(2000, 1000, "c"), (9999, "x " * 200_000, "en", "c")]
+    alone = [(1, "x " * 5000, "en", "b"), *((k, "y " * (1 + k % 7), "en", "a") for k in range(2, 400))]
+    for rows in (one, three, alone):
+        taken, target, left = collections.Counter(), {}, collections.defaultdict(lambda: float("inf"))
+        for r in mixing.mixed(table(spark, rows)).collect():
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            if r.copies < 3:
+                left[r.source] = min(left[r.source], r.size)
+        assert all(abs(taken[s] - target[s]) < left[s] for s in target), (taken, target, left)
+        assert sum(taken.values()) <= sum(target.values()) + 1e-6
+
+
 def test_media(spark, odd):
     made = media.media_columns(media.stored(odd, ["doc_id", "media", "n_bytes" if "n_bytes" in odd.columns else "lang"]), ["doc_id", "n_bytes", "lang"])
     rows = made.collect()
@@ -383,6 +402,16 @@ def test_sharding_writes_files_of_the_target_size(spark, tmp_path):
     assert store.read().distinct().count() == 24_000
 
 
+def test_sharding_packs_arrivals_in_many_parts(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=100_000, fanout=4)
+    rows = spark.range(0, 4000, 1, 100).select("id", F.sha2(F.col("id").cast("string"), 512).alias("t"))
+    store.append_batches(rows, F.when(F.col("id") % 9 < 8, F.col("id") % 9 - 4))
+    assert len(store.manifest()["shards"]) == 9 and store.version() == 9 and "HIVE_DEFAULT" in max(store.manifest()["shards"], key=lambda s: "HIVE" in s["path"])["path"]
+    store.compact(keep_old=False)
+    on_disk = sum(f.stat().st_size for f in (tmp_path / "store/shards").rglob("part-*.parquet"))
+    assert on_disk == sum(s["bytes"] for s in store.manifest()["shards"]) and store.read().distinct().count() == 4000
+
+
 def test_sharding_tries_again_after_a_conflict(spark, tmp_path, monkeypatch):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", fanout=2)
     rows = lambda k: spark.range(k, k + 10, 1, 1)
@@ -422,7 +451,18 @@ def test_chat_fold(spark):
     a, e = out[1].loss_starts[0], out[1].loss_ends[0]
     assert out[1].formatted[a:e] == "New" and chat.formatted(spark.createDataFrame([], EVENTS)).count() == 0
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None)], "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash"))
-    assert chat.read_back(chat.formatted(chat.events_of(turns))).first().n_turns == 3
+    assert chat.parse(chat.formatted(chat.events_of(turns)).first().formatted) == [("", ""), ("user", "a"), ("user", "a")]
+
+
+def test_chat_of_repeated_rows(spark):
+    """Each of repeated turns is a message with its own text, under its own span of the mask, however the rows are dealt."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "ya")] * 3 + [(2, 0, "assistant", None)] * 2 + [(2, 0, None, "x")]
+    for parts in (1, 5):
+        turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(parts)
+        out = {r.conv_id: r for r in chat.formatted(chat.events_of(turns)).collect()}
+        assert chat.parse(out[1].formatted) == [("user", "hi")] * 3 + [("assistant", "ya")] * 3 + [("assistant", "yo")] * 3
+        assert [out[1].formatted[a:e] for a, e in zip(out[1].loss_starts, out[1].loss_ends, strict=True)] == ["ya"] * 3 + ["yo"] * 3
+        assert chat.parse(out[2].formatted) == [("", "x"), ("assistant", ""), ("assistant", "")]
 
 
 def test_chat_round_trip():
