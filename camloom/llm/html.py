@@ -28,9 +28,9 @@ WINDOW, SURGE = 3, 86
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<\Z""", re.S
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option",
@@ -55,6 +55,8 @@ ASIDE_NAMES = {
 #: footers only to the first row ("site-header", but not "entry-header").
 OF_SITE = {"site", "main", "global", "primary", "top", "bottom"}
 JOINED = OF_SITE | {"secondary", "left", "right", "list", "area", "section", "block", "box", "container", "wrapper", "wrap", "bar", "links", "slot", "unit", "policy", "posts"}
+#: Such words name what an article is about as well as they name a control: inside an article its elements tell.
+OF_CONTROLS = {"search", "form", "login", "toolbar"}
 NEVER_ASIDE = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Blocks whose text may begin an article, and those whose text may end one, however short.
 BEGINS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"}
@@ -66,18 +68,30 @@ def is_named_aside(token: str, in_article: bool = False) -> bool:
     parts = re.split("[-_]+", token)
     if {"header", "footer"} & {*parts}:
         return not in_article and all(p in OF_SITE or p in ("header", "footer") for p in parts)
+    if in_article and OF_CONTROLS & {*parts}:
+        return False
     return any(p in ASIDE_NAMES for p in parts) and all(p in ASIDE_NAMES or p in JOINED for p in parts)
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """The attributes of a tag by name, the first of equals; one without a value is empty. What quotes hold is never a name."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(raw):
+        if name:
+            out.setdefault(name.lower(), a or b or c)
+    return out
+
+
 def kind_of(name: str, attributes: str, in_article: bool) -> str:
     """"aside" by the element's name or as hidden, "named" by its names, or "" for neither."""
     if name in ASIDE or name == "header" and not in_article:
         return "aside"
     if not attributes or name in NEVER_ASIDE:
         return ""
-    if HIDDEN.search(attributes):
+    has = attributes_of(attributes)
+    if "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or NOT_SHOWN.search(has.get("style", "")):
         return "aside"
-    names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower().split()
+    names = " ".join(has.get(a, "") for a in ("class", "id", "role")).lower().split()
     return "named" if any(is_named_aside(t, in_article) for t in names) else ""
 
 
@@ -237,7 +251,8 @@ def main_text(page: str) -> str:
         elif surge is not None and now == 0:
             first = next((i for i in range(surge, k) if weighed[i][1]), k)
             end = next((i for i in range(k - 1, first - 1, -1) if weighed[i][2]), first - 1)
-            kept += [found[i].text for i in range(first, end + 1) if weighed[i][0]]
+            # A paragraph that is all link is part of the article it stands in.
+            kept += [found[i].text for i in range(first, end + 1) if weighed[i][0] or found[i].block in BEGINS and not found[i].aside and found[i].article == found[first].article]
             surge = None
     return "\n\n".join(kept)
 

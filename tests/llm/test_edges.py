@@ -227,6 +227,11 @@ def test_html_without_marks_is_told_by_the_distribution(spark):
     ("<div class=widget><p>" + "long text " * 30 + "</p><div class=comment-list><p>nice</p></div></div>", ("long text " * 30).strip()),
     ("<div>" + "a paragraph in a div of some length " * 4 + "</div><div>by us</div>", ("a paragraph in a div of some length " * 4).strip()),
     ("<article>tease</article><div><p>" + "the real text is elsewhere on this page " * 9 + "</p></div>", ("the real text is elsewhere on this page " * 9).strip()),
+    ('<article><p>First.</p><p title="the hidden truth">Second.</p><p data-x="a hidden gem is">Third.</p><p hidden>no</p><p style="display: none">no</p><p aria-hidden=true>no</p><p>Last.</p></article>', "First.\n\nSecond.\n\nThird.\n\nLast."),
+    ('<article><p>One.</p><section class="search"><h2>Search</h2><p>How search works.</p></section><form class="search"><p>Find</p></form><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> in it.</p></article>', "One.\n\nSearch\n\nHow search works.\n\nWith x=1 in it."),
+    ("<div><p>" + "a long paragraph of plain text " * 8 + "</p><p><a href=x>A paragraph that is one link, whole.</a></p><p>" + "another paragraph of plain text " * 8 + "</p></div>",
+     ("a long paragraph of plain text " * 8).strip() + "\n\nA paragraph that is one link, whole.\n\n" + ("another paragraph of plain text " * 8).strip()),
+    ("<article><p title='a > b' class=\"x\"id=y>kept</p><p data-y='class=\"ad\"'>kept too</p><p CLASS=AD>no</p></article>", "kept\n\nkept too"),
     ("just text", "just text"), ("<ul><li><a>a</a><li><a>b</a></ul>", ""), ("<table><tr><td>a<td>b<tr><td>c</table>", ""),
 ])
 def test_html_cases(page, expected):
