@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,8 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 #: Buckets of hashes whose sizes give the order of shingles, and members of a shingle that are held against each other at once.
 BUCKETS, MEMBERS = 1 << 18, 4096
+#: Prefix shingles are dealt out in so many passes, each with its share of them: what a pass shuffles is gone before the next.
+PASSES = 4
 #: Bounds are loosened by so much, so that rounding never loses a pair; what they let through is verified.
 SLACK = 1 - 1e-12
 
@@ -207,6 +210,18 @@ def may_pair(a: str, b: str, similarity: float) -> Column:
     return sizes & (F.lit(1 + similarity) * F.least(n - i, m - j) >= F.lit(similarity * SLACK) * (n + m))
 
 
+def members(kinds: DataFrame, part: int, parts: int = PASSES) -> DataFrame:
+    """(node, n, first) -> token, me, before, head: each member of a prefix shingle with the one before it and the first, in order of
+    nodes; of the shingles of one pass that have two members or more. A row has three numbers as it is shuffled."""
+    places = F.col("n") * F.lit(1 << 32) + F.col("pos")
+    rows = kinds.select("node", "n", F.posexplode("first").alias("pos", "token")).where(F.pmod("token", F.lit(parts)) == part).select("token", "node", places.alias("at"))
+    each = Window.partitionBy("token").orderBy("node")
+    beside = rows.select("token", "node", "at", *(f(c).over(each).alias(f"{name}_{c}") for name, f in (("before", F.lag), ("head", F.first)) for c in ("node", "at")), F.lead("node").over(each).alias("after"))
+    member = lambda node, at: F.struct(F.col(node).alias("node"), F.shiftright(at, 32).alias("n"), F.col(at).bitwiseAND((1 << 32) - 1).alias("pos"))
+    some = beside.where("before_node is not null or after is not null")
+    return some.select("token", member("node", "at").alias("me"), F.when(F.col("before_node").isNotNull(), member("before_node", "before_at")).alias("before"), member("head_node", "head_at").alias("head"))
+
+
 def chained(shared: DataFrame, similarity: float) -> DataFrame:
     """Distinct (u, v): each member of a shingle with the one before it and the first, where they may pair. Links most large groups."""
     met = shared.select("me", F.explode(F.array("before", "head")).alias("other"))
@@ -287,17 +302,16 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     wanted = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(f"`{text}`").cast("binary").alias("q_text"))
     made = written(prefixes(wanted, k, similarity), "prefixes")
     table = written(made.select("id", "node"), "nodes")
-    nodes = made.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    candidates = covered(made.select("node", "fp").distinct())
-    rows = nodes.select("node", "n", F.posexplode("first").alias("pos", "token")).select("token", F.struct("node", "n", "pos").alias("me"))
-    each = Window.partitionBy("token").orderBy("me.node")
-    placed = rows.select("token", "me", F.lag("me").over(each).alias("before"), F.first("me").over(each).alias("head"), F.lead("me.node").over(each).alias("after"))
-    shared = written(placed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after"), "shared")
-    candidates = written(candidates.unionByName(chained(shared, similarity)).distinct(), "pairs")
+    kinds = written(made.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "first"))), "kinds")
     dropped(made)
+    close = written(covered(kinds.select("node", "fp")), "close")
+    parts = [written(members(kinds, part), "shared") for part in range(PASSES)]
+    shared = reduce(DataFrame.unionByName, parts)
+    candidates = written(close.unionByName(chained(shared, similarity)).distinct(), "pairs")
+    dropped(kinds, close)
     edges = verified(candidates, wanted, table, k, similarity)
     more = verified(written(unjoined(shared, components(edges), similarity), "pairs"), wanted, table, k, similarity)
-    dropped(shared)
+    dropped(*parts)
     roots = components(edges.unionByName(more))
     named = table.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("id").alias("group_id"))
