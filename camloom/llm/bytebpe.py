@@ -25,11 +25,11 @@ from pyspark.sql.window import Window
 from camloom.llm.common import text_of, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CHUNK, OVERLAP = 1 << 14, 1 << 8
+CHUNK, OVERLAP = 1 << 16, 1 << 8
 #: A match is sure only if so many characters after it were seen: the longest look ahead ('re, or white space before a word).
 AHEAD = 2
 #: Distinct matches that a worker remembers at most, and the longest of them; beyond, it starts anew.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 1 << 17, 64
 #: Bytes of decoded text that are sent at once; a single longer text goes alone.
 BLOCK = 1 << 26
 
@@ -104,7 +104,7 @@ def _lists(ids: list[bytes]) -> pa.Array:
 
 
 def _chunked(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(q_key, q_text) -> the chunks: q_key, k, start, final, q_text. Dealt by (q_key, k), so that a text's chunks part."""
+    """(q_key, q_text) -> the chunks: q_key, k, start, final, q_text, once for equal texts. Dealt by (q_key, k), so that a text's chunks part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,7 +115,8 @@ def _chunked(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
                 columns = [pa.array([key] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array(starts, pa.int64()), pa.array(final), pa.array(parts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["q_key", "k", "start", "final", "q_text"])
 
-    return texts.mapInArrow(run, "q_key string, k long, start long, final boolean, q_text string").repartition("q_key", "k")
+    cut = texts.mapInArrow(run, "q_key string, k long, start long, final boolean, q_text string")
+    return cut.groupBy("q_key", "k").agg(*(F.first(c).alias(c) for c in ("start", "final", "q_text")))
 
 
 def _edges(chunks: DataFrame, overlap: int, path: str) -> DataFrame:
@@ -192,8 +193,7 @@ def encoded(docs: DataFrame, carry: list[str], text: str = "text", path: str | N
 
     short = rows.where(~long).mapInArrow(run, rows.drop("q_text").schema.add("ids", ArrayType(IntegerType())))
     keyed = rows.where(long).withColumn("q_key", F.sha2("q_text", 256))
-    texts = keyed.groupBy("q_key").agg(F.first("q_text").alias("q_text"))
-    chunks, places = _stitched(written(_chunked(texts, chunk, overlap), "chunks"), overlap, path)
+    chunks, places = _stitched(written(_chunked(keyed.select("q_key", "q_text"), chunk, overlap), "chunks"), overlap, path)
     within = chunks.join(places, ["q_key", "k"]).select("q_key", "k", "q_text", (F.col("from") - F.col("start")).alias("a"), (F.col("to") - F.col("start")).alias("e"))
     whole = _pieces(within, path).groupBy("q_key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("q_key", F.flatten("parts.ids").alias("ids"))
     both = short.unionByName(keyed.drop("q_text").join(whole, "q_key").select(*kept, "ids"))

@@ -188,7 +188,7 @@ def test_bytes_of_the_query(spark, library):
     assert len(got) == len(docs)
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(3, 3), (8, 5), (40, 12), (1 << 14, 1 << 8)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(3, 3), (8, 5), (40, 12), (bytebpe.CHUNK, bytebpe.OVERLAP)])
 def test_chunks_give_what_the_library_gives(spark, library, chunk, overlap):
     rng = random.Random(chunk)
     parts = ["'s", "'re", "'ll", " ", "  ", "\n", "\t\n ", "word", "Straße", "123", "?!", "'", "日本語", "😀", " ", "́", " a" * 5, "x" * 30, " " * 30, "<|endoftext|>", "\0"]
