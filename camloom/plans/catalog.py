@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from camloom.functions import scalars as S
@@ -14,24 +11,13 @@ from camloom.operators import ordered as O
 from camloom.operators import rules as R
 from camloom.operators import stats as ST
 from camloom.operators import tuner as T
+from camloom.plans import region_queries  # noqa: F401  (registers its queries)
+from camloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from camloom.sources.adapters import cte, view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 FLAGSHIP = D.Config(off_threshold=5)
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def last_ts(events: DataFrame):  # noqa: ANN201
     """The latest time of the data: what "now" means in queries on recorded data."""
     return F.lit(events.agg(F.max("ts")).first()[0])

@@ -59,6 +59,12 @@ select 'cam-' || lpad(cast(n_nationkey as string), 2, '0') as camera,
        1e2 as bpf_floor, cast(case when n_nationkey % 3 = 0 then 2000 else 0 end as bigint) as min_bytes_threshold,
        cast(6 as bigint) as pre_roll_seconds, cast(8 as bigint) as post_roll_seconds
 from {nation} where n_nationkey < 16""",
+    "macroblocks": """
+select camera, frame, cast((ay + (k - k % 4) / 4) * 16 + ax + k % 4 as int) as cell, mv_x, mv_y, skipped, intra, residual
+from (select 'cam-' || lpad(cast(l_suppkey % 16 as string), 2, '0') as camera, cast((l_orderkey - l_orderkey % 48) / 48 as bigint) as frame,
+             l_partkey % 5 * 3 as ax, l_linenumber % 4 * 3 as ay, round(l_discount * 100e0) - 3e0 as mv_x, round(l_tax * 100e0) as mv_y,
+             l_returnflag = 'N' and l_linenumber = 4 as skipped, l_returnflag = 'A' as intra, l_linestatus = 'O' as residual from {lineitem}) l
+cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) as t(k)""",
 }
 TABLES = re.compile(r"\{(\w+)\}")
 

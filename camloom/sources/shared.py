@@ -22,12 +22,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, for what is read more than once. It is deleted when the session's process ends."""
+    """df as a table in the shared folder, for what is read more than once. ``dropped`` deletes it; else it goes when the session's process ends."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
     atexit.register(deleted, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.camloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``scratch`` made, once nothing reads them."""
+    for table in tables:
+        deleted(table.sparkSession, table.camloom_path)
 
 
 def deleted(spark: SparkSession, path: str) -> None:
