@@ -2,7 +2,8 @@
 
 State per camera: fast, slow and very slow exponentially weighted means of bytes per frame, a variance around the slow one,
 frames since the last keyframe, and a debounce machine (idle, active, cooldown). In batch, frames are partitioned by camera
-and sorted; one pass folds each partition with memory for one state, whatever the length of a camera's series.
+and sorted; one pass folds each partition with memory for one state, whatever the length of a camera's series. Batches of frames
+are folded as arrays (``recurrence``); ``step`` says what happens at one frame.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +141,7 @@ def signals(frames: DataFrame, config: Config = Config(), configs: DataFrame | N
     """camera, seq, byte_count, is_keyframe and the detector's values for each frame, or for those with an event.
 
     configs: (camera, ...) with any of the detector's thresholds; cameras without a row take ``config``. A column
-    ``intra_ratio_proxy`` in frames is an explicit ratio. Order: (camera, seq).
+    ``intra_ratio_proxy`` in frames is an explicit ratio. Order: (camera, seq). Null sizes count as 0, null flags as no keyframe.
     """
     given = "intra_ratio_proxy" in frames.columns
     named = [c for c in Config.__dataclass_fields__ if configs is not None and c in configs.columns]
@@ -148,25 +151,36 @@ def signals(frames: DataFrame, config: Config = Config(), configs: DataFrame | N
     placed = rows.repartition("camera").sortWithinPartitions("camera", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from camloom.operators.recurrence import advanced
+
         now, s, c = None, None, config
         for b in batches:
-            columns = [x.to_pylist() for x in b.columns]
-            thresholds = list(zip(*columns[4 + given :], strict=True)) if named else None
-            intras = columns[4] if given else [None] * b.num_rows
-            keep, out = [], []
-            for i, (camera, size, kf, intra) in enumerate(zip(columns[0], columns[2], columns[3], intras, strict=True)):
+            cameras = b.column(0)
+            changes = pc.fill_null(pc.not_equal(cameras[1:], cameras[:-1]), True).to_numpy(zero_copy_only=False) if b.num_rows > 1 else np.zeros(0, bool)
+            edges = [0, *(np.flatnonzero(changes) + 1).tolist(), b.num_rows]
+            size = b.column(2).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            keyframe = b.column(3).fill_null(False).to_numpy(zero_copy_only=False)
+            intra = b.column(4).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) if given else None
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                camera = cameras[at].as_py()
                 if s is None or camera != now:
                     now, s = camera, State()
-                    c = replace(config, **{k: v for k, v in zip(named, thresholds[i], strict=True) if v is not None}) if named else config
-                row = step(s, size or 0, bool(kf), intra, c)
-                if row[0] is not None or not events_only:
-                    keep.append(i)
-                    out.append(row)
-            if keep:
-                head = pa.record_batch(b.columns[:4], names=["camera", "seq", "byte_count", "is_keyframe"]).take(pa.array(keep))
-                kinds = [pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int16(), pa.int16(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                made = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*head.columns, *made], names=[*head.schema.names, *NAMES])
+                    own = {k: b.column(4 + given + i)[at].as_py() for i, k in enumerate(named)}
+                    c = replace(config, **{k: v for k, v in own.items() if v is not None}) if named else config
+                part = slice(at, end)
+                made = advanced(s, size[part], keyframe[part], None if intra is None else intra[part], c)
+                keep = sorted(made.events) if events_only else range(end - at)
+                if not len(keep):
+                    continue
+                head = pa.record_batch(b.columns[:4], names=["camera", "seq", "byte_count", "is_keyframe"]).slice(at, end - at)
+                if events_only:
+                    head = head.take(pa.array(keep))
+                of = lambda values, kind: pa.array(values[keep] if events_only else values, kind)  # noqa: B023, E731
+                columns = [
+                    pa.array([made.events.get(k) for k in keep], pa.string()), of(made.z_score, pa.float64()), of(made.intra_ratio, pa.float64()), pa.array([made.reasons.get(k, "none") for k in keep], pa.string()),
+                    of(made.fsm_before, pa.int16()), of(made.fsm_after, pa.int16()), of(made.since_kf, pa.int64()), *(of(x, pa.float64()) for x in (made.bpf_ewma, made.bpf_slow, made.bpf_var)),
+                ]
+                yield pa.RecordBatch.from_arrays([*head.columns, *columns], names=[*head.schema.names, *NAMES])
 
     kinds = dict(rows.dtypes)
     return placed.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in ("camera", "seq", "byte_count", "is_keyframe")) + ", " + DDL)

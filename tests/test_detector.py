@@ -1,7 +1,9 @@
 """Traces with known outcomes for the detector's fold, and batch against fold."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 
 from camloom.operators import detector as D
@@ -97,7 +99,8 @@ def test_batch_equals_fold(spark):
     for c in ("c0", "c1", "c2"):
         mine = [r for r in rows if r[0] == c]
         for r, x in zip(mine, D.fold([(r[2], r[3], None) for r in mine], D.Config(off_threshold=5)), strict=True):
-            assert got[c, r[1]] == (x[0], x[1], x[5], x[6])
+            event, z, *rest = got[c, r[1]]  # means are summed in another order, so the last places differ
+            assert (event, rest) == (x[0], [x[5], x[6]]) and z == pytest.approx(x[1], rel=1e-9, abs=1e-9)
 
 
 def test_configs_of_cameras(spark):
@@ -110,3 +113,54 @@ def test_configs_of_cameras(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "camera string, seq long, byte_count long, is_keyframe boolean")
     assert D.signals(empty).count() == 0
+
+
+def advanced_rows(frames, c, cut):
+    from camloom.operators.recurrence import advanced
+
+    s, out = D.State(), []
+    for at in range(0, len(frames), cut):
+        part = frames[at : at + cut]
+        intra = None if all(i is None for _, _, i in part) else np.array([np.nan if i is None else i for _, _, i in part])
+        r = advanced(s, np.array([float(x) for x, _, _ in part]), np.array([k for _, k, _ in part]), intra, c)
+        columns = (r.z_score, r.intra_ratio, r.fsm_before, r.fsm_after, r.since_kf, r.bpf_ewma, r.bpf_slow, r.bpf_var)
+        out += [(r.events.get(k), z, i, r.reasons.get(k, "none"), *rest) for k, (z, i, *rest) in enumerate(zip(*(x.tolist() for x in columns), strict=True))]
+    return out
+
+
+@pytest.mark.parametrize("cut", [1, 7, 129, 5000])
+@pytest.mark.parametrize("seed", range(6))
+def test_arrays_give_what_single_steps_give(seed, cut):
+    rng = random.Random(seed)
+    explicit = seed % 2
+    frames, level = [(0, False, None)] * rng.randrange(4) + [(500, True, None)] * rng.randrange(3) + [(0, False, None)] * rng.randrange(3), 1000
+    for _ in range(1500):
+        level = rng.choice([level] * 60 + [900, 4000, 40_000])
+        frames += [(max(0, int(rng.gauss(level, level / 9))), rng.random() < rng.choice([0.01, 0.3]), rng.choice([None, 0.5, 3.0]) if explicit else None)] * rng.choice([1, 1, 1, 3])
+    c = D.Config(
+        motion_z_high=rng.choice([1.0, 3.0]), on_threshold=rng.choice([1, 2, 3]), off_threshold=rng.choice([1, 5, 45]), min_bytes_threshold=rng.choice([0, 950]), configured_periodic_kf=seed == 1, strict_idr=seed == 2,
+        gradual_enabled=seed % 3 == 0, gradual_threshold=0.05, gradual_window_frames=40, extended_gates=seed > 2, bpf_relative_floor=0.8, z_high_warmup=5.0, z_high_warmup_frames=200,
+    )
+    got, expected = advanced_rows(frames, c, cut), D.fold(frames, c)
+    assert len(got) == len(expected) and len({e[0] for e in expected}) > 1
+    for g, e in zip(got, expected, strict=True):
+        assert (g[0], g[3], *g[4:7]) == (e[0], e[3], *e[4:7])
+        assert g[1:3] + g[7:] == pytest.approx(e[1:3] + e[7:], rel=1e-9, abs=1e-7)
+
+
+def test_means_that_are_lost_in_rounding():
+    frames = [(10, False, None), (0, True, None)] + [(0, False, None)] * 200_000 + [(9, False, None)] * 3
+    got, expected = advanced_rows(frames, D.Config(), 70_000), D.fold(frames, D.Config())
+    assert [g[5] for g in got[-5:]] == [e[5] for e in expected[-5:]] and got[-1][8] == pytest.approx(expected[-1][8])
+
+
+def test_detector_takes_nulls_and_configurations(spark):
+    rows = [(cam, k, None if k == 5 else 100 + 900 * (k % 50 > 47), None if k == 6 else k % 40 == 0) for cam in ("a", "b", None) for k in range(400)]
+    frames = spark.createDataFrame(rows, "camera string, seq long, byte_count long, is_keyframe boolean")
+    own = spark.createDataFrame([("b", 1, None)], "camera string, on_threshold int, off_threshold int")
+    got = {}
+    for r in D.signals(frames, D.Config(off_threshold=3), own).collect():
+        got.setdefault(r.camera, []).append(r)
+    for cam, c in (("a", D.Config(off_threshold=3)), ("b", D.Config(on_threshold=1, off_threshold=3)), (None, D.Config(off_threshold=3))):
+        expected = D.fold([(x or 0, bool(k), None) for n, _, x, k in rows if n == cam], c)
+        assert [(r.event, r.reason, r.fsm_before, r.fsm_after, r.since_kf) for r in sorted(got[cam], key=lambda r: r.seq)] == [(e[0], e[3], *e[4:7]) for e in expected]
