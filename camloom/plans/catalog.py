@@ -102,23 +102,28 @@ def z_timeline(spark, d):
     return O.z_timeline(timeline_records(spark, d), cap=480)
 
 
-_WINDOWS = f"""w as (select camera, seq as window_id, greatest(0, pts_90khz - 6 * 90000) as from_pts, pts_90khz + 8 * 90000 as to_pts from nal where seq % 500 = 7)"""
-
-
-@query(f"""with {cte('nal')}, {_WINDOWS},
-h as (select w.camera, w.window_id, max(n.seq) as last_seq from w join nal n on n.camera = w.camera and n.pts_90khz <= w.to_pts group by all),
-t as (select w.camera, w.window_id, max(n.seq) as first_seq from w join nal n on n.camera = w.camera and n.pts_90khz < w.from_pts and (n.flags & 3) > 0 group by all),
-o as (select camera, min(seq) as oldest from nal group by camera),
-b as (select h.camera, h.window_id, coalesce(t.first_seq, o.oldest) as first_seq, h.last_seq from h join o on h.camera = o.camera left join t on t.camera = h.camera and t.window_id = h.window_id)
-select b.camera, b.window_id, b.first_seq, b.last_seq, count(*) as n_records, cast(sum(n.length) as bigint) as n_bytes from b join nal n on n.camera = b.camera and n.seq between b.first_seq and b.last_seq group by all""")
+def _snapshot_sql(asked: str) -> str:
+    return f"""with {cte('nal')},
+r as (select *, cast(sum(length) over (partition by camera order by seq) as bigint) as upto from nal),
+w as (select camera, seq as window_id, greatest(0, pts_90khz - 6 * 90000) as from_pts, pts_90khz + 8 * 90000 as to_pts from nal{asked}),
+newest as (select camera, pts_90khz, max_by(seq, seq) as seq, max_by(upto, seq) as upto from r group by all),
+entries as (select camera, pts_90khz, max_by(seq, seq) as seq, max_by(upto - length, seq) as before from r where (flags & 3) > 0 group by all),
+o as (select camera, min(seq) as seq, min_by(upto - length, seq) as before from r group by camera),
+h as (select w.*, n.seq as last_seq, n.upto from w asof join newest n on n.camera = w.camera and n.pts_90khz <= w.to_pts)
+select h.camera, h.window_id, coalesce(e.seq, o.seq) as first_seq, h.last_seq, h.last_seq - coalesce(e.seq, o.seq) + 1 as n_records, h.upto - coalesce(e.before, o.before) as n_bytes
+from h asof left join entries e on e.camera = h.camera and e.pts_90khz < h.from_pts join o on o.camera = h.camera"""
+
+
+@query(_snapshot_sql(" where (flags & 1) > 0"))
 def snapshot_window(spark, d):
+    """A window around every keyframe."""
     nal = view(spark, d, "nal")
-    return _snapshots(nal, nal.where("seq % 500 = 7"))
+    return _snapshots(nal, nal.where(O.flag(O.KEYFRAME)))
 
 
-@query()
+@query(_snapshot_sql(""))
 def snapshot_every_record(spark, d):
-    """A window for every record; in SQL the range joins would be quadratic."""
+    """A window around every record."""
     nal = view(spark, d, "nal")
     return _snapshots(nal, nal)
 
@@ -808,17 +813,28 @@ def stream_rates(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "camera", "n")
 
 
-@query()
+@query(f"""with {cte('raw_events')}, s as (select *, case when date_diff('microsecond', lag(ts) over w, ts) <= 300000000 then 0 else 1 end as fresh from raw_events where type = 'motion' window w as (partition by camera order by ts, event_id)),
+n as (select *, sum(fresh) over (partition by camera order by ts, event_id) as session from s)
+select camera, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from n group by camera, session having max(ts) + interval 15 minutes <= (select max(ts) from raw_events where type = 'motion')""")
 def stream_sessions(spark, d):
+    """Sessions that the watermark has closed: five minutes after their last event, ten before the newest."""
     from camloom.sources.shared import drained
     from camloom.streaming.streams import sessions
 
-    return drained(sessions(_events_stream(spark, d).where("type = 'motion'"), "5 minutes"))
+    out = drained(sessions(_events_stream(spark, d).where("type = 'motion'"), "5 minutes"))
+    return out.select("camera", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_ts", "last_ts")), "n")
 
 
-@query()
+_WIDE = 360 * 60_000
+
+
+@query(f"""with {cte('raw_events')}, c as (select camera, epoch_ms(ts) - epoch_ms(ts) % {_WIDE} as w, count(*) as n from raw_events group by 1, 2),
+l as (select *, lag(w) over k as pw, lag(n) over k as pn, lead(w) over k as nw, (select max(epoch_ms(ts)) - 300000 from raw_events) as mark from c window k as (partition by camera order by w))
+select camera, make_timestamp(w * 1000) as window_start, n, pn as before, 'spike' as alarm from l where pw = w - {_WIDE} and n >= 3 * pn and w + {_WIDE} <= mark
+union all select camera, make_timestamp((w + {_WIDE}) * 1000), 0, n, 'silent' from l where (nw is null or nw > w + {_WIDE}) and w + 2 * {_WIDE} <= mark""")
 def stream_spikes(spark, d):
     from camloom.sources.shared import drained
     from camloom.streaming.streams import spikes
 
-    return drained(spikes(_events_stream(spark, d), window_minutes=360))
+    out = drained(spikes(_events_stream(spark, d), window_minutes=360))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -6,6 +6,7 @@ one processed is late and is counted, not folded.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,43 +80,44 @@ def sessions(events: DataFrame, gap: str, delay: str = "10 minutes") -> DataFram
 def spikes(events: DataFrame, factor: float = 3.0, window_minutes: int = 2, delay: str = "5 minutes") -> DataFrame:
     """camera, window_start, n, before, alarm: a window with factor times the events of the one before, or none after some.
 
-    State is the last window of each camera; a timer in event time closes windows in which nothing comes.
+    State is the counts of a camera's open windows, and the last one closed. A window is closed when the watermark is past its end, and
+    only then compared, so the order in which rows come, and how they are cut into parts and batches, changes nothing. Rows that come
+    after that are late and dropped. A timer in event time closes windows in which nothing comes. Null times are dropped.
     """
     size = window_minutes * 60_000
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        start, n, before = held.get if held.exists else (-1, 0, -1)
-        out = []
-
-        def closed_until(t: int) -> None:
-            nonlocal start, n, before
-            while start >= 0 and start + size <= t:
-                if before >= 0 and (n >= factor * before > 0 or n == 0 < before):
-                    out.append((key[0], pd.Timestamp(start, unit="ms"), n, before, "silent" if n == 0 else "spike"))
-                quiet = n == 0
-                start, before, n = start + size, n, 0
-                if quiet:  # nothing more to tell until rows come
-                    start = -1
-
-        if held.hasTimedOut:
-            closed_until(held.getCurrentWatermarkMs())
+        starts, counts, last, before = held.get if held.exists else ([], [], -1, 0)
+        windows = Counter(dict(zip(starts, counts, strict=True)))
+        now = held.getCurrentWatermarkMs()
         for part in parts:
-            for ms in sorted(part["ts"].astype("datetime64[ms]").astype("int64")):
-                if start < 0:
-                    start, n = ms - ms % size, 0
-                closed_until(ms)
-                if start < 0:
-                    start = ms - ms % size
-                n += ms >= start
-        held.update((int(start), int(n), int(before)))
-        if start >= 0:
-            held.setTimeoutTimestamp(max(start + size, held.getCurrentWatermarkMs() + 1))
+            ms = part["ts"].dropna().astype("datetime64[ms]").astype("int64")
+            for start, n in (ms - ms % size).value_counts().items():
+                if start + size > now:
+                    windows[int(start)] += int(n)
+        out = []
+        for start in sorted(w for w in windows if w + size <= now):
+            n = windows.pop(start)
+            if last >= 0 and start > last + size:
+                out.append((key[0], pd.Timestamp(last + size, unit="ms"), 0, before, "silent"))
+            elif last >= 0 and n >= factor * before:
+                out.append((key[0], pd.Timestamp(start, unit="ms"), n, before, "spike"))
+            last, before = start, n
+        if last >= 0 and last + 2 * size <= now:  # the window after it is closed as well, and none came
+            out.append((key[0], pd.Timestamp(last + size, unit="ms"), 0, before, "silent"))
+            last = -1
+        if not windows and last < 0:
+            held.remove()
+        else:
+            held.update((list(windows), list(windows.values()), last, before))
+            ends = [w + size for w in windows] + ([last + 2 * size] if last >= 0 else [])
+            held.setTimeoutTimestamp(max(min(ends), now + 1))
         if out:
             yield pd.DataFrame(out, columns=["camera", "window_start", "n", "before", "alarm"])
 
     marked = events.withWatermark("ts", delay).select("camera", "ts")
     return marked.groupBy("camera").applyInPandasWithState(
-        run, "camera string, window_start timestamp, n long, before long, alarm string", "start long, n long, before long", "append", GroupStateTimeout.EventTimeTimeout
+        run, "camera string, window_start timestamp, n long, before long, alarm string", "starts array<long>, counts array<long>, last long, before long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

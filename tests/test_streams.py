@@ -1,6 +1,8 @@
 """Streams against their batch twins, over several batches."""
 
+import collections
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -50,3 +52,34 @@ def test_spikes_and_silence(spark, tmp_path):
     got = drained(streams.spikes(stream_of(spark, batches, "camera string, ts timestamp", f"{tmp_path}/in"), delay="1 second"))
     alarms = sorted((r.window_start, r.alarm) for r in got.collect())
     assert alarms[0] == (T0 + dt.timedelta(minutes=2), "spike") and (T0 + dt.timedelta(minutes=6), "silent") in alarms
+
+
+def plain_alarms(times, size, factor, mark):
+    counts = collections.Counter(t - t % size for t in times)
+    out = []
+    for w, n in counts.items():
+        before = counts.get(w - size, 0)
+        if before and n >= factor * before and w + size <= mark:
+            out.append((w, n, before, "spike"))
+        if not counts.get(w + size) and w + 2 * size <= mark:
+            out.append((w + size, 0, n, "silent"))
+    return sorted(out)
+
+
+def test_spikes_do_not_depend_on_how_rows_come(spark, tmp_path):
+    """The same rows sorted, shuffled over parts of far more than Arrow's 10,000 rows, and in batches out of order within the delay."""
+    rng = random.Random(5)
+    minutes = [m for m in range(0, 240) for _ in range(rng.choice([0, 0, 60, 60, 100, 400]) if m % 20 > 3 else 0)]
+    rows = [("c", T0 + dt.timedelta(minutes=m, seconds=rng.randrange(60))) for m in minutes] + [("d", T0 + dt.timedelta(minutes=239))]
+    assert len(rows) > 15_000
+    epoch = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    times = sorted(epoch(t) for c, t in rows if c == "c")
+    mark = max(epoch(t) for _, t in rows) - 30 * 60_000
+    expected = plain_alarms(times, 120_000, 3.0, mark)
+    assert {a for *_, a in expected} == {"spike", "silent"}
+    shuffled = rng.sample(rows, len(rows))
+    by_time = sorted(rows, key=lambda r: r[1])
+    near = [r for k in range(0, len(by_time), 500) for r in rng.sample(by_time[k : k + 500], len(by_time[k : k + 500]))]
+    for name, batches in (("sorted", [by_time]), ("shuffled", [shuffled]), ("batches", [near[k : k + 3000] for k in range(0, len(near), 3000)])):
+        got = drained(streams.spikes(stream_of(spark, batches, "camera string, ts timestamp", f"{tmp_path}/{name}"), delay="30 minutes"))
+        assert sorted((epoch(r.window_start), r.n, r.before, r.alarm) for r in got.where("camera = 'c'").collect()) == expected, name
