@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
+
+from camloom.operators.running import SPAN, ranged, running, with_previous
 
 KEYFRAME, PARAMSET, BFRAME = 1, 2, 8
 
@@ -49,19 +50,18 @@ def seq_after(a: Column, b: Column) -> Column:
     return (a - b + 98304) % 65536 - 32768 > 0
 
 
-def unwrapped(packets: DataFrame, by: str = "camera", order: str = "arrival") -> DataFrame:
-    """with seq_long: 16-bit numbers made to go on past each wrap, by the signed step from packet to packet."""
-    w = Window.partitionBy(by).orderBy(order)
-    step = (F.col("seq") - F.lag("seq").over(w) + 98304) % 65536 - 32768
-    first = F.first("seq").over(w)
-    return packets.withColumn("q_step", F.coalesce(step, F.lit(0))).withColumn("seq_long", first + F.sum("q_step").over(w)).drop("q_step")
+def unwrapped(packets: DataFrame, by: str = "camera", order: str = "arrival", span: int = SPAN) -> DataFrame:
+    """with seq_long: 16-bit numbers made to go on past each wrap, by the signed step from packet to packet in a whole-numbered order."""
+    rows = with_previous(ranged(packets, order, span), {"q_last": "seq"}, by, [order])
+    step = F.when(F.col("q_first"), F.col("seq")).otherwise((F.col("seq") - F.col("q_last") + 98304) % 65536 - 32768).cast("long")
+    return running(rows, {"seq_long": ("sum", step)}, by, [order]).select(*packets.columns, "seq_long")
 
 
-def reordered(packets: DataFrame, by: str = "camera", order: str = "arrival") -> DataFrame:
+def reordered(packets: DataFrame, by: str = "camera", order: str = "arrival", span: int = SPAN) -> DataFrame:
     """Packets in sequence, each once, with lost: how many are missing just before it."""
-    once = unwrapped(packets, by, order).dropDuplicates([by, "seq_long"])
-    w = Window.partitionBy(by).orderBy("seq_long")
-    return once.withColumn("lost", F.coalesce(F.col("seq_long") - F.lag("seq_long").over(w) - 1, F.lit(0)))
+    once = unwrapped(packets, by, order, span).dropDuplicates([by, "seq_long"])
+    rows = with_previous(ranged(once, "seq_long", span), {"q_last": "seq_long"}, by, ["seq_long"])
+    return rows.select(*once.columns, F.when(F.col("q_first"), 0).otherwise(F.col("seq_long") - F.col("q_last") - 1).cast("long").alias("lost"))
 
 
 def delivered(packets: DataFrame, window: int = 32, by: str = "camera", order: str = "arrival") -> DataFrame:
@@ -300,63 +300,6 @@ def with_crc(df: DataFrame, column: str = "payload") -> DataFrame:
     return with_parsed(df, column, "crc", crc32_mpeg, "long", pa.int64())
 
 
-def depacketized(packets: DataFrame, codec: str = "h264") -> DataFrame:
-    """(camera, seq_long, timestamp, payload) in sequence -> (camera, timestamp, part, nal): single units as they are, aggregates
-    split, fragments joined. A fragment run with a gap or without its start is dropped. Payloads of other kinds give nothing.
-    """
-    two = codec == "h265"
-    placed = packets.select("camera", "seq_long", "timestamp", "payload").repartition("camera").sortWithinPartitions("camera", "seq_long")
-
-    def kind_of(p: bytes) -> int:
-        return (p[0] >> 1) & 0x3F if two else p[0] & 0x1F
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, now, expected, place = None, None, None, 0
-        for b in batches:
-            out: list[tuple] = []
-            for camera, seq, ts, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if camera != now:
-                    open_, now, expected, place = None, camera, None, 0
-                if expected is not None and seq != expected:
-                    open_ = None
-                expected = seq + 1
-                if not p or two and len(p) < 3:
-                    continue
-                kind, head = kind_of(p), 2 if two else 1
-                units = []
-                if kind == (48 if two else 24):
-                    at = head
-                    while at + 2 <= len(p):
-                        n = int.from_bytes(p[at : at + 2], "big")
-                        if not n or at + 2 + n > len(p):
-                            break
-                        units.append(p[at + 2 : at + 2 + n])
-                        at += 2 + n
-                elif kind == (49 if two else 28) and len(p) > head:
-                    fu = p[head]
-                    first = bytes([p[0] & 0x81 | (fu & 0x3F) << 1, p[1]]) if two else bytes([p[0] & 0xE0 | fu & 0x1F])
-                    if fu & 0x80:
-                        open_ = [first, p[head + 1 :]]
-                    elif open_ is not None:
-                        open_.append(p[head + 1 :])
-                    if fu & 0x40 and open_ is not None:
-                        units.append(b"".join(open_))
-                        open_ = None
-                elif kind < (48 if two else 24) and (two or kind > 0):
-                    units.append(p)
-                for u in units:
-                    out.append((camera, ts, place, u))
-                    place += 1
-            if out:
-                columns = zip(*out, strict=True)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["camera", "timestamp", "part", "nal"])
-
-    return placed.mapInArrow(run, "camera string, timestamp long, part long, nal binary")
-
-
-
-
 def rtcp_sender_report(packet: Column) -> Column:
     """ssrc, NTP seconds and fraction, RTP time, packets and bytes of a sender report; null for other packets."""
     fields = [("ssrc", 4), ("ntp_seconds", 8), ("ntp_fraction", 12), ("rtp_time", 16), ("n_packets", 20), ("n_bytes", 24)]

@@ -11,7 +11,7 @@ from camloom.operators import ordered as O
 from camloom.operators import rules as R
 from camloom.operators import stats as ST
 from camloom.operators import tuner as T
-from camloom.plans import region_queries  # noqa: F401  (registers its queries)
+from camloom.plans import packet_queries, region_queries  # noqa: F401  (they register their queries)
 from camloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from camloom.sources.adapters import cte, view
 

@@ -1,0 +1,111 @@
+"""Depacketising and sequence numbers against plain loops over the packets of a camera."""
+
+import random
+
+import pytest
+
+from camloom.functions import bitstream as B
+from camloom.operators.depacketize import depacketized, packet_kind, split_units
+from pyspark.sql import functions as F
+
+DDL = "camera string, seq_long long, timestamp long, marker boolean, payload binary"
+
+
+def plain_units(packets, codec, donl):
+    """What a receiver that is given one camera's packets in sequence puts out."""
+    two = codec == "h265"
+    head, out, run, due = 2 if two else 1, [], None, None
+    for seq, ts, marker, p in packets:
+        run = run if due is None or seq == due else None
+        due = seq + 1
+        if not p or len(p) < head:
+            continue
+        kind = p[0] >> 1 & 63 if two else p[0] & 31
+        if kind == (48 if two else 24):
+            units, at = [], head + 2 * donl
+            while True:
+                skip = int(donl and bool(units))
+                if at + skip + 2 > len(p):
+                    break
+                n = int.from_bytes(p[at + skip : at + skip + 2], "big")
+                if at + skip + 2 + n > len(p):
+                    at = -1
+                    break
+                units.append(p[at + skip + 2 : at + skip + 2 + n])
+                at += skip + 2 + n
+                if at == len(p):
+                    break
+            out += [(seq, k, ts, marker and k + 1 == len(units) and at == len(p), u) for k, u in enumerate(units)]
+        elif kind == (49 if two else 28):
+            start = len(p) > head and p[head] & 128
+            skip = head + 1 + (2 if donl and start else 0)
+            if len(p) <= head or len(p) < skip:
+                continue
+            if start:
+                run = [ts, bytes([(p[2] & 63) << 1, 1]) if two else bytes([p[0] & 224 | p[1] & 31])]
+            if run is not None:
+                run.append(p[skip:])
+                if p[head] & 64:
+                    out.append((seq, 0, run[0], marker, b"".join(run[1:])))
+                    run = None
+        elif (kind < 48 or kind > 50) if two else 0 < kind < 24:
+            out.append((seq, 0, ts, marker, p))
+    return out
+
+
+def drawn(rng, codec):
+    """A payload of any kind, whole or cut."""
+    two = codec == "h265"
+    body = bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 2, 5, 9])))
+    head = bytes([rng.choice([1, 19, 33, 50, 60]) << 1, 1]) if two else bytes([rng.choice([0x61, 0x65, 0x67, 0x19, 0x60, 0x7F])])
+    what = rng.choice(["single", "fragment", "fragment", "fragment", "fragment", "aggregate", "empty"])
+    if what == "fragment":
+        bits = rng.choice([0, 0, 0, 0x80, 0x80, 0x40, 0x40, 0xC0])
+        return (b"\x62\x01" if two else b"\x7c") + bytes([bits | rng.choice([1, 5, 19])]) + body
+    if what == "aggregate":
+        units = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 4]))) for _ in range(rng.randrange(4))]
+        return (b"\x60\x01" if two else b"\x78") + b"".join(len(u).to_bytes(2, "big") + u for u in units) + rng.choice([b"", b"", b"\x00", b"\x00\x09x"])
+    return None if what == "empty" and rng.random() < 0.5 else b"" if what == "empty" else head + body
+
+
+@pytest.mark.parametrize(("codec", "donl", "span"), [("h264", False, 1 << 20), ("h264", False, 5), ("h265", False, 7), ("h265", True, 1 << 20), ("h265", True, 1)])
+def test_units_against_a_receiver(spark, codec, donl, span):
+    rng, rows, expected = random.Random(span), [], []
+    for camera in ("a", "b"):
+        seq, mine = rng.randrange(100), []
+        for _ in range(700):
+            seq += rng.choice([1] * 12 + [2, 5])
+            mine.append((seq, seq * 3, rng.random() < 0.5, drawn(rng, codec)))
+        rows += [(camera, *r) for r in mine]
+        expected += [(camera, *r) for r in plain_units(mine, codec, donl)]
+    got = depacketized(spark.createDataFrame(rows, DDL).repartition(5), codec, donl, span).collect()
+    assert sorted((*r[:5], bytes(r.nal)) for r in got) == sorted(expected) and len({len(r.nal) for r in got}) > 5
+
+
+def test_units_of_known_packets(spark):
+    rows = [
+        ("c", 1, 90, True, b"\x65one"), ("c", 2, 91, True, b"\x18\0\2ab\0\3cde"), ("c", 3, 92, False, b"\x7c\x85AA"), ("c", 4, 92, False, b"\x7c\x05BB"), ("c", 5, 92, True, b"\x7c\x45CC"),
+        ("c", 6, 93, False, b"\x7c\x85XX"), ("c", 8, 93, True, b"\x7c\x45YY"), ("c", 9, 94, True, b""),
+    ]
+    got = depacketized(spark.createDataFrame(rows, DDL)).orderBy("seq_long", "part").collect()
+    assert [(bytes(r.nal), r.timestamp, r.marker) for r in got] == [(b"\x65one", 90, True), (b"ab", 91, False), (b"cde", 91, True), (b"\x65AABBCC", 92, True)]
+    h265 = spark.createDataFrame([("c", 1, 1, None, b"\x60\x01\0\2ab\0\1c"), ("c", 2, 1, None, b"\x62\x01\x93FF"), ("c", 3, 1, None, b"\x62\x01\x53GG"), ("c", 4, 1, None, b"\x64\x01??")], DDL)
+    assert [bytes(r.nal) for r in depacketized(h265.drop("marker"), "h265").orderBy("seq_long", "part").collect()] == [b"ab", b"c", b"\x26\x01FFGG"]
+    assert depacketized(h265.limit(0)).count() == 0
+    kinds = spark.createDataFrame([(b"\x7c",), (b"\x7c\x85",), (b"\x18",), (b"\x1a00",), (None,)], "p binary").select(packet_kind(F.col("p"), "h264").alias("k")).collect()
+    assert [r.k for r in kinds] == ["short", "fragment", "aggregate", "unsupported", "empty"]
+    assert split_units(b"\x60\x01\0\0\0\2ab\7\0\1c", "h265", donl=True) == [b"ab", b"c"]
+
+
+@pytest.mark.parametrize("span", [1 << 20, 50])
+def test_numbers_that_wrap(spark, span):
+    rng = random.Random(1)
+    sent = [(c, p) for c in "ab" for p in range(65_400, 66_000) if p % 7 != 3]
+    rows = []
+    for c in "ab":
+        mine = [p for k, p in sent if k == c]
+        mine = [p for at in range(0, len(mine), 4) for p in rng.sample(mine[at : at + 4], len(mine[at : at + 4]))] + [mine[-1]]
+        rows += [(c, k, p % 65536) for k, p in enumerate(mine)]
+    df = spark.createDataFrame(rows, "camera string, arrival long, seq int").repartition(4)
+    got = sorted((r.camera, r.seq_long, r.lost) for r in B.reordered(df, span=span).collect())
+    assert [(c, s) for c, s, _ in got] == sent and sum(lost for *_, lost in got) == sum(2 for p in range(65_401, 65_999) if p % 7 == 3)

@@ -124,17 +124,6 @@ def test_exp_golomb_and_sps(spark):
     assert B.annex_b(b"\0\0\0\1\x67ab\0\0\1\x68c\0\0\0\1\x65de") == [b"\x67ab", b"\x68c", b"\x65de"]
 
 
-def test_depacketized(spark):
-    rows = [
-        ("c", 1, 90, b"\x65one"), ("c", 2, 91, b"\x18\0\2ab\0\3cde"), ("c", 3, 92, b"\x7c\x85AA"), ("c", 4, 92, b"\x7c\x05BB"), ("c", 5, 92, b"\x7c\x45CC"),
-        ("c", 6, 93, b"\x7c\x85XX"), ("c", 8, 93, b"\x7c\x45YY"), ("c", 9, 94, b""),
-    ]
-    df = spark.createDataFrame(rows, "camera string, seq_long long, timestamp long, payload binary")
-    assert [bytes(r.nal) for r in B.depacketized(df).orderBy("part").collect()] == [b"\x65one", b"ab", b"cde", b"\x65AABBCC"]
-    h265 = spark.createDataFrame([("c", 1, 1, b"\x60\x01\0\2ab\0\1c"), ("c", 2, 1, b"\x62\x01\x93FF"), ("c", 3, 1, b"\x62\x01\x53GG")], "camera string, seq_long long, timestamp long, payload binary")
-    assert [bytes(r.nal) for r in B.depacketized(h265, "h265").orderBy("part").collect()] == [b"ab", b"c", b"\x26\x01FFGG"]
-
-
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(S.mask_classes(F.lit(133).cast("smallint"))) == ["person", "animal", "other"]
