@@ -137,18 +137,22 @@ def fold(frames: list[tuple], c: Config, s: State | None = None) -> list[tuple]:
 CONFIG_COLUMNS = ["motion_z_high", "intra_ratio_high", "on_threshold", "off_threshold", "bpf_floor", "min_bytes_threshold"]
 
 
-def signals(frames: DataFrame, config: Config = Config(), configs: DataFrame | None = None, events_only: bool = False) -> DataFrame:
+def signals(frames: DataFrame, config: Config = Config(), configs: DataFrame | None = None, events_only: bool = False, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """camera, seq, byte_count, is_keyframe and the detector's values for each frame, or for those with an event.
 
     configs: (camera, ...) with any of the detector's thresholds; cameras without a row take ``config``. A column
-    ``intra_ratio_proxy`` in frames is an explicit ratio. Order: (camera, seq). Null sizes count as 0, null flags as no keyframe.
+    ``intra_ratio_proxy`` in frames is an explicit ratio. Order: (camera, *order); frames without seq are numbered from 1 along it,
+    in the fold itself. Null sizes count as 0, null flags as no keyframe.
     """
     given = "intra_ratio_proxy" in frames.columns
     named = [c for c in Config.__dataclass_fields__ if configs is not None and c in configs.columns]
     rows = frames.join(configs.select("camera", *named), "camera", "left") if configs is not None else frames
     intra = [F.col("intra_ratio_proxy").cast("double").alias("intra")] if given else []
-    rows = rows.select("camera", "seq", "byte_count", "is_keyframe", *intra, *named)
-    placed = rows.repartition("camera").sortWithinPartitions("camera", "seq")
+    has_seq = "seq" in frames.columns
+    seq = F.col("seq") if has_seq else F.lit(0).cast("long").alias("seq")
+    more = [c for c in order if c != "seq"]
+    rows = rows.select("camera", seq, "byte_count", "is_keyframe", *intra, *named, *more)
+    placed = rows.repartition("camera").sortWithinPartitions("camera", *order).drop(*more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from camloom.operators.recurrence import advanced
@@ -167,12 +171,14 @@ def signals(frames: DataFrame, config: Config = Config(), configs: DataFrame | N
                     now, s = camera, State()
                     own = {k: b.column(4 + given + i)[at].as_py() for i, k in enumerate(named)}
                     c = replace(config, **{k: v for k, v in own.items() if v is not None}) if named else config
-                part = slice(at, end)
+                part, before = slice(at, end), s.frames
                 made = advanced(s, size[part], keyframe[part], None if intra is None else intra[part], c)
                 keep = sorted(made.events) if events_only else range(end - at)
                 if not len(keep):
                     continue
                 head = pa.record_batch(b.columns[:4], names=["camera", "seq", "byte_count", "is_keyframe"]).slice(at, end - at)
+                if not has_seq:
+                    head = head.set_column(1, "seq", pa.array(np.arange(before + 1, s.frames + 1)))
                 if events_only:
                     head = head.take(pa.array(keep))
                 of = lambda values, kind: pa.array(values[keep] if events_only else values, kind)  # noqa: B023, E731
@@ -186,9 +192,9 @@ def signals(frames: DataFrame, config: Config = Config(), configs: DataFrame | N
     return placed.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in ("camera", "seq", "byte_count", "is_keyframe")) + ", " + DDL)
 
 
-def ewma(frames: DataFrame) -> DataFrame:
+def ewma(frames: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """Frames and the fast mean after the last one, per camera."""
-    return signals(frames).groupBy("camera").agg(F.count(F.lit(1)).alias("n"), F.max_by("bpf_ewma", "seq").alias("bpf_ewma"))
+    return signals(frames, order=order).groupBy("camera").agg(F.count(F.lit(1)).alias("n"), F.max_by("bpf_ewma", "seq").alias("bpf_ewma"))
 
 
 def would_fire(z: Column, min_bytes: Column, floor: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from camloom.operators.running import SPAN, numbered, ranged, running, with_previous
+from camloom.operators.running import SPAN, numbered, ranged, running, with_next, with_previous
 
 KEYFRAME, PARAMSET, BFRAME = 1, 2, 8
 CLOCK = 90  # ticks a millisecond
@@ -41,16 +41,15 @@ def access_units(nal: DataFrame, span: int = SPAN) -> DataFrame:
         F.min("seq").alias("first_seq"), F.min("pts_90khz").alias("pts_90khz"), F.sum("length").alias("byte_count"), F.count(F.lit(1)).alias("n_nal"),
         F.bool_or(flag(KEYFRAME)).alias("is_keyframe"), F.bool_or(flag(PARAMSET)).alias("is_intra"), F.bool_or(flag(BFRAME)).alias("is_bframe"),
     )
-    last = nal.groupBy("camera").agg(F.max("seq").alias("q_last"))
-    ends = units.join(last, "camera").where((F.col("first_seq") + F.col("n_nal") - 1 < F.col("q_last")) & (F.col("byte_count") > 0))
-    return ends.drop("q_last")
+    last = units.groupBy("camera").agg(F.max("first_seq").alias("q_last"))
+    return units.join(last, "camera").where((F.col("first_seq") < F.col("q_last")) & (F.col("byte_count") > 0)).drop("q_last")
 
 
 def since_keyframe(frames: DataFrame, span: int = SPAN) -> DataFrame:
     """Frames since the last keyframe; null before the first."""
-    groups = running(ranged(frames, "seq", span), {"gop": ("sum", F.col("is_keyframe").cast("long"))}, "camera", ["seq"])
-    place = F.row_number().over(Window.partitionBy("camera", "gop").orderBy("seq")) - 1
-    return groups.select(*frames.columns, F.when(F.col("gop") > 0, place.cast("long")).alias("since_kf"))
+    placed = running(ranged(frames, "seq", span), {"q_n": ("sum", F.lit(1).cast("long"))}, "camera", ["seq"])
+    found = running(ranged(placed, "seq", span), {"q_kf": ("max", F.when(F.col("is_keyframe"), F.col("q_n")))}, "camera", ["seq"])
+    return found.select(*frames.columns, (F.col("q_n") - F.col("q_kf")).alias("since_kf"))
 
 
 def fragments(nal: DataFrame, span: int = SPAN) -> DataFrame:
@@ -70,9 +69,9 @@ def z_timeline(records: DataFrame, cap: int | None = None, by: str = "camera", s
     )
     if cap is not None:
         points = points.where(F.col("island") <= cap + 1)
+    points = points.select(by, "island", "pts", "is_keyframe", "is_bframe", F.coalesce(F.col("last.z_score"), F.lit(0.0)).alias("z"))
     first = points.where("island = 1").select(by, F.col("pts").alias("q_first"))
-    after = points.select(by, (F.col("island") - 1).alias("island"), F.col("pts").alias("q_next"), F.coalesce(F.col("last.z_score"), F.lit(0.0)).alias("q_z"))
-    both = points.join(after, [by, "island"], "left").join(first, by)
+    both = with_next(ranged(points, "island", span), {"q_next": "pts", "q_z": "z"}, by, ["island"]).join(first, by)
     shown = both if cap is None else both.where(F.col("island") <= cap)
     ms = lambda ticks: (ticks / CLOCK).cast("long")
     return shown.select(by, ms(F.col("pts") - F.col("q_first")).alias("offset_ms"), F.coalesce("q_z", F.lit(0.0)).alias("z_score"), "is_keyframe", "is_bframe", ms(F.col("q_next") - F.col("pts")).alias("width_ms"))

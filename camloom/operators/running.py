@@ -51,3 +51,15 @@ def with_previous(df: DataFrame, columns: dict[str, str], by: str, order: list[s
     both = here.join(before, [by, "q_range"])
     starts = F.col("q_place") == 1
     return both.select(*df.columns, *(F.when(starts, F.col(f"q_before_{n}")).otherwise(F.col(n)).alias(n) for n in columns), (starts & F.col("q_opens")).alias("q_first"))
+
+
+def with_next(df: DataFrame, columns: dict[str, str], by: str, order: list[str]) -> DataFrame:
+    """df, which has q_range, with a column for each (name: column) of the key's row after this one; null for its last."""
+    key = F.struct(*order)
+    first = df.groupBy(by, "q_range").agg(*(F.min_by(c, key).alias(f"q_first_{n}") for n, c in columns.items()))
+    over = Window.partitionBy(by).orderBy("q_range")
+    after = first.select(by, "q_range", *(F.lead(f"q_first_{n}").over(over).alias(f"q_after_{n}") for n in columns))
+    inside = Window.partitionBy(by, "q_range").orderBy(*order)
+    here = df.withColumns({n: F.lead(c).over(inside) for n, c in columns.items()}).withColumn("q_last", F.lead(F.lit(True)).over(inside).isNull())
+    both = here.join(after, [by, "q_range"])
+    return both.select(*df.columns, *(F.when(F.col("q_last"), F.col(f"q_after_{n}")).otherwise(F.col(n)).alias(n) for n in columns))

@@ -30,32 +30,32 @@ _FOLD = f"with recursive {cte('frames')}, {D.fold_sql(FLAGSHIP)}"
 
 @query(f"{_FOLD} select camera, seq, byte_count, round(z_score, 6) as z_score, round(intra_ratio, 6) as intra_ratio from fold where event")
 def detector_events(spark, d):
-    out = D.signals(view(spark, d, "frames"), FLAGSHIP, events_only=True)
+    out = D.signals(view(spark, d, "plain_frames"), FLAGSHIP, events_only=True, order=("ts", "src_id"))
     return out.select("camera", "seq", "byte_count", F.round("z_score", 6).alias("z_score"), F.round("intra_ratio", 6).alias("intra_ratio"))
 
 
 @query(f"{_FOLD} select camera, seq, round(z_score, 6) as z_score, cast(fsm_before as smallint) as fsm_before, cast(fsm as smallint) as fsm_after, since_kf, event as is_event from fold where seq > 0")
 def detector_signals(spark, d):
-    out = D.signals(view(spark, d, "frames"), FLAGSHIP)
+    out = D.signals(view(spark, d, "plain_frames"), FLAGSHIP, order=("ts", "src_id"))
     return out.select("camera", "seq", F.round("z_score", 6).alias("z_score"), "fsm_before", "fsm_after", "since_kf", F.col("event").isNotNull().alias("is_event"))
 
 
 @query(f"{_FOLD} select camera, cast(count(*) filter (where event) as bigint) as n_events, round(max(z_score), 6) as z_max from fold where seq > 0 group by camera")
 def detector_by_camera(spark, d):
-    out = D.signals(view(spark, d, "frames"), FLAGSHIP)
+    out = D.signals(view(spark, d, "plain_frames"), FLAGSHIP, order=("ts", "src_id"))
     return out.groupBy("camera").agg(F.count("event").alias("n_events"), F.round(F.max("z_score"), 6).alias("z_max"))
 
 
 @query()
 def detector_per_camera_config(spark, d):
-    out = D.signals(view(spark, d, "frames"), D.Config(), view(spark, d, "camera_config"), events_only=True)
+    out = D.signals(view(spark, d, "plain_frames"), D.Config(), view(spark, d, "camera_config"), events_only=True, order=("ts", "src_id"))
     return out.select("camera", "seq", "byte_count", F.round("z_score", 6).alias("z_score"), "reason")
 
 
 @query(f"""with {cte('frames')}, s as (select *, min(seq) filter (where not is_keyframe) over (partition by camera) as seed from frames)
 select camera, cast(count(*) as bigint) as n, round(list_reduce(list(cast(byte_count as double) order by seq) filter (where seq >= coalesce(seed, 0)), lambda m, x: 2e-1 * x + (1e0 - 2e-1) * m), 6) as bpf_ewma from s group by camera""")
 def ewma_by_camera(spark, d):
-    return D.ewma(view(spark, d, "frames")).select("camera", "n", F.round("bpf_ewma", 6).alias("bpf_ewma"))
+    return D.ewma(view(spark, d, "plain_frames"), ("ts", "src_id")).select("camera", "n", F.round("bpf_ewma", 6).alias("bpf_ewma"))
 
 
 # ---------------------------------------------------------------- order

@@ -18,6 +18,9 @@ ADAPTERS = {
 select 'cam-' || lpad(cast(user_id % 16 as string), 2, '0') as camera,
        cast(row_number() over (partition by user_id % 16 order by ts, event_id) as bigint) as seq,
        event_id as src_id, ts, cast(round(value * 100e0) as bigint) as byte_count, event_type = 'signup' as is_keyframe
+from {events}""",
+    "plain_frames": """
+select 'cam-' || lpad(cast(user_id % 16 as string), 2, '0') as camera, event_id as src_id, ts, cast(round(value * 100e0) as bigint) as byte_count, event_type = 'signup' as is_keyframe
 from {events}""",
     "raw_events": """
 select lpad(cast(event_id as string), 26, '0') as event_id, 'site-' || cast(user_id % 3 as string) as site,
