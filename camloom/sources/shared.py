@@ -46,10 +46,12 @@ def deleted(spark: SparkSession, path: str) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream. A pattern that matches just the table: a stream takes a single file only by a pattern."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table's files as a stream, so many at once if that is given. A pattern that matches just the table: a stream takes a single file
+    only by a pattern."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+    limits = {} if files_per_trigger is None else {"maxFilesPerTrigger": files_per_trigger}
+    return spark.readStream.schema(schema).options(**limits).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
 def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

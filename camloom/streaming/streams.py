@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from camloom.operators.detector import DDL, Config, State, step
+from camloom.operators.detector import DDL, NAMES, Config, State
+from camloom.operators.recurrence import advanced
 from camloom.operators.rules import Stage, cascade
 from camloom.sources.sinks import write_verdicts
 
@@ -33,19 +35,23 @@ def detector_stream(frames: DataFrame, config: Config = Config()) -> DataFrame:
         last_ts, last_id, late = values[len(FIELDS) :] if values else (-(1 << 62), -(1 << 62), 0)
         rows = pd.concat(list(parts), ignore_index=True)
         rows["us"] = rows["ts"].astype("datetime64[us]").astype("int64")
-        out = []
-        for us, i, size, kf in rows.sort_values(["us", "src_id"])[["us", "src_id", "byte_count", "is_keyframe"]].itertuples(index=False):
-            if (us, i) <= (last_ts, last_id):
-                late += 1
-                continue
-            last_ts, last_id = us, i
-            r = step(s, int(size), bool(kf), None, config)
-            if r[0] is not None:
-                out.append((key[0], int(i), int(size), bool(kf), *r, late))
+        rows = rows.sort_values(["us", "src_id"], ignore_index=True)
+        us, ids = rows["us"].to_numpy(), rows["src_id"].to_numpy()
+        # A row at or before the one processed last is late, as is one that repeats the row before it.
+        again = np.concatenate([[False], (us[1:] == us[:-1]) & (ids[1:] == ids[:-1])])
+        is_late = again | (us < last_ts) | ((us == last_ts) & (ids <= last_id))
+        missed = late + np.cumsum(is_late)[~is_late]
+        late, rows = late + int(is_late.sum()), rows[~is_late]
+        out = None
+        if len(rows):
+            last_ts, last_id = int(us[~is_late][-1]), int(ids[~is_late][-1])
+            made = advanced(s, rows["byte_count"].to_numpy(float), rows["is_keyframe"].to_numpy(bool), None, config)
+            at = sorted(made.events)
+            values = [[made.events[k] for k in at], made.z_score[at], made.intra_ratio[at], [made.reasons[k] for k in at], *(v[at] for v in (made.fsm_before, made.fsm_after, made.since_kf, made.bpf_ewma, made.bpf_slow, made.bpf_var))]
+            out = rows.iloc[at][["src_id", "byte_count", "is_keyframe"]].assign(camera=key[0], late=missed[at], **dict(zip(NAMES, values, strict=True)))
         held.update((*(getattr(s, f) for f in FIELDS), int(last_ts), int(last_id), int(late)))
-        if out:
-            names = [f.strip().split()[0] for f in OUT_DDL.split(",")]
-            yield pd.DataFrame(out, columns=names)
+        if out is not None and len(out):
+            yield out[[f.strip().split()[0] for f in OUT_DDL.split(",")]]
 
     rows = frames.select("camera", "ts", "src_id", "byte_count", "is_keyframe")
     return rows.groupBy("camera").applyInPandasWithState(run, OUT_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout)

@@ -4,12 +4,14 @@ import collections
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from camloom.operators import detector as D
 from camloom.operators import rules as R
 from camloom.sources.shared import drained
 from camloom.streaming import streams
+from camloom.streaming.receive import received
 
 T0 = dt.datetime(2026, 5, 16)
 
@@ -83,3 +85,52 @@ def test_spikes_do_not_depend_on_how_rows_come(spark, tmp_path):
     for name, batches in (("sorted", [by_time]), ("shuffled", [shuffled]), ("batches", [near[k : k + 3000] for k in range(0, len(near), 3000)])):
         got = drained(streams.spikes(stream_of(spark, batches, "camera string, ts timestamp", f"{tmp_path}/{name}"), delay="30 minutes"))
         assert sorted((epoch(r.window_start), r.n, r.before, r.alarm) for r in got.where("camera = 'c'").collect()) == expected, name
+
+
+PACKETS = "camera string, arrival long, seq long"
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def plain_receiver(seqs, window=32):
+    due, place, held, out = None, 0, {}, []
+    for arrival, seq in seqs:
+        due = seq if due is None else due
+        ahead = (seq - due + 32768) % 65536 - 32768
+        if ahead < 0:
+            continue
+        if 0 < ahead < window:
+            held[seq] = arrival
+            continue
+        ready = [(s, held[s], 0) for s in sorted(held, key=lambda s: (s - due) % 65536)] if ahead else []
+        held = {} if ahead else held
+        ready.append((seq, arrival, max(ahead - 1, 0)))
+        due = (seq + 1) % 65536
+        while due in held:
+            ready.append((due, held.pop(due), 0))
+            due = (due + 1) % 65536
+        for s, a, lost in ready:
+            place += 1
+            out.append((a, s, place, lost))
+    return out
+
+
+def test_received_keeps_its_window_over_batches(spark, tmp_path, rocks):
+    rng, rows = random.Random(2), []
+    for camera in ("a", "b"):
+        sent = [(65_300 + k) % 65536 for k in range(700) if rng.random() > 0.03 and not 300 < k < 340]
+        sent = [s for at in range(0, len(sent), 9) for s in rng.sample(sent[at : at + 9], len(sent[at : at + 9]))]
+        rows += [(camera, k, s) for k, s in enumerate(sent)] + [(camera, 5000, sent[3])]
+    rows.sort(key=lambda r: r[1])
+    batches = [rows[k : k + 400] for k in range(0, len(rows), 400)]
+    got = collections.defaultdict(list)
+    for r in drained(received(stream_of(spark, batches, PACKETS, f"{tmp_path}/in"))).orderBy("camera", "place").collect():
+        got[r.camera].append((r.arrival, r.seq, r.place, r.lost))
+    expected = {c: plain_receiver([r[1:] for r in rows if r[0] == c]) for c in "ab"}
+    assert got == expected and sum(lost for *_, lost in expected["a"]) > 30
