@@ -204,11 +204,11 @@ def would_fire(z: Column, min_bytes: Column, floor: Column) -> Column:
     return ~small & ~low & (F.col("z_score") >= z)
 
 
-#: The same fold as a recursive query (gradual branch left out), a step for each frame of all cameras at once.
+#: The same fold as a recursive query, a step for each frame of all cameras at once.
 FOLD_SQL = """
 fold as (
   select camera, cast(0 as bigint) as seq, cast(0 as bigint) as byte_count, false as is_keyframe, 0e0 as ewma, 0e0 as slow, 0e0 as var, cast(4294967295 as bigint) as since_kf,
-         0 as above, 0 as below, 0 as fsm, 0 as fsm_before, 0e0 as z_score, 0e0 as intra_ratio, false as event
+         0 as above, 0 as below, 0 as fsm, 0 as fsm_before, 0e0 as z_score, 0e0 as intra_ratio, false as event, 0e0 as vslow, 0 as gradual, false as scene, 0e0 as diverge
   from (select distinct camera from frames)
   union all
   select camera, seq, byte_count, is_keyframe, ewma, slow, var, since_kf,
@@ -218,14 +218,18 @@ fold as (
               when p_fsm = 1 then case when signal or p_below + 1 >= {off} then 0 else p_below + 1 end else 0 end as below,
          case when quiet then p_fsm when p_fsm = 0 then case when signal and p_above + 1 >= {on} then 1 else 0 end
               when p_fsm = 1 then case when not signal and p_below + 1 >= {off} then 2 else 1 end else 0 end as fsm,
-         p_fsm as fsm_before, z_score, case when quiet then 0e0 else intra end as intra_ratio, not quiet and p_fsm = 0 and signal and p_above + 1 >= {on} as event
+         p_fsm as fsm_before, z_score, case when quiet then 0e0 else intra end as intra_ratio, not quiet and p_fsm = 0 and signal and p_above + 1 >= {on} as event,
+         vslow, case when quiet or (p_fsm = 0 and signal and p_above + 1 >= {on}) then p_gradual when diverge <= {apart} then greatest(p_gradual - 1, 0) when p_gradual + 1 >= {frames} then 0 else p_gradual + 1 end as gradual,
+         not quiet and not (p_fsm = 0 and signal and p_above + 1 >= {on}) and diverge > {apart} and p_gradual + 1 >= {frames} as scene, diverge
   from (select *, not quiet and ((ok and not is_keyframe and (z_score > {z} or intra > {intra})) or (is_keyframe and p_since = 0)) as signal
-    from (select *, case when quiet or is_keyframe then 0e0 else (x - slow) / greatest(sqrt(var), {floor}) end as z_score, {min_bytes} = 0 or byte_count >= {min_bytes} as ok
+    from (select *, case when quiet or is_keyframe then 0e0 else (x - slow) / greatest(sqrt(var), {floor}) end as z_score, {min_bytes} = 0 or byte_count >= {min_bytes} as ok,
+                 case when quiet then 0e0 else abs(slow - vslow) / vslow end as diverge
       from (select *, case when is_keyframe then p_var when p_slow = 0 then (1e0 - 5e-3) * (x * 1e-2 + 5e-3 * (x - slow) * (x - slow)) else (1e0 - 5e-3) * (p_var + 5e-3 * (x - slow) * (x - slow)) end as var,
                    slow = 0 as quiet
-        from (select f.camera, f.seq, f.byte_count, f.is_keyframe, cast(f.byte_count as double) as x, p.slow as p_slow, p.var as p_var, p.since_kf as p_since, p.above as p_above, p.below as p_below, p.fsm as p_fsm,
+        from (select f.camera, f.seq, f.byte_count, f.is_keyframe, cast(f.byte_count as double) as x, p.slow as p_slow, p.var as p_var, p.since_kf as p_since, p.above as p_above, p.below as p_below, p.fsm as p_fsm, p.gradual as p_gradual{more},
                      cast(f.byte_count as double) / case when p.slow > 0 then p.slow else 1e2 end as intra,
                      case when f.is_keyframe then p.slow when p.slow = 0 then cast(f.byte_count as double) else 5e-3 * f.byte_count + (1e0 - 5e-3) * p.slow end as slow,
+                     case when f.is_keyframe then p.vslow when p.slow = 0 then cast(f.byte_count as double) else 5e-4 * f.byte_count + (1e0 - 5e-4) * p.vslow end as vslow,
                      case when p.ewma = 0 and (f.is_keyframe or p.slow > 0) then cast(f.byte_count as double)
                           when not f.is_keyframe and p.slow = 0 then 2e-1 * f.byte_count + (1e0 - 2e-1) * f.byte_count
                           else 2e-1 * f.byte_count + (1e0 - 2e-1) * p.ewma end as ewma,
@@ -233,5 +237,8 @@ fold as (
               from fold p join frames f on f.camera = p.camera and f.seq = p.seq + 1)))))"""
 
 
-def fold_sql(c: Config) -> str:
-    return FOLD_SQL.format(on=c.on_threshold, off=c.off_threshold, z=f"{c.motion_z_high}e0", intra=f"{c.intra_ratio_high}e0", floor=f"{c.bpf_floor}e0", min_bytes=c.min_bytes_threshold)
+def fold_sql(c: Config, more: dict[str, str] | None = None) -> str:
+    """The fold under one configuration; more: thresholds (names of FOLD_SQL) that are columns of frames instead."""
+    apart = f"{c.gradual_threshold}e0" if c.gradual_enabled else "1e300"
+    values = {"on": c.on_threshold, "off": c.off_threshold, "z": f"{c.motion_z_high}e0", "intra": f"{c.intra_ratio_high}e0", "floor": f"{c.bpf_floor}e0", "min_bytes": c.min_bytes_threshold, "apart": apart, "frames": c.gradual_window_frames}
+    return FOLD_SQL.format(**(values | (more or {})), more="".join(f", f.{column}" for column in (more or {}).values()))

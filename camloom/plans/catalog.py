@@ -46,12 +46,30 @@ def detector_by_camera(spark, d):
     return out.groupBy("camera").agg(F.count("event").alias("n_events"), F.round(F.max("z_score"), 6).alias("z_max"))
 
 
-@query()
+_COLUMNS = {"on": "on_threshold", "off": "off_threshold", "z": "motion_z_high", "intra": "intra_ratio_high", "floor": "bpf_floor", "min_bytes": "min_bytes_threshold"}
+_OF_CAMERAS = f"""with recursive {cte('frames', 'camera_config').replace('frames as (', 'numbered as (', 1)},
+frames as (select n.*, {', '.join(f"coalesce(c.{c}, {getattr(D.Config(), c)}) as {c}" for c in _COLUMNS.values())} from numbered n left join camera_config c on c.camera = n.camera), {D.fold_sql(D.Config(), _COLUMNS)}"""
+
+
+@query(f"""{_OF_CAMERAS} select fold.camera, fold.seq, fold.byte_count, round(z_score, 6) as z_score, case when fold.is_keyframe then 'unexpected_idr'
+  else concat_ws(',', case when z_score > motion_z_high then printf('z=%.2f', z_score) end, case when intra_ratio > intra_ratio_high then printf('intra_ratio=%.2f', intra_ratio) end) end as reason
+from fold join frames f on f.camera = fold.camera and f.seq = fold.seq where event""")
 def detector_per_camera_config(spark, d):
     out = D.signals(view(spark, d, "plain_frames"), D.Config(), view(spark, d, "camera_config"), events_only=True, order=("ts", "src_id"))
     return out.select("camera", "seq", "byte_count", F.round("z_score", 6).alias("z_score"), "reason")
 
 
+SLOW_CHANGE = D.Config(off_threshold=5, gradual_enabled=True, gradual_threshold=0.03, gradual_window_frames=40)
+
+
+@query(f"""with recursive {cte('frames')}, {D.fold_sql(SLOW_CHANGE)}
+select camera, seq, case when event then 'motion' else 'scene_change' end as event, case when scene then printf('gradual:diverge=%.3f', diverge) end as reason from fold where event or scene""")
+def detector_gradual(spark, d):
+    """Motion, and scenes that change slowly: slow means that stay apart for 40 frames."""
+    out = D.signals(view(spark, d, "plain_frames"), SLOW_CHANGE, events_only=True, order=("ts", "src_id"))
+    return out.select("camera", "seq", "event", F.when(F.col("event") == "scene_change", F.col("reason")).alias("reason"))
+
+
 @query(f"""with {cte('frames')}, s as (select *, min(seq) filter (where not is_keyframe) over (partition by camera) as seed from frames)
 select camera, cast(count(*) as bigint) as n, round(list_reduce(list(cast(byte_count as double) order by seq) filter (where seq >= coalesce(seed, 0)), lambda m, x: 2e-1 * x + (1e0 - 2e-1) * m), 6) as bpf_ewma from s group by camera""")
 def ewma_by_camera(spark, d):
