@@ -856,3 +856,6 @@ def stream_spikes(spark, d):
 
     out = drained(spikes(_events_stream(spark, d), window_minutes=360))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+from camloom.plans import fleet_queries  # noqa: E402, F401  (takes labelled events from here)
