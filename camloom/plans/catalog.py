@@ -858,4 +858,4 @@ def stream_spikes(spark, d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-from camloom.plans import fleet_queries  # noqa: E402, F401  (takes labelled events from here)
+from camloom.plans import fleet_queries, reader_queries  # noqa: E402, F401  (they take labelled events from here)

@@ -124,6 +124,12 @@ CAMERA_DEFAULTS = {
     "gradual_enabled": False, "gradual_threshold": 0.4, "pre_roll_seconds": 6, "post_roll_seconds": 8,
 }
 MOST_CAMERAS = 64
+#: Fixed values that keys of a camera, and of other tables, may have.
+CAMERA_CHOICES = {"transport": ("tcp", "udp"), "codec_hint": ("auto", "h264", "h265")}
+CHOICES = {
+    ("runtime", "log_level"): ("trace", "debug", "info", "warn", "error", "fatal"), ("recording", "container"): ("mpegts", "fmp4"),
+    ("recording", "fsync_policy"): ("on_close", "always", "never"), ("mqtt", "qos"): (0, 1, 2),
+}
 
 
 def camera_config(text: str) -> list[dict]:
@@ -132,12 +138,17 @@ def camera_config(text: str) -> list[dict]:
     cameras = config.get("cameras", config.get("camera", []))
     if len(cameras) > MOST_CAMERAS:
         raise ValueError(f"{len(cameras)} cameras; at most {MOST_CAMERAS}")
-    out, wrong = [], []
+    if isinstance(cameras, dict):  # a table for each camera, by its name
+        cameras = [{"name": name, **c} for name, c in cameras.items()]
+    out, wrong = [], [f"{part}.{k}: unknown value {config[part][k]!r}" for (part, k), allowed in CHOICES.items() if k in config.get(part, {}) and config[part][k] not in allowed]
     for c in cameras:
         row = {**CAMERA_DEFAULTS, **{k: v for k, v in {**config.get("detection", {}), **c, **c.get("detection", {})}.items() if k in CAMERA_DEFAULTS}, "camera": c.get("name", ""), "url": c.get("url", "")}
         checks = [
             (row["camera"] == "", "a camera has no name"), (row["url"] == "", "no url"), (not 0 <= row["motion_z_high"] <= 100, "motion_z_high"), (not 0 <= row["intra_ratio_high"] <= 100, "intra_ratio_high"),
-            (not 1 <= row["on_threshold"] <= 255, "on_threshold"), (not 1 <= row["off_threshold"] <= 255, "off_threshold"), (row["pre_roll_seconds"] > c.get("buffer_seconds", config.get("recording", {}).get("buffer_seconds", 60)), "pre_roll_seconds exceeds the buffer"),
+            (not 1 <= row["on_threshold"] <= 255, "on_threshold"), (not 1 <= row["off_threshold"] <= 255, "off_threshold"),
+            *((c[k] not in allowed, f"{k}: unknown value {c[k]!r}") for k, allowed in CAMERA_CHOICES.items() if k in c), (row["motion_z_high"] <= 0, "motion_z_high must be positive"),
+            (not (c.get("buffer_seconds", 60) or c.get("buffer_frames", 0)), "buffer_seconds or buffer_frames must be above 0"),
+            (not c.get("buffer_frames") and row["pre_roll_seconds"] > c.get("buffer_seconds", config.get("recording", {}).get("buffer_seconds", 60)), "pre_roll_seconds exceeds the buffer"),
         ]
         wrong += [f"{row['camera']}: {what}" for bad, what in checks if bad]
         out.append(row)

@@ -45,11 +45,60 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
 
 
-def mqtt_payload(events: DataFrame) -> DataFrame:
-    """camera, value: fixed decimals, as subscribers parse them."""
-    text = lambda c, d: F.format_string(f"%.{d}f", F.col(c))
-    value = F.to_json(F.struct("event_id", "camera", "type", text("z_score", 4).alias("z_score"), text("intra_ratio", 4).alias("intra_ratio"), "bytes"))
-    return events.select("camera", value.alias("value"))
+TEXT = -1
+
+
+def json_escaped(text: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string; a null one is empty."""
+    whole = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))
+    return whole.substr(F.lit(7), F.char_length(whole) - 8)
+
+
+def html_escaped(text: Column) -> Column:
+    out = text
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out
+
+
+def json_line(fields: list[tuple[str, Column, int | None]]) -> Column:
+    """An object with fields in this order: (name, value, decimals). Texts (TEXT) are quoted and escaped, numbers as they are (None) or with
+    fixed decimals, as subscribers parse them. A null text is empty, a null number 0."""
+
+    def of(value: Column, decimals: int | None) -> Column:
+        if decimals == TEXT:
+            return F.concat(F.lit('"'), json_escaped(value), F.lit('"'))
+        number = F.coalesce(value, F.lit(0))
+        return number.cast("string") if decimals is None else F.format_string(f"%.{decimals}f", number.cast("double"))
+
+    return F.concat(*(F.concat(F.lit(f'{"," if k else "{"}"{name}":'), of(value, decimals)) for k, (name, value, decimals) in enumerate(fields)), F.lit("}"))
+
+
+def mqtt_payload(events: DataFrame, instance: str = "") -> DataFrame:
+    """camera, value: an event for subscribers, version 2. Columns that events lack are empty or 0, the codec h264."""
+    has = lambda name, other: F.col(name) if name in events.columns else F.lit(other)
+    kind = F.when(F.col("type") == "scene_change", "scene_change").otherwise("motion")
+    # Fixed names, order and decimals.
+    fields = [
+        ("v", F.lit(2), None), ("instance", F.lit(instance), TEXT), ("cam_id", F.col("camera"), TEXT), ("event_id", F.col("event_id"), TEXT), ("type", kind, TEXT), ("reason", has("reason", ""), TEXT),
+        ("started_pts_90khz", has("pts_start", 0), None), ("fps_estimate", has("fps", 0.0), 2), ("codec", has("codec", "h264"), TEXT), ("z_score", F.col("z_score"), 4), ("intra_ratio", F.col("intra_ratio"), 4),
+        ("byte_count", F.col("bytes"), None), ("bpf_slow", has("bpf_slow", 0.0), 4), ("bpf_ewma", has("bpf_ewma", 0.0), 4), ("bpf_var", has("bpf_var", 0.0), 4), ("since_kf", has("since_kf", 0), None),
+        ("fsm_before", has("fsm_before", 0), None), ("fsm_after", has("fsm_after", 0), None),
+    ]
+    return events.select("camera", json_line(fields).alias("value"))
+
+
+def clip_payload(clips: DataFrame, instance: str = "", carry: list[str] | None = None) -> DataFrame:
+    """camera, value: a finished clip for subscribers, version 1; with carry's columns."""
+    # Fixed names and order.
+    texts, numbers = ("container", "codec", "path"), ("size_bytes", "duration_ms", "pre_roll_ms", "post_roll_ms")
+    heads = [("v", F.lit(1), None), ("instance", F.lit(instance), TEXT), ("event_id", F.col("event_id"), TEXT), ("cam_id", F.col("camera"), TEXT)]
+    fields = [*heads, *((n, F.col(n), TEXT) for n in texts), *((n, F.col(n), None) for n in numbers), ("sha256", F.col("sha256"), TEXT)]
+    return clips.select("camera", json_line(fields).alias("value"), *(carry or []))
+
+
+def status_payload(online: Column, reason: Column) -> Column:
+    return F.concat(F.lit('{"online":'), F.when(online, "true").otherwise("false"), F.lit(',"reason":"'), json_escaped(reason), F.lit('"}'))
 
 
 def clip_digest(files: DataFrame) -> DataFrame:

@@ -68,6 +68,28 @@ def test_camera_config(spark):
             E.camera_config(bad)
 
 
+def test_camera_config_of_named_tables():
+    good = '[mqtt]\nqos = 2\n[recording]\ncontainer = "fmp4"\n[cameras.a]\nurl = "u"\ntransport = "udp"\nbuffer_frames = 500\npre_roll_seconds = 99\n[cameras.b]\nurl = "v"\ncodec_hint = "h265"\n'
+    assert [c["camera"] for c in E.camera_config(good)] == ["a", "b"]
+    for bad, why in (
+        ("[mqtt]\nqos = 3\n", "mqtt.qos"), ('[recording]\ncontainer = "avi"\n', "recording.container"), ('[recording]\nfsync_policy = "x"\n', "fsync_policy"), ('[runtime]\nlog_level = "loud"\n', "log_level"),
+        ('[cameras.a]\nurl = "u"\ntransport = "pigeon"\n', "a: transport"), ('[cameras.a]\nurl = "u"\ncodec_hint = "av1"\n', "codec_hint"), ('[cameras.a]\nurl = "u"\nbuffer_seconds = 0\n', "buffer_seconds or buffer_frames"),
+        ('[cameras.a]\nurl = "u"\nmotion_z_high = 0.0\n', "must be positive"), ('[cameras.a]\n', "no url"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            E.camera_config(bad)
+
+
+def test_payloads_escape_what_they_quote(spark):
+    rows = spark.createDataFrame([('c"1', "e\\", "gradual", None, 1.5, None, 7)], "camera string, event_id string, type string, reason string, z_score double, intra_ratio double, bytes long")
+    value = json.loads(sinks.mqtt_payload(rows).first().value)
+    assert (value["cam_id"], value["event_id"], value["type"], value["reason"], value["z_score"], value["intra_ratio"], value["byte_count"]) == ('c"1', "e\\", "motion", "", 1.5, 0, 7) and len(value) == 18
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(sinks.html_escaped(F.lit("<a href=\"x\">'&'"))) == "&lt;a href=&#34;x&#34;&gt;&#39;&amp;&#39;"
+    assert json.loads('"' + one(sinks.json_escaped(F.lit('a"b\\\n\u0001é'))) + '"') == 'a"b\\\n\u0001é' and one(sinks.json_escaped(F.lit(None).cast("string"))) == ""
+    assert one(sinks.status_payload(F.lit(False), F.lit("disk full"))) == '{"online":false,"reason":"disk full"}'
+
+
 def test_config_history(spark):
     h = spark.createDataFrame([(f"run{k}", "c", k, f"p{k}", f"n{k}") for k in range(25)], "run_id string, camera string, applied_at long, previous_cfg string, new_cfg string")
     assert E.latest_configs(h, 20).count() == 20 and E.rolled_back(h, "run24").first().cfg == "p24"
