@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that occur twice are cut out of the texts; n_chars follows."""
+    """Passages of 200 bytes or more that occur twice are cut out of the texts; n_chars, a column that docs must have, follows. Null texts stay null."""
     rows, names = held(docs)
     cut = suffixes.without_repeats(rows, rows.columns, names["text"], texts=True)
     lost = F.col("n_removed") > 0
@@ -60,6 +60,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence. Null and empty texts are a document of the end mark alone, repeated rows documents of
+    their own; an empty table gives an empty result."""
     return packing.packed_sequences(docs)
 
 
@@ -75,6 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir. Rows with nulls in any column go through all of them; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
