@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from camloom.functions.bitstream import reordered, rtp_header, rtp_payload
+from camloom.functions.bitstream import byte_at, nal_flags, nal_type, reordered, rtp_header, rtp_payload, slice_type, with_parsed
 from camloom.operators.depacketize import depacketized, packet_kind
+from camloom.operators.slices import slice_headers
 from camloom.plans.registry import query
 from camloom.sources.adapters import cte, view
 from camloom.sources.shared import scratch
@@ -87,3 +89,36 @@ def packet_kinds(spark, d):
     """Packets of each kind, and how many were missing before them."""
     rows = received(spark, d, "h264").select("camera", packet_kind(F.col("payload"), "h264").alias("kind"), "lost")
     return rows.groupBy("camera", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("lost").alias("lost"))
+
+
+def _ue(value: Column) -> Column:
+    """The Exp-Golomb code of a small number, as text of bits."""
+    return F.element_at(F.array(*(F.lit(bin(k + 1)[2:].rjust(2 * (k + 1).bit_length() - 1, "0")) for k in range(16))), value.cast("int") + 1)
+
+
+def coded(nal: DataFrame) -> DataFrame:
+    """camera, seq, nal: records as slices, and of type 7 as picture parameter sets, whose fields are made of the columns."""
+    seq, length = F.col("seq"), F.col("length")
+    bit = lambda c: F.when(c, "1").otherwise("0")
+    # id, sequence set 0, the entropy coding flag, no field order, one slice group, one reference each, no weights, QP 26 and the end
+    pps = F.concat(_ue(seq % 3), F.lit("1"), bit(length % 3 == 0), F.lit("0"), F.lit("111"), F.lit("000"), F.lit("11"))
+    head = F.concat(_ue(seq % 4), _ue(length % 10), _ue(length % 3), F.lpad(F.conv((seq % 16).cast("string"), 10, 2), 4, "0"), F.when(F.col("nal_type") == 1, _ue(seq % 7)).otherwise(""), F.lit("1"))
+    bits = F.rpad(F.when(F.col("nal_type") == 7, pps).otherwise(head), 40, "0")
+    first = F.when(F.col("nal_type") == 7, 0x68).when(F.col("nal_type") == 5, 0x65).otherwise(0x61)
+    return nal.select("camera", "seq", F.unhex(F.concat(F.hex(first), F.lpad(F.conv(bits, 2, 16), 10, "0"))).alias("nal"))
+
+
+@query(f"""with {cte('nal')}, sets as (select camera, seq % 3 as id, seq, length % 3 = 0 as cabac from nal where nal_type = 7), s as (select camera, seq, nal_type, length, length % 3 as pps_id from nal where nal_type <> 7),
+a as (select s.*, coalesce(p.cabac, false) as cabac from s asof left join sets p on p.camera = s.camera and p.id = s.pps_id and p.seq <= s.seq)
+select camera, seq, nal_type = 5 as idr, length % 10 as slice_type, pps_id, seq % 16 as frame_num, cabac, case when nal_type = 1 and not cabac then seq % 7 end as skip_run from a""")
+def slice_fields(spark, d):
+    """Headers of all slices, read from their bytes under the parameter set that was active."""
+    return slice_headers(coded(view(spark, d, "nal")))
+
+
+@query(f"""with {cte('nal')} select camera, seq, case when nal_type = 5 then 1 when nal_type = 7 then 2 when length % 10 % 5 = 1 then 8 else 0 end as flags from nal""")
+def coded_flags(spark, d):
+    """Key frames, parameter sets and B frames, told from the bytes alone."""
+    rows = with_parsed(coded(view(spark, d, "nal")), "nal", "kind", slice_type, "int", pa.int32())
+    h264 = F.lit("h264")
+    return rows.select("camera", "seq", nal_flags(nal_type(byte_at(F.col("nal"), 0), h264), h264, F.col("kind")).alias("flags"))

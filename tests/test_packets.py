@@ -6,6 +6,7 @@ import pytest
 
 from camloom.functions import bitstream as B
 from camloom.operators.depacketize import depacketized, packet_kind, split_units
+from camloom.operators.slices import h265_pps, h265_slice, h265_vps, slice_headers
 from pyspark.sql import functions as F
 
 DDL = "camera string, seq_long long, timestamp long, marker boolean, payload binary"
@@ -109,3 +110,30 @@ def test_numbers_that_wrap(spark, span):
     df = spark.createDataFrame(rows, "camera string, arrival long, seq int").repartition(4)
     got = sorted((r.camera, r.seq_long, r.lost) for r in B.reordered(df, span=span).collect())
     assert [(c, s) for c, s, _ in got] == sent and sum(lost for *_, lost in got) == sum(2 for p in range(65_401, 65_999) if p % 7 == 3)
+
+
+def bits(text):
+    text = text.replace(" ", "") + "1"
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_headers_under_the_active_set(spark):
+    pps = lambda i, cabac: b"\x68" + bits(f"{['1', '010', '011'][i]} 1 {cabac} 0 1 1 1 0 00 1")
+    p_slice = b"\x61" + bits("1 00110 010 0101 011")  # slice type 5, set 1, frame 5, run 2
+    rows = [(0, p_slice), (1, pps(1, 1)), (2, p_slice), (3, pps(0, 0)), (4, p_slice), (5, pps(1, 0)), (6, p_slice), (7, b"\x65" + bits("1 00100 1 0001")), (8, None), (9, b"\x61"), (10, b"\x67\x42\x00")]
+    units = spark.createDataFrame([("c", k, n) for k, n in rows] + [("d", 9, p_slice)], "camera string, seq long, nal binary").repartition(3)
+    for span in (1 << 20, 2):
+        got = {(r.camera, r.seq): tuple(r)[2:] for r in slice_headers(units, span).collect()}
+        assert got == {
+            ("c", 0): (False, 5, 1, 5, False, 2), ("c", 2): (False, 5, 1, 5, True, None), ("c", 4): (False, 5, 1, 5, True, None), ("c", 6): (False, 5, 1, 5, False, 2),
+            ("c", 7): (True, 3, 0, 1, False, None), ("d", 9): (False, 5, 1, 5, False, 2),
+        }
+    assert slice_headers(units.limit(0)).count() == 0
+
+
+def test_h265_headers():
+    assert h265_slice(b"\x02\x01" + bits("1 010 10000001")) == {"first": True, "pps_id": 1, "poc_lsb": 129}
+    assert h265_slice(b"\x26\x01" + bits("0 1 011 0")) == {"first": False, "pps_id": 2, "poc_lsb": None}
+    assert h265_slice(b"\x02\x01" + bits("1 1 001"[:5])) is None and h265_slice(b"\x40\x01\x0c") is None and h265_slice(b"") is None
+    assert h265_vps(b"\x40\x01" + bits("0011 11 000001 010 0000")) == {"id": 3, "layers": 2, "sub_layers": 3} and h265_vps(b"\x42\x01\0\0\0") is None
+    assert h265_pps(b"\x44\x01" + bits("010 1 0000000 1 1 00101")) == {"id": 1, "sps_id": 0, "init_qp": 24} and h265_pps(b"\x44\x01\0") is None
