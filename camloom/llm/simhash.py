@@ -115,6 +115,8 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 BUCKETS, MEMBERS = 1 << 18, 4096
 #: Prefix shingles are dealt out in so many passes, each with its share of them: what a pass shuffles is gone before the next.
 PASSES = 4
+#: Members of a shingle that all others in it are held against, before they are held against each other.
+CENTRES = 4
 #: Bounds are loosened by so much, so that rounding never loses a pair; what they let through is verified.
 SLACK = 1 - 1e-12
 
@@ -229,6 +231,24 @@ def chained(shared: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("me.node", "other.node").alias("u"), F.greatest("me.node", "other.node").alias("v")).distinct()
 
 
+def centred(shared: DataFrame, edges: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v): each member of a shingle with those that most links were found of, up to CENTRES a shingle, of other roots.
+
+    Copies of one text may each be similar to it, but not to each other. Then the text has most of the links that are found by chance, and
+    is looked for here, so that its copies need not be held against each other.
+    """
+    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    rows = shared.select("token", "me", F.col("me.node").alias("node")).join(roots, "node", "left").join(degree, "node", "left")
+    rooted = rows.select("token", "me", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    part = F.pmod(F.xxhash64("root"), F.lit(CENTRES)).alias("part")
+    best = F.max_by(F.struct("me", "root"), F.struct("degree", "me.node")).alias("centre")
+    parts = rooted.groupBy("token", part).agg(best, F.min("root").alias("lo"), F.max("root").alias("hi"))
+    centres = parts.groupBy("token").agg(F.collect_list("centre").alias("centres"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token", "centres")
+    met = rooted.join(centres, "token").select("me", "root", F.explode("centres").alias("c")).select("me", "root", F.col("c.me").alias("other"), F.col("c.root").alias("other_root"))
+    met = met.where((F.col("root") != F.col("other_root")) & may_pair("other", "me", similarity))
+    return met.select(F.least("me.node", "other.node").alias("u"), F.greatest("me.node", "other.node").alias("v")).distinct()
+
+
 def unjoined(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Distinct (u, v): all members of a shingle with different roots that may pair.
 
@@ -295,7 +315,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Groups are the components of all pairs whose texts have a Jaccard similarity of at least ``similarity`` on k-word
     shingles. Candidates come from SimHash under covering masks first, which joins close copies. A fingerprint misses pairs
     farther apart, so an exact search follows: similar texts share a shingle of their prefixes. Members of one are held
-    against the one before and the first; then all that are still in different groups, against each other. Every candidate
+    against the one before and the first; then against those with most links; then all that are still in different groups, against each other. Every candidate
     is verified on its texts.
     Null texts count as empty, and all texts without words are one; an empty table gives an empty result.
     """
@@ -310,6 +330,8 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     candidates = written(close.unionByName(chained(shared, similarity)).distinct(), "pairs")
     dropped(kinds, close)
     edges = verified(candidates, wanted, table, k, similarity)
+    hubs = verified(written(centred(shared, edges, components(edges), similarity), "pairs"), wanted, table, k, similarity)
+    edges = edges.unionByName(hubs)
     more = verified(written(unjoined(shared, components(edges), similarity), "pairs"), wanted, table, k, similarity)
     dropped(*parts)
     roots = components(edges.unionByName(more))
