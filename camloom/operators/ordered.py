@@ -41,8 +41,9 @@ def access_units(nal: DataFrame, span: int = SPAN) -> DataFrame:
         F.min("seq").alias("first_seq"), F.min("pts_90khz").alias("pts_90khz"), F.sum("length").alias("byte_count"), F.count(F.lit(1)).alias("n_nal"),
         F.bool_or(flag(KEYFRAME)).alias("is_keyframe"), F.bool_or(flag(PARAMSET)).alias("is_intra"), F.bool_or(flag(BFRAME)).alias("is_bframe"),
     )
-    last = units.groupBy("camera").agg(F.max("first_seq").alias("q_last"))
-    return units.join(last, "camera").where((F.col("first_seq") < F.col("q_last")) & (F.col("byte_count") > 0)).drop("q_last")
+    # The camera's last record, from a scan of one column: asking the units for it would make them twice.
+    last = nal.groupBy("camera").agg(F.max("seq").alias("q_last"))
+    return units.join(last, "camera").where((F.col("first_seq") + F.col("n_nal") - 1 < F.col("q_last")) & (F.col("byte_count") > 0)).drop("q_last")
 
 
 def since_keyframe(frames: DataFrame, span: int = SPAN) -> DataFrame:
