@@ -91,9 +91,10 @@ def duration_estimate(size: Column) -> Column:
 
 
 def playlist(filename: Column, size: Column) -> Column:
-    """A playlist of one segment."""
+    """A playlist of one segment. Its duration has three decimals; ties (sixteenths of a second) go to the even one."""
     s = duration_estimate(size)
-    lines = F.format_string("#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:%d\n#EXT-X-MEDIA-SEQUENCE:0\n#EXTINF:%.3f,\n", F.floor(s) + 1, s)
+    thousandths = F.bround(s.cast("decimal(38,18)"), 3).cast("decimal(38,3)").cast("string")
+    lines = F.format_string("#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:%d\n#EXT-X-MEDIA-SEQUENCE:0\n#EXTINF:%s,\n", F.floor(s) + 1, thousandths)
     return F.concat(lines, filename, F.lit("\n#EXT-X-ENDLIST\n"))
 
 

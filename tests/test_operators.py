@@ -182,3 +182,14 @@ def test_delivered_packets(spark):
     out = sorted((r.camera, r.place, r.seq, r.lost) for r in delivered(spark.createDataFrame(rows, "camera string, arrival long, seq long").repartition(3)).collect())
     assert [(s, lost) for c, _, s, lost in out if c == "a"] == [(65533, 0), (65534, 0), (65535, 0), (0, 0), (1, 0), (2, 0), (3, 0), (10, 0), (12, 0), (60, 55), (61, 0)]
     assert [s for c, _, s, _ in out if c == "b"] == [5, 6, 7]
+
+
+def test_playlist_durations_at_ties(spark):
+    """Sixteenths of a second end in a 5 at the fourth decimal, where printf takes the even neighbour."""
+    from camloom.functions.scalars import playlist
+
+    sizes = [24576 * (16 + k) for k in (1, 3, 5, 15)] + [393216 * 1000, 500_000, 1]
+    got = [r.p for r in spark.createDataFrame([("a.ts", s) for s in sizes], "f string, s long").select(playlist(F.col("f"), F.col("s")).alias("p")).collect()]
+    seconds = [s / 393216 if s >= 393216 else 8.0 for s in sizes]
+    assert [p.split("#EXTINF:")[1].split(",")[0] for p in got] == [f"{s:.3f}" for s in seconds]
+    assert "#EXTINF:1.062,\na.ts\n" in got[0]
