@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from camloom.operators.running import with_previous
+from camloom.operators.running import ranged, running, with_previous
 
 LINEAR = tuple(5.0 * k for k in range(1, 11))
 EXPONENTIAL = tuple(0.0001 * 2**k for k in range(12))
@@ -97,10 +97,17 @@ def readiness(status: DataFrame) -> DataFrame:
 
 
 def fingerprints(frames: DataFrame) -> DataFrame:
-    """What tells cameras apart: the median and variance of bytes per frame, frames, keyframe share."""
-    return frames.groupBy("camera").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("byte_count", 0.5, 100_000).alias("median_bytes"), F.var_pop("byte_count").alias("var_bytes"), F.avg(F.col("is_keyframe").cast("double")).alias("keyframe_share")
+    """What tells cameras apart: the median and variance of bytes per frame, frames, keyframe share.
+
+    The median is exact (of an even number the lower middle): counts of equal sizes run along the sizes, in ranges.
+    """
+    totals = frames.groupBy(F.struct("camera").alias("q_key")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("byte_count").alias("q_n"), F.var_pop("byte_count").alias("var_bytes"), F.avg(F.col("is_keyframe").cast("double")).alias("keyframe_share")
     )
+    counts = frames.where("byte_count is not null").groupBy(F.struct("camera").alias("q_key"), "byte_count").agg(F.count(F.lit(1)).alias("q_each"))
+    upto = running(ranged(counts, "byte_count"), {"q_upto": ("sum", F.col("q_each"))}, "q_key", ["byte_count"])
+    median = upto.join(totals.select("q_key", "q_n"), "q_key").where("2 * q_upto >= q_n").groupBy("q_key").agg(F.min("byte_count").alias("median_bytes"))
+    return totals.join(median, "q_key", "left").select("q_key.camera", "n", "median_bytes", "var_bytes", "keyframe_share")
 
 
 def size_distribution(frames: DataFrame) -> DataFrame:

@@ -193,3 +193,11 @@ def test_playlist_durations_at_ties(spark):
     seconds = [s / 393216 if s >= 393216 else 8.0 for s in sizes]
     assert [p.split("#EXTINF:")[1].split(",")[0] for p in got] == [f"{s:.3f}" for s in seconds]
     assert "#EXTINF:1.062,\na.ts\n" in got[0]
+
+
+def test_median_of_many_sizes(spark):
+    """More distinct sizes than a sketch tells apart; nulls, an even number, negative ones."""
+    many = spark.range(0, 300_001, 1, 8).select(F.lit("a").alias("camera"), ((F.col("id") * 7919) % 300_001 - 5).alias("byte_count"), (F.col("id") < 3).alias("is_keyframe"))
+    few = spark.createDataFrame([("b", 4, True), ("b", -9, False), ("b", None, False), ("b", 6, True), ("b", 5, True), ("c", None, True), (None, 3, False)], "camera string, byte_count long, is_keyframe boolean")
+    got = {r.camera: (r.n, r.median_bytes) for r in ST.fingerprints(many.unionByName(few)).collect()}
+    assert got == {"a": (300_001, 149_995), "b": (5, 4), "c": (1, None), None: (1, 3)}
