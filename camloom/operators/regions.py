@@ -34,48 +34,112 @@ def activity(skipped: Column, mv_x: Column, mv_y: Column, intra: Column, residua
     return F.when(skipped, 0.0).otherwise(score)
 
 
-def grids(blocks: DataFrame, span: int = SPAN) -> DataFrame:
-    """(camera, frame, cell, score, mv_x, mv_y) -> a row for each frame: camera, q_range, frame, and arrays cell, score, mv_x, mv_y, by cell.
-    Of rows that repeat a block of a frame, the one with the greatest score counts (of equals the greatest vector)."""
-    one = blocks.groupBy("camera", "frame", "cell").agg(F.max(F.struct("score", "mv_x", "mv_y")).alias("b"))
-    rows = one.groupBy("camera", "frame").agg(F.sort_array(F.collect_list(F.struct("cell", "b.score", "b.mv_x", "b.mv_y"))).alias("b"))
-    arrays = (F.col(f"b.{c}").cast(f"array<{kind}>").alias(c) for c, kind in (("cell", "int"), ("score", "double"), ("mv_x", "double"), ("mv_y", "double")))
-    return rows.select("camera", F.floor(F.col("frame") / span).alias("q_range"), "frame", *arrays)
+LISTS = ("score", "mv_x", "mv_y")
+
+
+def _greatest(place: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """For each place, in order, where its greatest (score, mv_x, mv_y) is."""
+    order = np.lexsort((*reversed(values), place))
+    return order[np.append(place[order][1:] != place[order][:-1], True)] if len(order) else order
+
+
+def _lists(lengths: np.ndarray, cell: np.ndarray, values: list[np.ndarray]) -> list[pa.Array]:
+    ends = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(v, kind)) for v, kind in ((cell, pa.int32()), *((v, pa.float64()) for v in values))]
+
+
+def _packed(blocks: DataFrame, cells: int) -> DataFrame:
+    """Blocks as a row for each (camera, frame) of an Arrow batch, so that a frame moves in few rows: camera, frame, cell, score, mv_x, mv_y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                frame, cell, *values = (batch.column(k).to_numpy() for k in range(1, 6))
+                frames, at = np.unique(frame, return_inverse=True)
+                code = batch.column(0).dictionary_encode().indices.to_numpy().astype(np.int64)
+                _, first, group = np.unique(code * len(frames) + at, return_index=True, return_inverse=True)
+                kept = _greatest(group * cells + cell, values)
+                lists = _lists(np.bincount(group[kept], minlength=len(first)), cell[kept], [v[kept] for v in values])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(frame[first]), *lists], names=["camera", "frame", "cell", *LISTS])
+
+    kind = blocks.schema["camera"].dataType.simpleString()
+    rows = blocks.select("camera", F.col("frame").cast("long"), F.col("cell").cast("int"), *(F.col(c).cast("double") for c in LISTS))
+    return rows.mapInArrow(run, f"camera {kind}, frame long, cell array<int>, score array<double>, mv_x array<double>, mv_y array<double>")
 
 
 def _sorted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def range_maps(frames: DataFrame, cells: int, span: int, decay: float, gain: float, part: int) -> DataFrame:
-    """Each range of frames as a map of the accumulator, a row for each ``part`` blocks: camera, part, q_range, b, hi (a is decay ** span)."""
+def grids(blocks: DataFrame, width: int, height: int, span: int = SPAN, decay: float = DECAY, gain: float = GAIN, part: int = PART) -> DataFrame:
+    """(camera, frame, cell, score, mv_x, mv_y), of repeated blocks the greatest -> a table of two kinds of rows, written once.
+
+    A row for each frame that has any block: camera, q_range, frame, and of its blocks cell, score, mv_x, mv_y. And each range of frames as a map
+    of the accumulator, a row for each ``part`` blocks: camera, q_range, part, b, hi (a is decay ** span). Blocks are shuffled once, as packed rows.
+    """
+    cells = width * height
+    valid = blocks.where(F.col("camera").isNotNull() & F.col("frame").isNotNull() & F.col("score").isNotNull() & F.col("cell").between(0, cells - 1))
+    packed = _packed(valid.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("mv_x", "mv_y")}), cells)
+    kind, names = packed.schema["camera"].dataType.simpleString(), ["camera", "q_range", "frame", "cell", *LISTS, "part", "b", "hi"]
+    doubles = pa.list_(pa.float64())
+
+    def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of one frame, which are next to each other, as one."""
+        code, frame = batch.column("camera").dictionary_encode().indices.to_numpy(), batch.column("frame").to_numpy()
+        fresh = np.append(True, (code[1:] != code[:-1]) | (frame[1:] != frame[:-1]))
+        group = np.repeat(np.cumsum(fresh) - 1, batch.column("cell").value_lengths().to_numpy())
+        cell, *values = (batch.column(c).flatten().to_numpy() for c in ("cell", *LISTS))
+        kept = _greatest(group * cells + cell, values)
+        first = np.flatnonzero(fresh)
+        lists = _lists(np.bincount(group[kept], minlength=len(first)), cell[kept], [v[kept] for v in values])
+        return pa.RecordBatch.from_arrays([batch.column("camera").take(pa.array(first)), pa.array(frame[first]), *lists], names=["camera", "frame", "cell", *LISTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, at, b, hi, kind = None, 0, None, None, pa.string()
+        key, at, b, hi, waiting, camera_kind = None, 0, None, None, None, pa.string()
+        starts = range(0, cells, part)
 
-        def closed() -> pa.RecordBatch:
+        def closed() -> list[tuple]:
             fade = decay ** ((key[1] + 1) * span - 1 - at)
-            starts = range(0, cells, part)
-            columns = [pa.array([key[0]] * len(starts), kind), pa.array(range(len(starts)), pa.int64()), pa.array([key[1]] * len(starts), pa.int64())]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array([v[s : s + part] * fade for s in starts], pa.list_(pa.float64())) for v in (b, hi))], names=["camera", "part", "q_range", "b", "hi"])
-
-        for batch in batches:
-            kind = batch.schema.field("camera").type
-            for camera, q_range, frame, cell, score in zip(*(batch.column(c).to_pylist() for c in ("camera", "q_range", "frame")), batch.column("cell"), batch.column("score"), strict=True):
-                if (camera, q_range) != key:
+            return [(key[0], key[1], n, b[s : s + part] * fade, hi[s : s + part] * fade) for n, s in enumerate(starts)]
+
+        def maps(rows: list[tuple]) -> pa.RecordBatch:
+            camera, q_range, n, *ends = zip(*rows, strict=True)
+            heads = [pa.array(camera, camera_kind), pa.array(q_range, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int32())), *(pa.nulls(len(rows), doubles) for _ in LISTS)]
+            return pa.RecordBatch.from_arrays([*heads, pa.array(n, pa.int64()), *(pa.array(v, doubles) for v in ends)], names=names)
+
+        def done(frames: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal key, at, b, hi
+            out, frame, q_range = [], frames.column("frame").to_numpy(), frames.column("frame").to_numpy() // span
+            ends = frames.column("cell").offsets.to_numpy() - frames.column("cell").offsets[0].as_py()
+            cell, score = frames.column("cell").flatten().to_numpy(), frames.column("score").flatten().to_numpy() * gain
+            for k, camera in enumerate(frames.column("camera").to_pylist()):
+                if (camera, q_range[k]) != key:
                     if key is not None:
-                        yield closed()
-                    key, at, b, hi = (camera, q_range), q_range * span - 1, np.zeros(cells), np.full(cells, TOP)
+                        out += closed()
+                    key, at, b, hi = (camera, q_range[k]), q_range[k] * span - 1, np.zeros(cells), np.full(cells, TOP)
                 add = np.zeros(cells)
-                add[cell.values.to_numpy()] = score.values.to_numpy() * gain
-                fade = decay ** (frame - at)
-                b, hi, at = b * fade + add, np.minimum(TOP, hi * fade + add), frame
-        if key is not None:
-            yield closed()
+                add[cell[ends[k] : ends[k + 1]]] = score[ends[k] : ends[k + 1]]
+                fade = decay ** float(frame[k] - at)
+                b, hi, at = b * fade + add, np.minimum(TOP, hi * fade + add), frame[k]
+            none = [pa.nulls(len(frame), t) for t in (pa.int64(), doubles, doubles)]
+            yield pa.RecordBatch.from_arrays([frames.column("camera"), pa.array(q_range), *frames.columns[1:], *none], names=names)
+            if out:
+                yield maps(out)
 
-    kind = frames.schema["camera"].dataType.simpleString()
-    placed = _sorted(frames.select("camera", "q_range", "frame", "cell", "score"), ["camera", "q_range"], ["frame"])
-    return placed.mapInArrow(run, f"camera {kind}, part long, q_range long, b array<double>, hi array<double>")
+        for batch in batches:
+            if batch.num_rows:
+                camera_kind = batch.schema.field("camera").type
+                rows = batch if waiting is None else pa.Table.from_batches([waiting, batch.cast(waiting.schema)]).combine_chunks().to_batches()[0]
+                frames = merged(rows)
+                waiting = frames.slice(frames.num_rows - 1)  # the next batch may have more of it
+                if frames.num_rows > 1:
+                    yield from done(frames.slice(0, frames.num_rows - 1))
+        if waiting is not None:
+            yield from done(waiting)
+            yield maps(closed())
+
+    placed = _sorted(packed.withColumn("q_range", F.floor(F.col("frame") / span)), ["camera", "q_range"], ["frame"]).drop("q_range")
+    return scratch(placed.mapInArrow(run, f"camera {kind}, q_range long, frame long, cell array<int>, score array<double>, mv_x array<double>, mv_y array<double>, part long, b array<double>, hi array<double>"), "grids")
 
 
 def entries(maps: DataFrame, span: int, decay: float) -> DataFrame:
@@ -104,21 +168,23 @@ def accumulated(blocks: DataFrame, width: int, height: int, decay: float = DECAY
     A row for each frame that has any block, also where none is above. Frames without rows let the accumulators fade. Cells outside
     the grid, and null cameras, frames, cells or scores, are left out. An empty table gives an empty result.
     """
-    cells = width * height
-    valid = blocks.where(F.col("camera").isNotNull() & F.col("frame").isNotNull() & F.col("score").isNotNull() & F.col("cell").between(0, cells - 1))
-    frames = scratch(grids(valid.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("mv_x", "mv_y")}), span), "grids")
-    begun = entries(range_maps(frames, cells, span, decay, gain, part), span, decay)
+    return accumulated_grids(grids(blocks, width, height, span, decay, gain, part), width, height, decay, gain, threshold, span, part)
+
+
+def accumulated_grids(table: DataFrame, width: int, height: int, decay: float = DECAY, gain: float = GAIN, threshold: float = THRESHOLD, span: int = SPAN, part: int = PART) -> DataFrame:
+    """``accumulated`` of what ``grids`` wrote with the same settings."""
+    cells, frames = width * height, table.where("part is null")
+    begun = entries(table.where("part is not null").select("camera", "part", "q_range", "b", "hi"), span, decay)
     kind = frames.schema["camera"].dataType.simpleString()
-    lists = ("score", "mv_x", "mv_y")
-    asked = begun.select("camera", "q_range", F.lit(None).cast("long").alias("frame"), F.col("part").alias("part"), F.lit(None).cast("array<int>").alias("cell"), F.col("acc").alias("score"), *(F.lit(None).cast("array<double>").alias(c) for c in lists[1:]))
-    both = asked.unionByName(frames.withColumn("part", F.lit(None).cast("long")))
+    asked = begun.select("camera", "q_range", F.lit(None).cast("long").alias("frame"), F.col("part").alias("part"), F.lit(None).cast("array<int>").alias("cell"), F.col("acc").alias("score"), *(F.lit(None).cast("array<double>").alias(c) for c in LISTS[1:]))
+    both = asked.unionByName(frames.select("camera", "q_range", "frame", "part", "cell", *LISTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at, acc = None, 0, np.zeros(cells)
         for batch in batches:
             keys, out = [], [[] for _ in range(4)]
             columns = [batch.column(c).to_pylist() for c in ("camera", "q_range", "frame", "part")]
-            for camera, q_range, frame, begins, *rest in zip(*columns, *(batch.column(c) for c in ("cell", *lists)), strict=True):
+            for camera, q_range, frame, begins, *rest in zip(*columns, *(batch.column(c) for c in ("cell", *LISTS)), strict=True):
                 if (camera, q_range) != key:
                     key, at, acc = (camera, q_range), q_range * span - 1, np.zeros(cells)
                 if frame is None:  # what this part of the grid begins with; sorted before the frames
@@ -135,9 +201,10 @@ def accumulated(blocks: DataFrame, width: int, height: int, decay: float = DECAY
                     o.append(values)
             if keys:
                 heads = [pa.array([k[0] for k in keys], batch.schema.field("camera").type), pa.array([k[1] for k in keys], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*heads, pa.array(out[0], pa.list_(pa.int32())), *(pa.array(o, pa.list_(pa.float64())) for o in out[1:])], names=["camera", "frame", "cell", "acc", "mv_x", "mv_y"])
+                cell, *values = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([*heads, *_lists(np.array([len(o) for o in out[0]]), cell, values)], names=["camera", "frame", "cell", "acc", "mv_x", "mv_y"])
 
-    placed = _sorted(both.select("camera", "q_range", "frame", "part", "cell", *lists), ["camera", "q_range"], ["frame", "part"])
+    placed = _sorted(both.select("camera", "q_range", "frame", "part", "cell", *LISTS), ["camera", "q_range"], ["frame", "part"])
     return placed.mapInArrow(run, f"camera {kind}, frame long, cell array<int>, acc array<double>, mv_x array<double>, mv_y array<double>")
 
 

@@ -119,3 +119,21 @@ def test_activity_and_gate(spark):
     assert got == pytest.approx([0.0, 0.6 * 5 / 16, 1.0])
     gate = spark.createDataFrame([(True, None, "z=4"), (True, 8, "z=4"), (True, None, "z=4,unexpected_idr"), (False, 99, "")], "f boolean, n long, why string")
     assert [r[0] for r in gate.select(RG.spatial_gate(F.col("f"), F.col("n"), F.col("why"))).collect()] == [False, True, True, False]
+
+
+def test_blocks_move_in_packed_rows(spark):
+    """Repeated blocks of a frame in many small batches are told apart once more after the shuffle, which moves a row for each frame and batch."""
+    rng = random.Random(8)
+    rows = [("ab"[k % 2], k // 400, rng.randrange(12), rng.choice([0.0, 0.5, 1.0, 4.0]), float(rng.randrange(3)), 0.0) for k in range(4000)]
+    df = spark.createDataFrame(rows, "camera string, frame long, cell int, score double, mv_x double, mv_y double").repartition(3)
+    assert RG._packed(df, 12).count() <= 60
+    most = {}
+    for camera, frame, cell, *b in rows:
+        most[camera, frame, cell] = max(most.get((camera, frame, cell), [-1.0]), b)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        table = RG.grids(df, 4, 3, span=4).where("part is null").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(table) == 20
+    assert {(r.camera, r.frame, c): list(b) for r in table for c, *b in zip(r.cell, r.score, r.mv_x, r.mv_y, strict=True)} == most
