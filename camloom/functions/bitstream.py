@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
-from camloom.operators.running import SPAN, ranged, running, with_previous
+from camloom.operators.running import SPAN, ranged
+from camloom.sources.shared import scratch
 
 KEYFRAME, PARAMSET, BFRAME = 1, 2, 8
 
@@ -51,17 +53,29 @@ def seq_after(a: Column, b: Column) -> Column:
 
 
 def unwrapped(packets: DataFrame, by: str = "camera", order: str = "arrival", span: int = SPAN) -> DataFrame:
-    """with seq_long: 16-bit numbers made to go on past each wrap, by the signed step from packet to packet in a whole-numbered order."""
-    rows = with_previous(ranged(packets, order, span), {"q_last": "seq"}, by, [order])
-    step = F.when(F.col("q_first"), F.col("seq")).otherwise((F.col("seq") - F.col("q_last") + 98304) % 65536 - 32768).cast("long")
-    return running(rows, {"seq_long": ("sum", step)}, by, [order]).select(*packets.columns, "seq_long")
+    """with seq_long: 16-bit numbers made to go on past each wrap, by the signed step from packet to packet in a whole-numbered order.
+
+    Steps run inside ranges of the order, and the rows are written with them, so packets are made and moved once; then ranges go on from each other.
+    """
+    inside, over = Window.partitionBy(by, "q_range").orderBy(order), Window.partitionBy(by).orderBy("q_range")
+    step = lambda a, b: ((a - b + 98304) % 65536 - 32768).cast("long")
+    before = ranged(packets, order, span).withColumn("q_last", F.lag("seq").over(inside))
+    rows = scratch(before.withColumn("q_steps", F.sum(F.coalesce(step(F.col("seq"), F.col("q_last")), F.lit(0))).over(inside)).drop("q_last"), "unwrapped")
+    ends = rows.groupBy(by, "q_range").agg(F.min_by("seq", order).alias("q_first"), F.max_by("seq", order).alias("q_last"), F.max_by("q_steps", order).alias("q_all"))
+    opens = F.row_number().over(over) == 1
+    entry = F.when(opens, F.col("q_first").cast("long")).otherwise(step(F.col("q_first"), F.lag("q_last").over(over)) + F.lag("q_all").over(over))
+    begun = ends.select(by, "q_range", F.coalesce(entry, F.lit(0)).alias("q_entry")).select(by, "q_range", F.sum("q_entry").over(over).alias("q_begin"))
+    return rows.join(begun, [by, "q_range"]).select(*packets.columns, (F.col("q_begin") + F.col("q_steps")).alias("seq_long"))
 
 
 def reordered(packets: DataFrame, by: str = "camera", order: str = "arrival", span: int = SPAN) -> DataFrame:
-    """Packets in sequence, each once, with lost: how many are missing just before it."""
-    once = unwrapped(packets, by, order, span).dropDuplicates([by, "seq_long"])
-    rows = with_previous(ranged(once, "seq_long", span), {"q_last": "seq_long"}, by, ["seq_long"])
-    return rows.select(*once.columns, F.when(F.col("q_first"), 0).otherwise(F.col("seq_long") - F.col("q_last") - 1).cast("long").alias("lost"))
+    """Packets in sequence, each once (as it came first), with lost: how many are missing just before it."""
+    placed = ranged(unwrapped(packets, by, order, span), "seq_long", span)
+    inside, over = Window.partitionBy(by, "q_range").orderBy("seq_long", order), Window.partitionBy(by).orderBy("q_range")
+    before = placed.groupBy(by, "q_range").agg(F.max("seq_long").alias("q_end")).select(by, "q_range", F.lag("q_end").over(over).alias("q_before"))
+    rows = placed.withColumn("q_last", F.lag("seq_long").over(inside)).join(before, [by, "q_range"]).withColumn("q_last", F.coalesce("q_last", "q_before"))
+    lost = F.coalesce(F.col("seq_long") - F.col("q_last") - 1, F.lit(0)).cast("long")
+    return rows.withColumn("lost", lost).where("lost >= 0").select(*packets.columns, "seq_long", "lost")
 
 
 def delivered(packets: DataFrame, window: int = 32, by: str = "camera", order: str = "arrival") -> DataFrame:

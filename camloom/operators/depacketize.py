@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from camloom.functions.bitstream import byte_at, nal_type
 from camloom.operators.running import SPAN, ranged, running, with_previous
+from camloom.sources.shared import scratch
 
 #: Payload types of RFC 6184 and RFC 7798: aggregates, fragments, and the first and last of single units.
 AGGREGATE = {"h264": 24, "h265": 48}
@@ -102,7 +103,8 @@ def depacketized(packets: DataFrame, codec: str = "h264", donl: bool = False, sp
     before = with_previous(ranged(rows, "seq_long", span), {"q_before": "seq_long"}, "camera", ["seq_long"])
     gap = (~F.col("q_first") & (F.col("seq_long") != F.col("q_before") + 1)).cast("long")
     placed = running(before, {"q_run": ("sum", F.col("q_start").cast("long")), "q_gaps": ("sum", gap)}, "camera", ["seq_long"])
+    fragments = scratch(placed.where(is_fragment).select("camera", "seq_long", "timestamp", "marker", "payload", "q_start", "q_end", "q_run", "q_gaps"), "fragments")
     names = ["camera", "seq_long", "part", "timestamp", "marker", "nal"]
     single = rows.where("q_kind = 'single'").select("camera", "seq_long", F.lit(0).cast("long").alias("part"), "timestamp", "marker", F.col("payload").alias("nal"))
     split = _aggregates(rows.where("q_kind = 'aggregate'"), codec, donl)
-    return single.select(names).unionByName(split).unionByName(_joined(placed.where(is_fragment).drop("q_first"), codec, donl))
+    return single.select(names).unionByName(split).unionByName(_joined(fragments, codec, donl))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from camloom.functions.bitstream import Bits, h264_pps, unescaped
 from camloom.operators.running import SPAN, ranged, running
+from camloom.sources.shared import scratch
 
 #: Bytes of a unit that hold its header, however long the slice.
 HEADER = 48
@@ -101,7 +102,7 @@ def slice_headers(units: DataFrame, span: int = SPAN) -> DataFrame:
     heads = units.select("camera", "seq", F.substring("nal", 1, 256).alias("nal"))
     kinds = dict(heads.dtypes)
     read = heads.mapInArrow(run, f"camera {kinds['camera']}, seq {kinds['seq']}, {READ_DDL}").where("pps is not null or slice is not null")
-    keyed = read.withColumn("q_key", F.struct("camera", F.coalesce("pps.id", "slice.pps_id").alias("id")))
+    keyed = scratch(read, "headers").withColumn("q_key", F.struct("camera", F.coalesce("pps.id", "slice.pps_id").alias("id")))
     found = running(ranged(keyed, "seq", span), {"active": ("max", F.when(F.col("pps").isNotNull(), F.struct("seq", "pps.cabac")))}, "q_key", ["seq"])
     cabac = F.coalesce("active.cabac", F.lit(False))
     rows = found.where("slice is not null")

@@ -46,10 +46,11 @@ def packets_of(nal: DataFrame, codec: str) -> DataFrame:
     return sent.select("camera", (F.col("p") + F.when(F.col("p") % 2 == 0, 1).otherwise(-1)).alias("arrival"), F.unhex(packet).alias("packet"))
 
 
-def received(spark, d, codec: str) -> DataFrame:  # noqa: ANN001
+def received(spark, d, codec: str, *columns: Column | str) -> DataFrame:  # noqa: ANN001
+    """Packets in sequence with these columns of theirs; what is not asked for is not moved."""
     h = rtp_header(F.col("packet"))
     parsed = packets_of(view(spark, d, "nal"), codec).select("camera", "arrival", h.alias("h"), rtp_payload(F.col("packet")).alias("payload"))
-    return reordered(parsed.select("camera", "arrival", "h.seq", "h.timestamp", "h.marker", "payload"))
+    return reordered(parsed.select("camera", "arrival", "h.seq", *columns))
 
 
 def _sent(codec: str) -> str:
@@ -67,7 +68,7 @@ union all select camera, base, part, pts_90khz % 4294967296, part = 1, head || b
 
 
 def _depacketized(spark, d, codec: str) -> DataFrame:  # noqa: ANN001
-    out = depacketized(scratch(received(spark, d, codec), "packets"), codec)
+    out = depacketized(scratch(received(spark, d, codec, "h.timestamp", "h.marker", "payload"), "packets"), codec)
     return out.withColumn("nal", F.lower(F.hex("nal")))
 
 
@@ -87,7 +88,8 @@ b as (select *, p - coalesce(lag(p) over (partition by camera order by p), p - 1
 select camera, case j when 0 then 'single' when 2 then 'aggregate' else 'fragment' end as kind, count(*) as n, cast(sum(lost) as bigint) as lost from b group by 1, 2""")
 def packet_kinds(spark, d):
     """Packets of each kind, and how many were missing before them."""
-    rows = received(spark, d, "h264").select("camera", packet_kind(F.col("payload"), "h264").alias("kind"), "lost")
+    heads = received(spark, d, "h264", F.substring("payload", 1, 8).alias("payload"))  # a kind is told by fewer bytes
+    rows = heads.select("camera", packet_kind(F.col("payload"), "h264").alias("kind"), "lost")
     return rows.groupBy("camera", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("lost").alias("lost"))
 
 

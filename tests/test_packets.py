@@ -137,3 +137,22 @@ def test_h265_headers():
     assert h265_slice(b"\x02\x01" + bits("1 1 001"[:5])) is None and h265_slice(b"\x40\x01\x0c") is None and h265_slice(b"") is None
     assert h265_vps(b"\x40\x01" + bits("0011 11 000001 010 0000")) == {"id": 3, "layers": 2, "sub_layers": 3} and h265_vps(b"\x42\x01\0\0\0") is None
     assert h265_pps(b"\x44\x01" + bits("010 1 0000000 1 1 00101")) == {"id": 1, "sps_id": 0, "init_qp": 24} and h265_pps(b"\x44\x01\0") is None
+
+
+def test_rows_are_made_once(spark):
+    """Packets are numbered, and headers read, in one pass over what makes them; of equal numbers the first to arrive stays."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    packets = spark.createDataFrame([("c", k, s) for k, s in enumerate([65534, 65535, 1, 0, 0, 1, 4])], "camera string, arrival long, seq int")
+    got = sorted((r.seq_long, r.arrival, r.lost) for r in B.reordered(counted(packets), span=2).collect())
+    assert got == [(65534, 0, 0), (65535, 1, 0), (65536, 3, 0), (65537, 2, 0), (65540, 6, 2)] and made.value == 7
+    units = spark.createDataFrame([("c", k, b"\x61" + bits("1 00110 010 0101 011")) for k in range(9)], "camera string, seq long, nal binary")
+    assert slice_headers(counted(units), 2).count() == 9 and made.value == 16
