@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,8 +111,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 # ---------------------------------------------------------------- groups by similarity
 
 
-#: Buckets of hashes whose sizes give the order of shingles, and members of a shingle that are held against each other at once.
+#: Buckets of hashes whose sizes give the order of shingles, and members of a group that are held against each other at once.
 BUCKETS, MEMBERS = 1 << 18, 4096
+#: Words of sketches that are compared at once.
+WORDS = 1 << 20
 #: Prefix shingles are dealt out in so many passes, each with its share of them: what a pass shuffles is gone before the next.
 PASSES = 4
 #: Bounds are loosened by so much, so that rounding never loses a pair; what they let through is verified.
@@ -168,8 +170,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes, set if an odd number of them has it; two to four bits a hash, 128 at least.
+
+    Two sets differ in at least as many hashes as their sketches do in bits. Halves laid over each other (xor) are the sketch
+    of half as many bits, so that sketches of any two sizes can be compared.
+    """
+    bits = max(128, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 128
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1).tobytes()
+
+
 def prefixes(wanted: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(id, q_text) -> id, node, fp (SimHash of its set of shingles), n (their number), first (those of its prefix).
+    """(id, q_text) -> id, node, fp (SimHash of its set of shingles), n (their number), sketch, first (those of its prefix).
 
     Shingles are in one order for all texts, those of small buckets first. Of two sets similar by ``similarity``, each
     lacks at most n - ceil(similarity * n) of its shingles in the other, so their prefixes, one longer, share one. The
@@ -179,7 +191,7 @@ def prefixes(wanted: DataFrame, k: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps, counts, firsts = [], [], [], []
+            nodes, fps, counts, sketches, firsts = [], [], [], [], []
             for x in b.column(1):
                 s = shingles(x.as_buffer().to_pybytes(), k)
                 n = len(s)
@@ -188,9 +200,11 @@ def prefixes(wanted: DataFrame, k: int, similarity: float) -> DataFrame:
                 nodes.append(node_of(s))
                 fps.append(majority(s))
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (nodes, fps, counts)), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "node", "fp", "n", "first"])
+                sketches.append(sketch(s))
+            numbers = (pa.array(x, pa.int64()) for x in (nodes, fps, counts))
+            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "node", "fp", "n", "sketch", "first"])
 
-    return wanted.mapInArrow(run, "id long, node long, fp long, n long, first array<long>")
+    return wanted.mapInArrow(run, "id long, node long, fp long, n long, sketch binary, first array<long>")
 
 
 def covered(nodes: DataFrame, radius: int = 2) -> DataFrame:
@@ -203,66 +217,111 @@ def covered(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return same.unionByName(near).where("u < v").distinct()
 
 
-def may_pair(a: str, b: str, similarity: float) -> Column:
-    """Whether sets of sizes n that meet first at places pos of their orders can be similar enough: by their sizes, and by what is left from there on."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    sizes = F.least(n, m) >= F.lit(similarity * SLACK) * F.greatest(n, m)
-    return sizes & (F.lit(1 + similarity) * F.least(n - i, m - j) >= F.lit(similarity * SLACK) * (n + m))
-
-
 def members(kinds: DataFrame, part: int, parts: int = PASSES) -> DataFrame:
-    """(node, n, first) -> token, me, before, head: each member of a prefix shingle with the one before it and the first, in order of
-    nodes; of the shingles of one pass that have two members or more. A row has three numbers as it is shuffled."""
-    places = F.col("n") * F.lit(1 << 32) + F.col("pos")
-    rows = kinds.select("node", "n", F.posexplode("first").alias("pos", "token")).where(F.pmod("token", F.lit(parts)) == part).select("token", "node", places.alias("at"))
-    each = Window.partitionBy("token").orderBy("node")
-    beside = rows.select("token", "node", "at", *(f(c).over(each).alias(f"{name}_{c}") for name, f in (("before", F.lag), ("head", F.first)) for c in ("node", "at")), F.lead("node").over(each).alias("after"))
-    member = lambda node, at: F.struct(F.col(node).alias("node"), F.shiftright(at, 32).alias("n"), F.col(at).bitwiseAND((1 << 32) - 1).alias("pos"))
-    some = beside.where("before_node is not null or after is not null")
-    return some.select("token", member("node", "at").alias("me"), F.when(F.col("before_node").isNotNull(), member("before_node", "before_at")).alias("before"), member("head_node", "head_at").alias("head"))
-
+    """(node, first) -> distinct head, node: the members of each prefix shingle under the least of them, itself left out; of the
+    shingles of one pass. Members of a shingle are in one head's group. A row has two numbers as it is shuffled."""
+    rows = kinds.select("node", F.explode("first").alias("token")).where(F.pmod("token", F.lit(parts)) == part).select("token", "node")
+    headed = rows.select(F.first("node").over(Window.partitionBy("token").orderBy("node")).alias("head"), "node")
+    return headed.where("head < node").distinct()
 
-def chained(shared: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v): each member of a shingle with the one before it and the first, where they may pair. Links most large groups."""
-    met = shared.select("me", F.explode(F.array("before", "head")).alias("other"))
-    met = met.where((F.col("other.node") != F.col("me.node")) & may_pair("other", "me", similarity))
-    return met.select(F.least("me.node", "other.node").alias("u"), F.greatest("me.node", "other.node").alias("v")).distinct()
 
+def possible(n: np.ndarray, sketches: list[bytes], similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sets in ascending order of their sizes n -> (first row, differing bits, whether rows may be similar to columns), a few rows at
+    a time; the first column is the first row, and a pair counts where its column is beyond its row.
 
-def unjoined(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v): all members of a shingle with different roots that may pair.
-
-    A crowded shingle is cut into blocks of about MEMBERS, and each two blocks meet by themselves.
+    Sets that are similar enough differ in at most (1 - similarity) / (1 + similarity) of n + m hashes, so none is missed.
     """
-    rooted = shared.select("token", "me", F.col("me.node").alias("node")).join(roots, "node", "left").select("token", "me", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    rows = rooted.join(mixed.select("token", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "token")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("me.node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a = dealt.select("token", F.col("block").alias("i"), F.col("other").alias("j"), F.col("me").alias("a"), F.col("root").alias("root_a"))
-    b = dealt.select("token", F.col("other").alias("i"), F.col("block").alias("j"), F.col("me").alias("b"), F.col("root").alias("root_b"))
-    met = a.join(b, ["token", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & (F.col("a.node") < F.col("b.node")) & may_pair("a", "b", similarity))
-    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-
+    size = np.array([len(x) for x in sketches])
+    last = np.searchsorted(n, n / (similarity * SLACK), "right")
+    for width in np.unique(size).tolist():
+        start, end = np.searchsorted(size, [width, width + 1]).tolist()
+        # Those of wider sketches are folded to this width.
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sketches[start : last[end - 1]]])
+        at = start
+        while at < end:
+            # As many rows as WORDS allows: with the columns of the last of them.
+            rows = 1
+            while at + 2 * rows <= end and 2 * rows * (last[at + 2 * rows - 1] - at) * (width // 8) <= WORDS:
+                rows *= 2
+            to = int(last[at + rows - 1])
+            a, b = folded[at - start : at - start + rows], folded[at - start : to - start]
+            bits = np.zeros((rows, to - at), np.int64)
+            step = max(1, WORDS // (rows * (width // 8)))
+            for c in range(0, to - at, step):
+                bits[:, c : c + step] = np.bitwise_count(a[:, None, :] ^ b[None, c : c + step, :]).sum(axis=2, dtype=np.int64)
+            both = n[at : at + rows, None] + n[None, at:to]
+            fits = (1 + similarity) * SLACK * bits <= (1 - similarity) * both
+            fits &= (n[at : at + rows, None] >= similarity * SLACK * n[None, at:to]) & (np.arange(rows)[:, None] < np.arange(to - at)[None, :])
+            yield at, bits, fits
+            at += rows
+
+
+def nearest(n: np.ndarray, sketches: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each set, in order of sizes, with the one before it of which its sketch differs least, if they may be similar: places of both."""
+    none = np.iinfo(np.int64).max
+    least, who = np.full(len(n), none), np.zeros(len(n), np.int64)
+    for at, bits, fits in possible(n, sketches, similarity):
+        bits = np.where(fits, bits, none)
+        row = bits.argmin(axis=0)
+        found = bits[row, np.arange(len(row))]
+        better = np.flatnonzero(found < least[at : at + len(row)])
+        least[at + better], who[at + better] = found[better], at + row[better]
+    later = np.flatnonzero(least < none)
+    return who[later], later
+
+
+def apart(n: np.ndarray, sketches: list[bytes], root: np.ndarray, block: np.ndarray, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that may be similar and have different roots, of different blocks only if ``across``: places of both."""
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(np.unique(root)) > 1:
+        for at, _, fits in possible(n, sketches, similarity):
+            i, j = np.nonzero(fits)
+            i, j = i + at, j + at
+            wanted = (root[i] != root[j]) & ((block[i] != block[j]) | (not across))
+            u.append(i[wanted])
+            v.append(j[wanted])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def candidates(rows: DataFrame, crowded: DataFrame, similarity: float, roots: DataFrame | None = None) -> DataFrame:
+    """(head, node, n, sketch) -> distinct (u, v) that may be similar: in each group, each with its nearest; with roots, all whose roots
+    differ. A crowded group is cut into blocks of about MEMBERS; with roots, each two blocks meet by themselves."""
+    first = roots is None
+    rows = rows.withColumn("root", F.col("node")) if first else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dealt = rows.join(crowded, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    if first:
+        dealt = dealt.withColumn("other", F.col("block"))
+    else:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.sort_array(F.collect_list(F.struct("n", "node", "root", "block", "sketch"))).alias("each"))
 
-def shared_count(p: np.ndarray, q: np.ndarray) -> int:
-    """Members that two sorted lists share; one that repeats counts as often as in both."""
-    (a, n), (b, m) = (np.unique(x, return_counts=True) for x in (p, q))
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each, across = b.column(3), (b.column(1).to_numpy() != b.column(2).to_numpy()).tolist()
+            flat, ends = each.flatten(), np.cumsum(each.value_lengths().to_numpy()).tolist()
+            n, node, root, block = (flat.field(c).to_numpy() for c in range(4))
+            sketches, us, vs = flat.field(4).to_pylist(), [], []
+            for start, end, between in zip([0, *ends], ends, across, strict=False):
+                own = slice(start, end)
+                u, v = nearest(n[own], sketches[own], similarity) if first else apart(n[own], sketches[own], root[own], block[own], between, similarity)
+                us.append(node[own][u])
+                vs.append(node[own][v])
+            u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["u", "v"])
 
+    return groups.select("head", "i", "j", "each").mapInArrow(run, "u long, v long").distinct()
 
-def similar(pairs: DataFrame, least: float, kind: type) -> DataFrame:
-    """(u, v, x, y) -> (u, v) of those whose lists x and y (sorted numbers of ``kind``) have a Jaccard similarity of at least ``least``.
 
-    Of the first bits of hashes, lists share as many as of the hashes or more: then pairs that are not similar go, and none else.
-    """
+def similar(pairs: DataFrame, least: float) -> DataFrame:
+    """(u, v, x, y) -> (u, v) of those whose sets x and y (sorted distinct hashes) have a Jaccard similarity of at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), kind) for z in (x, y))
-                both = shared_count(p, q)
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= least * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
 
@@ -277,15 +336,13 @@ def verified(pairs: DataFrame, wanted: DataFrame, table: DataFrame, k: int, simi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [(node, s.tobytes(), (s >> np.uint64(48)).astype(np.uint16).tobytes()) for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) if node_of(s := shingles(x.as_buffer().to_pybytes(), k)) == node]
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "s", "bits"])
-
-    sets = written(wanted.join(who, "id").select("node", "q_text").mapInArrow(run, "node long, s binary, bits binary").dropDuplicates(["node"]), "sets")
-    of = lambda pairs, c: pairs.join(sets.select(F.col("node").alias("u"), F.col(c).alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col(c).alias("y")), "v").select("u", "v", "x", "y")
-    # Pairs that are not similar mostly go by 16 bits of each hash, a quarter of the sets' size.
-    possible = written(similar(of(pairs, "bits"), similarity, np.uint16), "possible")
-    edges = written(similar(of(possible, "s"), similarity, np.uint64), "links")
-    dropped(sets, pairs, who, possible)
+            held = [(node, s.tobytes()) for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) if node_of(s := shingles(x.as_buffer().to_pybytes(), k)) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], kind) for k, kind in enumerate((pa.int64(), pa.binary()))], names=["node", "s"])
+
+    sets = written(wanted.join(who, "id").select("node", "q_text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v").select("u", "v", "x", "y")
+    edges = written(similar(both, similarity), "links")
+    dropped(sets, pairs, who)
     return edges
 
 
@@ -294,24 +351,28 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     Groups are the components of all pairs whose texts have a Jaccard similarity of at least ``similarity`` on k-word
     shingles. Candidates come from SimHash under covering masks first, which joins close copies. A fingerprint misses pairs
-    farther apart, so an exact search follows: similar texts share a shingle of their prefixes. Members of one are held
-    against the one before and the first; then all that are still in different groups, against each other. Every candidate
-    is verified on its texts.
+    farther apart, so an exact search follows: similar texts share a shingle of their prefixes, and those that share one are
+    in the group of the least of them. There sketches are held against each other, which miss no similar pair: first each
+    takes its nearest, then all that are still in different groups meet. Every candidate is verified on its texts.
     Null texts count as empty, and all texts without words are one; an empty table gives an empty result.
     """
     wanted = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_of(f"`{text}`").cast("binary").alias("q_text"))
     made = written(prefixes(wanted, k, similarity), "prefixes")
     table = written(made.select("id", "node"), "nodes")
-    kinds = written(made.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "first"))), "kinds")
+    kinds = written(made.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "sketch", "first"))), "kinds")
     dropped(made)
     close = written(covered(kinds.select("node", "fp")), "close")
     parts = [written(members(kinds, part), "shared") for part in range(PASSES)]
-    shared = reduce(DataFrame.unionByName, parts)
-    candidates = written(close.unionByName(chained(shared, similarity)).distinct(), "pairs")
-    dropped(kinds, close)
-    edges = verified(candidates, wanted, table, k, similarity)
-    more = verified(written(unjoined(shared, components(edges), similarity), "pairs"), wanted, table, k, similarity)
-    dropped(*parts)
+    shared = written(reduce(DataFrame.unionByName, parts).distinct(), "shared")
+    crowded = written(shared.groupBy("head").agg(F.ceil((F.count(F.lit(1)) + 1) / MEMBERS).cast("int").alias("blocks")).where("blocks > 1"), "crowded")
+    grouped = shared.unionByName(shared.select("head", F.col("head").alias("node")).distinct())
+    rows = written(grouped.join(kinds.select("node", "n", "sketch"), "node").select("head", "node", "n", "sketch"), "rows")
+    dropped(*parts, shared, kinds)
+    first = written(close.unionByName(candidates(rows, crowded, similarity)).distinct(), "pairs")
+    dropped(close)
+    edges = verified(first, wanted, table, k, similarity)
+    more = verified(written(candidates(rows, crowded, similarity, components(edges)), "pairs"), wanted, table, k, similarity)
+    dropped(rows, crowded)
     roots = components(edges.unionByName(more))
     named = table.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("id").alias("group_id"))

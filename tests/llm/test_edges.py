@@ -621,6 +621,59 @@ def test_every_candidate_is_verified(spark):
     assert groups_of(spark, texts) == brute_groups(texts)
 
 
+def test_families_that_are_not_similar_enough_cost_no_pairs(spark, monkeypatch):
+    """All of a family share shingles of their prefixes, as these are in no order of frequency, and few pairs are similar."""
+    import random
+
+    monkeypatch.setattr(simhash, "BUCKETS", 1)
+    made, write = [], simhash.written
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        made.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    rng, texts = random.Random(21), {}
+    base = [f"w{i}" for i in range(200)]
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), 6):
+            words[at] = f"x{k}y{at}"
+        texts[k] = " ".join(words)
+    for k in range(5):
+        texts[100 + k] = texts[k] + " and more"
+    assert groups_of(spark, texts) == brute_groups(texts) and 5 <= sum(made) <= 60, made
+
+
+def test_sketches_miss_no_similar_pair(monkeypatch):
+    """Sets of one to 1,500 numbers, so that sketches have several sizes; compared a few at a time and all at once."""
+    import random
+
+    rng, sets = random.Random(22), [np.zeros(0, np.uint64)]
+    for n in (1, 2, 5, 31, 32, 33, 60, 64, 66, 250, 256, 258, 1024, 1500):
+        whole = [rng.getrandbits(64) for _ in range(n)]
+        for part in (1, 1, 0.95, 0.9, 0.8, 0.7, 0.5):
+            some = rng.sample(whole, max(1, int(part * n)))
+            sets.append(np.array(sorted({*some, *(rng.getrandbits(64) for _ in range(rng.choice((0, 0, n // 20, n // 9))))}), np.uint64))
+    sets.sort(key=len)
+    n, sketches = np.array([len(s) for s in sets]), [simhash.sketch(s) for s in sets]
+    each, within = [set(s.tolist()) for s in sets], {}
+    for least in (0.8, 0.3):
+        within[least] = {(i, j) for j in range(len(sets)) for i in range(j) if len(each[i] & each[j]) >= least * len(each[i] | each[j]) and n[j]}
+    for words in (1, 50, simhash.WORDS):
+        monkeypatch.setattr(simhash, "WORDS", words)
+        for least, similar in within.items():
+            rows = np.arange(len(sets))
+            pairs = list(zip(*(x.tolist() for x in simhash.apart(n, sketches, rows, rows % 3, False, least)), strict=True))
+            assert len(pairs) == len(set(pairs)) and set(pairs) >= similar and all(i < j for i, j in pairs)
+            assert least < 0.8 or len(pairs) < 2 * len(similar)
+            across = set(zip(*(x.tolist() for x in simhash.apart(n, sketches, rows, rows % 3, True, least)), strict=True))
+            assert across == {(i, j) for i, j in pairs if i % 3 != j % 3} and not len(simhash.apart(n, sketches, rows * 0, rows, False, least)[0])
+            near = dict(zip(*(x.tolist() for x in simhash.nearest(n, sketches, least)[::-1]), strict=True))
+            assert set(near) == {j for _, j in pairs} and all((i, j) in set(pairs) for j, i in near.items())
+
+
 def test_near_copies_that_meet_under_no_mask(spark):
     """Pairs of differing texts whose fingerprints of single words are more than 4 bits apart."""
     pairs = [(1640, 6074), (2566, 7725), (3023, 4099), (3910, 4172)]
