@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+#: Edges of one file of a round.
+EDGES = 1 << 18
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v), whole numbers in any direction -> node, root: the least node of its component. Roots themselves are left out.
 
     The number of rounds grows with the logarithm of the longest path. Each round is a table in the shared folder; the driver
     sees its number of edges and a checksum only. Repeated edges and loops do no harm; an empty list gives an empty result.
     """
-    now, state = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
-    while True:
-        after = written(_star(_star(now, large=True), large=False), "edges")
+    seen = lambda table: tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+    now = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state, before = seen(now), None
+    while state[0] and state != before:
+        after = written(_star(_star(now, large=True), large=False).coalesce(max(1, math.ceil(state[0] / EDGES))), "edges")
         dropped(now)
-        now, before = after, state
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
-        if state == before or state[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now, before, state = after, state, seen(after)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -346,6 +346,18 @@ def verified(pairs: DataFrame, wanted: DataFrame, table: DataFrame, k: int, simi
     return edges
 
 
+def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes (id, node) with the root in place of each node that has one."""
+    return nodes.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("node"))
+
+
+def between(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (u, v) between the roots of their ends: the components of all edges are those of these over those already found."""
+    for end in "uv":
+        edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"q_{end}")), end, "left")
+    return edges.select(F.coalesce("q_u", "u").alias("u"), F.coalesce("q_v", "v").alias("v"))
+
+
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group_id (the least doc_id of the group) of every row whose id is not null; a row for each distinct pair.
 
@@ -371,10 +383,10 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     first = written(close.unionByName(candidates(rows, crowded, similarity)).distinct(), "pairs")
     dropped(close)
     edges = verified(first, wanted, table, k, similarity)
-    more = verified(written(candidates(rows, crowded, similarity, components(edges)), "pairs"), wanted, table, k, similarity)
+    roots = components(edges)
+    more = verified(written(candidates(rows, crowded, similarity, roots), "pairs"), wanted, table, k, similarity)
     dropped(rows, crowded)
-    roots = components(edges.unionByName(more))
-    named = table.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    named = rooted(rooted(table, roots), components(between(more, roots))).select("id", F.col("node").alias("root"))
     groups = named.groupBy("root").agg(F.min("id").alias("group_id"))
     return named.join(groups, "root").select(F.col("id").alias(doc_id), "group_id").distinct()
 
