@@ -68,6 +68,12 @@ from (select 'cam-' || lpad(cast(l_suppkey % 16 as string), 2, '0') as camera, c
              l_partkey % 5 * 3 as ax, l_linenumber % 4 * 3 as ay, round(l_discount * 100e0) - 3e0 as mv_x, round(l_tax * 100e0) as mv_y,
              l_returnflag = 'N' and l_linenumber = 4 as skipped, l_returnflag = 'A' as intra, l_linestatus = 'O' as residual from {lineitem}) l
 cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) as t(k)""",
+    # macroblocks as squares of four by four, which have all but the cell in common
+    "block_squares": """
+select 'cam-' || lpad(cast(l_suppkey % 16 as string), 2, '0') as camera, cast((l_orderkey - l_orderkey % 48) / 48 as bigint) as frame,
+       cast(l_linenumber % 4 * 3 * 16 + l_partkey % 5 * 3 as int) as cell, round(l_discount * 100e0) - 3e0 as mv_x, round(l_tax * 100e0) as mv_y,
+       l_returnflag = 'N' and l_linenumber = 4 as skipped, l_returnflag = 'A' as intra, l_linestatus = 'O' as residual
+from {lineitem}""",
 }
 TABLES = re.compile(r"\{(\w+)\}")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from camloom.operators import regions as RG
 from camloom.operators.coalesce import capped_sessions
+from camloom.sources.adapters import view
+from tests.conftest import SMALL
 
 T0 = dt.datetime(2026, 5, 16)
 
@@ -137,3 +139,58 @@ def test_blocks_move_in_packed_rows(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(table) == 20
     assert {(r.camera, r.frame, c): list(b) for r in table for c, *b in zip(r.cell, r.score, r.mv_x, r.mv_y, strict=True)} == most
+
+
+def squares(rng, w, h, side, cameras="ab"):
+    """Rows of squares with repeats, gaps and frames far apart, and the same as single blocks that lie in the grid."""
+    rows = []
+    for camera in cameras:
+        for start in (-3, 595, 1195, 1700, 9000):
+            rows += [(camera, start + rng.randrange(40), rng.randrange(w * h), rng.choice([0.0, 0.1, 0.3, 0.7, 1.0, 1.3]), float(rng.randrange(-2, 3)), float(rng.randrange(2))) for _ in range(150)]
+    at = [(dx, dy) for dy in range(side) for dx in range(side)]
+    single = [(c, f, cell + dy * w + dx, *v) for c, f, cell, *v in rows for dx, dy in at if cell % w + dx < w and cell // w + dy < h]
+    return rows, single
+
+
+BLOCKS = "camera string, frame long, cell int, score double, mv_x double, mv_y double"
+
+
+@pytest.mark.parametrize(("per_batch", "side", "at_once"), [(10_000, 3, 1 << 18), (7, 3, 1 << 18), (100, 1, 300)])
+def test_ranges_run_by_themselves(spark, monkeypatch, per_batch, side, at_once):
+    """A range runs from what is left of the frames before it: every digit is that of one fold over a camera's frames."""
+    monkeypatch.setattr(RG, "AT_ONCE", at_once)
+    rows, single = squares(random.Random(side), 8, 7, side)
+    odd = [("a", None, 1, 1.0, 0.0, 0.0), ("a", 1, 56, 1.0, 0.0, 0.0), ("a", 1, -1, 1.0, 0.0, 0.0), (None, 1, 1, 1.0, 0.0, 0.0), ("a", 1, 1, None, 0.0, 0.0), ("a", 1, None, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows + odd, BLOCKS).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(per_batch))
+    try:
+        got = {(r.camera, r.frame): r for r in RG.accumulated(df, 8, 7, threshold=20.0, span=600, side=side).collect()}
+        found = sorted(tuple(r) for r in RG.block_regions(df, 8, 7, 9, 2, span=600, side=side).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    greatest = {}
+    for camera, frame, cell, *b in single:
+        greatest[camera, frame, cell] = max(greatest.get((camera, frame, cell), [-1.0]), b)
+    for camera in "ab":
+        for frame, acc in plain_accumulator([r[1:4] for r in single if r[0] == camera], 56, RG.DECAY, RG.GAIN).items():
+            r, hit = got.pop((camera, frame)), [c for c, a in enumerate(acc) if a > 20.0]
+            assert (r.cell, r.acc) == (hit, [acc[c] for c in hit])
+            assert list(zip(r.mv_x, r.mv_y, strict=True)) == [tuple(greatest.get((camera, frame, c), [0, 0.0, 0.0])[1:]) for c in hit]
+    maps = RG.accumulated(spark.createDataFrame(single, BLOCKS), 8, 7, span=4)
+    assert not got and found == sorted(tuple(r) for r in RG.regions(maps, 8, 7, 9, 2).collect()) and (side == 1 or len(found) > 20)
+    assert RG.accumulated(df.limit(0), 8, 7, side=side).count() == 0 and RG.block_regions(df.limit(0), 8, 7, side=side).count() == 0
+
+
+def test_ranges_of_slow_decays_are_maps(spark):
+    rows, single = squares(random.Random(5), 5, 4, 2, "a")
+    df = spark.createDataFrame(rows, BLOCKS).repartition(3)
+    assert RG.memory(0.85) < RG.RANGE < RG.memory(0.999) < RG.memory(1.0) == float("inf")
+    expected = plain_accumulator([r[1:4] for r in single], 20, 0.999, 1.0)
+    got = {r.frame: dict(zip(r.cell, r.acc, strict=True)) for r in RG.accumulated(df, 5, 4, 0.999, 1.0, 2.0, side=2).collect()}
+    assert got == {f: pytest.approx({c: a for c, a in enumerate(acc) if a > 2.0}) for f, acc in expected.items()}
+
+
+def test_squares_are_the_macroblocks(spark):
+    names = ["camera", "frame", "cell", "mv_x", "mv_y", "skipped", "intra", "residual"]
+    blocks, each = view(spark, SMALL, "macroblocks").select(names), RG._single(view(spark, SMALL, "block_squares"), 16, 13, 4).select(names)
+    assert each.count() == blocks.count() and each.exceptAll(blocks).count() == 0
