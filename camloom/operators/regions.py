@@ -443,6 +443,23 @@ def block_regions(blocks: DataFrame, width: int, height: int, min_blob: int = MI
     return folded(blocks, width, height, each, f"camera {kind}, frame long, {REGION_DDL}", span=span, side=side)
 
 
+def frame_activity(blocks: DataFrame, width: int, height: int, marked: Callable[[np.ndarray, np.ndarray], np.ndarray], min_blob: int = MIN_BLOB, span: int = RANGE, side: int = 1) -> DataFrame:
+    """A row for each frame that has any block: camera, frame, mean (of its blocks' scores, in the grid's order), marked (whether any block's mv_x and
+    mv_y are), largest (blocks of its largest region, of min_blob at least; else null)."""
+
+    def each(f: Frames) -> pa.RecordBatch:
+        given = f.place >= 0
+        mean = np.cumsum(f.score[f.place], axis=1)[:, -1] / given.sum(axis=1)
+        owner, values = _of_frames(f, width, min_blob, 1)
+        largest = np.zeros(len(mean), np.int64)
+        largest[owner] = values[1]
+        any_marked = (np.append(marked(f.mv_x[:-1], f.mv_y[:-1]), False)[f.place]).any(axis=1)
+        return pa.RecordBatch.from_arrays([f.camera, pa.array(f.frame), pa.array(mean), pa.array(any_marked), pa.array(largest, mask=largest == 0)], names=["camera", "frame", "mean", "marked", "largest"])
+
+    kind = blocks.schema["camera"].dataType.simpleString()
+    return folded(blocks, width, height, each, f"camera {kind}, frame long, mean double, marked boolean, largest long", span=span, side=side)
+
+
 def spatial_gate(fires: Column, largest: Column, reason: Column, min_blob: int = MIN_BLOB) -> Column:
     """An event fires only with a region of min_blob blocks or more, but for an unexpected keyframe, whose picture tells nothing."""
     return fires & ((F.coalesce(largest, F.lit(0)) >= min_blob) | reason.contains("unexpected_idr"))

@@ -2,6 +2,8 @@
 
 import collections
 import datetime as dt
+import functools
+import operator
 import random
 
 import numpy as np
@@ -194,3 +196,18 @@ def test_squares_are_the_macroblocks(spark):
     names = ["camera", "frame", "cell", "mv_x", "mv_y", "skipped", "intra", "residual"]
     blocks, each = view(spark, SMALL, "macroblocks").select(names), RG._single(view(spark, SMALL, "block_squares"), 16, 13, 4).select(names)
     assert each.count() == blocks.count() and each.exceptAll(blocks).count() == 0
+
+
+def test_activity_of_frames(spark):
+    """Means, marks and largest regions come from one pass, a row for each frame that has any block."""
+    rows, single = squares(random.Random(9), 8, 7, 3)
+    got = {(r.camera, r.frame): tuple(r)[2:] for r in RG.frame_activity(spark.createDataFrame(rows, BLOCKS).repartition(3), 8, 7, lambda x, y: (x < 0) & (y == 0), 9, side=3).collect()}
+    greatest = collections.defaultdict(dict)
+    for camera, frame, cell, *b in single:
+        greatest[camera, frame][cell] = max(greatest[camera, frame].get(cell, [-1.0]), b)
+    maps = RG.accumulated(spark.createDataFrame(single, BLOCKS), 8, 7, span=4)
+    largest = {(r.camera, r.frame): r.mb_count for r in RG.regions(maps, 8, 7, 9, 1).collect()}
+    for key, blocks in greatest.items():
+        mean, marked, most = got.pop(key)
+        assert mean == functools.reduce(operator.add, (blocks[c][0] for c in sorted(blocks))) / len(blocks) and marked == any(x < 0 and y == 0 for _, x, y in blocks.values()) and most == largest.get(key)
+    assert not got and largest
