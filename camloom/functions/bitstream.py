@@ -56,6 +56,7 @@ def unwrapped(packets: DataFrame, by: str = "camera", order: str = "arrival", sp
     """with seq_long: 16-bit numbers made to go on past each wrap, by the signed step from packet to packet in a whole-numbered order.
 
     Steps run inside ranges of the order, and the rows are written with them, so packets are made and moved once; then ranges go on from each other.
+    What ranges begin with is written as well, so that Spark sees how small it is and does not move the rows for it. ``dropped`` deletes the rows.
     """
     inside, over = Window.partitionBy(by, "q_range").orderBy(order), Window.partitionBy(by).orderBy("q_range")
     step = lambda a, b: ((a - b + 98304) % 65536 - 32768).cast("long")
@@ -64,8 +65,10 @@ def unwrapped(packets: DataFrame, by: str = "camera", order: str = "arrival", sp
     ends = rows.groupBy(by, "q_range").agg(F.min_by("seq", order).alias("q_first"), F.max_by("seq", order).alias("q_last"), F.max_by("q_steps", order).alias("q_all"))
     opens = F.row_number().over(over) == 1
     entry = F.when(opens, F.col("q_first").cast("long")).otherwise(step(F.col("q_first"), F.lag("q_last").over(over)) + F.lag("q_all").over(over))
-    begun = ends.select(by, "q_range", F.coalesce(entry, F.lit(0)).alias("q_entry")).select(by, "q_range", F.sum("q_entry").over(over).alias("q_begin"))
-    return rows.join(begun, [by, "q_range"]).select(*packets.columns, (F.col("q_begin") + F.col("q_steps")).alias("seq_long"))
+    begun = scratch(ends.select(by, "q_range", F.coalesce(entry, F.lit(0)).alias("q_entry")).select(by, "q_range", F.sum("q_entry").over(over).alias("q_begin")), "begun")
+    out = rows.join(begun, [by, "q_range"]).select(*packets.columns, (F.col("q_begin") + F.col("q_steps")).alias("seq_long"))
+    out.camloom_path = rows.camloom_path
+    return out
 
 
 def reordered(packets: DataFrame, by: str = "camera", order: str = "arrival", span: int = SPAN) -> DataFrame:

@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from camloom.functions.bitstream import byte_at, nal_flags, nal_type, reordered, rtp_header, rtp_payload, slice_type, with_parsed
+from camloom.functions.bitstream import byte_at, nal_flags, nal_type, reordered, rtp_header, rtp_payload, slice_type, unwrapped, with_parsed
 from camloom.operators.depacketize import depacketized, packet_kind
 from camloom.operators.slices import slice_headers
 from camloom.plans.registry import query
 from camloom.sources.adapters import cte, view
-from camloom.sources.shared import scratch
+from camloom.sources.shared import dropped
 
 #: Four records are seven packets: one alone, one in three fragments, one as an aggregate of two, one in two fragments.
 PLACE, PARTS = (0, 1, 4, 5), (1, 3, 1, 2)
@@ -46,11 +46,11 @@ def packets_of(nal: DataFrame, codec: str) -> DataFrame:
     return sent.select("camera", (F.col("p") + F.when(F.col("p") % 2 == 0, 1).otherwise(-1)).alias("arrival"), F.unhex(packet).alias("packet"))
 
 
-def received(spark, d, codec: str, *columns: Column | str) -> DataFrame:  # noqa: ANN001
-    """Packets in sequence with these columns of theirs; what is not asked for is not moved."""
+def parsed(nal: DataFrame, codec: str, *columns: Column | str) -> DataFrame:
+    """Packets as they arrive, with these columns of theirs; what is not asked for is not moved."""
     h = rtp_header(F.col("packet"))
-    parsed = packets_of(view(spark, d, "nal"), codec).select("camera", "arrival", h.alias("h"), rtp_payload(F.col("packet")).alias("payload"))
-    return reordered(parsed.select("camera", "arrival", "h.seq", *columns))
+    packets = packets_of(nal, codec).select("camera", "arrival", h.alias("h"), rtp_payload(F.col("packet")).alias("payload"))
+    return packets.select("camera", "arrival", "h.seq", *columns)
 
 
 def _sent(codec: str) -> str:
@@ -68,7 +68,11 @@ union all select camera, base, part, pts_90khz % 4294967296, part = 1, head || b
 
 
 def _depacketized(spark, d, codec: str) -> DataFrame:  # noqa: ANN001
-    out = depacketized(scratch(received(spark, d, codec, "h.timestamp", "h.marker", "payload"), "packets"), codec)
+    nal = view(spark, d, "nal")
+    packets = unwrapped(parsed(nal, codec, "h.timestamp", "h.marker", "payload"))
+    dropped(nal)
+    out = depacketized(packets, codec, order="arrival")
+    dropped(packets)
     return out.withColumn("nal", F.lower(F.hex("nal")))
 
 
@@ -88,7 +92,7 @@ b as (select *, p - coalesce(lag(p) over (partition by camera order by p), p - 1
 select camera, case j when 0 then 'single' when 2 then 'aggregate' else 'fragment' end as kind, count(*) as n, cast(sum(lost) as bigint) as lost from b group by 1, 2""")
 def packet_kinds(spark, d):
     """Packets of each kind, and how many were missing before them."""
-    heads = received(spark, d, "h264", F.substring("payload", 1, 8).alias("payload"))  # a kind is told by fewer bytes
+    heads = reordered(parsed(view(spark, d, "nal"), "h264", F.substring("payload", 1, 8).alias("payload")))  # a kind is told by fewer bytes
     rows = heads.select("camera", packet_kind(F.col("payload"), "h264").alias("kind"), "lost")
     return rows.groupBy("camera", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("lost").alias("lost"))
 

@@ -156,3 +156,55 @@ def test_rows_are_made_once(spark):
     assert got == [(65534, 0, 0), (65535, 1, 0), (65536, 3, 0), (65537, 2, 0), (65540, 6, 2)] and made.value == 7
     units = spark.createDataFrame([("c", k, b"\x61" + bits("1 00110 010 0101 011")) for k in range(9)], "camera string, seq long, nal binary")
     assert slice_headers(counted(units), 2).count() == 9 and made.value == 16
+
+
+@pytest.mark.parametrize(("codec", "donl", "span", "per_batch"), [("h264", False, 64, 3), ("h265", True, 2, 10_000), ("h265", False, 1 << 20, 1)])
+def test_packets_are_looked_at_once(spark, codec, donl, span, per_batch):
+    """Runs go on from batch to batch and over ranges of the sequence, also whole ranges without a fragment; repeats count as they came first."""
+    rng, made, rows, expected = random.Random(per_batch), spark.sparkContext.accumulator(0), [], []
+    head = b"\x62\x01" if codec == "h265" else b"\x7c"
+    for camera in ("a", "b", None):
+        seq, mine = -5, []
+        for _ in range(300):
+            seq += rng.choice([1] * 60 + [2])
+            long_run = head + bytes([rng.choice([0] * 12 + [128, 64])]) + bytes(rng.randrange(256) for _ in range(rng.choice([2, 3])))
+            mine.append((seq, seq * 3, rng.random() < 0.5, rng.choice([long_run, long_run, drawn(rng, codec)])))
+        again = [(s, 0, False, b"\x61later") for s, *_ in rng.sample(mine, 40)] if camera else []
+        rows += [(camera, *r, k) for k, r in enumerate(mine + again)]
+        expected += [(camera, *u) for u in plain_units(mine, codec, donl)] if camera else []
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, f"{DDL}, arrival long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(per_batch))
+    try:
+        got = depacketized(df.mapInArrow(counted, df.schema), codec, donl, span, order="arrival").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((*r[:5], bytes(r.nal)) for r in got if r.camera) == sorted(expected) and made.value == len(rows)
+    assert max(len(r.nal) for r in got) > 20
+
+
+def test_runs_over_ranges(spark):
+    """A unit in three ranges of two packets each, one of them without a fragment; the same with a gap at an edge gives nothing."""
+    one = [(1, 7, False, b"\x7c\x85AA"), (2, 7, False, b"\x61.."), (3, 7, False, b"\x61.."), (4, 7, True, b"\x7c\x45BB")]
+    for lost, expected in ((None, [b"\x65AABB"]), (2, []), (3, [])):
+        df = spark.createDataFrame([("c", *r) for r in one if r[0] != lost], DDL)
+        got = [(bytes(r.nal), r.timestamp, r.marker, r.seq_long) for r in depacketized(df, span=2).where("length(nal) > 3").collect()]
+        assert got == [(n, 7, True, 4) for n in expected]
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    from camloom.sources.shared import dropped, scratch
+
+    path = spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+    files = lambda: set(glob.glob(f"{path}/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    table = scratch(spark.range(1000).repartition(3, "id"), "moved")
+    assert files() <= before and table.count() == 1000
+    dropped(table)
