@@ -223,8 +223,11 @@ def folded(blocks: DataFrame, width: int, height: int, each: Callable[[Frames],
             for k, (camera, q_range, frame) in enumerate(heads):
                 if (camera, q_range) != key:
                     key, at, acc = (camera, q_range), frame, np.zeros(cells)
-                for _ in range(min(frame - at, before)):
-                    np.multiply(acc, decay, out=acc)
+                if frame - at >= before:
+                    acc[:] = 0.0
+                else:
+                    for _ in range(frame - at):
+                        np.multiply(acc, decay, out=acc)
                 np.add(acc, gained[k], out=acc)
                 np.minimum(acc, TOP, out=acc)
                 past[k], at, own[k] = acc, frame, frame // span == q_range
